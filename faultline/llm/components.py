@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
-    while (state := _state(now)) != before:
+    while (state := _state(now)) != before and state[0]:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 #: Pre-tokens whose ids a Python worker remembers; the table is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pre-tokens longer than this are encoded without being remembered.
 REMEMBERED_LENGTH = 64
 

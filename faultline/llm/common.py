@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null key while rows are grouped or joined by it; nulls sort before every other key.
 NULL_KEY = -(2**63)
-#: Bytes of text that a Python step turns into arrays at once; longer texts are their own block.
-BLOCK_BYTES = 1 << 20
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def unkey(column: str):
     return F.when(F.col(column) != F.lit(NULL_KEY), F.col(column))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, after its session's batches to Python have been held to BATCH_ROWS rows, so that long texts fit a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "0") or 0) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn: an Arrow batch to a dict of columns (or None); run over the batches of each partition."""
     names = [f.strip().split()[0] for f in schema.split(",")]
@@ -52,9 +60,5 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names)
 
-    return df.mapInArrow(run, schema)
-
+    return bounded(df).mapInArrow(run, schema)
 
-def texts(batch, name: str = "text") -> list[str]:
-    """The column as strings; null is empty."""
-    return [t or "" for t in batch.column(name).to_pylist()]

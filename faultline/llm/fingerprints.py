@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_of, unkey
+from .common import bounded, key_of, unkey
 
 #: Common words of English, French, German and Spanish that anchor signatures.
 ANCHORS = frozenset(
@@ -32,7 +32,7 @@ class WordHashes(dict):
     """Word to (hash, whether it is an anchor); bounded, as it is emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         self[word] = h = h & ~1 | (word in ANCHORS)
@@ -165,7 +165,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    dealt = slim.mapInArrow(deal, "k long, text string, run int, guest byte").repartition(max(1, runs), "run")
+    dealt = bounded(slim).mapInArrow(deal, "k long, text string, run int, guest byte").repartition(max(1, runs), "run")
     ordered = dealt.sortWithinPartitions("run", "guest", F.desc("k"), F.crc32(F.col("text").cast("binary")), "text")
     found = ordered.mapInArrow(walk, "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return found.withColumn("doc_id", unkey("k")).select("doc_id", *found.columns[1:])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import bounded, map_arrow
 
 #: First and last code point of the scripts told apart; a letter outside them belongs to "other".
 SCRIPTS = {
@@ -43,7 +43,7 @@ SWITCH = 9.0
 #: A script belongs to a language if at least this share of its letters is of the script.
 SCRIPT_SHARE = 0.01
 #: Words whose scores a worker remembers, and words that one Viterbi pass covers, about.
-REMEMBERED, PASS_WORDS = 400_000, 600_000
+REMEMBERED, PASS_WORDS = 150_000, 300_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -181,19 +181,23 @@ class Labeller:
     """A worker's scores of words, kept from task to task."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.rows, self.ids = model, [], {}
+        self.model, self.ids = model, {}
+        self.rows = np.zeros((1 << 14, max(1, len(model.languages))), np.float32)
 
     def word_id(self, word: str) -> int:
-        self.rows.append(self.model.score(word))
-        self.ids[word] = i = len(self.rows) - 1
+        self.ids[word] = i = len(self.ids)
+        if i == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[i] = self.model.score(word)
         return i
 
     def label(self, texts: list[str | None]):
         """For each text: language (und without letters), share of its letters in that language, spans lang:first word:last word + 1."""
         out, at = [], 0
         while at < len(texts):
-            if len(self.rows) > REMEMBERED:
-                self.rows, self.ids = [], {}
+            if len(self.ids) > REMEMBERED:
+                self.ids.clear()
+                self.rows = self.rows[: 1 << 14].copy()
             get, slow, ids, sizes, lengths = self.ids.get, self.word_id, [], [], []
             while at < len(texts) and len(ids) < PASS_WORDS:
                 words = words_of(texts[at] or "")
@@ -208,7 +212,7 @@ class Labeller:
         names = self.model.languages
         if not names or not len(ids):
             return [("und", 0.0, "")] * len(lengths)
-        labels = viterbi(np.array(self.rows)[ids], lengths, SWITCH)
+        labels = viterbi(self.rows[ids], lengths, SWITCH)
         out, start = [], 0
         for n in lengths.tolist():
             if not n:
@@ -270,4 +274,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
             found = labeller_for(name, shared).label(b.column(at).to_pylist())
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

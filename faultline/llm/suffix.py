@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_of, map_arrow, materialize, unkey
+from .common import bounded, key_of, map_arrow, materialize, unkey
 
 #: Bytes of a passage that counts as repeated.
 LENGTH = 100
@@ -423,6 +423,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(at_rest)], ["text", "rest"])
 
     schema = joined.select(F.lit("").alias("text"), "rest").schema
-    found = joined.mapInArrow(run, schema)
+    found = bounded(joined).mapInArrow(run, schema)
     text = F.when(~F.col("rest._none"), F.col("text"))
     return found.select(*[text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in columns])

@@ -1,0 +1,284 @@
+"""Queries over metrics, noise, source texts, review and runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import compiler, metrics, noise, review
+from ..plans import domain
+from .registry import registry
+from .sql import norm, scen, sql
+
+QUERIES, ORACLE_SQL, query = registry()
+
+_RANKED = " SELECT l_orderkey AS case_id, l_partkey % 20 AS item, min(nth) AS rank FROM lines GROUP BY ALL"
+_GOLD = " SELECT o_orderkey AS case_id, o_custkey % 20 AS item FROM orders WHERE o_orderstatus <> 'P'"
+_MET = dict(ranked=_RANKED, gold=_GOLD, first=" SELECT o_orderkey AS case_id, f.first FROM orders LEFT JOIN (SELECT case_id, min(rank) AS first FROM ranked JOIN gold USING (case_id, item) GROUP BY case_id) f ON f.case_id = o_orderkey")
+
+
+def _lists(spark, d):
+    """Orders as cases: the parts of their lines in order as ranked answers, the customer's number as gold (none for status P)."""
+    o = domain.table(spark, d, "orders")
+    ranked = domain.case_lines(spark, d).groupBy(F.col("l_orderkey").alias("case_id"), (F.col("l_partkey") % 20).alias("item")).agg(F.min("nth").alias("rank"))
+    gold = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("case_id"), (F.col("o_custkey") % 20).alias("item"))
+    return o.select(F.col("o_orderkey").alias("case_id")), ranked, gold
+
+
+@query(sql("SELECT " + ", ".join(f"round(avg(coalesce((first <= {k})::INT, 0)), 6) AS accuracy_at_{k}" for k in (1, 3, 5)) + " FROM first", "lines", **_MET))
+def metric_topk(spark, d):
+    return metrics.top_k(*_lists(spark, d), [1, 3, 5])
+
+
+@query(sql("SELECT round(avg(coalesce(1.0 / first, 0.0)) + 1e-12, 6) AS mrr, count(*) AS cases FROM first", "lines", **_MET))
+def metric_mrr(spark, d):
+    return metrics.mean_reciprocal_rank(*_lists(spark, d))
+
+
+@query(sql("SELECT case_id, first AS rank, coalesce(first <= 1, false) AS hit_1, coalesce(first <= 3, false) AS hit_3, coalesce(first <= 5, false) AS hit_k, round(coalesce(1.0 / first, 0.0), 6) AS reciprocal_rank FROM first", "lines", **_MET))
+def metric_cases(spark, d):
+    return metrics.case_metrics(*_lists(spark, d), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    sql(
+        """SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (
+        SELECT count(*) FILTER (e.f IS NOT NULL AND p.f IS NOT NULL) AS tp, count(*) FILTER (e.f IS NULL) AS fp, count(*) FILTER (p.f IS NULL) AS fn FROM
+        (SELECT DISTINCT l_orderkey AS c, CASE l_returnflag WHEN 'R' THEN 'variable' WHEN 'A' THEN 'location' ELSE 'anomaly_type' END AS f FROM lineitem) e FULL JOIN
+        (SELECT DISTINCT l_orderkey AS c, CASE WHEN l_linestatus = 'O' THEN 'variable' WHEN l_quantity > 25 THEN 'anomaly_type' ELSE 'location' END AS f FROM lineitem) p USING (c, f))"""
+    )
+)
+def metric_prf(spark, d):
+    l = domain.table(spark, d, "lineitem")
+    e = l.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "raw_evidence.variables").when(F.col("l_returnflag") == "A", "Location").otherwise("defect_type").alias("field"))
+    p = l.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_linestatus") == "O", "variable").when(F.col("l_quantity") > 25, "anomaly_type").otherwise("location").alias("field"))
+    return metrics.precision_recall(e, p)
+
+
+@query(sql("SELECT round(avg(coalesce((CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 5 END = o_orderkey % 5)::INT, 0)) + 1e-12, 6) AS accuracy, count(*) AS rows FROM orders"))
+def metric_linking(spark, d):
+    o = domain.table(spark, d, "orders")
+    return metrics.pair_accuracy(o, F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 5), F.col("o_orderkey") % 5)
+
+
+@query(sql("SELECT round(avg((split_part(p_name, ' ', 2) = 'ring')::INT) + 1e-12, 6) AS accuracy, count(*) AS rows FROM part"))
+def metric_correction(spark, d):
+    """A correction to `<color>_RING` of names that are a color and a thing."""
+    p = domain.table(spark, d, "part")
+    said = F.concat(F.upper(F.split("p_name", " ")[0]), F.lit("_ RING"))
+    return metrics.pair_accuracy(p, metrics.value_key(F.col("p_name")), metrics.value_key(said))
+
+
+_NOISE_CASES = """ SELECT c.case_id, c.object, c.anomaly_name AS anomaly_type, c.location, 'dense' AS morphology, coalesce(v.n, 0) AS n FROM cases c
+  LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lines WHERE nth > 1 GROUP BY l_orderkey) v USING (l_orderkey)"""
+
+
+@query(
+    sql(
+        """SELECT level, kind, count(*) AS n, round(avg(CASE WHEN kind = 'variable_deletion' THEN (n > 0)::INT WHEN kind IN ('location_replacement', 'missing_field') THEN hit::INT ELSE 0 END) + 1e-12, 4) AS changed,
+        round(avg(CASE WHEN kind = 'variable_deletion' AND n > 0 THEN greatest(1, round(level * n)) ELSE 0 END) + 1e-12, 4) AS removed
+        FROM noisy GROUP BY GROUPING SETS ((level, kind), ())""",
+        "cases",
+        nc=_NOISE_CASES,
+        noisy=f""" SELECT *, ('0x' || substr(sha1('42|' || case_id || '|' || kind || '|' || level), 1, 8))::BIGINT / 4294967296.0 < level AS hit
+          FROM nc, (SELECT unnest([0.1::DOUBLE, 0.2, 0.3]) AS level), (SELECT unnest({list(noise.KINDS)}) AS kind)""",
+    )
+)
+def noise_grid_rollup(spark, d):
+    lines = domain.case_lines(spark, d).where("nth > 1").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "p_name"))), lambda x: x["p_name"]).alias("variables"))
+    none = F.array().cast("array<string>")
+    cases = domain.evidence_cases(spark, d).join(lines, "l_orderkey", "left").select("case_id", "object", F.col("anomaly_name").alias("anomaly_type"), "location", F.lit("dense").alias("morphology"), F.coalesce("variables", none).alias("variables"))
+    pool = [f"NATION_{i}" for i in range(25)]
+    noisy = noise.inject(cases, {"location": pool, "morphology": ["dense"]})
+    only = F.col("changed") & F.col("kind").isin("variable_deletion", "location_replacement", "missing_field")
+    rows = noisy.select("level", "kind", only.cast("double").alias("changed"), (F.size("variables") - F.size("variables_noisy")).cast("double").alias("removed"))
+    return metrics.rollup(rows, ["changed", "removed"])
+
+
+@query()
+def chunk_documents(spark, d):
+    """Cut points depend on the ones before, which SQL cannot follow; tests compare with a plain loop."""
+    return compiler.chunk(domain.table(spark, d, "documents"), "doc_id").drop("text")
+
+
+_STATEMENTS = f""" SELECT o_orderkey AS id, {scen('o_orderkey')} AS scenario, 'Order ' || (o_custkey % 40) AS head, CASE o_orderstatus WHEN 'F' THEN 'OCCURS_ON' ELSE 'HAS_LOCATION' END AS relation, 'Unit ' || (o_orderkey % 7) AS tail,
+  o_orderpriority, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW'"""
+
+
+def _statements(spark, d):
+    o = domain.table(spark, d, "orders")
+    relation = F.when(F.col("o_orderstatus") == "F", "OCCURS_ON").otherwise("HAS_LOCATION")
+    line = F.concat(F.lit("  Order "), F.col("o_custkey") % 40, F.lit(" "), relation, F.lit(" Unit "), F.col("o_orderkey") % 7, F.lit("."))
+    prose = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("nothing is said here")).otherwise(line)
+    return o.select(F.col("o_orderkey").alias("id"), domain.scenario(F.col("o_orderkey")).alias("scenario"), "o_totalprice", prose.alias("line"))
+
+
+@query(sql("SELECT id, scenario, head, relation, tail FROM st", st=_STATEMENTS))
+def relation_lines(spark, d):
+    return compiler.relation_lines(_statements(spark, d)).select("id", "scenario", "head", "relation", "tail")
+
+
+@query(
+    sql(
+        f"""SELECT scenario, claim_key, claim, unit_id, copies, 'card_' || lpad(rn::VARCHAR, 4, '0') AS card_id FROM (SELECT *, row_number() OVER (ORDER BY scenario, claim_key) AS rn FROM (
+        SELECT scenario, {norm('head || relation || tail')} AS claim_key, arg_min(head || ' ' || relation || ' ' || tail, id) AS claim, min(id) AS unit_id, count(*) AS copies FROM st GROUP BY ALL))""",
+        st=_STATEMENTS,
+    )
+)
+def card_dedupe(spark, d):
+    r = compiler.relation_lines(_statements(spark, d))
+    return compiler.dedupe_cards(r.select("scenario", F.concat_ws(" ", "head", "relation", "tail").alias("claim"), F.col("id").alias("unit_id")))
+
+
+@query(
+    sql(
+        f"""SELECT CASE WHEN n = 1 THEN base ELSE upper(scenario[1]) || scenario[2:] || base END AS id, name_key, scenario, cards FROM (
+        SELECT *, row_number() OVER (PARTITION BY base ORDER BY scenario, name_key) AS n FROM (SELECT {norm('head')} AS name_key, scenario, replace(arg_min(head, id), ' ', '') AS base, count(DISTINCT id) AS cards FROM st GROUP BY ALL))""",
+        st=_STATEMENTS,
+    )
+)
+def entity_upsert(spark, d):
+    r = compiler.relation_lines(_statements(spark, d)).select(F.col("head").alias("name"), "scenario", F.col("id").alias("card_id"), F.array(F.lower("head")).alias("aliases"))
+    return compiler.upsert_entities(r).select("id", "name_key", "scenario", F.size("cards").cast("long").alias("cards"))
+
+
+@query(
+    sql(
+        """SELECT head, relation, tail, scenario, max(o_totalprice / 1000000) AS confidence, round(1 - max(o_totalprice / 1000000), 6) AS weight, count(DISTINCT o_orderpriority) AS sources, arg_min(id, id) AS evidence, count(*) AS copies FROM st GROUP BY ALL""",
+        st=_STATEMENTS,
+    )
+)
+def edge_upsert(spark, d):
+    o = domain.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"))
+    r = compiler.relation_lines(_statements(spark, d)).join(o, "id")
+    rows = r.select("head", "relation", "tail", "scenario", (F.col("o_totalprice") / 1000000).alias("confidence"), "source", F.col("id").alias("evidence"), F.col("id").alias("card_id"))
+    return compiler.upsert_edges(rows).withColumn("sources", F.size("sources").cast("long"))
+
+
+@query(sql("SELECT head, relation, string_agg(DISTINCT tail, '|' ORDER BY tail) AS tails FROM edges GROUP BY ALL", "edges"))
+def domain_profiles(spark, d):
+    return compiler.domain_profiles(domain.kg_edges(spark, d)).select("head", "relation", F.array_join("tails", "|").alias("tails"))
+
+
+@query(sql("SELECT edge_id FROM edges JOIN nodes ON id = tail WHERE relation = 'BELONGS_TO_UNIT' AND tail = 'N0'", "nodes", "edges"))
+def type_constraints(spark, d):
+    """Units relabelled as regions break the constraint of the edges that end in them."""
+    n = domain.kg_nodes(spark, d).withColumn("label", F.when(F.col("id") == "N0", "Region").otherwise(F.col("label"))).where("id not like 'R%'")
+    e = domain.kg_edges(spark, d).where("relation = 'BELONGS_TO_UNIT'")
+    return compiler.wrong_types(e, n).select("edge_id")
+
+
+@query(
+    sql(
+        f"""SELECT name, scenario, arg_min(id, (p, ord)) AS id FROM (
+        SELECT q.name, q.scenario, e.id, e.ord, e.p FROM q JOIN e ON e.scope IN (q.scenario, 'shared') AND ((e.p = 0 AND (e.k = q.name OR e.k = q.pascal)) OR (e.p > 0 AND e.k = q.key))) GROUP BY ALL""",
+        "nodes",
+        q=f""" SELECT name, scenario, {norm('name')} AS key, pascal FROM (SELECT DISTINCT name, dataset AS scenario, replace(name, ' ', '') AS pascal FROM
+          (SELECT p_brand AS name FROM part UNION SELECT n_name FROM nation UNION SELECT 'M' || c_mktsegment FROM customer UNION SELECT DISTINCT lower(c_mktsegment) FROM customer), (SELECT unnest(['mvtec', 'tep', 'wafer']) AS dataset))""",
+        e=f""" SELECT id, scenario AS scope, hash_ord AS ord, unnest([0, 2, 3] || list_transform(aliases, lambda a: 4)) AS p, unnest([id, {norm('id')}, {norm('name')}] || list_transform(aliases, lambda a: {norm('a')})) AS k FROM (SELECT *, id AS hash_ord FROM nodes)""",
+    )
+)
+def entity_resolution(spark, d):
+    seg = domain.table(spark, d, "customer").select("c_mktsegment").distinct()
+    names = domain.table(spark, d, "part").select(F.col("p_brand").alias("name")).union(domain.table(spark, d, "nation").select("n_name")).union(seg.select(F.concat(F.lit("M"), "c_mktsegment"))).union(seg.select(F.lower("c_mktsegment"))).distinct()
+    asked = names.withColumn("scenario", F.explode(F.array(F.lit("mvtec"), F.lit("tep"), F.lit("wafer"))))
+    return compiler.resolve(asked, domain.kg_nodes(spark, d).withColumn("ord", F.col("id")))
+
+
+@query(sql("SELECT (SELECT count(*) FROM a) AS \"left\", (SELECT count(*) FROM b) AS \"right\", (SELECT count(*) FROM a JOIN b USING (edge_id)) AS shared, round((SELECT count(*) FROM a JOIN b USING (edge_id)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), 6) AS jaccard", "edges", a=" SELECT edge_id FROM edges WHERE confidence >= 0.94", b=" SELECT edge_id FROM edges WHERE support > 1"))
+def graph_jaccard(spark, d):
+    e = domain.kg_edges(spark, d)
+    return compiler.graph_overlap(e.where("confidence >= 0.94"), e.where("support > 1"), "edge_id")
+
+
+@query(sql("SELECT edge_id, confidence FROM edges WHERE relation = 'HAS_LOCATION' AND scenario = 'tep' AND contains(lower(tail), 'n1')", "edges"))
+def review_queue(spark, d):
+    return review.queue(domain.kg_edges(spark, d), "N1", relation="HAS_LOCATION", scenario="tep").select("edge_id", "confidence")
+
+
+@query(sql("SELECT 'relation' AS facet, relation AS value, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT 'scenario', scenario, count(*) FROM edges GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM edges GROUP BY ALL", "edges"))
+def review_facets(spark, d):
+    return review.facets(domain.kg_edges(spark, d), ["relation", "scenario", "source"])
+
+
+_DECISIONS = " SELECT 'S' || (user_id % (SELECT count(*) FROM supplier)) AS s, CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject' ELSE 'defer' END AS decision, event_id FROM events"
+
+
+def _decisions(spark, d):
+    """Events as decisions on the unit edge of a supplier."""
+    n = domain.table(spark, d, "supplier").count()
+    edge = domain.kg_edges(spark, d).where("relation = 'BELONGS_TO_UNIT'").select(F.col("head").alias("s"), "edge_id")
+    said = F.when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "error", "reject").otherwise("defer")
+    ev = domain.table(spark, d, "events").select(F.concat(F.lit("S"), (F.col("user_id") % n).cast("string")).alias("s"), said.alias("decision"), F.col("event_id").alias("ord"))
+    return ev.join(edge, "s")
+
+
+@query(
+    sql(
+        """SELECT e.edge_id, coalesce(n, 0) AS feedback_count, coalesce(a, 0) AS accepted_count, coalesce(r, 0) AS rejected_count, CASE last WHEN 'accept' THEN 'reviewed' WHEN 'reject' THEN 'rejected' ELSE 'auto' END AS review_status
+        FROM edges e LEFT JOIN (SELECT s, count(*) AS n, count(*) FILTER (decision = 'accept') AS a, count(*) FILTER (decision = 'reject') AS r, arg_max(decision, event_id) AS last FROM dec GROUP BY s) ON s = e.head WHERE e.relation = 'BELONGS_TO_UNIT'""",
+        "edges",
+        dec=_DECISIONS,
+    )
+)
+def review_update(spark, d):
+    e = domain.kg_edges(spark, d).where("relation = 'BELONGS_TO_UNIT'").select("edge_id", F.lit("auto").alias("review_status"))
+    return review.decide(e, _decisions(spark, d))
+
+
+@query(
+    sql(
+        """SELECT s, round(c, 6) AS confidence FROM (SELECT s, c, row_number() OVER (PARTITION BY s ORDER BY i DESC) AS rn FROM fold) WHERE rn = 1""",
+        dec=_DECISIONS,
+        seq=" SELECT s, decision, row_number() OVER (PARTITION BY s ORDER BY event_id) AS i FROM dec",
+        fold=""" SELECT DISTINCT s, 0.9::DOUBLE AS c, 0 AS i FROM seq UNION ALL
+          SELECT f.s, CASE q.decision WHEN 'accept' THEN least(1.0, f.c + 0.03) WHEN 'reject' THEN greatest(0.0, f.c - 0.05) ELSE f.c END, q.i FROM fold f JOIN seq q ON q.s = f.s AND q.i = f.i + 1""",
+    )
+)
+def confidence_fold(spark, d):
+    n = domain.table(spark, d, "supplier").count()
+    said = F.when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "error", "reject").otherwise("defer")
+    ev = domain.table(spark, d, "events").select(F.concat(F.lit("S"), (F.col("user_id") % n).cast("string")).alias("s"), F.struct("event_id", said.alias("decision")).alias("x"))
+    g = ev.groupBy("s").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["decision"]).alias("ds"))
+    return g.select("s", F.round(review.confidence_fold(F.lit(0.9), F.col("ds")), 6).alias("confidence"))
+
+
+@query(sql("SELECT event_id, user_id, (SELECT count(*) FROM events WHERE event_type = 'error') AS total FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 20"))
+def feedback_page(spark, d):
+    """The second page of the ledger; the page is what is asked for."""
+    return review.ledger(domain.table(spark, d, "events"), [F.desc("ts"), "event_id"], 20, 50, event_type="error", user_id=None).select("event_id", "user_id", "total")
+
+
+@query(sql("SELECT case_id, count(*) AS path_edges, count(*) FILTER (e LIKE 'P%') AS overlay_edges, count(*) FILTER (e LIKE 'P%') > 0 AS contributes FROM (SELECT DISTINCT case_id, unnest(edge_ids) AS e FROM top) GROUP BY case_id", "top"))
+def overlay_contribution(spark, d):
+    from ..plans.pipeline import analyse
+
+    a = analyse(spark, d)
+    return review.overlay_use(a.top, a.edges.where("head like 'P%'"))
+
+
+@query(sql("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1(doc_id || '|42'), doc_id) AS n FROM documents) WHERE n <= 20"))
+def stratified_sample(spark, d):
+    """Twenty documents of each language; the sample is what is asked for."""
+    return review.stratified_sample(domain.table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 20)
+
+
+@query(sql("SELECT lang, source, count(*) AS n, count(DISTINCT quality) AS kinds, count(quality) AS labelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"))
+def run_summary(spark, d):
+    """Documents as cases of runs (sources), with the feedback there is."""
+    both = domain.table(spark, d, "documents").select("doc_id", "lang", "source").join(domain.table(spark, d, "labels"), "doc_id", "left")
+    return both.groupBy("lang", "source").agg(F.count("*").alias("n"), F.countDistinct("quality").alias("kinds"), F.count("quality").alias("labelled"))
+
+
+@query(sql("SELECT doc_id, string_agg(DISTINCT k, '+' ORDER BY k) AS types FROM (SELECT doc_id, 'quality_' || quality AS k FROM labels UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1) GROUP BY doc_id"))
+def reference_index(spark, d):
+    l = domain.table(spark, d, "labels")
+    k = l.select("doc_id", F.concat(F.lit("quality_"), "quality").alias("k")).union(l.where("toxic = 1").select("doc_id", F.lit("toxic")))
+    return k.groupBy("doc_id").agg(F.concat_ws("+", F.array_sort(F.collect_set("k"))).alias("types"))
+
+
+@query(sql("SELECT DISTINCT fault AS missing FROM (SELECT unnest(['view', 'error', 'fault_21', 'fault_22']) AS fault) WHERE fault NOT IN (SELECT event_type FROM events)"))
+def fault_coverage(spark, d):
+    asked = spark.createDataFrame([(x,) for x in ("view", "error", "fault_21", "fault_22")], "event_type string")
+    return asked.join(domain.table(spark, d, "events"), "event_type", "left_anti").select(F.col("event_type").alias("missing"))
+
+

@@ -51,11 +51,12 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\
 
 @dataclass
 class Weights:
-    """word: a word of the article; outside: a word beside it; tag: any tag; keys: class and id words found beside articles."""
+    """word: a word of the article; outside: a word beside it; tag, tags: any tag, tags by name; keys: class and id words found beside articles."""
 
     word: float = 1.0
     outside: float = -2.0
     tag: float = -0.4
+    tags: dict = field(default_factory=dict)
     keys: frozenset = frozenset()
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -79,7 +80,7 @@ def _aside(tag: str, keys: tuple[str, ...], attributes: str, in_article: bool) -
 
 
 def _pieces(page: str):
-    """(text, path keys, aside, in an article, block begins) for each run of text, None for each tag, in page order."""
+    """(text, path keys, aside, in an article, block begins) for each run of text, its name for each tag, in page order."""
     stack: list[tuple[str, tuple, bool, bool]] = []
     at, fresh = 0, True
     top = ("", (), False, False)
@@ -112,7 +113,7 @@ def _pieces(page: str):
         if tag == "br":
             yield " ", top[1], top[2], top[3], False
         fresh = fresh or block and tag != "br"
-        yield None
+        yield tag
     if at < len(page):
         yield page[at:], top[1], top[2], top[3], fresh
 
@@ -120,11 +121,11 @@ def _pieces(page: str):
 def extract(page: str, weights: Weights) -> str:
     """The text of the best region: pieces with positive words in it, character references decoded, blocks a space apart."""
     pieces = list(_pieces(page))
-    marked = any(p and p[3] and not p[2] and not p[0].isspace() for p in pieces)
+    marked = any(not isinstance(p, str) and p[3] and not p[2] and not p[0].isspace() for p in pieces)
     best, best_span, total, start, good = 0.0, (0, 0), 0.0, 0, []
     for i, p in enumerate(pieces):
-        if p is None:
-            total += weights.tag
+        if isinstance(p, str):
+            total += weights.tags.get(p, weights.tag)
         else:
             own = not p[2] and (p[3] if marked else not any(k in weights.keys for k in p[1]))
             if own:
@@ -140,7 +141,7 @@ def extract(page: str, weights: Weights) -> str:
     blocks: list[list[str]] = []
     broken, own_at = True, set(good)
     for i in range(*best_span):
-        if (p := pieces[i]) is None:
+        if isinstance(p := pieces[i], str):
             continue
         broken = broken or p[4]
         if i in own_at:
@@ -154,16 +155,15 @@ def extract(page: str, weights: Weights) -> str:
 def tally(page: str) -> Counter | None:
     """Words of each path key within and beside the article, and tags; None if the page does not mark its article."""
     pieces = list(_pieces(page))
-    if not any(p and p[3] for p in pieces):
+    if not any(not isinstance(p, str) and p[3] for p in pieces):
         return None
     out, inside = Counter(), False
     for p in pieces:
-        if p is None:
-            out[("tags", inside)] += 1
+        if isinstance(p, str):
+            out[(f"<{p}", inside)] += 1
             continue
         inside = p[3] and not p[2]
         n = len(p[0].split())
-        out[("words", inside)] += n
         for k in set(p[1]):
             out[(k, inside)] += n
     return out
@@ -173,8 +173,8 @@ def fit(pages: DataFrame, pages_read: int = LEARNED_PAGES) -> Weights:
     """Weights from pages that label their article themselves, with an article or main element.
 
     About `pages_read` pages are read, those with the smallest hashes of page_id; Spark counts words by path key and
-    the LEARNED_KEYS most frequent come to the driver. The weight of a tag lies between those at which articles and
-    their surroundings, at their own numbers of tags a word, would score nothing.
+    the LEARNED_KEYS most frequent come to the driver. A tag weighs from -0.1, if it is only seen within articles, to
+    -3.1, if only beside them.
     """
     rows = pages.select("page_id", "html").where("html is not null and page_id is not null")
     n = rows.select(F.lit(1)).count()
@@ -190,12 +190,9 @@ def fit(pages: DataFrame, pages_read: int = LEARNED_PAGES) -> Weights:
     counted = map_arrow(rows.where(draw < min(1.0, pages_read / max(1, n))).select("html"), count, "key string, inside boolean, n long")
     sums = counted.groupBy("key").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("own"), F.sum("n").alias("all"))
     found = {r["key"]: (r["own"], r["all"] - r["own"]) for r in sums.orderBy(F.desc("all"), "key").limit(LEARNED_KEYS).collect()}
-    words, tags = found.pop("words", (0, 0)), found.pop("tags", (0, 0))
-    tag = Weights.tag
-    if min(*words, *tags) > 0:
-        tag = -min(20.0, max(0.2, (words[0] / tags[0] * words[1] / tags[1]) ** 0.5))
+    tags = {k[1:]: -0.1 - 3.0 * (b + 0.1) / (a + b + 1) for k, (a, b) in found.items() if k[0] == "<"}
     keys = frozenset(k for k, (a, b) in found.items() if k[0] == "." and a + b >= LEAST_WORDS and a <= OUTSIDE_SHARE * (a + b))
-    return Weights(tag=tag, keys=keys)
+    return Weights(tags=tags, keys=keys)
 
 
 def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

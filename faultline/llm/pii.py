@@ -127,7 +127,8 @@ def detect(docs: DataFrame) -> DataFrame:
     found = find_spans(slim, "_text").drop("_text")
     base = [i for i, k in enumerate(KINDS) if k.base]
     own = F.filter("_spans", lambda s: s["kind"].isin(base))
-    counts = [F.size(F.filter("_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i].name}") for i in base]
+    of_kind = lambda i: F.size(F.filter("_spans", lambda s: s["kind"] == i))
+    counts = [of_kind(i).cast("long").alias(f"n_{KINDS[i].name}") for i in base]
     return found.select(
         "doc_id",
         *counts,

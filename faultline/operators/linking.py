@@ -1,7 +1,5 @@
 """Entity linking: candidates for mentions, field filter, ranking, ambiguity."""
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,22 +47,26 @@ def near_scores(keys: DataFrame, term_keys: DataFrame, ratio=char_jaccard, min_s
     return scored.where(F.col("score") >= min_score)
 
 
-@F.pandas_udf("double")
-def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """A ratio of matching blocks, of the best part of the longer string, or of sorted words, each weighed."""
+def _sequence_ratio(x: str, y: str) -> float:
     from difflib import SequenceMatcher
 
-    def of(x: str, y: str) -> float:
-        if not x or not y:
-            return 0.0
-        whole = SequenceMatcher(None, x, y, autojunk=False).ratio()
-        small, large = sorted((x, y), key=len)
-        if len(large) < 1.5 * len(small):
-            return whole
-        part = max(SequenceMatcher(None, small, large[i : i + len(small)], autojunk=False).ratio() for i in range(len(large) - len(small) + 1))
-        return max(whole, part * (0.9 if len(large) < 8 * len(small) else 0.6))
-
-    return pd.Series([of(x, y) for x, y in zip(a, b)])
+    if not x or not y:
+        return 0.0
+    whole = SequenceMatcher(None, x, y, autojunk=False).ratio()
+    small, large = sorted((x, y), key=len)
+    if len(large) < 1.5 * len(small):
+        return whole
+    part = max(SequenceMatcher(None, small, large[i : i + len(small)], autojunk=False).ratio() for i in range(len(large) - len(small) + 1))
+    return max(whole, part * (0.9 if len(large) < 8 * len(small) else 0.6))
+
+
+def weighted_ratio(a, b):
+    """A ratio of matching blocks, or of the best part of the longer string, which weighs less; a pandas function."""
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_sequence_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(ratio, "double")(a, b)
 
 
 def near_candidates(mentions: DataFrame, terms: DataFrame, ratio=char_jaccard) -> DataFrame:

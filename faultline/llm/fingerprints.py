@@ -21,6 +21,10 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain.
 CHAIN = 2
+#: A text of fewer code points than this has too few chains: its runs of GRAM characters are signatures as well.
+SHORT, GRAM = 400, 4
+#: Of the chains after other words one in so many, by its hash, is a signature too, for texts in which common words are few or of other languages.
+ALSO = 8
 #: Rows of one ordered run of documents, about, and the accuracy of the runs' bounds.
 RUN_ROWS, ACCURACY = 2000, 0.001
 
@@ -45,26 +49,30 @@ _HASHES = WordHashes()
 def signatures(text: str) -> np.ndarray:
     """The text's set of 32-bit spot signatures, sorted.
 
-    A signature is an anchor with the next CHAIN words that are no anchors. A text with words but no signature (no
-    anchor, or none with a whole chain after it) takes all its words as anchors, chains cut short at its end; one
-    without words is its characters.
+    A signature is an anchor with the next CHAIN words that are no anchors (fewer at the end of a text) and how often
+    the text has had it before, so sets compare as multisets. So that no text goes without, one in ALSO of the chains
+    after other words is a signature too. A short text, or one without words, has the checksums of its runs of GRAM
+    characters besides.
     """
     words = _WORDS(text.lower())
+    grams = {zlib.crc32(text[i : i + GRAM].lower().encode("utf-8", "surrogatepass")) for i in range(max(1, len(text) - GRAM + 1))} if text and (len(text) < SHORT or not words) else ()
     if not words:
-        return np.array([zlib.crc32(text.encode("utf-8", "surrogatepass"))] if text else [], np.uint32)
+        return np.array(sorted(grams), np.uint32)
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    anchor = (h & np.uint64(1)).astype(bool)
-    content = h[~anchor]
-    after = np.cumsum(~anchor)[anchor]
-    whole = after + CHAIN <= len(content)
-    sig, after = h[anchor][whole], after[whole]
-    if not len(sig):
-        content = np.concatenate([h, np.zeros(CHAIN, np.uint64)])
-        sig, after = h, np.arange(1, len(h) + 1)
+    common = (h & np.uint64(1)).astype(bool)
+    content = np.concatenate([h[~common], np.zeros(CHAIN, np.uint64)])
+    sig, after = h, np.cumsum(~common)
     for i in range(CHAIN):
         sig = (sig ^ (sig >> np.uint64(29))) * _MIX + content[after + i]
-    sig = (sig ^ (sig >> np.uint64(32))) * _MIX
-    return np.unique((sig >> np.uint64(32)).astype(np.uint32))
+    order = np.argsort(sig, kind="stable")
+    sig, common = sig[order], common[order]
+    first = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+    before = np.arange(len(sig)) - np.repeat(first, np.diff(np.concatenate([first, [len(sig)]])))
+    sig = (sig ^ (sig >> np.uint64(32))) * _MIX + before.astype(np.uint64)
+    sig = (sig ^ (sig >> np.uint64(31))) * _MIX
+    sig = sig[common | ((sig >> np.uint64(20)) % np.uint64(ALSO) == 0)]
+    sig = (sig >> np.uint64(32)).astype(np.uint32)
+    return np.unique(np.concatenate([sig, np.array(list(grams), np.uint32)]))
 
 
 def to_text(sig: np.ndarray) -> str:

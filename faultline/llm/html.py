@@ -20,7 +20,7 @@ SILENT = "script style noscript template textarea title head svg math iframe obj
 ASIDE_TAGS = frozenset("nav footer aside form button menu dialog fieldset label input".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar sidebar side rail widget footer masthead topbar header "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar sidebar rail widget footer masthead topbar header "
     "comment comments commentlist discussion disqus reply replies respond share sharing social follow related recommended recommendations "
     "newsletter subscribe subscription signup login search copyright complementary contentinfo".split()
 )
@@ -74,8 +74,8 @@ def _aside(tag: str, keys: tuple[str, ...], attributes: str, in_article: bool) -
     if tag == "header":
         return not in_article
     words = [k[1:] for k in keys[1:]]
-    if in_article and tag in ("h1", "h2", "h3", "p") or tag in ARTICLE_TAGS:  # as in "post-header": of the article itself
-        words = [w for w in words if w not in ("header", "side", "alert", "related", "data")]
+    if in_article or tag in ARTICLE_TAGS:  # as in "post-header": of the article itself
+        words = [w for w in words if w != "header"]
     return any(w in ASIDE_WORDS for w in words)
 
 

@@ -73,11 +73,30 @@ def with_strength(paths: DataFrame) -> DataFrame:
     return out.drop("strengths", "confidences")
 
 
-def score_paths(selected: DataFrame, paths: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Each case's paths from its selected source entities, scored by strength, matching evidence and length."""
+def score_paths(selected: DataFrame, paths: DataFrame, max_depth: int = MAX_DEPTH, keep: int | None = None) -> DataFrame:
+    """Each case's paths from its selected source entities, scored by strength, matching evidence and length.
+
+    With `keep`, paths that cannot be among a case's so many best are left out before they are joined to cases. Every
+    path of a case holds its source, which is selected. One that holds no other selected entity has the least match
+    there is, so it must be among the best of its source by strength and length alone.
+    """
     ids = selected.groupBy("case_id", "dataset").agg(F.collect_set("entity_id").alias("selected_ids"))
     starts = selected.where(F.col("field").isin(*SOURCE_FIELDS)).select("case_id", "dataset", F.col("entity_id").alias("source_id")).distinct()
-    joined = starts.join(ids, ["case_id", "dataset"]).join(paths, ["dataset", "source_id"]).where("source_id <> target_id")
+    by = ["dataset", "source_id"]
+    paths = paths.where("source_id <> target_id")
+    if keep is None:
+        joined = starts.join(paths, by)
+    else:
+        base = ALPHA * F.col("path_strength") - GAMMA * F.col("length") / max_depth
+        whole = Window.partitionBy(*by).orderBy(F.desc("base")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        keyed = paths.withColumn("path_no", F.xxhash64("nodes"))
+        # scores are rounded to 4 places, so what is less than that behind may tie
+        strong = keyed.select(*by, "path_no", base.alias("base")).withColumn("kth", F.nth_value("base", keep).over(whole)).where("kth is null or base >= kth - 0.0002")
+        through = keyed.select(*by, "path_no", F.explode("nodes").alias("entity_id")).where("entity_id <> source_id")
+        met = starts.join(selected.select("case_id", "entity_id"), "case_id").where("entity_id <> source_id")
+        wanted = starts.join(strong.select(*by, "path_no"), by).unionByName(met.join(through, [*by, "entity_id"]).select("case_id", *by, "path_no")).distinct()
+        joined = wanted.join(keyed, [*by, "path_no"]).drop("path_no")
+    joined = joined.join(ids, ["case_id", "dataset"])
     match = F.size(F.array_intersect("nodes", "selected_ids")) / F.greatest(F.lit(1), F.size("selected_ids"))
     score = ALPHA * F.col("path_strength") + BETA * F.col("match") - GAMMA * F.col("length") / max_depth
     return joined.withColumn("match", match).withColumn("score", F.round(score + 1e-9, 4)).drop("selected_ids")

@@ -65,14 +65,19 @@ class Analysis:
         return cut(paths.with_strength(paths.simple_paths(starts, kg.best_between(self.visible), goals, self.max_depth)))
 
     @cached_property
-    def scored(self) -> DataFrame:
+    def _anomalous(self) -> DataFrame:
+        """The selected entities of cases whose type says that there is an anomaly."""
         said = self.mentions.where("field = 'anomaly_type'").groupBy("case_id").agg(F.max_by("mention", "ord").alias("m"))
         quiet = said.where(is_not_anomalous(F.col("m"))).select("case_id")
-        return paths.score_paths(self.selected.join(quiet, "case_id", "left_anti"), self.paths, self.max_depth)
+        return self.selected.join(quiet, "case_id", "left_anti")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return paths.score_paths(self._anomalous, self.paths, self.max_depth)
 
     @cached_property
     def top(self) -> DataFrame:
-        return paths.top_paths(self.scored, self.top_k)
+        return paths.top_paths(paths.score_paths(self._anomalous, self.paths, self.max_depth, self.top_k), self.top_k)
 
     @cached_property
     def causes(self) -> DataFrame:

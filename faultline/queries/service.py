@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compiler, metrics, noise, review
+from ..operators import artifacts, cases, compiler, metrics, noise, review
 from ..plans import domain
+from ..plans.pipeline import analyse
 from .registry import registry
 from .sql import norm, scen, sql
 
@@ -250,8 +251,6 @@ def feedback_page(spark, d):
 
 @query(sql("SELECT case_id, count(*) AS path_edges, count(*) FILTER (e LIKE 'P%') AS overlay_edges, count(*) FILTER (e LIKE 'P%') > 0 AS contributes FROM (SELECT DISTINCT case_id, unnest(edge_ids) AS e FROM top) GROUP BY case_id", "top"))
 def overlay_contribution(spark, d):
-    from ..plans.pipeline import analyse
-
     a = analyse(spark, d)
     return review.overlay_use(a.top, a.edges.where("head like 'P%'"))
 
@@ -282,3 +281,147 @@ def fault_coverage(spark, d):
     return asked.join(domain.table(spark, d, "events"), "event_type", "left_anti").select(F.col("event_type").alias("missing"))
 
 
+@query(
+    sql(
+        """SELECT p_brand, defects, score, row_number() OVER (ORDER BY score DESC, defects DESC, p_brand) AS place FROM (
+        SELECT p_brand, count(*) AS defects, round(0.35 * avg(l_quantity / 50) + 0.2 * coalesce(avg(CASE WHEN l_returnflag = 'R' THEN l_discount * 10 END), 0.0) + 0.2 * avg(1 - l_tax) + 0.25 * avg((l_linestatus = 'F')::INT) + 1e-9, 4) AS score
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand)"""
+    )
+)
+def object_selection(spark, d):
+    l = domain.table(spark, d, "lineitem").join(domain.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = l.select("p_brand", (F.col("l_quantity") / 50).alias("visual"), F.when(F.col("l_returnflag") == "R", F.col("l_discount") * 10).alias("localization"), (1 - F.col("l_tax")).alias("kg"), (F.col("l_linestatus") == "F").cast("double").alias("path"))
+    return cases.selection_scores(rows, "p_brand")
+
+
+_TRACED = """ SELECT pattern, coalesce(n, 0) AS cases, round(agreement + 1e-9, 4) AS agreement, round(consistency + 1e-9, 4) AS consistency, round(coverage + 1e-9, 4) AS path_coverage
+  FROM (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', 'never']) AS pattern) LEFT JOIN (
+  SELECT o_orderpriority AS pattern, count(*) AS n, avg(CASE WHEN o_orderstatus <> 'P' THEN (o_orderstatus = 'F')::INT END) AS agreement, avg(o_totalprice / 1000000) AS consistency, avg((o_custkey % 3 = 0)::INT) AS coverage FROM orders GROUP BY ALL) USING (pattern)"""
+
+
+def _traced(spark, d):
+    o = domain.table(spark, d, "orders")
+    said = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).when(F.col("o_orderstatus") == "O", F.lit("other"))
+    rows = o.select(F.col("o_orderpriority").alias("pattern"), said.alias("predicted"), (F.col("o_totalprice") / 1000000).alias("consistency"), (F.col("o_custkey") % 3 == 0).alias("has_path"))
+    known = spark.createDataFrame([(x,) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "never")], "pattern string")
+    return cases.traceability(rows, known)
+
+
+@query(sql("SELECT * FROM traced", traced=_TRACED))
+def pattern_traceability(spark, d):
+    return _traced(spark, d)
+
+
+@query(sql("SELECT count(*) AS patterns, round(avg((cases > 0)::INT), 4) AS seen, round(sum(cases * coalesce(path_coverage, 0)) / sum(cases) + 1e-9, 4) AS path_coverage FROM traced", traced=_TRACED))
+def layer_rollup(spark, d):
+    return cases.layer_rollup(_traced(spark, d))
+
+
+@query(sql("SELECT count(*) AS cases, round(avg((a.p = b.p)::INT), 6) AS stability FROM (SELECT l_orderkey, l_partkey AS p FROM lines WHERE nth = 1) a JOIN (SELECT l_orderkey, arg_min(l_partkey, (-l_quantity, l_partkey)) AS p FROM lineitem GROUP BY l_orderkey) b USING (l_orderkey)", "lines"))
+def label_ablation(spark, d):
+    """Each order's first part, as ranked by line and by quantity."""
+    first = domain.case_lines(spark, d).select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("item"), F.col("nth").alias("rank"))
+    second = domain.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.min_by("l_partkey", F.struct(-F.col("l_quantity"), "l_partkey")).alias("item")).withColumn("rank", F.lit(1))
+    return cases.stability(first, second)
+
+
+@query(sql("SELECT case_id, bool_or(list_contains(nodes, 'N' || n_nationkey)) AS hit FROM top JOIN cases c USING (case_id) JOIN nation ON n_name = c.location GROUP BY case_id", "top", "cases"))
+def path_hits(spark, d):
+    """Whether a case's own nation lies on one of its best paths."""
+    top = analyse(spark, d).top
+    nations = domain.table(spark, d, "nation").select(F.col("n_name").alias("location"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("expected"))
+    want = domain.evidence_cases(spark, d).join(nations, "location").select("case_id", "expected").join(top.select("case_id").distinct(), "case_id", "left_semi")
+    return cases.path_hit(top, want)
+
+
+@query(sql("SELECT case_id, count(*) AS paths, len(list_distinct(flatten(list(nodes)))) AS nodes, len(list_distinct(flatten(list(edge_ids)))) AS edges, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets FROM top GROUP BY case_id", "top"))
+def path_graph_summary(spark, d):
+    return cases.path_summary(analyse(spark, d).top)
+
+
+@query(sql("SELECT lang, source, count(*) AS rows, count(DISTINCT doc_id) AS cases FROM documents GROUP BY ALL"))
+def manifest_grouping(spark, d):
+    return cases.manifest(domain.table(spark, d, "documents").select("lang", "source", F.col("doc_id").alias("case_id")), ["lang", "source"])
+
+
+@query(
+    sql(
+        """SELECT o_orderkey AS case_id, how, count(*) AS n FROM (
+        SELECT o.o_orderkey, 'scenario' AS how FROM orders o JOIN events e ON e.event_id = o.o_orderkey WHERE e.event_id % 2 = 0
+        UNION ALL SELECT o.o_orderkey, 'fault_run' FROM orders o JOIN events e ON e.event_type = CASE o.o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'signup' END AND e.user_id = o.o_custkey
+          WHERE o.o_orderkey NOT IN (SELECT event_id FROM events WHERE event_id % 2 = 0)) GROUP BY ALL"""
+    )
+)
+def scenario_matches(spark, d):
+    """Orders as cases, events as rows of artifacts; odd events have no scenario id."""
+    o = domain.table(spark, d, "orders")
+    asked = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderkey").alias("scenario_id"), F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "signup").alias("fault"), F.col("o_custkey").alias("run"))
+    rows = domain.table(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("scenario_id"), F.col("event_type").alias("fault"), F.col("user_id").alias("run"), "value")
+    return artifacts.match_scenarios(asked, rows).groupBy("case_id", "how").agg(F.count("*").alias("n"))
+
+
+@query(
+    sql(
+        """SELECT case_id, variable, round(v / greatest(max(v) OVER (PARTITION BY case_id), 1.0) + 1e-12, 8) AS weight FROM (
+        SELECT user_id AS case_id, event_type AS variable, coalesce(arg_max(value, event_id) FILTER (event_id % 3 <> 0), 1.0) AS v FROM events GROUP BY ALL)"""
+    )
+)
+def payload_merge(spark, d):
+    """Events as payloads; every third is no number."""
+    e = domain.table(spark, d, "events")
+    value = F.when(F.col("event_id") % 3 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    return artifacts.merge_payloads(e.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("variable"), F.col("event_id").alias("source_ord"), value.alias("value")))
+
+
+@query(sql("SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, cause) AS rank, cause, score FROM (SELECT user_id AS case_id, event_type AS cause, max(value) AS score FROM events WHERE value > 0 GROUP BY ALL)"))
+def artifact_causes(spark, d):
+    e = domain.table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("entity"), "value")
+    return artifacts.causes_of(artifacts.entity_maxima(e).select("case_id", F.col("entity").alias("candidate"), F.col("value").alias("score")))
+
+
+@query(sql("SELECT s_suppkey, round(greatest(0, 0.5 * (s_acctbal / 10000) + 0.3 * (s_nationkey / 25) + 0.25 * (s_suppkey % 2) - 0.1 * (s_suppkey % 5) / 4 - CASE WHEN s_nationkey > 12 THEN 0.12 ELSE 0 END) + 1e-12, 6) AS score FROM supplier"))
+def simple_scores(spark, d):
+    s = domain.table(spark, d, "supplier")
+    score = artifacts.simple_score(F.col("s_acctbal") / 10000, F.col("s_nationkey") / 25, (F.col("s_suppkey") % 2).cast("double"), F.col("s_suppkey") % 5, F.col("s_nationkey") > 12)
+    return s.select("s_suppkey", F.round(score + 1e-12, 6).alias("score"))
+
+
+@query(
+    sql(
+        """SELECT case_id, l_linenumber, part, place FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY first DESC, l_linenumber, nth) AS place FROM (
+        SELECT l_orderkey AS case_id, l_linenumber, l_partkey AS part, nth, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY nth) = 1 AS first FROM lines)) WHERE place <= 4""",
+        "lines",
+    )
+)
+def path_selection(spark, d):
+    """Lines as paths: the line number is the candidate's rank."""
+    l = domain.case_lines(spark, d).select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("candidate_rank"), F.col("nth").alias("path_rank"), F.col("l_partkey").alias("part"))
+    return artifacts.choose_paths(l, 4).select("case_id", F.col("candidate_rank").alias("l_linenumber"), "part", "place")
+
+
+@query(sql("SELECT edge_id, CASE WHEN relation = 'PART_OF' THEN 0.5::DOUBLE ELSE confidence END AS confidence, relation = 'PART_OF' AS overlaid FROM edges UNION ALL SELECT edge_id, 0.25, true FROM edges WHERE relation = 'PART_OF'", "edges"))
+def overlay_provenance(spark, d):
+    e = domain.kg_edges(spark, d)
+    own = e.where("relation = 'PART_OF'").select(F.col("edge_id").alias("external_edge_id"))
+    extra = own.withColumn("confidence", F.lit(0.5)).unionByName(own.withColumn("confidence", F.lit(0.25)))
+    return artifacts.overlay(e, extra, ["confidence"]).select("edge_id", "confidence", "overlaid")
+
+
+@query(sql("SELECT o_orderkey, 'C' || o_custkey AS head, CASE WHEN o_orderstatus <> 'P' THEN 'OCCURS_ON' END AS relation, o_orderpriority AS tail, CASE WHEN o_orderkey % 2 = 0 THEN 'tep' ELSE 'shared' END AS scenario, CASE WHEN o_orderkey % 2 = 0 THEN 'said, twice' END AS evidence, o_orderstatus <> 'P' AS valid FROM orders"))
+def source_drafts(spark, d):
+    o = domain.table(spark, d, "orders")
+    relation = F.when(F.col("o_orderstatus") != "P", "OCCURS_ON").otherwise(" ")
+    more = F.when(F.col("o_orderkey") % 2 == 0, ", tep , said, twice").otherwise("")
+    line = F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(" , "), relation, F.lit(","), F.col("o_orderpriority"), more)
+    return artifacts.parse_draft(o.select("o_orderkey", line.alias("line"))).drop("line")
+
+
+@query(sql("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE props END AS json FROM events"))
+def json_repair(spark, d):
+    """Properties in a fence, in prose, and cut off."""
+    e = domain.table(spark, d, "events")
+    fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    prose = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" Done."))
+    cut = F.substring("props", F.lit(1), F.length("props") - 1)
+    said = F.when(F.col("event_id") % 3 == 0, fenced).when(F.col("event_id") % 3 == 1, prose).otherwise(cut)
+    return e.select("event_id", artifacts.repaired_json(said).alias("json"))

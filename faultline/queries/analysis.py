@@ -355,16 +355,19 @@ def propagation_scores(spark, d):
 @query()
 def rule_adjusted_ranking(spark, d):
     """A fold of rules, each reading what the last one wrote; tests try every gate."""
-    ids = [r.target for r in rules.RULES]
-    names = sorted(set(ids) | {x for r in rules.RULES for x in r.rivals})
+    names = sorted({r.target for r in rules.RULES} | {x for r in rules.RULES for x in r.leaders} | set(rules.FAMILY))
     at = F.explode(F.array(*[F.struct(F.lit(n).alias("id"), F.lit(i).alias("i")) for i, n in enumerate(names)]))
     runs = domain.series(spark, d).groupBy(F.concat_ws("_", "fault", "run").alias("case_id")).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.avg("k").alias("k"))
-    rows = runs.select("case_id", "m", "k", at.alias("a"))
     jitter = F.pmod(F.xxhash64("case_id", "a.id"), F.lit(1000)) / 10000
-    cands = rows.select("case_id", F.col("a.id").alias("id"), (F.lit(0.5) + jitter).alias("score"), F.lit("").alias("direct_targets"), (F.col("k") / 100).alias("unique_alignment"), (F.col("m") / 100).alias("discriminator_alignment"), F.lit(0.6).alias("family_activation"), F.lit(0.05).alias("memory_advantage"), F.lit(0.2).alias("unique_advantage"))
-    stat = [F.struct(F.lit(f).alias("feature"), c.alias("value")) for f, c in (("xmeas_22__std", F.col("s") / 10), ("xmeas_22__mean", -F.col("m") / 50), ("xmeas_11__std", F.col("s") / 20), ("xmeas_18__mean", -F.col("m") / 40), ("xmeas_19__mean", F.col("k") / 60))]
-    features = runs.select("case_id", F.explode(F.array(*stat)).alias("f")).select("case_id", "f.feature", "f.value")
-    return rules.adjust(cands, features)
+    some = lambda n: F.pmod(F.xxhash64("case_id", "a.id", F.lit(n)), F.lit(100)) / 200
+    cands = runs.select("case_id", at.alias("a")).select(
+        "case_id", F.col("a.id").alias("id"), (F.lit(0.5) + jitter).alias("base"), F.lit("root_cause_anchor").alias("role"), F.lit("").alias("direct_targets"), *[some(n).alias(n) for n in ("unique_alignment", "discriminator_alignment", "memory_bonus")]
+    )
+    dynamic = (("xmeas_22__std", F.col("s") / 10), ("xmeas_22__mean", -F.col("m") / 50), ("xmeas_11__std", F.col("s") / 20), ("xmeas_18__mean", -F.col("m") / 30), ("xmeas_19__mean", F.col("k") / 60), ("xmeas_19__std", F.lit(1.5)))
+    share = (("v1", F.col("m")), ("v2", F.col("k")), ("v3", F.col("s")), ("v4", F.lit(20.0)))
+    rows = [F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("feature"), c.alias("value")) for kind, fs in (("dynamic", dynamic), ("contribution", share)) for f, c in fs]
+    features = runs.select("case_id", F.explode(F.array(*rows)).alias("f")).select("case_id", "f.*")
+    return rules.adjust(cands, features, {rules.SEPARATOR_INLET: ["v1", "v2"], rules.SEPARATOR: ["v2", "v3"], rules.CONDENSER: ["v3"]})
 
 
 @query(

@@ -181,21 +181,73 @@ def test_propagation_ranks_the_right_source(spark):
     assert got["cooling", "xmeas_1"]["path"] == "e1" and got["cooling", "xmeas_1"]["score"] > got["feed", "xmeas_2"]["score"]
 
 
-@pytest.mark.parametrize("gap, bonus", [(0.05, 0.06), (0.12, 0.13), (0.121, 0.0), (-0.01, 0.0)])
-def test_rule_gap(gap, bonus):
-    rule = rules.Rule("r", "t", ("v",), 3, 0.12, 0.14, margin=0.01)
-    ranking = rules.Ranking([{"id": "t", "score": 0.5}, {"id": "v", "score": 0.5 + gap}])
+def rank(rule, *rows, **features):
+    ranking = rules.Ranking([{"id": i, "base": b, **more} for i, b, more in rows], features)
     ranking.apply(rule)
-    assert next(r["score"] for r in ranking.rows if r["id"] == "t") == pytest.approx(0.5 + bonus)
+    return ranking.by
+
+
+@pytest.mark.parametrize("gap, bonus", [(0.05, 0.06), (0.12, 0.13), (0.121, 0.0)])
+def test_rule_gap(gap, bonus):
+    rule = rules.Rule("r", "t", ("v",), 0.12, 0.14, 3, margin=0.01)
+    assert rank(rule, ("t", 0.5, {}), ("v", 0.5 + gap, {}))["t"]["score"] == pytest.approx(0.5 + bonus)
+    assert rank(rule, ("t", 0.5, {}), ("other", 0.5 + gap, {}))["t"]["score"] == 0.5
 
 
 def test_disabled_rules_change_nothing():
-    rows = [{"id": "faultanchor:stream_4_feed_temperature", "score": 0.5}, {"id": "faultanchor:stripper_heat_transfer", "score": 0.55}]
-    ranking = rules.Ranking(rows, {"xmeas_18__std": 9.0})
     for r in rules.RULES:
         if not r.enabled:
-            ranking.apply(r)
-    assert sorted(r["score"] for r in ranking.rows) == [0.5, 0.55]
+            by = rank(r, (r.target, 0.5, {}), *[(x, 0.55, {}) for x in r.leaders], **{s.features[0]: 9.0 for s in r.signals})
+            assert by[r.target]["adjustment"] == 0.0
+
+
+def named(name, leader=None):
+    return next(r for r in rules.RULES if r.name == name and (leader is None or leader in r.leaders))
+
+
+def test_cold_response_needs_all_its_signals():
+    rows = ((rules.STREAM4, 0.5, {}), (rules.STRIPPER, 0.9, {}))
+    full = {"xmeas_18__mean": -2.0, "xmeas_19__mean": 2.0, "xmeas_19__std": 1.6}
+    assert rank(named("stream4_cold_response"), *rows, **full)[rules.STREAM4]["adjustment"] == pytest.approx(0.8)
+    assert rank(named("stream4_cold_response"), *rows, **full | {"xmeas_19__std": 2.3})[rules.STREAM4]["adjustment"] == 0.0
+    assert rank(named("stream4_cold_response"), (rules.STREAM4, 0.5, {}), (rules.STRIPPER, 1.26, {}), **full)[rules.STREAM4]["adjustment"] == 0.0
+
+
+def test_condenser_bonus_follows_the_family():
+    full = {"xmeas_22__std": 12.0, "xmeas_22__mean": -5.0, "xmeas_11__std": 6.5}
+    for activation, bonus in ((0.59, 0.0), (0.60, 1.4 * 0.6)):
+        by = rank(named("condenser_dynamic"), (rules.CONDENSER, 0.5, {"family_activation": activation}), ("x", 1.0, {}), **full)
+        assert by[rules.CONDENSER]["adjustment"] == pytest.approx(bonus) and by[rules.CONDENSER]["condenser_dynamic_signature"] == 1.0
+
+
+def test_stream2_has_two_triggers():
+    one = {"xmeas_30__mean": 1.0}
+    by = rank(named("stream2_competition", rules.SEPARATOR), (rules.STREAM2, 0.5, {}), (rules.SEPARATOR, 0.9, {}), **one)
+    assert by[rules.STREAM2]["adjustment"] == 0.5
+    rows = [(rules.STREAM2, 0.6, {}), (rules.SEPARATOR, 0.8, {"family_activation": 0.5}), (rules.CONDENSER, 0.9, {})]
+    assert rank(named("stream2_competition", rules.CONDENSER), *rows, **one)[rules.STREAM2]["adjustment"] == 0.5
+    rows[1] = (rules.SEPARATOR, 0.77, {"family_activation": 0.5})  # the two that lead are too far apart
+    assert rank(named("stream2_competition", rules.CONDENSER), *rows, **one)[rules.STREAM2]["adjustment"] == 0.0
+
+
+@pytest.mark.parametrize("memory, unique, raised", [(0.04, 0.10, True), (0.039, 0.10, False), (0.04, 0.099, False)])
+def test_stripper_tiebreak(memory, unique, raised):
+    by = rank(named("stripper_tiebreak"), (rules.STRIPPER, 0.5, {"memory_bonus": memory, "unique_alignment": unique}), (rules.STREAM4, 0.55, {}))
+    assert (by[rules.STRIPPER]["adjustment"] > 0) == raised
+
+
+def test_anchors_are_preferred_to_what_they_stand_for():
+    for gap, bonus in ((0.0, 0.09), (0.05, 0.04), (0.09, 0.0), (0.2, 0.0), (-0.3, 0.09)):
+        ranking = rules.Ranking([{"id": "a", "base": 0.5, "role": "root_cause_anchor", "direct_targets": "t"}, {"id": "t", "base": 0.5 + gap, "role": "actuator"}])
+        ranking.prefer_anchors()
+        assert ranking.by["a"]["adjustment"] == pytest.approx(bonus)
+
+
+def test_family_shares_a_bonus():
+    ranking = rules.Ranking([{"id": i, "base": 0.5} for i in (*rules.FAMILY, "x")])
+    ranking.apply_family({"v1": 0.4, "v2": 0.4, "v3": 0.2}, {rules.SEPARATOR_INLET: ["v1"], rules.SEPARATOR: ["v2"], rules.CONDENSER: ["v2", "v9"]})
+    got = {i: r["adjustment"] for i, r in ranking.by.items()}
+    assert got == pytest.approx({rules.SEPARATOR_INLET: 0.3 * 0.8 * 0.4 + 0.2 * 0.4, rules.SEPARATOR: 0.3 * 0.8 * 0.4, rules.CONDENSER: 0.3 * 0.8 * 0.4, "x": 0.0})
 
 
 def test_metrics(spark):

@@ -25,8 +25,8 @@ CHAIN = 2
 SHORT, GRAM = 400, 4
 #: Of the chains after other words one in so many, by its hash, is a signature too, for texts in which common words are few or of other languages.
 ALSO = 8
-#: Rows of one ordered run of documents, about, and the accuracy of the runs' bounds.
-RUN_ROWS, ACCURACY = 2000, 0.001
+#: Rows of one ordered run of documents, about; runs at most (the driver knows their bounds); the accuracy of the bounds.
+RUN_ROWS, MAX_RUNS, ACCURACY = 2000, 100_000, 0.001
 
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,8 +109,8 @@ def _runs(docs: DataFrame):
     """Bounds of runs of keys with about RUN_ROWS rows, and for each run the first row of the one after it, descending."""
     keys = docs.select(key_of("doc_id").alias("k"))
     n = keys.count()
-    m = n // RUN_ROWS
-    bounds = np.unique(np.array(keys.approxQuantile("k", [i / (m + 1) for i in range(1, m + 1)], ACCURACY) if m else [], np.float64).astype(np.int64))
+    m = min(n // RUN_ROWS, MAX_RUNS)
+    bounds = np.unique(np.array(keys.approxQuantile("k", [i / (m + 1) for i in range(1, m + 1)], min(ACCURACY, 0.2 / (m + 1))) if m else [], np.float64).astype(np.int64))
     tops = keys.groupBy(_run_of(bounds)(F.col("k")).alias("run")).agg(F.max("k").alias("top")).orderBy("run").collect()
     heads: dict[int, list[int]] = {}
     for i, r in enumerate(tops):  # the largest key of a run follows the smallest of the next run up; after the last comes the first

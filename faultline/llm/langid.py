@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, map_arrow
@@ -111,9 +111,10 @@ def fit(labelled: DataFrame, documents: int = LEARNED_DOCUMENTS, words: int = LE
 
     counted = map_arrow(rows.where(draw < share[F.col("lang")]).select("lang", "text"), count, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    table: dict[str, dict[str, int]] = {}
-    for k in languages:
-        table[k] = {r["word"]: r["n"] for r in counted.where(F.col("lang") == k).orderBy(F.desc("n"), "word").limit(words).collect()}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    table: dict[str, dict[str, int]] = {k: {} for k in languages}
+    for r in counted.withColumn("place", place).where(F.col("place") <= words).collect():
+        table[r["lang"]][r["word"]] = r["n"]
     return from_counts(table)
 
 

@@ -265,7 +265,7 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 1 / 3) -> DataFrame:
     """The rows, with their columns, whose language is known for at least that share of their letters."""
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     shared, name, at = docs.sparkSession.sparkContext.broadcast(model), model.name, docs.columns.index("text")

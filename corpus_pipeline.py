@@ -9,7 +9,7 @@ from faultline.llm.common import shared_dir, table
 
 
 def language_id(spark, docs, sf_dir):
-    """Keeps the documents whose language is known for at least half of their letters."""
+    """Keeps the documents of which a third of the letters, at least, are in one known language."""
     return langid.keep_identified(docs)
 
 

@@ -1,7 +1,8 @@
 """Adapters from producer records to evidence, canonical observations, and predicates on them."""
 
-from __future__ import annotations
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +93,27 @@ def scrub(properties: str, keys: tuple[str, ...] = FORBIDDEN) -> Column:
     return F.map_filter(properties, lambda k, v: ~k.isin(*keys))
 
 
+def scrub_json(c: Column, keys: tuple[str, ...] = FORBIDDEN) -> Column:
+    """JSON text of any shape without those keys, at every depth; what cannot be read is null. A pandas function."""
+    gone = set(keys)
+
+    def clean(x):
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items() if k not in gone}
+        return [clean(v) for v in x] if isinstance(x, list) else x
+
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return None if t is None else json.dumps(clean(json.loads(t)), ensure_ascii=False, sort_keys=True)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def what_if(evidence: DataFrame, changes: dict[str, Column]) -> DataFrame:
     """The evidence with fields replaced and everything derived from them cleared, to be analysed anew."""
     derived = [c for c in ("observations", "normalized", "analysis") if c in evidence.columns]

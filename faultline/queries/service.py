@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import artifacts, cases, compiler, metrics, noise, review
 from ..plans import domain
+from ..plans.compile import Compiled
 from ..plans.pipeline import analyse
 from .registry import registry
 from .sql import norm, scen, sql
@@ -425,3 +426,18 @@ def json_repair(spark, d):
     cut = F.substring("props", F.lit(1), F.length("props") - 1)
     said = F.when(F.col("event_id") % 3 == 0, fenced).when(F.col("event_id") % 3 == 1, prose).otherwise(cut)
     return e.select("event_id", artifacts.repaired_json(said).alias("json"))
+
+
+@query(
+    sql(
+        f"""SELECT 'cards' AS kind, count(DISTINCT scenario || '|' || {norm('head || relation || tail')}) AS n FROM st UNION ALL
+        SELECT 'entities', count(DISTINCT scenario || '|' || name) FROM (SELECT scenario, head AS name FROM st UNION ALL SELECT scenario, tail FROM st) UNION ALL
+        SELECT 'edges', count(DISTINCT scenario || '|' || head || '|' || relation || '|' || tail) FROM st UNION ALL SELECT 'profiles', count(DISTINCT scenario || '|' || head || '|' || relation) FROM st""",
+        st=_STATEMENTS,
+    )
+)
+def source_compile(spark, d):
+    """Orders as source texts, compiled as a whole: how many rows of each kind come out."""
+    c = Compiled(_statements(spark, d).select(F.col("id").alias("unit_id"), "scenario", F.col("line").alias("text")))
+    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(c.cards, "cards").unionByName(count(c.entities, "entities")).unionByName(count(c.edges, "edges")).unionByName(count(c.profiles, "profiles"))

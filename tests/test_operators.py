@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import signals, text
 from faultline.functions.text import normalize
 from faultline.operators import compiler, consistency, evidence, imaging, kg, linking, metrics, noise, paths, propagation, review, rules, timeseries
+from faultline.plans.compile import Compiled
 from faultline.plans.pipeline import Analysis
 
 NODE = "id string, name string, label string, scenario string, aliases array<string>"
@@ -302,3 +303,16 @@ def test_checks_need_both_fields(spark):
     s = spark.createDataFrame([("c", "mvtec", "anomaly_type", "a")], "case_id string, dataset string, field string, entity_id string")
     e = kg.visible_edges(nodes(spark, ("a", "a", "X", "mvtec")), edges(spark, ("a", "R", "a", "mvtec", 1.0)), ["mvtec"])
     assert consistency.checks(s, e).count() == 0
+
+
+def test_forbidden_keys_go_at_every_depth(spark):
+    df = spark.createDataFrame([('{"a": [{"root_cause": 1, "b": 2}], "kg_analysis": {}}',), ("not json",), (None,)], "j string")
+    assert [r[0] for r in df.select(evidence.scrub_json(F.col("j"))).collect()] == ['{"a": [{"b": 2}]}', None, None]
+
+
+def test_compile(spark):
+    units = spark.createDataFrame([("u1", "mvtec", "Scratch Defect CAUSED_BY Handling Cause.\nnoise\nScratch defect CAUSED_BY Handling Cause"), ("u2", "mvtec", "Handling Cause PART_OF Handling Cause.")], "unit_id string, scenario string, text string")
+    c = Compiled(units)
+    assert {r["id"]: r["label"] for r in c.entities.collect()} == {"ScratchDefect": "AnomalyType", "HandlingCause": "RootCause"}
+    assert [r["edge_id"] for r in c.edges.collect()] == ["ScratchDefect|CAUSED_BY|HandlingCause|mvtec"]
+    assert c.cards.count() == 2 and c.violations.count() == 0

@@ -42,8 +42,9 @@ FLOOR = 6.0
 SWITCH = 9.0
 #: A script belongs to a language if at least this share of its letters is of the script.
 SCRIPT_SHARE = 0.01
-#: Words whose scores a worker remembers, and words that one Viterbi pass covers, about.
-REMEMBERED, PASS_WORDS = 150_000, 300_000
+#: Words whose scores a worker remembers, and scores (words times languages) that one Viterbi pass covers, about: a pass
+#: takes as many steps as its longest text has words, so few large passes are best.
+REMEMBERED, PASS_SCORES = 300_000, 6_000_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -194,13 +195,13 @@ class Labeller:
 
     def label(self, texts: list[str | None]):
         """For each text: language (und without letters), share of its letters in that language, spans lang:first word:last word + 1."""
-        out, at = [], 0
+        out, at, most = [], 0, PASS_SCORES // max(1, len(self.model.languages))
         while at < len(texts):
             if len(self.ids) > REMEMBERED:
                 self.ids.clear()
                 self.rows = self.rows[: 1 << 14].copy()
             get, slow, ids, sizes, lengths = self.ids.get, self.word_id, [], [], []
-            while at < len(texts) and len(ids) < PASS_WORDS:
+            while at < len(texts) and len(ids) < most:
                 words = words_of(texts[at] or "")
                 ids += [i if (i := get(w)) is not None else slow(w) for w in words]
                 sizes += map(len, words)

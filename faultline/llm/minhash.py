@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_of, map_arrow, materialize, unkey
+from .common import bounded, key_of, map_arrow, materialize, unkey
 from .components import components
 
 #: Words of a shingle; two documents are linked if DENOMINATOR * intersection >= NUMERATOR * union.
@@ -26,6 +26,8 @@ LEAST_AGREEMENT = 0.55
 TRIED = 2
 #: Rows of one ordered partition of the forest, about.
 PARTITION_ROWS = 250_000
+#: Rows of one side of a block in which all pairs of a crowded region are compared; columns of its tables at a time.
+BLOCK_ROWS, COLUMNS = 512, 4096
 
 VALUES = TREES * DEPTH
 _U = np.uint64
@@ -112,7 +114,8 @@ def _plant(batch):
 def _regions(t: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each row and depth from LEAST_PREFIX the number of its region, rows with that much of a prefix in common.
 
-    A region too large to be compared whole gives each row a number of its own: it is left to deeper prefixes.
+    A region too large to be compared whole gives each row a number of its own: it is left to deeper prefixes, and
+    what they leave to `_crowds`.
     """
     n = len(t)
     out = np.zeros((n, DEPTH - LEAST_PREFIX + 1), np.int64)
@@ -203,8 +206,8 @@ def _open(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return named.where("ca <> cb")
 
 
-def _joined(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """v and c (the smallest class its links reach) of the classes with links, after three rounds of confirmation.
+def _joined(edges: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """v and c (the smallest class its links reach) of the classes with links, after three rounds of confirmation; the links.
 
     First each class with the partner it agrees with most; then, between any two groups not yet joined, the TRIED
     best; then every candidate that still joins two groups. Links within a group would change nothing.
@@ -216,24 +219,201 @@ def _joined(edges: DataFrame, sets: DataFrame) -> DataFrame:
     groups = components(links)
     edges = materialize(_open(edges, groups).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     nth = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("share"), "a", "b"))
-    tried = _confirm(edges.withColumn("nth", nth).where(F.col("nth") <= TRIED), sets)
+    first, tried = tried, _confirm(edges.withColumn("nth", nth).where(F.col("nth") <= TRIED), sets)
     ties = groups.select(F.col("v").alias("u"), F.col("c").alias("v"))
     groups = components(ties.unionByName(tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
     left = _open(edges.select("a", "b", "share"), groups).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    last = _confirm(left, sets).where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return components(groups.select(F.col("v").alias("u"), F.col("c").alias("v")).unionByName(last))
+    third = _confirm(left, sets)
+    last = third.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = first.unionByName(tried).unionByName(third).where("ok").select("a", "b")
+    return components(groups.select(F.col("v").alias("u"), F.col("c").alias("v")).unionByName(last)), links
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """k, n (shingles) and root (the smallest k reachable over links; of an empty set, k itself) of documents k, text.
+def _heads(batch):
+    """A row for each order of each class: the values that a region's rows have in common."""
+    s = batch.column("s").to_numpy(zero_copy_only=False)
+    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(s), TREES, DEPTH)
+    p = np.ascontiguousarray(sig[:, :, :LEAST_PREFIX]).view(np.int64).reshape(-1)
+    c = batch.column("c").to_numpy(zero_copy_only=False)
+    return {"t": np.tile(np.arange(TREES, dtype=np.int32), len(s)), "p": p, "s": np.repeat(s, TREES), "c": np.repeat(c, TREES)}
 
-    Documents with equal sets are one class. Candidates of the forest are confirmed on full sets, best first, until
-    none is left that would join two groups.
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+
+
+def _crowded(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (t, p, salt, s, c) of the regions too large for the forest whose rows are not all of one group c.
+
+    With them the region's largest group (main), and how many rows are of it (most) and of others (rest).
     """
-    signed = materialize(map_arrow(docs.select("k", "text"), _sign, "k long, n long, s long, sig binary"))
-    classes = materialize(signed.where("s is not null").groupBy("s").agg(F.min("k").alias("k"), F.max("sig").alias("sig")))
-    edges = materialize(candidates(classes))
-    ends = edges.select(F.col("a").alias("s")).unionByName(edges.select(F.col("b").alias("s"))).distinct()
+    named = classes.select("s", "sig").join(groups.select(F.col("v").alias("s"), "c"), "s", "left").withColumn("c", F.coalesce("c", "s"))
+    rows = map_arrow(named.select("s", "sig", "c"), _heads, "t int, p long, s long, c long")
+    kinds = rows.groupBy("t", "p", "c").agg(F.count("*").alias("n")).groupBy("t", "p")
+    found = kinds.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("main"))
+    found = found.where((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("most"))).withColumn("rest", F.col("n") - F.col("most")).drop("n")
+    salted = _salted(materialize(found))
+    return materialize(rows.withColumn("salt", F.pmod("s", F.lit(8)).cast("int")).join(salted, ["t", "p", "salt"]))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Deals the rows of crowded regions to blocks (u, side, s, c): any two of different groups meet in one.
+
+    Rows outside the main group are held against each other and against the main group, BLOCK_ROWS or so a side.
+    side: 0 and 1 are held against each other, 2 is on both sides.
+    """
+    i = F.pmod(F.xxhash64("s"), F.col("own"))
+    x = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
+    y = F.sequence(F.lit(0).cast("long"), F.col("mains") - 1)
+    cell = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+    within = F.transform(x, lambda j: cell(0, F.least(F.col("i"), j), F.greatest(F.col("i"), j), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1)))
+    beside = F.transform(y, lambda j: cell(1, F.col("i"), j, F.lit(0)))
+    facing = F.transform(x, lambda j: cell(1, j, F.col("i"), F.lit(1)))
+    is_main = F.col("c") == F.col("main")
+    sized = rows.withColumns({"others": F.ceil(F.col("rest") / BLOCK_ROWS), "mains": F.ceil(F.col("most") / BLOCK_ROWS)})
+    sized = sized.withColumn("own", F.when(is_main, F.col("mains")).otherwise(F.col("others"))).withColumn("i", i)
+    cells = sized.select("t", "p", "s", "c", F.explode(F.when(is_main, facing).otherwise(F.concat(within, beside))).alias("x"))
+    return cells.select(F.xxhash64("t", "p", "x.kind", "x.a", "x.b").alias("u"), F.col("x.side").alias("side"), "s", "c")
+
+
+def _each_block(batches):
+    """The rows of each block as a table, from batches in which they come one after another."""
+    held, now = [], None
+    for b in batches:
+        u = b.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(u[1:] != u[:-1]) + 1).tolist(), len(u)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            if held and u[start] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = u[start]
+            held.append(b.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(block: pa.Table):
+    side, c = block["side"].to_numpy(), block["c"].to_numpy()
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0), c
+
+
+def _alive(batches):
+    """The rows of each block that have a candidate of another group on the other side."""
+    for block in _each_block(batches):
+        left, right, c = _sides(block)
+        sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
+        x, y = np.ascontiguousarray(sig[left].T), np.ascontiguousarray(sig[right].T)
+        same = np.zeros((len(left), len(right)), np.uint8)
+        for v in range(VALUES):
+            same += x[v][:, None] == y[v]
+        near = (same >= LEAST_AGREEMENT * VALUES) & (c[left][:, None] != c[right])
+        keep = np.zeros(len(c), bool)
+        keep[left[near.any(axis=1)]] = True
+        keep[right[near.any(axis=0)]] = True
+        if keep.any():
+            yield from block.select(["u", "side", "s", "c"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of the left shares with each of the right, exactly."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = (np.concatenate(x) if x else np.zeros(0, _U) for x in (left, right))
+    both = np.intersect1d(a, b)
+    rows, cols = [], []
+    for sets, flat in ((left, a), (right, b)):
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        rows.append(row[order])
+        cols.append(at[hit][order])
+    for start in range(0, len(both), COLUMNS):
+        dense = []
+        for row, col, n in zip(rows, cols, out.shape):
+            lo, hi = np.searchsorted(col, [start, start + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(both) - start)), np.float32)
+            m[row[lo:hi], col[lo:hi] - start] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(batches):
+    """Groups that links between rows of a block join: each with the smallest group it reaches there."""
+    for block in _each_block(batches):
+        left, right, c = _sides(block)
+        full = [np.frombuffer(x, _U) for x in block["full"].to_pylist()]
+        n = np.array([len(x) for x in full])
+        common = in_common([full[i] for i in left], [full[i] for i in right])
+        link = DENOMINATOR * common >= NUMERATOR * (n[left][:, None] + n[right] - common)
+        link &= c[left][:, None] != c[right]
+        if not link.any():
+            continue
+        i, j = np.nonzero(link)
+        ends, at = np.unique(np.concatenate([c[left][i], c[right][j]]), return_inverse=True)
+        a, b = at[: len(i)], at[len(i) :]
+        least, before = np.arange(len(ends)), None
+        while before is None or (least != before).any():
+            before = least.copy()
+            np.minimum.at(least, a, before[b])
+            np.minimum.at(least, b, before[a])
+            least = least[least]
+        yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(ends[least])], ["u", "v"])
+
+
+def _hub_links(rows: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the rows of a crowded region and the one among them that has most links already."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.count("*").alias("links"))
+    ranked = rows.join(degree, "s", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    hubs = ranked.groupBy("t", "p").agg(F.max_by(F.struct("s", "c"), F.struct("links", "s")).alias("h"))
+    pairs = rows.join(_salted(hubs), ["t", "p", "salt"]).where("c <> h.c").select("s", "salt", F.col("h.s").alias("h")).distinct()
+    pairs = materialize(pairs)
+    sig = classes.select("s", F.col("sig").alias("x"))
+    wide = pairs.join(sig, "s").join(_salted(pairs.select(F.col("h").alias("s")).distinct().join(sig, "s").select(F.col("s").alias("h"), F.col("x").alias("y"))), ["h", "salt"])
+
+    def agree(batch):
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, VALUES) for c in ("x", "y"))
+        take = pa.array(np.flatnonzero((x == y).mean(axis=1) >= LEAST_AGREEMENT))
+        return {c: batch.column(c).take(take) for c in ("s", "h", "salt")}
+
+    near = materialize(map_arrow(wide.select("s", "h", "salt", "x", "y"), agree, "s long, h long, salt int"))
+    sets = _full_sets(docs, classes, near.select("s").unionByName(near.select(F.col("h").alias("s"))).distinct())
+    held = _salted(near.select(F.col("h").alias("s")).distinct().join(sets, "s").select(F.col("s").alias("h"), F.col("full").alias("y")))
+
+    def run(batch):
+        x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+        keep = pa.array([i for i, (p, q) in enumerate(zip(x, y)) if linked(np.frombuffer(p, _U), np.frombuffer(q, _U))], pa.int64())
+        return {"u": batch.column("s").take(keep), "v": batch.column("h").take(keep)}
+
+    both = near.join(sets.withColumnRenamed("full", "x"), "s").join(held, ["h", "salt"])
+    return map_arrow(both.select("s", "h", "x", "y"), run, "u long, v long")
+
+
+def _crowds(docs: DataFrame, classes: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups after every pair of rows of different groups in a crowded region has been held against each other.
+
+    First each row meets its region's hub, so that copies of one text become one group before the rest are compared.
+    Rows are compared by signature; those with a candidate left, in whole blocks, by their full sets.
+    """
+    rows = _crowded(classes, groups)
+    if rows.isEmpty():
+        return groups
+    ties = groups.select(F.col("v").alias("u"), F.col("c").alias("v"))
+    groups = components(ties.unionByName(_hub_links(rows, links, docs, classes)))
+    cells = _blocks(_crowded(classes, groups)).join(classes.select("s", "sig"), "s").select("u", "side", "s", "c", "sig")
+    alive = materialize(bounded(cells).repartition("u").sortWithinPartitions("u").mapInArrow(_alive, "u long, side int, s long, c long"))
+    if alive.isEmpty():
+        return groups
+    sets = _full_sets(docs, classes, alive.select("s").distinct())
+    whole = alive.join(sets, "s").select("u", "side", "s", "c", "full").repartition("u").sortWithinPartitions("u")
+    found = whole.mapInArrow(_block_links, "u long, v long")
+    return components(groups.select(F.col("v").alias("u"), F.col("c").alias("v")).unionByName(found))
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, ends: DataFrame) -> DataFrame:
+    """s and its full set, for the classes s of `ends`, from the text of one document of each."""
     wanted = ends.join(classes.select("s", "k"), "s")
 
     def full(batch):
@@ -246,8 +426,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
         return {"s": pa.array(s, pa.int64()), "full": pa.array(found, pa.binary())}
 
     texts = docs.select("k", "text").join(wanted.groupBy("k").agg(F.collect_list("s").alias("want")), "k")
-    sets = materialize(map_arrow(texts, full, "s long, full binary").dropDuplicates(["s"]))
-    groups = _joined(edges, sets)
+    return materialize(map_arrow(texts, full, "s long, full binary").dropDuplicates(["s"]))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """k, n (shingles) and root (the smallest k reachable over links; of an empty set, k itself) of documents k, text.
+
+    Documents with equal sets are one class. Candidates of the forest are confirmed on full sets, best first, until
+    none is left that would join two groups; then those of regions that are too crowded for the forest.
+    """
+    signed = materialize(map_arrow(docs.select("k", "text"), _sign, "k long, n long, s long, sig binary"))
+    classes = materialize(signed.where("s is not null").groupBy("s").agg(F.min("k").alias("k"), F.max("sig").alias("sig")))
+    edges = materialize(candidates(classes))
+    ends = edges.select(F.col("a").alias("s")).unionByName(edges.select(F.col("b").alias("s"))).distinct()
+    groups, links = _joined(edges, _full_sets(docs, classes, ends))
+    groups = _crowds(docs, classes, groups, links)
     of_class = classes.select("s", "k").join(groups.select(F.col("v").alias("s"), "c"), "s", "left").withColumn("c", F.coalesce("c", "s"))
     roots = of_class.groupBy("c").agg(F.min("k").alias("root"))
     found = of_class.join(roots, "c").select("s", "root")

@@ -58,3 +58,37 @@ def test_edges(edge_docs, no_docs, edge_rows):
     kept = minhash.drop_near_duplicates(edge_docs)
     assert kept.columns == edge_docs.columns and 7 not in {r["doc_id"] for r in kept.collect()}
     assert minhash.drop_near_duplicates(no_docs).count() == 0
+
+
+def crowd(seed, copies, words=400, edits=11):
+    """A text and copies of it that share at least 0.75 with it, but about 0.6 with one another."""
+    rnd = np.random.default_rng(seed)
+    base = [f"w{seed}x{i}" for i in range(words)]
+    out = [" ".join(base)]
+    for i in range(copies):
+        w = list(base)
+        for n, at in enumerate(np.sort(rnd.choice(words // 5 - 2, edits, replace=False)) * 5 + 4 + rnd.integers(0, 2)):
+            w[at] = f"e{i}n{n}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_crowd_around_one_text(spark):
+    texts = crowd(1, 2000)
+    own = [minhash.shingles(t) for t in texts]
+    assert all(minhash.linked(own[0], x) for x in own[1:])
+    assert sum(minhash.linked(own[i], own[i + 1]) for i in range(1, 2000)) < 20
+    df = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r["component_id"] for r in minhash.group_documents(df).collect()} == {1}
+
+
+def test_crowds_against_brute_force(spark):
+    rows = list(enumerate(crowd(2, 150)[1:] + crowd(3, 150)))  # the first crowd without the text in its middle
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.group_documents(df).collect()} == brute(rows)
+
+
+def test_in_common():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 50, 6000, 8000)]
+    assert (minhash.in_common(sets, sets[1:]) == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]).all()

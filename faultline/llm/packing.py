@@ -68,8 +68,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Documents of more than `capacity` words are cut into pieces of it and a rest. No bin holds two pieces of one
     source or two of one duplicate cluster (equal texts); a null source or text conflicts with none. A document
     without words is a piece of no words and has a bin all the same. Repeated rows are pieces of their own; extra
-    columns are ignored. Pieces, without texts, are dealt by hash of document and piece and packed in blocks, so no
-    task or bin list holds a source or cluster whole.
+    columns are ignored. Pieces, without texts, are dealt by hash of document and piece and packed in blocks of all
+    sizes, so no task or bin list holds a source or cluster whole.
     """
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -118,5 +118,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = map_arrow(slim, measure, "doc_id long, source string, cluster long, piece int, n_words long")
     parts = max(1, docs.select(F.lit(1)).count() // PARTITION_PIECES)
     dealt = pieces.repartition(parts, F.xxhash64("doc_id", "piece"))
-    ordered = dealt.sortWithinPartitions("n_words", "doc_id", "piece", "cluster", "source")
+    ordered = dealt.sortWithinPartitions(F.xxhash64(F.lit("order"), "doc_id", "piece"), "doc_id", "piece", "n_words", "cluster", "source")
     return ordered.select("doc_id", "piece", "n_words", "source", "cluster").mapInArrow(pack_partition, names)

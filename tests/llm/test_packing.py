@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from faultline.llm import packing
 
 
@@ -46,3 +48,10 @@ def test_edges(edge_docs, no_docs, edge_rows):
     rows = packing.pack(edge_docs).collect()
     assert {r["doc_id"] for r in rows} == {r[0] for r in edge_rows} and packing.pack(no_docs).count() == 0
     assert sum(r["n_words"] for r in rows) == sum(len((r[1] or "").split()) for r in edge_rows)
+
+
+def test_blocks_hold_all_sizes(spark):
+    words = F.when(F.col("doc_id") % 2 == 0, 700).otherwise(300)
+    df = spark.range(10_000).select(F.col("id").alias("doc_id")).withColumn("text", F.concat(F.col("doc_id").cast("string"), F.repeat(F.lit(" a"), words - 1)))
+    found = packing.pack(df.withColumn("source", F.lit(None).cast("string"))).agg(F.countDistinct("bin"), F.sum("n_words")).first()
+    assert found[1] == 5_000_000 and found[0] <= 1.06 * found[1] / packing.CAPACITY

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -21,8 +20,8 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain.
 CHAIN = 2
-#: A text of fewer code points than this has too few chains: its runs of GRAM characters are signatures as well.
-SHORT, GRAM = 400, 4
+#: Of the runs of GRAM characters of any text, one in so many, by its hash, is a signature as well; of each text one at least.
+GRAM, RUNS = 4, 4
 #: Of the chains after other words one in so many, by its hash, is a signature too, for texts in which common words are few or of other languages.
 ALSO = 8
 #: Rows of one ordered run of documents, about; runs at most (the driver knows their bounds); the accuracy of the bounds.
@@ -46,18 +45,34 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def character_runs(text: str) -> np.ndarray:
+    """32-bit hashes of one in RUNS of the text's runs of GRAM characters, and of the one with the smallest hash."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if not len(codes):
+        return np.zeros(0, np.uint32)
+    codes = np.concatenate([codes, np.zeros(max(0, GRAM - len(codes)), np.uint64)])
+    n = len(codes) - GRAM + 1
+    run = np.full(n, GRAM, np.uint64)
+    for i in range(GRAM):
+        run = (run ^ (run >> np.uint64(29))) * _MIX + codes[i : i + n]
+    run = (run ^ (run >> np.uint64(32))) * _MIX
+    run = run ^ (run >> np.uint64(31))
+    kept = run[(run >> np.uint64(20)) % np.uint64(RUNS) == 0]
+    return (np.append(kept, run.min()) >> np.uint64(32)).astype(np.uint32)
+
+
 def signatures(text: str) -> np.ndarray:
     """The text's set of 32-bit spot signatures, sorted.
 
     A signature is an anchor with the next CHAIN words that are no anchors (fewer at the end of a text) and how often
     the text has had it before, so sets compare as multisets. So that no text goes without, one in ALSO of the chains
-    after other words is a signature too. A short text, or one without words, has the checksums of its runs of GRAM
-    characters besides.
+    after other words is a signature too, and so is one in RUNS of the runs of GRAM characters of the words (of the
+    text, where it has none). The rule is the same at every length, so near copies never differ by it.
     """
     words = _WORDS(text.lower())
-    grams = {zlib.crc32(text[i : i + GRAM].lower().encode("utf-8", "surrogatepass")) for i in range(max(1, len(text) - GRAM + 1))} if text and (len(text) < SHORT or not words) else ()
+    runs = character_runs(" ".join(words) or text)
     if not words:
-        return np.array(sorted(grams), np.uint32)
+        return np.unique(runs)
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     common = (h & np.uint64(1)).astype(bool)
     content = np.concatenate([h[~common], np.zeros(CHAIN, np.uint64)])
@@ -72,7 +87,7 @@ def signatures(text: str) -> np.ndarray:
     sig = (sig ^ (sig >> np.uint64(31))) * _MIX
     sig = sig[common | ((sig >> np.uint64(20)) % np.uint64(ALSO) == 0)]
     sig = (sig >> np.uint64(32)).astype(np.uint32)
-    return np.unique(np.concatenate([sig, np.array(list(grams), np.uint32)]))
+    return np.unique(np.concatenate([sig, runs]))
 
 
 def to_text(sig: np.ndarray) -> str:

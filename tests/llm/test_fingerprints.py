@@ -40,3 +40,12 @@ def test_edges(spark, edge_docs, no_docs, edge_rows):
     assert fp.fingerprint_documents(no_docs).count() == 0
     one = fp.fingerprint_documents(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_no_bound_parts_near_copies():
+    rng = np.random.default_rng(8)
+    for size in (200, 405, 600, 3000):
+        text = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(size))[:size]
+        assert fp.likeness(fp.signatures(text), fp.signatures(text[: size - 10])) > 0.7
+    token = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5000))
+    assert 0.35 < fp.likeness(fp.signatures(token), fp.signatures(fp.edited(token, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5000))))) < 0.65

@@ -1,10 +1,10 @@
-"""Main text of web pages: the maximum-scoring contiguous run of text and tags."""
+"""Main text of web pages: the maximum-scoring contiguous run of words and tags, weights learned from labelled pages."""
 
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
-import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 #: Elements whose content is never text of the page.
-SILENT = "script style noscript template textarea title head svg math iframe object select option datalist canvas".split()
+SILENT = frozenset("script style noscript template textarea title head svg math iframe object select option datalist canvas".split())
 #: Elements, and words of class, id or role, that hold something other than the article.
 ASIDE_TAGS = frozenset("nav footer aside form button menu dialog fieldset label input".split())
 ASIDE_WORDS = frozenset(
@@ -29,12 +29,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends an open element of the same kind.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
-#: Elements that mark the article itself.
+#: Elements by which a page labels its article. They make the labels that weights are learned from, and
+#: are no keys of a word.
 ARTICLE_TAGS = frozenset(["article", "main"])
-#: Pages that weights are learned from, about, and path keys that the weights hold.
+#: Pages that weights are learned from, about, and keys that the weights hold.
 LEARNED_PAGES, LEARNED_KEYS = 1000, 4000
-#: A key counts as outside if it was seen with this many words and no more than this share of them was of articles.
-LEAST_WORDS, OUTSIDE_SHARE = 30, 0.02
+#: A key counts if it was seen with this many words; the largest weights of a word, either way; the key of all asides.
+LEAST_WORDS, WORD_MOST, WORD_LEAST, ASIDE = 30, 1.0, -0.2, "~aside"
+#: What a tag scores that is only seen in articles, and what it loses at most if it is not.
+TAG_MOST, TAG_RANGE = -0.05, 0.35
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -51,130 +54,199 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\
 
 @dataclass
 class Weights:
-    """word: a word of the article; outside: a word beside it; tag, tags: any tag, tags by name; keys: class and id words found beside articles."""
+    """Log odds of a word: `word` of any, `keys` what each key of its path adds; score of a tag: `tags` by name, else `tag`."""
 
     word: float = 1.0
-    outside: float = -2.0
-    tag: float = -0.4
+    keys: dict = field(default_factory=lambda: {ASIDE: -4.0})
+    tag: float = -0.1
     tags: dict = field(default_factory=dict)
-    keys: frozenset = frozenset()
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def _path_keys(tag: str, attributes: str) -> tuple[str, ...]:
-    named = [(n.lower(), p) for n, v in _NAMED.findall(attributes) for p in _PARTS.findall(v.lower())] if attributes else []
-    return (tag, *(f".{p}" for _, p in named))
+@dataclass(slots=True)
+class Element:
+    """An open element; it knows its own keys only, so nesting costs no more than its depth. block: the nearest element above (or itself) that is not inline."""
 
+    tag: str = ""
+    keys: tuple = ()
+    aside: bool = False
+    labelled: bool = False
+    above: Element | None = None
+    block: Element | None = None
+    odds: float | None = None
 
-def _aside(tag: str, keys: tuple[str, ...], attributes: str, in_article: bool) -> bool:
-    if tag in ASIDE_TAGS or attributes and _HIDDEN.search(attributes):
+
+def _class_words(attributes: str) -> list[str]:
+    return [p for _, v in _NAMED.findall(attributes) for p in _PARTS.findall(v.lower())] if attributes else []
+
+
+def _is_aside(tag: str, words: list[str], attributes: str, labelled: bool) -> bool:
+    if tag in SILENT or tag in ASIDE_TAGS or attributes and _HIDDEN.search(attributes):
         return True
     if tag in ("body", "html"):
         return False
     if tag == "header":
-        return not in_article
-    words = [k[1:] for k in keys[1:]]
-    if in_article or tag in ARTICLE_TAGS:  # as in "post-header": of the article itself
+        return not labelled
+    if labelled or tag in ARTICLE_TAGS:  # as in "post-header": of the article itself
         words = [w for w in words if w != "header"]
     return any(w in ASIDE_WORDS for w in words)
 
 
-def _pieces(page: str):
-    """(text, path keys, aside, in an article, block begins) for each run of text, its name for each tag, in page order."""
-    stack: list[tuple[str, tuple, bool, bool]] = []
-    at, fresh = 0, True
-    top = ("", (), False, False)
+def _element(tag: str, attributes: str, above: Element) -> Element:
+    """Keys: the name of a block element without a class or id that says more, the words of class, id and role, or only that it is an aside."""
+    words = _class_words(attributes)
+    labelled = above.labelled or tag in ARTICLE_TAGS or "articlebody" in words
+    aside = above.aside or _is_aside(tag, words, attributes, above.labelled)
+    if aside:
+        keys = () if above.aside else (ASIDE,)
+    else:
+        keys = tuple(dict.fromkeys(f".{w}" for w in words if w != "articlebody")) or (() if tag in INLINE or tag in ARTICLE_TAGS else (tag,))
+    made = Element(tag, keys, aside, labelled, above)
+    made.block = above.block if tag in INLINE else made
+    return made
+
+
+def walk(page: str):
+    """The page in order: ("text", its element, text, whether a block begins), ("tag", the element it opens or ends, name), and ("in", element), ("out", element).
+
+    What is never closed stays open to the end; an end tag that nothing answers is passed over.
+    """
+    root = Element()
+    root.block = root
+    now, is_open, at, fresh = root, Counter(), 0, True
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield page[at : m.start()], top[1], top[2], top[3], fresh
+            yield "text", now, page[at : m.start()], fresh
             fresh = False
         at = m.end()
-        tag = m[3]
-        if tag is None:
+        if m[3] is None:
             continue
-        tag = tag.lower()
-        block = tag not in INLINE
+        tag = m[3].lower()
+        block, met, upto = tag not in INLINE, now, now
         if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (block or all(x[0] in INLINE for x in stack[depth:])):
-                del stack[depth:]
-        else:
-            if tag in SELF_CLOSING and stack:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
-                if depth >= 0 and stack[depth][0] == tag:
-                    del stack[depth:]
-            if tag not in VOID and not m[4].rstrip().endswith("/"):
-                above = stack[-1] if stack else ("", (), False, False)
-                keys = _path_keys(tag, m[4])
-                inside = above[3] or tag in ARTICLE_TAGS or ".articlebody" in keys
-                silent = tag in SILENT
-                stack.append((tag, above[1] + keys, above[2] or silent or _aside(tag, keys, m[4], above[3]), inside))
-        top = stack[-1] if stack else ("", (), False, False)
+            if is_open[tag]:
+                end = now
+                while end.tag != tag and (block or end.tag in INLINE):
+                    end = end.above
+                if end.tag == tag:
+                    met, upto = end, end.above
+        elif tag in SELF_CLOSING and now.block.tag == tag:
+            upto = now.block.above
+        while now is not upto:
+            is_open[now.tag] -= 1
+            yield "out", now
+            now = now.above
+        if not m[2] and tag not in VOID and not m[4].rstrip().endswith("/"):
+            now = met = _element(tag, m[4], now)
+            is_open[tag] += 1
+            yield "in", now
         if tag == "br":
-            yield " ", top[1], top[2], top[3], False
+            yield "text", now, " ", False
         fresh = fresh or block and tag != "br"
-        yield tag
+        yield "tag", met, tag
     if at < len(page):
-        yield page[at:], top[1], top[2], top[3], fresh
+        yield "text", now, page[at:], fresh
 
 
-def extract(page: str, weights: Weights) -> str:
-    """The text of the best region: pieces with positive words in it, character references decoded, blocks a space apart."""
-    pieces = list(_pieces(page))
-    marked = any(not isinstance(p, str) and p[3] and not p[2] and not p[0].isspace() for p in pieces)
-    best, best_span, total, start, good = 0.0, (0, 0), 0.0, 0, []
-    for i, p in enumerate(pieces):
-        if isinstance(p, str):
-            total += weights.tags.get(p, weights.tag)
-        else:
-            own = not p[2] and (p[3] if marked else not any(k in weights.keys for k in p[1]))
-            if own:
-                good.append(i)
-            n = len(p[0].split())
-            total += n * (weights.word if own else weights.outside)
-            if marked and n and own:  # the page marks its article: every word of it outweighs the tags between
-                total += 1000.0
+def word_score(element: Element, weights: Weights) -> float:
+    """What a word of the element scores: the log odds of its path, within WORD_LEAST and WORD_MOST."""
+    path = []
+    at = element
+    while at is not None and at.odds is None:
+        path.append(at)
+        at = at.above
+    odds = weights.word if at is None else at.odds
+    for e in reversed(path):
+        e.odds = odds = odds + sum(weights.keys.get(k, 0.0) for k in e.keys)
+    return max(WORD_LEAST, min(WORD_MOST, odds))
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the run with the largest sum, the first of equal ones; (0, 0) if no sum is positive. One scan."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, s in enumerate(scores):
+        total += s
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
-            best, best_span = total, (start, i + 1)
+            best, span = total, (start, i + 1)
+    return span
+
+
+def scored(page: str, weights: Weights) -> tuple[list[tuple], list[float]]:
+    """The page's texts and tags with their scores: a text has its words' score times their number, a tag its own."""
+    pieces = [p for p in walk(page) if p[0] in ("text", "tag")]
+    return pieces, [weights.tags.get(p[2], weights.tag) if p[0] == "tag" else word_score(p[1], weights) * len(p[2].split()) for p in pieces]
+
+
+def extract(page: str, weights: Weights) -> str:
+    """The text of the best run: pieces whose words score positive, character references decoded, blocks a space apart."""
+    pieces, scores = scored(page, weights)
     blocks: list[list[str]] = []
-    broken, own_at = True, set(good)
-    for i in range(*best_span):
-        if isinstance(p := pieces[i], str):
-            continue
-        broken = broken or p[4]
-        if i in own_at:
-            if broken:
-                blocks.append([])
-            blocks[-1].append(p[0])
-            broken = False
+    broken = True
+    for kind, element, value, *begins in pieces[slice(*best_run(scores))]:
+        if kind == "text":
+            broken = broken or begins[0]
+            if not element.aside and word_score(element, weights) > 0:
+                if broken:
+                    blocks.append([])
+                blocks[-1].append(value)
+                broken = False
     return " ".join(t for b in blocks if (t := " ".join(html_lib.unescape("".join(b)).split())))
 
 
 def tally(page: str) -> Counter | None:
-    """Words of each path key within and beside the article, and tags; None if the page does not mark its article."""
-    pieces = list(_pieces(page))
-    if not any(not isinstance(p, str) and p[3] for p in pieces):
-        return None
-    out, inside = Counter(), False
-    for p in pieces:
-        if isinstance(p, str):
-            out[(f"<{p}", inside)] += 1
-            continue
-        inside = p[3] and not p[2]
-        n = len(p[0].split())
-        for k in set(p[1]):
-            out[(k, inside)] += n
-    return out
+    """Words of each key and tags, by whether they are of the labelled article; None if the page labels none.
+
+    A word counts once for a key, however often its path has it: a key counts from where it is first open to where it
+    is open no more, so nesting costs nothing.
+    """
+    out, met, active, since = Counter(), [0, 0], Counter(), {}
+    labelled = False
+
+    def close(key):
+        for own in (False, True):
+            out[key, own] += met[own] - since[key][own]
+
+    for kind, e, *value in walk(page):
+        if kind == "in":
+            for k in e.keys:
+                if not active[k]:
+                    since[k] = tuple(met)
+                active[k] += 1
+        elif kind == "out":
+            for k in e.keys:
+                active[k] -= 1
+                if not active[k]:
+                    close(k)
+        elif kind == "tag":
+            out[f"<{value[0]}", e.labelled and not e.aside] += 1
+        else:
+            own = e.labelled and not e.aside
+            n = len(value[0].split())
+            met[own] += n
+            labelled = labelled or own and n > 0
+    for k, n in active.items():
+        if n:
+            close(k)
+    out["", False], out["", True] = met
+    return out if labelled else None
+
+
+def from_counts(found: dict[str, tuple[int, int]]) -> Weights:
+    """Weights from (words or tags of articles, others) by key: log odds for words, and for tags the share that was beside articles."""
+    odds = lambda a, b: math.log((a + 1) / (b + 1))
+    prior = odds(*found.get("", (1, 0)))
+    keys = {k: odds(a, b) - prior for k, (a, b) in found.items() if k and k[0] != "<" and a + b >= LEAST_WORDS}
+    keys.setdefault(ASIDE, min(-4.0, -2 * abs(prior)))
+    tags = {k[1:]: TAG_MOST - TAG_RANGE * (b + 0.1) / (a + b + 1) for k, (a, b) in found.items() if k[:1] == "<"}
+    return Weights(word=prior, keys=keys, tags=tags)
 
 
 def fit(pages: DataFrame, pages_read: int = LEARNED_PAGES) -> Weights:
     """Weights from pages that label their article themselves, with an article or main element.
 
-    About `pages_read` pages are read, those with the smallest hashes of page_id; Spark counts words by path key and
-    the LEARNED_KEYS most frequent come to the driver. A tag weighs from -0.1, if it is only seen within articles, to
-    -3.1, if only beside them.
+    About `pages_read` pages are read, those with the smallest hashes of page_id; Spark counts words by key and the
+    LEARNED_KEYS most frequent come to the driver.
     """
     rows = pages.select("page_id", "html").where("html is not null and page_id is not null")
     n = rows.select(F.lit(1)).count()
@@ -184,15 +256,12 @@ def fit(pages: DataFrame, pages_read: int = LEARNED_PAGES) -> Weights:
         total = Counter()
         for page in batch.column("html").to_pylist():
             total.update(tally(page) or {})
-        flat = [(k, inside, m) for (k, inside), m in total.items()]
+        flat = [(k, inside, m) for (k, inside), m in total.items() if m]
         return dict(zip(("key", "inside", "n"), (list(x) for x in zip(*flat)))) if flat else None
 
     counted = map_arrow(rows.where(draw < min(1.0, pages_read / max(1, n))).select("html"), count, "key string, inside boolean, n long")
     sums = counted.groupBy("key").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("own"), F.sum("n").alias("all"))
-    found = {r["key"]: (r["own"], r["all"] - r["own"]) for r in sums.orderBy(F.desc("all"), "key").limit(LEARNED_KEYS).collect()}
-    tags = {k[1:]: -0.1 - 3.0 * (b + 0.1) / (a + b + 1) for k, (a, b) in found.items() if k[0] == "<"}
-    keys = frozenset(k for k, (a, b) in found.items() if k[0] == "." and a + b >= LEAST_WORDS and a <= OUTSIDE_SHARE * (a + b))
-    return Weights(tags=tags, keys=keys)
+    return from_counts({r["key"]: (r["own"], r["all"] - r["own"]) for r in sums.orderBy(F.desc("all"), "key").limit(LEARNED_KEYS).collect()})
 
 
 def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
@@ -200,7 +269,8 @@ def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame
 
     A null or empty page, and one without text of its own, has an empty text. Broken markup (elements never closed, a
     page cut off) is read as far as it goes. Repeated pages get equal results; extra columns are ignored; nothing is
-    shuffled, and the weights, whose size their parameters bound, go to the executors.
+    shuffled, and the weights, whose size their parameters bound, go to the executors. Where no page is labelled, words
+    count 1 and asides are known by their names only.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or fit(pages))
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from faultline.llm.html import Weights, extract, extract_pages, fit
+from faultline.llm.html import ASIDE, Weights, best_run, extract, extract_pages, fit, scored
 
 
 def plain(page):
@@ -23,10 +23,50 @@ def test_marked_pages(spark):
 def test_unmarked_pages_with_learned_weights(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     weights = fit(pages)
-    assert weights.tags["li"] < weights.tags["p"] < 0 and ".ad" in weights.keys
-    for r in pages.limit(20).collect():
-        bare = re.sub(r"</?article>", "", r["html"])
-        assert extract(bare, weights) == plain(r["html"])
+    assert weights.tags["li"] < weights.tags["p"] < 0 and weights.keys["p"] > 0 > weights.keys[ASIDE]
+    for r in pages.collect():
+        for opened, closed in (("", ""), ("<div class='wrap'><div>", "</div></div>"), ("<section id=x7>", "</section>")):
+            bare = r["html"].replace("<article>", opened).replace("</article>", closed)
+            assert extract(bare, weights) == plain(r["html"])
+
+
+def every_run(page, weights):
+    """The best run by trying every start and end, from scores worked out anew for each piece."""
+    pieces, scores = scored(page, weights)
+    for p, s in zip(pieces, scores):
+        if p[0] == "text":
+            keys, at = [], p[1]
+            while at is not None:
+                keys += at.keys
+                at = at.above
+            odds = weights.word + sum(weights.keys.get(k, 0.0) for k in keys)
+            assert s == pytest.approx(min(1.0, max(-0.2, odds)) * len(p[2].split()))
+        else:
+            assert s == weights.tags.get(p[2], weights.tag) < 0
+    sums = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
+    return max(sums.values(), default=0.0), scores
+
+
+def test_run_has_the_largest_sum(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    learned = fit(pages)
+    tried = [r["html"][:6000] for r in pages.limit(15).collect()] + ["<p>a b</p><nav>x</nav><p>c d e</p>", "<nav>x</nav>", "<p>a</p><div class=ad>" + "b " * 9 + "</div><p>c d</p>"]
+    for page in tried:
+        for weights in (learned, Weights(), Weights(word=0.1, tag=-2.0)):
+            best, scores = every_run(page, weights)
+            a, b = best_run(scores)
+            assert sum(scores[a:b]) == pytest.approx(max(0.0, best))
+
+
+def test_weights_decide_on_labelled_pages():
+    page = "<body><p>one two three</p><article><p class=zz>four five six seven</p></article></body>"
+    assert extract(page, Weights()) == "one two three four five six seven"
+    assert extract(page, Weights(keys={".zz": -9.0, ASIDE: -4.0})) == "one two three"
+
+
+def test_nesting_costs_no_more_than_its_depth():
+    page = "<div><b>" * 30_000 + "deep words"
+    assert extract(page, Weights(tag=-1e-6)) == "deep words"
 
 
 @pytest.mark.parametrize(
@@ -35,7 +75,7 @@ def test_unmarked_pages_with_learned_weights(spark):
         ("", ""),
         ("<html><body><nav>a b c</nav></body></html>", ""),
         ("<p>Foo<b>bar</b>  baz &lt;x&gt; &amp; q<br>line</p>", "Foobar baz <x> & q line"),
-        ("<div id=cookie-notice>we use cookies</div><main><h1>T</h1><p>one two</p><div class='advert big'>buy</div><aside>s</aside><p>three</p><section class=\"comments\"><p>nice</p></section></main><footer>f</footer>", "T one two three"),
+        ("<div id=cookie-notice>we use cookies</div><main><h1>T</h1><p>one two</p><div class='advert big'>buy</div><aside>s</aside><p>three four five six</p><section class=\"comments\"><p>nice</p></section></main><footer>f</footer>", "T one two three four five six"),
         ("<article><header class='post-header'><h1>Head</h1></header><p>text <a href='x'>link</a> more<form>f <input></form></article>", "Head text link more"),
         ("<article><p>unclosed <b>bold<p>next<script>var t='</p>';</script> end<p cla", "unclosed bold next end"),
         ("<article><p>a<!-- hidden <p> -->b</p><style>p{}</style></article>", "ab"),

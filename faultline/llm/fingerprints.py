@@ -24,6 +24,8 @@ CHAIN = 2
 GRAM, RUNS = 4, 4
 #: Of the chains after other words one in so many, by its hash, is a signature too, for texts in which common words are few or of other languages.
 ALSO = 8
+#: Likeness below this is 0: sets whose lengths or first members rule it out are not compared to the end.
+LEAST_LIKENESS = 0.05
 #: Rows of one ordered run of documents, about; runs at most (the driver knows their bounds); the accuracy of the bounds.
 RUN_ROWS, MAX_RUNS, ACCURACY = 2000, 100_000, 0.001
 
@@ -98,47 +100,74 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard of two sorted sets; 0 as soon as their lengths, or what is left of them, rule out `least`. Two empty sets: 1."""
+def partition_of(length: int, least: float = LEAST_LIKENESS) -> int:
+    """The partition of a set by its length: sets two or more partitions apart cannot reach the likeness `least`."""
+    return int(np.floor(np.log(max(1, length)) / -np.log(least)))
+
+
+def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST_LIKENESS) -> float:
+    """Jaccard of two sorted sets, 0 if it is below `least`. Two empty sets: 1.
+
+    Sets of partitions that lie too far apart are not compared, nor are those whose lengths rule the likeness out. The
+    others are met a part at a time, a quarter of the smaller set at once, and given up as soon as what is
+    left of it cannot reach the likeness any more.
+    """
     if not len(a) and not len(b):
         return 1.0
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < least * len(large) or not len(small):
+    if not len(small) or partition_of(len(large), least) - partition_of(len(small), least) > 1 or len(small) < least * len(large):
         return 0.0
-    if len(small) > 64 and least > 0:  # a first part already shows most of what cannot reach the threshold
-        part = small[: len(small) // 4]
-        most = np.isin(part, large, assume_unique=True).sum() + len(small) - len(part)
+    both, met, step = 0, 0, max(64, len(small) // 4)
+    while met < len(small):
+        part = small[met : met + step]
+        at = np.searchsorted(large, part)
+        both += int((large[np.minimum(at, len(large) - 1)] == part).sum())
+        met += len(part)
+        most = both + len(small) - met
         if most < least * (len(small) + len(large) - most):
             return 0.0
-    both = len(np.intersect1d(small, large, assume_unique=True))
     found = both / (len(small) + len(large) - both)
     return found if found >= least else 0.0
 
 
-def partition_of(length: int, least: float) -> int:
-    """Sets whose lengths lie two or more partitions apart cannot reach the likeness `least`."""
-    return int(np.floor(np.log(max(1, length)) / -np.log(least)))
+class Runs:
+    """Bounds of the runs that documents are dealt to, in the order of (key, place): a key with many rows spans several runs by its texts' places."""
+
+    def __init__(self, keys: list[int]):
+        values, counts = np.unique(np.array(keys, np.int64), return_counts=True)
+        self.keys = np.repeat(values, counts)
+        # of a key that is r bounds at once, the places are cut in r + 1 parts of one size
+        self.cuts = np.concatenate([np.arange(1, r + 1) * ((1 << 32) // (r + 1)) for r in counts.tolist()] or [np.zeros(0, np.int64)]).astype(np.int64)
+
+    def of(self, k: np.ndarray, place: np.ndarray) -> np.ndarray:
+        run = np.searchsorted(self.keys, k, side="left")
+        heavy = np.flatnonzero(np.searchsorted(self.keys, k, side="right") - run > 1)
+        for i in heavy.tolist():
+            end = np.searchsorted(self.keys, k[i], side="right")
+            run[i] += np.searchsorted(self.cuts[run[i] : end], place[i], side="left")
+        return run.astype(np.int32)
+
+
+def _place(text: str):
+    """Where a text stands among those of its doc_id: the order is descending, and the smallest checksum comes first."""
+    return F.lit((1 << 32) - 1) - F.crc32(F.col(text).cast("binary"))
 
 
 def _runs(docs: DataFrame):
-    """Bounds of runs of keys with about RUN_ROWS rows, and for each run the first row of the one after it, descending."""
-    keys = docs.select(key_of("doc_id").alias("k"))
-    n = keys.count()
+    """The runs, of about RUN_ROWS rows, and for each the first row (key, place) of the one after it, descending."""
+    n = docs.count()
     m = min(n // RUN_ROWS, MAX_RUNS)
-    bounds = np.unique(np.array(keys.approxQuantile("k", [i / (m + 1) for i in range(1, m + 1)], min(ACCURACY, 0.2 / (m + 1))) if m else [], np.float64).astype(np.int64))
-    tops = keys.groupBy(_run_of(bounds)(F.col("k")).alias("run")).agg(F.max("k").alias("top")).orderBy("run").collect()
-    heads: dict[int, list[int]] = {}
-    for i, r in enumerate(tops):  # the largest key of a run follows the smallest of the next run up; after the last comes the first
-        heads.setdefault(r["top"], []).append(tops[(i + 1) % len(tops)]["run"])
-    return bounds, heads, len(tops)
-
+    runs = Runs([int(x) for x in docs.approxQuantile("k", [i / (m + 1) for i in range(1, m + 1)], min(ACCURACY, 0.2 / (m + 1)))] if m else [])
 
-def _run_of(bounds: np.ndarray):
     @F.pandas_udf("int")
-    def run(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), side="left").astype(np.int32))
+    def run_of(k: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series(runs.of(k.to_numpy(), place.to_numpy()))
 
-    return run
+    tops = docs.groupBy(run_of("k", "place").alias("run")).agg(F.max(F.struct("k", "place")).alias("top")).orderBy("run").collect()
+    heads: dict[tuple[int, int], list[int]] = {}
+    for i, r in enumerate(tops):  # the largest row of a run follows the smallest of the next run up; after the last comes the first
+        heads.setdefault((r["top"]["k"], r["top"]["place"]), []).append(tops[(i + 1) % len(tops)]["run"])
+    return runs, heads, len(tops)
 
 
 def edited(text: str, following: str) -> str:
@@ -152,28 +181,29 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The next document is that of the next smaller doc_id, after the smallest the largest; a lone document is its own.
     Equal doc_ids are ordered by checksum and text, a null doc_id is the smallest. A null text is empty, and two texts
-    without signatures are alike (1.0). Extra columns are ignored. Texts cross the network once: the runs' bounds come
-    from the keys alone, and the first rows of each run, which its neighbour needs, are sent to both.
+    without signatures are alike (1.0); a likeness below LEAST_LIKENESS is 0. Extra columns are ignored. Texts cross the
+    network once: the runs' bounds come from the keys alone, and the first rows of each run, which its neighbour needs,
+    are sent to both. A doc_id of many rows is dealt to several runs by the checksums of its texts.
     """
-    bounds, heads, runs = _runs(docs)
-    share = docs.sparkSession.sparkContext.broadcast((bounds, heads))
-    slim = docs.select(key_of("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    slim = docs.select(key_of("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("place", _place("text"))
+    runs, heads, n_runs = _runs(slim.select("k", "place"))
+    share = docs.sparkSession.sparkContext.broadcast((runs, heads))
 
     def deal(batches):
-        bounds, heads = share.value
+        runs, heads = share.value
+        keys = np.array(sorted({k for k, _ in heads}), np.int64)
         for b in batches:
-            k = b.column(0).to_numpy(zero_copy_only=False)
-            own = np.searchsorted(bounds, k, side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own), pa.array(np.zeros(len(k), np.int8))], ["k", "text", "run", "guest"])
-            also = [(i, r) for i in np.flatnonzero(np.isin(k, list(heads))) for r in heads[int(k[i])]]
+            k, place = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(runs.of(k, place)), pa.array(np.zeros(len(k), np.int8))], DEALT)
+            also = [(i, r) for i in np.flatnonzero(np.isin(k, keys)).tolist() for r in heads.get((int(k[i]), int(place[i])), ())]
             if also:
                 rows = b.take(pa.array([i for i, _ in also]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([r for _, r in also], pa.int32()), pa.array(np.ones(len(also), np.int8))], ["k", "text", "run", "guest"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([r for _, r in also], pa.int32()), pa.array(np.ones(len(also), np.int8))], DEALT)
 
     def walk(batches):
         held, out = None, []
         for b in batches:
-            for k, text, run, guest in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for k, text, run, guest in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
                 if held and held[2] == run:
                     if held[3]:
                         continue  # a second guest of the run
@@ -188,8 +218,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    dealt = bounded(slim).mapInArrow(deal, "k long, text string, run int, guest byte").repartition(max(1, runs), "run")
-    ordered = dealt.sortWithinPartitions("run", "guest", F.desc("k"), F.crc32(F.col("text").cast("binary")), "text")
+    DEALT = ["k", "text", "place", "run", "guest"]
+    dealt = bounded(slim).mapInArrow(deal, "k long, text string, place long, run int, guest byte").repartition(max(1, n_runs), "run")
+    ordered = dealt.sortWithinPartitions("run", "guest", F.desc("k"), F.desc("place"), "text")
     found = ordered.mapInArrow(walk, "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return found.withColumn("doc_id", unkey("k")).select("doc_id", *found.columns[1:])
 

@@ -1,4 +1,6 @@
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -28,7 +30,7 @@ def test_signatures_and_likeness():
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 300, n).astype(np.uint32)) for n in rng.integers(1, 300, 2))
         exact = len(set(a) & set(b)) / len(set(a) | set(b))
-        assert np.isclose(fp.likeness(a, b), exact)
+        assert np.isclose(fp.likeness(a, b), exact if exact >= fp.LEAST_LIKENESS else 0.0)
         assert np.isclose(fp.likeness(a, b, 0.4), exact if exact >= 0.4 else 0.0)
         if exact >= 0.4:
             assert abs(fp.partition_of(len(a), 0.4) - fp.partition_of(len(b), 0.4)) <= 1
@@ -49,3 +51,51 @@ def test_no_bound_parts_near_copies():
         assert fp.likeness(fp.signatures(text), fp.signatures(text[: size - 10])) > 0.7
     token = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5000))
     assert 0.35 < fp.likeness(fp.signatures(token), fp.signatures(fp.edited(token, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5000))))) < 0.65
+
+
+def plain_spots(text):
+    """The spot signatures of a text as plain tuples: an anchor, the next content words, how often that came before."""
+    words = re.findall(r"\w+", text.lower())
+    seen, out = Counter(), set()
+    for i, w in enumerate(words):
+        if w in fp.ANCHORS:
+            chain = (w, *[x for x in words[i + 1 :] if x not in fp.ANCHORS][: fp.CHAIN])
+            out.add((chain, seen[chain]))
+            seen[chain] += 1
+    return out
+
+
+def test_query_against_plain_spots(docs, texts, monkeypatch):
+    """With nothing but chains after common words (and the one run of characters each text has), the query's likeness is the Jaccard of plain tuples."""
+    monkeypatch.setattr(fp, "ALSO", 1 << 44)
+    monkeypatch.setattr(fp, "RUNS", 1 << 44)
+    monkeypatch.setattr(fp, "RUN_ROWS", 40)
+    ids = sorted(texts, reverse=True)
+    plain = {k: plain_spots(texts[k]) for k in ids}
+    some = 0
+    own = {k: fp.signatures(texts[k]) for k in ids}
+    for k in ids:
+        assert len(plain[k]) <= len(own[k]) <= len(plain[k]) + 1
+    for i, k in enumerate(ids):
+        new = plain_spots(fp.edited(texts[k], texts[ids[(i + 1) % len(ids)]]))
+        a, b = own[k], fp.signatures(fp.edited(texts[k], texts[ids[(i + 1) % len(ids)]]))
+        union = len(plain[k] | new)
+        if union > 40:
+            some += 1
+            assert abs(fp.likeness(a, b, 1e-9) - len(plain[k] & new) / union) <= 2 / union
+    assert some > 20
+
+
+def test_doc_id_of_many_rows(spark, monkeypatch):
+    """A doc_id that holds most rows spans several runs; the next document is still that of a plain sort."""
+    import zlib
+
+    monkeypatch.setattr(fp, "RUN_ROWS", 20)
+    rows = [(7, f"the text number {i} of a document that has many rows and of others") for i in range(400)] + [(i, f"the other text {i}") for i in range(40)] + [(None, "no id")] * 3
+    got = fp.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), zlib.crc32(r[1].encode()), r[1]))
+    want = sorted((k or -1, hashlib.sha256(fp.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(order))
+    assert sorted((r["doc_id"] or -1, r["edited_sha256"]) for r in got) == want
+    runs = fp.Runs([3, 7, 7, 7, 9])
+    at = runs.of(np.array([7] * 8), np.arange(8, dtype=np.int64) << 29)
+    assert sorted(set(at.tolist())) == [1, 2, 3, 4] and (np.diff(at) >= 0).all()

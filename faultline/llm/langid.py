@@ -50,8 +50,11 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return [w for w in _WORDS(text.lower()) if w.isalpha()]
+    """Runs of letters, lower-cased. The pattern takes in numerals that are no digits, such as those of powers: they divide."""
+    found = _WORDS(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in ("".join(c if c.isalpha() else " " for c in f).split() if not f.isalpha() else (f,))]
 
 
 def script_of(word: str) -> str:
@@ -152,9 +155,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     alive = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
-    back = np.zeros((total, k), np.int8)
+    back = np.zeros((total, k), np.int16)
     best = scores[starts[: alive[0]]].copy() if len(alive) else np.zeros((0, k))
-    stay = np.arange(k, dtype=np.int8)
+    stay = np.arange(k, dtype=np.int16)
     ends = np.zeros(len(lengths), np.int64)
     for t in range(1, len(alive)):
         n = alive[t]
@@ -167,7 +170,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
         back[at] = np.where(better, top[:, None], stay)
         best = scores[at] + np.where(better, jump[:, None], best)
     ends[: len(best)] = best.argmax(1) if len(best) else 0
-    labels = np.zeros(total, np.int8)
+    labels = np.zeros(total, np.int16)
     state = np.zeros(len(lengths), np.int64)
     for t in range(len(alive) - 1, -1, -1):
         n = alive[t]
@@ -193,8 +196,11 @@ class Labeller:
         self.rows[i] = self.model.score(word)
         return i
 
-    def label(self, texts: list[str | None]):
-        """For each text: language (und without letters), share of its letters in that language, spans lang:first word:last word + 1."""
+    def label(self, texts: list[str | None], known: bool = False):
+        """For each text: language (und without letters), share of its letters in that language, spans lang:first word:last word + 1.
+
+        known: letters of words about which no language is known (of a script that none uses) are in no language.
+        """
         out, at, most = [], 0, PASS_SCORES // max(1, len(self.model.languages))
         while at < len(texts):
             if len(self.ids) > REMEMBERED:
@@ -207,24 +213,26 @@ class Labeller:
                 sizes += map(len, words)
                 lengths.append(len(words))
                 at += 1
-            out += self._pass(np.array(ids, np.int64), np.array(sizes, np.int64), np.array(lengths, np.int64))
+            out += self._pass(np.array(ids, np.int64), np.array(sizes, np.int64), np.array(lengths, np.int64), known)
         return out
 
-    def _pass(self, ids, sizes, lengths):
+    def _pass(self, ids, sizes, lengths, known):
         names = self.model.languages
         if not names or not len(ids):
             return [("und", 0.0, "")] * len(lengths)
-        labels = viterbi(self.rows[ids], lengths, SWITCH)
+        rows = self.rows[ids]
+        labels = viterbi(rows, lengths, SWITCH)
+        counted = np.where(rows.any(axis=1) | (len(names) == 1), sizes, 0) if known else sizes
         out, start = [], 0
         for n in lengths.tolist():
             if not n:
                 out.append(("und", 0.0, ""))
                 continue
-            own, weight = labels[start : start + n], sizes[start : start + n]
-            shares = np.bincount(own, weights=weight, minlength=len(names))
+            own, weight = labels[start : start + n], counted[start : start + n]
+            shares, letters = np.bincount(own, weights=weight, minlength=len(names)), sizes[start : start + n].sum()
             cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), n]
             best = int(shares.argmax())
-            out.append((names[best], float(shares[best] / shares.sum()), ",".join(f"{names[own[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:]))))
+            out.append((names[best], float(shares[best] / letters), ",".join(f"{names[own[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:]))))
             start += n
         return out
 
@@ -267,13 +275,17 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 1 / 3) -> DataFrame:
-    """The rows, with their columns, whose language is known for at least that share of their letters."""
+    """The rows, with their columns, whose language is known for at least that share of their letters.
+
+    Words of a script that no learned language uses are in no known language, so a text of such words goes, as do
+    texts without letters.
+    """
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     shared, name, at = docs.sparkSession.sparkContext.broadcast(model), model.name, docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            found = labeller_for(name, shared).label(b.column(at).to_pylist())
+            found = labeller_for(name, shared).label(b.column(at).to_pylist(), known=True)
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 
     return bounded(docs).mapInArrow(run, docs.schema)

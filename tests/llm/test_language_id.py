@@ -51,3 +51,29 @@ def test_edges(edge_docs, no_docs, edge_rows):
     assert langid.identify_documents(no_docs).count() == 0
     assert langid.keep_identified(edge_docs).columns == edge_docs.columns
     assert langid.keep_identified(no_docs).count() == 0
+
+
+def test_letters_beside_numerals():
+    assert langid.words_of("m² x½ ²the 3a b_c Ⅷx") == ["m", "x", "the", "a", "b", "c", "x"]
+    assert langid.words_of("no numerals here") == ["no", "numerals", "here"]
+
+
+def test_letters_beside_numerals_have_a_language(spark, docs):
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    rows = [(1, "m²"), (2, "x½"), (3, "²the"), (4, "12 ² ½"), (5, None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[4] == got[5] == "und" and all(got[i] in model.languages for i in (1, 2, 3))
+
+
+def test_texts_of_unknown_scripts_are_not_kept(spark, docs):
+    rows = [(i, r["text"], r["lang"], "s", 1) for i, r in enumerate(docs.where("lang is not null and length(text) > 50").limit(60).collect())]
+    rows += [(1000, "слово за слово идёт и идёт", None, "s", 1), (1001, "αβγ δεζ ηθι", None, "s", 1), (1002, "日本語 のテキスト", None, "s", 1)]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(60))
+
+
+def test_more_languages_than_a_byte_holds():
+    k = 300
+    scores = np.zeros((4, k), np.float32)
+    scores[:, 299] = 1.0
+    assert langid.viterbi(scores, np.array([4]), 1.0).tolist() == [299] * 4

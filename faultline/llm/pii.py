@@ -78,34 +78,40 @@ def confirmed(kind: Kind, value: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, kind: int, pieces: Column, matches: Column) -> Column:
-    """Where each match lies, in code points: the text between matches and the matches add up to the text."""
+def _placed(kind: int, pieces: Column, matches: Column) -> Column:
+    """Where each match lies, in code points: the text between matches and the matches add up to the text.
+
+    near: the last CONTEXT code points so far, handed from match to match, so no match reads the text again.
+    """
     k = KINDS[kind]
+    last = lambda c: F.right(c, F.lit(CONTEXT))
 
     def step(acc, pair):
         start = acc["at"] + F.length(pair["piece"])
         end = start + F.length(pair["match"])
-        near = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
-        score = F.when(near.rlike(k.context), F.lit(k.score + k.raised)).otherwise(F.lit(k.score))
+        near = last(F.concat(acc["near"], last(pair["piece"])))
+        score = F.when(F.lower(near).rlike(k.context), F.lit(k.score + k.raised)).otherwise(F.lit(k.score))
         hit = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"].alias("value"), score.alias("score"))
         good = confirmed(k, pair["match"]) & (F.lit(k.base) | (score >= LEAST_SCORE))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"]).alias("found"))
+        found = F.when(good, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), last(F.concat(near, last(pair["match"]))).alias("near"), found.alias("found"))
 
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("found"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"), F.array().cast(_NONE).alias("found"))
     return F.when(F.size(matches) > 0, F.aggregate(pairs, empty, step)["found"]).otherwise(F.array().cast(_NONE))
 
 
-def find_spans(df: DataFrame, text: str = "text", out: str = "_spans") -> DataFrame:
-    """Adds an array of all spans (start, kind number, end, value, score), by start, then kind. A null text has none."""
-    for i, k in enumerate(KINDS):
-        t = F.col(text)
-        df = df.withColumn(f"_m{i}", F.when(t.rlike(k.needs), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    for i, k in enumerate(KINDS):
-        df = df.withColumn(f"_p{i}", F.when(F.size(f"_m{i}") > 0, F.split(F.col(text), k.pattern, -1)).otherwise(F.array().cast("array<string>")))
-    found = [_placed(F.col(text), i, F.col(f"_p{i}"), F.col(f"_m{i}")) for i in range(len(KINDS))]
-    names = [f"_{c}{i}" for c in "mp" for i in range(len(KINDS))]
-    return df.withColumn(out, F.array_sort(F.concat(*found))).drop(*names)
+def find_spans(df: DataFrame) -> DataFrame:
+    """Columns row and text of the frame with spans: an array of all spans (start, kind number, end, value, score), by start, then kind.
+
+    A null text has none. row: whatever the caller keeps, as one struct, so no name of its can clash with those here.
+    """
+    t, kinds = F.col("text"), range(len(KINDS))
+    none = F.array().cast("array<string>")
+    df = df.select("row", "text", *[F.when(t.rlike(k.needs), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"m{i}") for i, k in enumerate(KINDS)])
+    df = df.select("*", *[F.when(F.size(f"m{i}") > 0, F.split(t, k.pattern, -1)).otherwise(none).alias(f"p{i}") for i, k in enumerate(KINDS)])
+    found = [_placed(i, F.col(f"p{i}"), F.col(f"m{i}")) for i in kinds]
+    return df.select("row", "text", F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def _named(kind: Column) -> Column:
@@ -123,25 +129,24 @@ def detect(docs: DataFrame) -> DataFrame:
     no spans and the digest of no bytes. Repeated rows get equal results, extra columns are ignored, nothing is
     shuffled; a very long text stays one row.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    found = find_spans(slim, "_text").drop("_text")
+    found = find_spans(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text")))
     base = [i for i, k in enumerate(KINDS) if k.base]
-    own = F.filter("_spans", lambda s: s["kind"].isin(base))
-    of_kind = lambda i: F.size(F.filter("_spans", lambda s: s["kind"] == i))
+    own = F.filter("spans", lambda s: s["kind"].isin(base))
+    of_kind = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i))
     counts = [of_kind(i).cast("long").alias(f"n_{KINDS[i].name}") for i in base]
     return found.select(
-        "doc_id",
+        "row.doc_id",
         *counts,
         F.sha2(_listed(own).cast("binary"), 256).alias("base_sha256"),
-        _listed(F.col("_spans")).alias("spans"),
-        F.array_join(F.transform("_spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
+        _listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span of personal data replaced by its kind in brackets; overlapping spans become one.
 
-    All columns stay; n_chars, if there is one, is that of the new text. Null texts stay null.
+    All columns stay, whatever their names; n_chars, if there is one, is that of the new text. Null texts stay null.
     """
     text = F.col("text")
 
@@ -154,7 +159,9 @@ def redact(docs: DataFrame) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(F.col("_spans"), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    marked = find_spans(docs).withColumn("_clean", F.when(F.size("_spans") > 0, whole).otherwise(text))
-    columns = [F.col("_clean").alias("text") if c == "text" else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return marked.select(*columns)
+    whole = F.aggregate(F.col("spans"), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    kept = F.struct(*rest) if rest else F.struct(F.lit(None).cast("string").alias("none"))
+    marked = find_spans(docs.select(kept.alias("row"), "text")).select("row", F.when(F.size("spans") > 0, whole).otherwise(text).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return marked.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

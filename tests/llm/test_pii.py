@@ -57,3 +57,20 @@ def test_native_and_edges(edge_docs, no_docs, edge_rows):
     assert clean.columns == edge_docs.columns
     by = {r["k"]: r for r in clean.collect()}
     assert by["k11"]["text"] == "mail [EMAIL] or [PHONE], [IP]" and by["k0"]["text"] is None and by["k11"]["n_chars"] == len(by["k11"]["text"])
+
+
+def test_names_that_clash(spark):
+    """Columns named like those of any step stay as they are."""
+    df = spark.createDataFrame([(1, "to a@b.co", "z", "y", "x", "w", 9)], "doc_id long, text string, m0 string, _p0 string, row string, spans string, n_chars int")
+    r = pii.redact(df).first()
+    assert tuple(r) == (1, "to [EMAIL]", "z", "y", "x", "w", len("to [EMAIL]"))
+    assert pii.redact(df.select("text")).first()["text"] == "to [EMAIL]"
+
+
+def test_context_is_seen_across_matches(spark):
+    """The last 40 code points count, whatever other matches lie in them."""
+    for gap, raised in ((5, True), (60, False)):
+        text = "card +1 234 567 8901 " + "." * gap + " 4111111111111111"
+        df = pii.find_spans(spark.createDataFrame([(text,)], "text string").selectExpr("struct(1 as k) row", "text"))
+        card = next(s for s in df.first()["spans"] if s["kind"] == 2 and s["value"].startswith("4111"))
+        assert (card["score"] > 0.75) == raised

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,21 +21,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a folder of our own where it is unset (local runs)."""
+    """The folder in spark.checkpoint.dir, which all executors see.
+
+    Where it is unset a local run gets a folder of its own; on a cluster that would be a folder for each machine, so
+    there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Folders written by this driver and not yet released, oldest first.
+_WRITTEN: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str = "") -> str:
+    path = f"{shared_dir(spark)}/faultline/{name}{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: the lineage is cut, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/faultline/{uuid.uuid4().hex}"
+    """Write the rows to the shared folder and read them back: the lineage is cut, and a lost executor loses nothing.
+
+    The folder stays until `release`, as results are read from it when they are asked for.
+    """
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders written since, once every result that reads them has been written or collected."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
+    while len(_WRITTEN) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is written within is deleted at the end: for work whose result has been written elsewhere by then."""
+    since = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def key_of(column: str):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 
@@ -47,10 +85,18 @@ def bounded(df: DataFrame) -> DataFrame:
     """The frame, after its session's batches to Python have been held to BATCH_ROWS rows, so that long texts fit a worker."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "0") or 0) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+        conf.set(name, str(BATCH_ROWS))  # read when the plan is made, so it has to stay
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column has it (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn: an Arrow batch to a dict of columns (or None); run over the batches of each partition."""
     names = [f.strip().split()[0] for f in schema.split(",")]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, key_of, map_arrow, materialize, unkey
+from .common import bounded, free_name, key_of, map_arrow, materialize, unkey
 from .components import components
 
 #: Words of a shingle; two documents are linked if DENOMINATOR * intersection >= NUMERATOR * union.
@@ -465,6 +465,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id stay or go together.
     """
-    keyed = docs.withColumn("_k", key_of("doc_id"))
-    gone = near_groups(keyed.select(F.col("_k").alias("k"), "text")).where("k <> root").select(F.col("k").alias("_k")).distinct()
-    return keyed.join(gone, "_k", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    k = free_name(docs, "k")
+    keyed = docs.withColumn(k, key_of("doc_id"))
+    gone = near_groups(keyed.select(F.col(k).alias("k"), "text")).where("k <> root").select(F.col("k").alias(k)).distinct()
+    return keyed.join(gone, k, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from faultline.llm import minhash
 
@@ -82,6 +83,26 @@ def test_crowd_around_one_text(spark):
     assert {r["component_id"] for r in minhash.group_documents(df).collect()} == {1}
 
 
+@pytest.mark.parametrize("size, seed", [(400, 1), (1000, 3)])
+def test_crowds_at_the_threshold(spark, size, seed):
+    """Texts of 120 words with three words of their own each: about 0.75 alike, any two of them."""
+    rnd = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(size):
+        w = list(base)
+        for at in rnd.choice(120, 3, replace=False):
+            w[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.group_documents(df).collect()} == brute(rows)
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "z", "y"), (2, "a b c d e f", "v", "u")], "doc_id long, text string, k string, _k string")
+    assert [tuple(r) for r in minhash.drop_near_duplicates(df).collect()] == [(1, "a b c d e f", "z", "y")]
+
+
 def test_crowds_against_brute_force(spark):
     rows = list(enumerate(crowd(2, 150)[1:] + crowd(3, 150)))  # the first crowd without the text in its middle
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -62,13 +63,24 @@ def pack_block(sizes: list[int], sources: list, clusters: list, capacity: int) -
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, first_word, n_words, bin, bin_start, source.
+_WORD = re.compile(r"\S+")
+
+
+def cut_text(text: str | None, capacity: int) -> list[str | None]:
+    """The text's pieces of `capacity` words; each begins with its first word (the first: with the text), so they add up to the text."""
+    if not text or len(text) <= capacity:
+        return [text]
+    starts = [m.start() for i, m in enumerate(_WORD.finditer(text)) if i and i % capacity == 0]
+    return [text[a:b] for a, b in zip([0, *starts], [*starts, len(text)])]
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, with_text: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, first_word, n_words, bin, bin_start, source; with_text: and the piece's text.
 
     Documents of more than `capacity` words are cut into pieces of it and a rest. No bin holds two pieces of one
     source or two of one duplicate cluster (equal texts); a null source or text conflicts with none. A document
     without words is a piece of no words and has a bin all the same. Repeated rows are pieces of their own; extra
-    columns are ignored. Pieces, without texts, are dealt by hash of document and piece and packed in blocks of all
+    columns are ignored. Pieces, without texts unless they are asked for, are dealt by hash of document and piece and packed in blocks of all
     sizes, so no task or bin list holds a source or cluster whole.
     """
     slim = docs.select(
@@ -85,6 +97,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         own = np.minimum(capacity, words[row] - piece * capacity)
         taken = {c: batch.column(c).take(pa.array(row)) for c in ("doc_id", "source", "cluster")}
+        if with_text:
+            taken["text"] = pa.array([t for text in batch.column("text").to_pylist() for t in cut_text(text, capacity)], pa.string())
         return taken | {"piece": piece.astype(np.int32), "n_words": own}
 
     def pack_partition(batches):
@@ -95,9 +109,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 b = table.slice(at, BLOCK_PIECES)
                 placed = pack_block(b["n_words"].to_pylist(), b["source"].to_pylist(), b["cluster"].to_pylist(), capacity)
                 bins, starts = (np.array(x, np.int64) for x in zip(*placed))
-                doc_id, piece, words, source = (b[c].combine_chunks() for c in ("doc_id", "piece", "n_words", "source"))
+                doc_id, piece, words, source, *text = (b[c].combine_chunks() for c in ("doc_id", "piece", "n_words", "source", *TEXT))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id, piece, pa.array(piece.to_numpy().astype(np.int64) * capacity), words, pa.array(bins + base), pa.array(starts), source], NAMES
+                    [doc_id, piece, pa.array(piece.to_numpy().astype(np.int64) * capacity), words, pa.array(bins + base), pa.array(starts), source, *text], NAMES
                 )
                 base += int(bins.max()) + 1
 
@@ -113,10 +127,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if n:
             yield from flush(pa.Table.from_batches(held))
 
-    names = "doc_id long, piece int, first_word long, n_words long, bin long, bin_start long, source string"
+    TEXT = ["text"] if with_text else []
+    names = "doc_id long, piece int, first_word long, n_words long, bin long, bin_start long, source string" + ", text string" * with_text
     NAMES = [x.split()[0] for x in names.split(", ")]
-    pieces = map_arrow(slim, measure, "doc_id long, source string, cluster long, piece int, n_words long")
+    pieces = map_arrow(slim, measure, "doc_id long, source string, cluster long, piece int, n_words long" + ", text string" * with_text)
     parts = max(1, docs.select(F.lit(1)).count() // PARTITION_PIECES)
     dealt = pieces.repartition(parts, F.xxhash64("doc_id", "piece"))
     ordered = dealt.sortWithinPartitions(F.xxhash64(F.lit("order"), "doc_id", "piece"), "doc_id", "piece", "n_words", "cluster", "source")
-    return ordered.select("doc_id", "piece", "n_words", "source", "cluster").mapInArrow(pack_partition, names)
+    return ordered.select("doc_id", "piece", "n_words", "source", "cluster", *TEXT).mapInArrow(pack_partition, names)

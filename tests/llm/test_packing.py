@@ -55,3 +55,26 @@ def test_blocks_hold_all_sizes(spark):
     df = spark.range(10_000).select(F.col("id").alias("doc_id")).withColumn("text", F.concat(F.col("doc_id").cast("string"), F.repeat(F.lit(" a"), words - 1)))
     found = packing.pack(df.withColumn("source", F.lit(None).cast("string"))).agg(F.countDistinct("bin"), F.sum("n_words")).first()
     assert found[1] == 5_000_000 and found[0] <= 1.06 * found[1] / packing.CAPACITY
+
+
+def test_pieces_carry_their_text(edge_docs, edge_rows):
+    rows = packing.pack(edge_docs, 50, with_text=True).collect()
+    parts = defaultdict(list)
+    for r in rows:
+        assert r["n_words"] == len((r["text"] or "").split())
+        parts[r["doc_id"], r["first_word"]].append(r["text"])
+    for key in (3, 5, 6, 7, 9):
+        whole = [parts[k] for k in sorted(p for p in parts if p[0] == key)]
+        texts = [r[1] for r in edge_rows if r[0] == key]
+        if len(texts) == 1:
+            assert "".join(w[0] for w in whole) == texts[0]
+
+
+def test_bins_against_one_block(spark):
+    """Blocks cost 1 % of the bins of one best fit over all pieces, at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = packing.pack(docs).select("n_words", "source", "doc_id", "bin").collect()
+    assert len(rows) > 2 * packing.BLOCK_PIECES
+    cluster = {r["doc_id"]: r["c"] for r in docs.select("doc_id", F.xxhash64("text").alias("c")).collect()}
+    one = packing.pack_block([r["n_words"] for r in rows], [r["source"] for r in rows], [cluster[r["doc_id"]] for r in rows], packing.CAPACITY)
+    assert len({r["bin"] for r in rows}) <= 1.01 * (1 + max(b for b, _ in one))

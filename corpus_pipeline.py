@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from faultline.llm import langid, minhash, packing, pii, suffix
-from faultline.llm.common import shared_dir, table
+from faultline.llm.common import new_folder, scratch, table
 
 
 def language_id(spark, docs, sf_dir):
@@ -29,8 +27,8 @@ def redact_pii(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    """Packs the documents into bins of words; source and duplicate cluster conflict within a bin."""
-    return packing.pack(docs)
+    """Packs the documents into bins of words, each piece with its text; source and duplicate cluster conflict within a bin."""
+    return packing.pack(docs, with_text=True)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("repeat_dedup", repeat_dedup), ("redact_pii", redact_pii), ("pack", pack)]
@@ -40,9 +38,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The packed pieces of the cleaned documents, with their texts.
+
+    Each stage's rows are written as Parquet and read again; a stage's own folders go once it is written. The stages'
+    folders stay, as the result reads the last of them: `faultline.llm.common.release(spark)` deletes them after it has been used.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/faultline/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = new_folder(spark, f"{name}-")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 #: Cells that mean true, and anomaly types that mean there is no anomaly.
 TRUE_CELLS = ("1", "true", "yes", "y")
 NOT_ANOMALOUS = ("", "good", "normal", "none", "unknown", "no_label", "unlabeled")
-#: Endings of an entity name and the label they imply, tried in order.
+#: Endings of an entity name and the label they imply, tried in order, and the label of all other names.
 SUFFIX_LABELS = (
-    ("Cause", "RootCause"),
-    ("Defect", "AnomalyType"),
-    ("Fault", "AnomalyType"),
-    ("Anomaly", "AnomalyType"),
+    ("Object", "Object"),
+    ("Defect", "Defect"),
     ("Pattern", "Pattern"),
     ("Morphology", "Morphology"),
     ("Location", "Location"),
+    ("Cause", "CandidateCause"),
+    ("Mechanism", "Mechanism"),
+    ("Evidence", "EvidenceSource"),
+    ("Fault", "Fault"),
+    ("ProcessUnit", "ProcessUnit"),
     ("Unit", "ProcessUnit"),
     ("Variable", "Variable"),
-    ("Event", "LogEvent"),
-    ("Object", "Object"),
+    ("Anomaly", "Anomaly"),
 )
+OTHER_LABEL = "Concept"
 
 
 def normalize(c: Column) -> Column:
@@ -65,8 +68,8 @@ def pascal(c: Column) -> Column:
     return F.when(joined == "", F.lit("Entity")).when(joined.rlike("^[0-9]"), F.concat(F.lit("Entity"), joined)).otherwise(joined)
 
 
-def label_of(c: Column, default: str = "Entity") -> Column:
-    out = F.lit(default)
+def label_of(c: Column) -> Column:
+    out = F.lit(OTHER_LABEL)
     for ending, label in reversed(SUFFIX_LABELS):
         out = F.when(F.endswith(c, F.lit(ending)), F.lit(label)).otherwise(out)
     return out

@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, pascal
+from .lineage import cut
 
-#: Size and overlap of a chunk, and tail labels that a relation allows.
+#: Size and overlap of a chunk, and labels of a tail that a relation allows.
 CHUNK, OVERLAP, LEAST = 8000, 800, 1000
-TAIL_LABELS = {"OCCURS_ON": ("Object",), "HAS_LOCATION": ("Location", "ProcessUnit"), "BELONGS_TO_UNIT": ("ProcessUnit",), "PART_OF": ("Location", "ProcessUnit"), "HAS_PLAUSIBLE_CAUSE": ("RootCause", "Mechanism")}
+TAIL_LABELS = {
+    "HAS_ANOMALY": ("Anomaly", "Defect", "Pattern"),
+    "HAS_DEFECT": ("Defect", "Anomaly"),
+    "HAS_PATTERN": ("Pattern",),
+    "HAS_MORPHOLOGY": ("Morphology",),
+    "OCCURS_ON": ("Location", "Object", "ProcessUnit"),
+    "HAS_VARIABLE": ("Variable",),
+    "AFFECTS_VARIABLE": ("Variable",),
+    "BELONGS_TO_UNIT": ("ProcessUnit",),
+    "INDICATES": ("Fault", "CandidateCause", "Mechanism", "Anomaly"),
+    "POSSIBLY_CAUSES": ("Fault", "CandidateCause", "Mechanism", "Anomaly", "Defect", "Pattern"),
+    "HAS_PLAUSIBLE_CAUSE": ("CandidateCause", "Fault", "Mechanism"),
+    "SUGGESTS_MECHANISM": ("Mechanism",),
+    "REQUIRES_EVIDENCE": ("EvidenceSource", "Variable"),
+}
 
 
 def spans(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -58,28 +73,35 @@ def relation_lines(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def dedupe_cards(cards: DataFrame) -> DataFrame:
-    """One card for each (scenario, claim), numbered in their order; the first unit stands for it."""
+    """One card for each (scenario, claim), numbered in their order; the first unit stands for it.
+
+    Cards are range-partitioned in their order and each partition is numbered on its own, from where the ones before it
+    end, so no task holds a scenario whole.
+    """
     key = normalize(F.col("claim"))
     one = cards.withColumn("claim_key", key).where("claim_key <> ''").groupBy("scenario", "claim_key").agg(F.min_by("claim", "unit_id").alias("claim"), F.min("unit_id").alias("unit_id"), F.count("*").alias("copies"))
-    sizes = one.groupBy("scenario").count()
-    start = Window.orderBy("scenario").rowsBetween(Window.unboundedPreceding, -1)  # a row for each scenario
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("count").over(start), F.lit(0))).drop("count")
-    nth = F.row_number().over(Window.partitionBy("scenario").orderBy("claim_key"))
-    return one.withColumn("_n", nth).join(F.broadcast(offsets), "scenario").withColumn("card_id", F.format_string("card_%04d", F.col("_n") + F.col("_before"))).drop("_n", "_before")
+    dealt = cut(one.repartitionByRange("scenario", "claim_key").withColumn("_run", F.spark_partition_id()))
+    start = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = dealt.groupBy("_run").count().withColumn("_before", F.coalesce(F.sum("count").over(start), F.lit(0))).drop("count")
+    nth = F.row_number().over(Window.partitionBy("_run").orderBy("scenario", "claim_key"))
+    return dealt.withColumn("_n", nth).join(F.broadcast(offsets), "_run").withColumn("card_id", F.format_string("card_%04d", F.col("_n") + F.col("_before"))).drop("_n", "_before", "_run")
 
 
 def upsert_entities(rows: DataFrame) -> DataFrame:
     """One entity for each (name, scenario): the first spelling, all aliases and cards; its id in Pascal case.
 
-    Where two scenarios have the same id, all but the first take their scenario as a prefix.
+    Where two scenarios have the same id, all but the first take their scenario as a prefix; where that is taken too, all
+    but the first take six digits of the hash of their name and scenario as well.
     """
     key = normalize(F.col("name"))
     out = rows.withColumn("name_key", key).where("name_key <> ''").groupBy("name_key", "scenario").agg(
         F.min_by("name", "card_id").alias("name"), F.array_sort(F.collect_set("card_id")).alias("cards"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases")
     )
-    base = pascal(F.col("name"))
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy("scenario", "name_key"))
-    return out.withColumn("_id", base).withColumn("_n", nth).withColumn("id", F.when(F.col("_n") == 1, F.col("_id")).otherwise(F.concat(F.initcap("scenario"), "_id"))).drop("_id", "_n")
+    nth = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("scenario", "name_key"))
+    prefix = F.when(F.col("scenario") == "shared", "Shared").otherwise(pascal(F.col("scenario")))
+    out = out.withColumn("_id", pascal(F.col("name"))).withColumn("_n", nth("_id")).withColumn("_id", F.when(F.col("_n") == 1, F.col("_id")).otherwise(F.concat(prefix, "_id")))
+    digest = F.substring(F.sha1(F.concat_ws("|", "name_key", "scenario")), 1, 6)
+    return out.withColumn("_n", nth("_id")).withColumn("id", F.when(F.col("_n") == 1, F.col("_id")).otherwise(F.concat("_id", digest))).drop("_id", "_n")
 
 
 def upsert_edges(rows: DataFrame) -> DataFrame:
@@ -89,12 +111,12 @@ def upsert_edges(rows: DataFrame) -> DataFrame:
 
 
 def wrong_types(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose tail has a label that the relation does not allow, and self edges."""
+    """Edges whose tail has a label that the relation does not allow, or is no node at all, and self edges."""
     labels = nodes.select(F.col("id").alias("tail"), F.col("label").alias("tail_label"))
     bad = F.lit(False)
     for relation, allowed in TAIL_LABELS.items():
-        bad = bad | ((F.col("relation") == relation) & ~F.col("tail_label").isin(*allowed))
-    return edges.join(labels, "tail").where(bad | (F.col("head") == F.col("tail")))
+        bad = bad | ((F.col("relation") == relation) & ~F.coalesce(F.col("tail_label").isin(*allowed), F.lit(False)))
+    return edges.join(labels, "tail", "left").where(bad | (F.col("head") == F.col("tail")))
 
 
 def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:

@@ -6,77 +6,165 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import text_or_null, token
+from ..functions.text import clamp, text_list, text_or_null, token
 from . import imaging
 
-#: The names under which producers give each field, first to last.
+#: The names under which the producers of each dataset give each field, first to last.
 ALIASES = {
-    "object": ("object", "object_name", "category", "product"),
-    "anomaly_type": ("anomaly_type", "defect_type", "failure_pattern", "predicted_pattern", "fault_type", "label"),
-    "location": ("location", "zone", "region", "unit"),
-    "morphology": ("morphology", "shape"),
-    "severity": ("severity", "defect_density"),
-    "confidence": ("confidence", "score", "classification_confidence", "pred_score"),
+    "mvtec": {
+        "case_id": ("case_id", "sample_id", "image_id", "record_id", "id"),
+        "object": ("object", "object_name", "category", "class_name", "product"),
+        "anomaly_type": ("anomaly_type", "defect_type", "defect", "label", "class_label"),
+        "location": ("location", "region", "surface"),
+        "morphology": ("morphology", "shape", "pattern"),
+        "severity": ("severity", "anomaly_score"),
+        "confidence": ("confidence", "score", "pred_score", "detector_score", "anomaly_score"),
+        "description": ("description", "caption"),
+    },
+    "tep": {
+        "case_id": ("case_id", "sample_id", "record_id", "run_id", "id"),
+        "object": ("object", "process_object", "process"),
+        "anomaly_type": ("anomaly_type", "fault_type", "fault", "label"),
+        "location": ("location", "process_unit", "unit", "process_location"),
+        "morphology": ("morphology", "trend", "trend_shape", "pattern"),
+        "severity": ("severity", "fault_severity", "anomaly_score"),
+        "confidence": ("confidence", "score"),
+        "variables": ("variables", "variable_names", "abnormal_variables", "tags", "sensors"),
+        "contributions": ("variable_contributions", "contributions", "attribution", "variable_scores", "contribution_scores"),
+        "description": ("description", "caption"),
+    },
+    "wafer": {
+        "case_id": ("case_id", "sample_id", "record_id", "wafer_id", "id"),
+        "object": ("object", "wafer_object", "wafer"),
+        "anomaly_type": ("anomaly_type", "defect_type", "defect", "defect_class", "failure_pattern", "label"),
+        "location": ("location", "wafer_location", "die_location", "zone"),
+        "morphology": ("morphology", "pattern", "defect_pattern", "shape"),
+        "severity": ("severity", "defect_severity", "anomaly_score"),
+        "confidence": ("confidence", "score"),
+        "log_events": ("log_events", "events", "alarms", "alarm_events"),
+        "variables": ("variables", "process_variables", "sensors"),
+        "contributions": ("variable_contributions", "contributions", "variable_scores"),
+        "description": ("description", "caption"),
+    },
 }
+#: What stands for a missing case, object and anomaly type of each dataset, and the source it has by default.
+DEFAULTS = {"mvtec": ("mvtec_unknown", "unknown", "unknown", "image"), "tep": ("tep_unknown", "process", "unknown", "time_series"), "wafer": ("wafer_unknown", "wafer", "unknown", "multimodal")}
+#: Columns that make up the time window of a case.
+WINDOW_FIELDS = ("window", "window_start", "window_end", "sample_index", "timestep")
 #: Facets of canonical observations in their order, and sources and keys that evidence may hold.
-FACETS = ("object", "anomaly_type", "location", "morphology", "variable", "severity", "confidence")
+FACETS = ("object", "anomaly_type", "location", "morphology", "variable", "log_event", "severity", "confidence")
 REASONING_FACETS = ("anomaly_type", "location", "log_event", "morphology", "object", "variable")
 SOURCES = ("image", "time_series", "log", "multimodal", "unknown")
-FORBIDDEN = ("root_cause", "root_causes", "ranked_root_causes", "top_k_paths", "linked_entities", "consistency_score", "correction_candidates", "kg_analysis")
+FORBIDDEN = ("root_cause", "root_causes", "candidate_root_cause", "candidate_root_causes", "ranked_causes", "ranked_root_causes", "top_k_paths", "kg_analysis")
 
 
-def first_of(df: DataFrame, names: tuple[str, ...], numeric: bool = False) -> Column:
-    """The first of the columns that the records have and that is not null (for text: not blank)."""
-    found = [F.col(n).cast("double") if numeric else text_or_null(F.col(n).cast("string")) for n in names if n in df.columns]
-    return F.coalesce(*found) if found else F.lit(None).cast("double" if numeric else "string")
+def first_of(df: DataFrame, names: tuple[str, ...]) -> Column:
+    """The first of the columns that the records have and that is not null, as text."""
+    found = [F.col(n).cast("string") for n in names if n in df.columns]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def adapt(records: DataFrame, default_source: str) -> DataFrame:
-    """Evidence fields of records, whatever aliases they use; geometry stands in for a missing location, shape or severity.
+def first_list(df: DataFrame, names: tuple[str, ...]) -> Column:
+    """The first of the list columns that is not null, its blank elements left out; text is divided at commas."""
+    found = [F.col(n) if df.schema[n].dataType.typeName() == "array" else text_list(F.col(n), ",") for n in names if n in df.columns]
+    first = F.coalesce(*found) if found else F.lit(None).cast("array<string>")
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.filter(F.transform(first, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), none)
 
+
+def contributions_of(df: DataFrame, names: tuple[str, ...], variables: Column) -> Column:
+    """The first of the map columns that is not null; a list of numbers goes by the variables' order."""
+    none = F.create_map().cast("map<string,double>")
+    found = []
+    for n in names:
+        if n in df.columns:
+            kind = df.schema[n].dataType.typeName()
+            one = F.col(n).cast("map<string,double>") if kind == "map" else F.map_from_entries(F.filter(F.arrays_zip(variables.alias("k"), F.col(n).cast("array<double>").alias("v")), lambda x: x["k"].isNotNull() & x["v"].isNotNull()))
+            found.append(F.when(F.col(n).isNotNull(), one))
+    return F.coalesce(*found, none) if found else none
+
+
+def adapt(records: DataFrame, dataset: str) -> DataFrame:
+    """Evidence fields of a dataset's records, whatever names its producers use.
+
+    Geometry stands in for a missing location, shape or severity of images, a map's descriptors for those of wafers.
     valid: confidence and severity lie in the unit interval; invalid rows are kept, for quarantine.
     """
-    text = {f: first_of(records, ALIASES[f]) for f in ("object", "anomaly_type", "location", "morphology")}
-    number = {f: first_of(records, ALIASES[f], True) for f in ("severity", "confidence")}
-    has = set(records.columns)
-    if {"centroid_x", "centroid_y"} <= has:
-        text["location"] = F.coalesce(text["location"], imaging.mask_location(F.col("centroid_x"), F.col("centroid_y")))
-    if {"eccentricity", "aspect_ratio", "component_count", "area_ratio"} <= has:
-        text["morphology"] = F.coalesce(text["morphology"], imaging.mask_morphology(*[F.col(c) for c in ("eccentricity", "aspect_ratio", "component_count", "area_ratio")]))
-        number["severity"] = F.coalesce(number["severity"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("area_ratio"))))
-    source = F.col("source") if "source" in has else F.lit(None).cast("string")
-    known = F.when(source.isin(*SOURCES), source).otherwise(F.lit(default_source))
+    names, has = ALIASES[dataset], set(records.columns)
+    case, thing, kind, default = DEFAULTS[dataset]
+    named = lambda f, otherwise=None: F.coalesce(text_or_null(first_of(records, names[f])), F.lit(otherwise)) if otherwise else text_or_null(first_of(records, names[f]))
+    number = {f: F.nullif(first_of(records, names[f]), F.lit("")).try_cast("double") for f in ("severity", "confidence")}
+    location, morphology = named("location"), named("morphology")
+    if dataset == "mvtec" and {"centroid_x", "centroid_y"} <= has:
+        location = F.coalesce(location, imaging.mask_location(F.col("centroid_x"), F.col("centroid_y")))
+    if dataset == "mvtec" and {"eccentricity", "aspect_ratio", "component_count", "area_ratio"} <= has:
+        morphology = F.coalesce(morphology, imaging.mask_morphology(*[F.col(c) for c in ("eccentricity", "aspect_ratio", "component_count", "area_ratio")]))
+        number["severity"] = F.coalesce(number["severity"], clamp(F.col("area_ratio")))
+    if dataset == "wafer" and {"density", "x_norm", "y_norm", "components"} <= has:
+        pattern = imaging.canonical_pattern(first_of(records, names["anomaly_type"]))
+        location = F.coalesce(location, imaging.wafer_location(pattern, F.col("density"), F.col("x_norm"), F.col("y_norm")))
+        morphology = F.coalesce(morphology, imaging.wafer_morphology(pattern, F.col("density"), F.col("components")))
+    source = F.trim(F.col("source")) if "source" in has else F.lit(None).cast("string")
     unit = lambda c: c.isNull() | c.between(0, 1)
+    variables = first_list(records, names.get("variables", ()))
+    window = [F.col(c).cast("string").alias(c) for c in WINDOW_FIELDS if c in has]
     return records.select(
-        "case_id",
-        *[c.alias(f) for f, c in text.items()],
+        named("case_id", case).alias("case_id"),
+        F.lit(dataset).alias("dataset"),
+        F.when(source.isin(*SOURCES), source).otherwise(F.lit(default)).alias("source"),
+        named("object", thing).alias("object"),
+        named("anomaly_type", kind).alias("anomaly_type"),
+        location.alias("location"),
+        morphology.alias("morphology"),
         *[c.alias(f) for f, c in number.items()],
-        known.alias("source"),
+        variables.alias("variables"),
+        contributions_of(records, names.get("contributions", ()), variables).alias("variable_contributions"),
+        first_list(records, names.get("log_events", ())).alias("log_events"),
+        named("description").alias("description"),
+        (F.when(F.coalesce(*window).isNotNull(), F.to_json(F.struct(*window))) if dataset == "tep" and window else F.lit(None).cast("string")).alias("time_window"),
         (unit(number["severity"]) & unit(number["confidence"])).alias("valid"),
     )
 
 
-def observations(evidence: DataFrame, variables: str | None = None) -> DataFrame:
-    """case_id, ord, facet, name, obs_id: an observation for every field present, variables in their order.
+_OBSERVATION = "struct<facet:string,name:string,value:double,value_type:string,rank:int,raw_ref:string,timed:boolean>"
+
+
+def observations(evidence: DataFrame) -> DataFrame:
+    """case_id, ord, facet, name, obs_id, value, value_type, rank, confidence, raw_ref, time_window of every observation.
 
-    evidence: case_id and the fields; variables: an array column. A repeated (facet, name) gets a numbered id.
+    evidence: what `adapt` gives, or case_id and some of its fields. A variable's value is its contribution, its rank
+    its place; severity and confidence are observed by their values. A repeated (facet, name) gets a numbered id.
     """
-    parts = []
-    for facet in FACETS:
-        if facet == "variable":
-            if variables:
-                parts.append(F.transform(F.coalesce(variables, F.array().cast("array<string>")), lambda v: F.struct(F.lit("variable").alias("facet"), v.alias("name"))))
-        elif facet in evidence.columns:
-            name = F.col(facet).cast("string")
-            parts.append(F.when(name.isNotNull(), F.array(F.struct(F.lit(facet).alias("facet"), name.alias("name")))).otherwise(F.array().cast("array<struct<facet:string,name:string>>")))
-    rows = evidence.select("case_id", F.posexplode(F.concat(*parts)).alias("ord", "o")).select("case_id", "ord", "o.facet", "o.name")
+    has = set(evidence.columns)
+    none = F.array().cast(f"array<{_OBSERVATION}>")
+
+    def one(facet, name, value=None, value_type=None, rank=None, ref=None, timed=False):
+        fields = (F.lit(facet), name, value if value is not None else F.lit(None), value_type if value_type is not None else F.lit(None), rank if rank is not None else F.lit(None), ref if ref is not None else F.lit(facet), F.lit(timed))
+        return F.struct(*[c.alias(n) for c, n in zip(fields, ("facet", "name", "value", "value_type", "rank", "raw_ref", "timed"))]).cast(_OBSERVATION)
+
+    def listed(column, facet):
+        def each(x, i):
+            value = F.col("variable_contributions")[x] if facet == "variable" and "variable_contributions" in has else F.lit(None).cast("double")
+            return one(facet, x, value, F.when(value.isNotNull(), "contribution"), i + 1, F.concat(F.lit(f"raw_evidence.{column}["), i.cast("string"), F.lit("]")), facet == "variable")
+
+        return F.coalesce(F.transform(F.col(column), each), none)
+
+    parts = [F.when(F.col(f).isNotNull(), F.array(one(f, F.col(f).cast("string")))).otherwise(none) for f in FACETS[:4] if f in has]
+    parts += [listed(c, f) for c, f in (("variables", "variable"), ("log_events", "log_event")) if c in has]
+    for f, name in (("severity", "severity"), ("confidence", "adapter_confidence")):
+        if f in has:
+            parts.append(F.when(F.col(f).isNotNull(), F.array(one(f, F.lit(name), F.col(f), F.lit("float"), timed=True))).otherwise(none))
+    kept = [F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in (("confidence", "double"), ("time_window", "string"))]
+    rows = evidence.select("case_id", *kept, F.posexplode(F.concat(*parts)).alias("ord", "o"))
+    rows = rows.select("case_id", "ord", *[f"o.{c}" for c in ("facet", "name", "value", "value_type", "rank", "raw_ref")], "confidence", F.when(F.col("o.timed"), F.col("time_window")).alias("time_window"))
     return with_observation_ids(rows)
 
 
 def with_observation_ids(rows: DataFrame) -> DataFrame:
-    """Adds obs_id: obs, case, facet and the name as a token; from the second on with a number of two digits."""
-    base = F.concat_ws("_", F.lit("obs"), "case_id", "facet", F.coalesce(F.nullif(token(F.col("name")), F.lit("")), F.lit("unknown")))
-    nth = F.row_number().over(Window.partitionBy("case_id", "facet", token(F.col("name"))).orderBy("ord"))
+    """Adds obs_id: obs, case, facet and name as tokens; from the second of a name on with a number of two digits."""
+    part = lambda c, otherwise: F.coalesce(F.nullif(token(F.col(c)), F.lit("")), F.lit(otherwise))
+    base = F.concat_ws("_", F.lit("obs"), part("case_id", "case"), part("facet", "facet"), part("name", "unknown"))
+    nth = F.row_number().over(Window.partitionBy("case_id", "facet", "name").orderBy("ord"))
     return rows.withColumn("_n", nth).withColumn("obs_id", F.when(F.col("_n") > 1, F.concat(base, F.format_string("_%02d", "_n"))).otherwise(base)).drop("_n")
 
 

@@ -81,9 +81,16 @@ def has_edge(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def best_between(edges: DataFrame) -> DataFrame:
-    """For each (dataset, head, tail) its strongest edge; equal ones by confidence, then id."""
+    """For each (dataset, head, tail) its strongest edge; equal ones by confidence, then id. parallel: how many edges there are."""
     best = F.max_by(F.struct("edge_id", "relation", "confidence", "strength"), F.struct("strength", "confidence", "edge_id"))
-    return edges.groupBy("dataset", "head", "tail").agg(best.alias("e")).select("dataset", "head", "tail", "e.*")
+    return edges.groupBy("dataset", "head", "tail").agg(best.alias("e"), F.count("*").alias("parallel")).select("dataset", "head", "tail", "e.*", "parallel")
+
+
+def edges_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All edges from head to tail of the pairs (dataset, head, tail), strongest first: place."""
+    found = edges.join(pairs.select("dataset", "head", "tail").distinct(), ["dataset", "head", "tail"], "left_semi")
+    w = Window.partitionBy("dataset", "head", "tail").orderBy(F.desc("strength"), F.desc("confidence"), F.desc("edge_id"))
+    return found.withColumn("place", F.row_number().over(w).cast("long"))
 
 
 def edge_strength(edges: DataFrame) -> DataFrame:

@@ -5,16 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders written by this driver and not yet released, oldest first.
+_WRITTEN: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir (a folder of our own where it is unset) and read back."""
+    """The rows, written to the folder in spark.checkpoint.dir and read back; the folder stays until `release`.
+
+    Where the setting is unset a local run gets a folder of its own; on a cluster that would be one folder for each
+    machine, so there it is an error.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/steps/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what `cut` has written, once every result that reads it has been written or collected."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(hadoop).delete(path, True)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names under which fields are flagged that mean another field.
-FIELD_SYNONYMS = {"raw_evidence.variables": "variable", "variables": "variable", "raw_evidence.log_events": "log_event", "log_events": "log_event", "defect_type": "anomaly_type"}
+#: The prefix that names of raw fields lose, and names under which fields are flagged that mean another field.
+RAW_PREFIX = "raw_evidence."
+FIELD_SYNONYMS = {"variables": "variable", "log_events": "log_event", "variable_contributions": "variable"}
 
 
 def value_key(c: Column) -> Column:
@@ -15,9 +16,10 @@ def value_key(c: Column) -> Column:
 
 
 def field_key(c: Column) -> Column:
-    out = F.lower(F.trim(c))
+    bare = F.when(F.startswith(c, F.lit(RAW_PREFIX)), F.substring(c, len(RAW_PREFIX) + 1, 1 << 20)).otherwise(c)
+    out = bare
     for k, v in FIELD_SYNONYMS.items():
-        out = F.when(F.lower(F.trim(c)) == k, F.lit(v)).otherwise(out)
+        out = F.when(bare == k, F.lit(v)).otherwise(out)
     return out
 
 
@@ -62,6 +64,25 @@ def precision_recall(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     return n.select("tp", "fp", "fn", F.round(over(tp, tp + fp), 6).alias("precision"), F.round(over(tp, tp + fn), 6).alias("recall"), F.round(over(2 * tp, 2 * tp + fp + fn), 6).alias("f1"))
 
 
+def validity(rows: DataFrame, valid: Column) -> DataFrame:
+    """The share of rows that are valid evidence; 0 without rows."""
+    return rows.agg(F.round(F.coalesce(F.avg(F.coalesce(valid, F.lit(False)).cast("double")), F.lit(0.0)) + 1e-12, 6).alias("validity_rate"), F.count("*").alias("rows"))
+
+
+def top_k_pairs(pairs: DataFrame, gold: Column, candidates: Column, k: int) -> DataFrame:
+    """The share of rows whose gold value is among the first k of the row's candidates; a null gold never is, but counts."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    hit = F.array_contains(F.slice(candidates, 1, k), gold)
+    return pairs.agg(F.round(F.coalesce(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), F.lit(0.0)) + 1e-12, 6).alias(f"accuracy_at_{k}"), F.count("*").alias("rows"))
+
+
+def path_signature(path_id: Column | None, nodes: Column, relations: Column) -> Column:
+    """What tells a path: its id, else its nodes and relations."""
+    drawn = F.concat_ws("|", F.concat(nodes, relations))
+    return drawn if path_id is None else F.coalesce(F.nullif(path_id, F.lit("")), drawn)
+
+
 def rollup(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """Means of the metrics by (level, kind) and over all, which has null keys."""
     return rows.rollup("level", "kind").agg(F.count("*").alias("n"), F.grouping_id().alias("g"), *[F.round(F.avg(m) + 1e-12, 4).alias(m) for m in metrics]).where("g in (0, 3)").drop("g")

@@ -17,89 +17,123 @@ def causes(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("label").isin(*CAUSE_LABELS) | F.col("id").endswith("Cause"))
 
 
-def reachable(best: DataFrame, targets: DataFrame, max_depth: int) -> list[DataFrame]:
-    """For 0, 1, ... max_depth - 1 steps: the (dataset, id) from which a target is that many steps away or fewer."""
-    now = cut(targets.select("dataset", "id").distinct())
-    out, size = [now], now.count()
-    back = best.select("dataset", F.col("head").alias("id"), "tail")
-    while len(out) < max_depth:
-        grown = cut(now.union(back.join(now.withColumnRenamed("id", "tail"), ["dataset", "tail"], "left_semi").select("dataset", "id")).distinct())
-        n = grown.count()
-        if n == size:  # nothing more can reach a target, however many steps it takes
-            return out + [now] * (max_depth - len(out))
-        now, size = grown, n
-        out.append(now)
-    return out
+def _ahead(sources: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
+    """dataset, id, hop: the nodes that some source reaches in 1 to `steps` steps, and in how few."""
+    front = sources.select("dataset", F.col("id").alias("head")).distinct()
+    found = None
+    for hop in range(1, steps + 1):
+        step = edges.join(front, ["dataset", "head"], "left_semi").select("dataset", F.col("tail").alias("id")).distinct()
+        if found is not None:
+            step = step.join(found.select("dataset", "id"), ["dataset", "id"], "left_anti")
+        step = cut(step.withColumn("hop", F.lit(hop)))
+        if hop > 1 and step.isEmpty():
+            break
+        found = step if found is None else found.unionByName(step)
+        front = step.select("dataset", F.col("id").alias("head"))
+    return found
 
 
-def simple_paths(sources: DataFrame, best: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """dataset, source_id, target_id, nodes, edge_ids, relations, strengths, confidences of all simple paths.
+def endings(sources: DataFrame, best: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """How paths can end: dataset, head, ending, target_id, nodes, edge_ids, relations, their sums and length, from every node that follows a source to a target.
 
-    sources, targets: dataset, id. best: one edge for each (dataset, head, tail), so a path is given once whatever its
-    parallel edges. A path grows only to nodes from which a target is still in reach, and passes through targets too.
-    Each step's front is written out, and the search ends with the first empty one.
+    The search goes back from the targets, so what lies beyond a node is found once, however many sources lead there; it
+    keeps to nodes that a source is near enough to, and passes through targets too. ending numbers the row.
     """
-    best = cut(best.select("dataset", "head", "tail", "edge_id", "relation", "strength", "confidence"))
-    near = reachable(best, targets, max_depth)
-    goal = near[0].withColumnRenamed("id", "at")
-    front = sources.select("dataset", F.col("id").alias("source_id"), F.col("id").alias("at"), F.array("id").alias("nodes")).distinct()
-    for c, kind in (("edge_ids", "string"), ("relations", "string"), ("strengths", "double"), ("confidences", "double")):
-        front = front.withColumn(c, F.array().cast(f"array<{kind}>"))
-    found = []
-    for depth in range(1, max_depth + 1):
-        usable = best.join(near[max_depth - depth].withColumnRenamed("id", "tail"), ["dataset", "tail"], "left_semi").withColumnRenamed("head", "at")
-        grown = front.join(usable, ["dataset", "at"]).where(~F.array_contains("nodes", F.col("tail")))
-        more = lambda c, x: F.concat(c, F.array(x)).alias(c)
-        front = cut(grown.select("dataset", "source_id", F.col("tail").alias("at"), more("nodes", "tail"), more("edge_ids", "edge_id"), more("relations", "relation"), more("strengths", "strength"), more("confidences", "confidence")))
+    hops = cut(_ahead(sources, best, max_depth))
+    step = best.select("dataset", "head", F.col("tail").alias("next"), "edge_id", "relation", "strength", "confidence", "parallel").join(hops.select("dataset", F.col("id").alias("head"), "hop"), ["dataset", "head"])
+    none = lambda t: F.array().cast(f"array<{t}>")
+    goal = targets.select("dataset", "id").distinct().join(hops.select("dataset", "id"), ["dataset", "id"], "left_semi")
+    front = goal.select(
+        "dataset", F.col("id").alias("head"), F.col("id").alias("target_id"), F.array("id").alias("nodes"), none("string").alias("edge_ids"), none("string").alias("relations"),
+        F.lit(0.0).alias("strength"), F.lit(0.0).alias("confidence"), F.lit(0).alias("length"), F.lit(1).cast("long").alias("copies"),
+    )
+    front = cut(front)
+    found = [front]
+    step = cut(step)
+    for length in range(1, max_depth):
+        usable = step.where(F.col("hop") <= max_depth - length)
+        old = front.select("dataset", F.col("head").alias("next"), "target_id", "nodes", "edge_ids", "relations", F.col("strength").alias("s"), F.col("confidence").alias("c"), "copies")
+        grown = usable.join(old, ["dataset", "next"]).where(~F.array_contains("nodes", F.col("head")))
+        before = lambda x, c: F.concat(F.array(x), F.col(c)).alias(c)
+        front = cut(
+            grown.select(
+                "dataset", "head", "target_id", before("head", "nodes"), before("edge_id", "edge_ids"), before("relation", "relations"),
+                (F.col("strength") + F.col("s")).alias("strength"), (F.col("confidence") + F.col("c")).alias("confidence"), F.lit(length).alias("length"), (F.col("copies") * F.col("parallel")).alias("copies"),
+            )
+        )
         if front.isEmpty():
             break
-        found.append(front.join(goal, ["dataset", "at"], "left_semi").withColumnRenamed("at", "target_id"))
-    if not found:
-        return front.withColumnRenamed("at", "target_id")
+        found.append(front)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return cut(out.withColumn("ending", F.xxhash64("dataset", F.concat("nodes", "edge_ids"))))
+
+
+def begun(sources: DataFrame, best: DataFrame, ends: DataFrame) -> DataFrame:
+    """dataset, source_id, ending, edge_id, relation, path_strength, path_confidence, length, copies of every simple path from a source: its first edge and how it ends."""
+    one = sources.select("dataset", F.col("id").alias("head")).distinct().join(best, ["dataset", "head"]).select("dataset", F.col("head").alias("source_id"), F.col("tail").alias("head"), "edge_id", "relation", F.col("strength").alias("s"), F.col("confidence").alias("c"), "parallel")
+    both = one.join(ends.select("dataset", "head", "ending", "nodes", "strength", "confidence", "length", "copies"), ["dataset", "head"]).where(~F.array_contains("nodes", F.col("source_id")))
+    n = F.col("length") + 1
+    return both.select(
+        "dataset", "source_id", "ending", "edge_id", "relation", ((F.col("s") + F.col("strength")) / n).alias("path_strength"), ((F.col("c") + F.col("confidence")) / n).alias("path_confidence"),
+        n.alias("length"), (F.col("copies") * F.col("parallel")).alias("copies"),
+    )
 
 
-def mean(c: str):
-    """The mean of an array, as a sum over its elements in order."""
-    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+def whole(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows of begun paths with target_id, nodes, edge_ids and relations."""
+    wide = rows.join(ends.select("ending", "target_id", F.col("nodes").alias("_n"), F.col("edge_ids").alias("_e"), F.col("relations").alias("_r")), "ending")
+    all_of = lambda first, rest: F.concat(F.array(first), rest)
+    return wide.withColumns({"nodes": all_of("source_id", F.col("_n")), "edge_ids": all_of("edge_id", F.col("_e")), "relations": all_of("relation", F.col("_r"))}).drop("_n", "_e", "_r", "edge_id", "relation")
 
 
-def with_strength(paths: DataFrame) -> DataFrame:
-    """Adds length, path_strength and path_confidence; the arrays they come from go, so that joins carry less."""
-    out = paths.withColumns({"length": F.size("nodes") - 1, "path_strength": mean("strengths"), "path_confidence": mean("confidences")})
-    return out.drop("strengths", "confidences")
+def simple_paths(sources: DataFrame, best: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """All simple paths from sources to targets (both: dataset, id), with nodes, edges, means of strength and confidence, length and copies.
+
+    best: one edge for each (dataset, head, tail), with the number of its parallels; copies is the product of these.
+    """
+    ends = endings(sources, best, targets, max_depth)
+    return whole(begun(sources, best, ends), ends)
 
 
-def score_paths(selected: DataFrame, paths: DataFrame, max_depth: int = MAX_DEPTH, keep: int | None = None) -> DataFrame:
+def score_paths(selected: DataFrame, rows: DataFrame, ends: DataFrame, max_depth: int = MAX_DEPTH, keep: int | None = None, parallel: bool = True) -> DataFrame:
     """Each case's paths from its selected source entities, scored by strength, matching evidence and length.
 
-    With `keep`, paths that cannot be among a case's so many best are left out before they are joined to cases. Every
-    path of a case holds its source, which is selected. One that holds no other selected entity has the least match
-    there is, so it must be among the best of its source by strength and length alone.
+    rows, ends: what `begun` and `endings` give. With `keep`, paths that cannot be among a case's so many best are left
+    out before they are joined to cases: every path of a case holds its source, which is selected; one that holds no
+    other selected entity has the least match there is, so it must be among the best of its source by strength and
+    length alone. A path with parallel edges counts once for each combination of them, unless `parallel` is off.
     """
     ids = selected.groupBy("case_id", "dataset").agg(F.collect_set("entity_id").alias("selected_ids"))
     starts = selected.where(F.col("field").isin(*SOURCE_FIELDS)).select("case_id", "dataset", F.col("entity_id").alias("source_id")).distinct()
     by = ["dataset", "source_id"]
-    paths = paths.where("source_id <> target_id")
+    rows = rows.join(ends.select("ending", "target_id"), "ending").where("source_id <> target_id").drop("target_id")
     if keep is None:
-        joined = starts.join(paths, by)
+        joined = starts.join(rows, by)
     else:
         base = ALPHA * F.col("path_strength") - GAMMA * F.col("length") / max_depth
-        whole = Window.partitionBy(*by).orderBy(F.desc("base")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        keyed = paths.withColumn("path_no", F.xxhash64("nodes"))
+        ranked = rows.select(*by, "ending", base.alias("base"))
         # scores are rounded to 4 places, so what is less than that behind may tie
-        strong = keyed.select(*by, "path_no", base.alias("base")).withColumn("kth", F.nth_value("base", keep).over(whole)).where("kth is null or base >= kth - 0.0002")
-        through = keyed.select(*by, "path_no", F.explode("nodes").alias("entity_id")).where("entity_id <> source_id")
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("base")))
+        floor = ranked.withColumn("nth", nth).where(F.col("nth") <= keep).groupBy(*by).agg(F.min("base").alias("kth"))
+        strong = ranked.join(floor, by).where("base >= kth - 0.0002").select(*by, "ending")
+        passed = ends.select("ending", F.explode("nodes").alias("entity_id"))
+        through = rows.select(*by, "ending").join(passed, "ending")
         met = starts.join(selected.select("case_id", "entity_id"), "case_id").where("entity_id <> source_id")
-        wanted = starts.join(strong.select(*by, "path_no"), by).unionByName(met.join(through, [*by, "entity_id"]).select("case_id", *by, "path_no")).distinct()
-        joined = wanted.join(keyed, [*by, "path_no"]).drop("path_no")
-    joined = joined.join(ids, ["case_id", "dataset"])
-    match = F.size(F.array_intersect("nodes", "selected_ids")) / F.greatest(F.lit(1), F.size("selected_ids"))
+        wanted = starts.join(strong, by).unionByName(met.join(through, [*by, "entity_id"]).select("case_id", *by, "ending")).distinct()
+        joined = wanted.join(rows, [*by, "ending"])
+    joined = joined.join(ids, ["case_id", "dataset"]).join(ends.select("ending", F.col("nodes").alias("_n")), "ending")
+    # the source is selected, and no ending holds it
+    match = (1 + F.size(F.array_intersect("_n", "selected_ids"))) / F.greatest(F.lit(1), F.size("selected_ids"))
     score = ALPHA * F.col("path_strength") + BETA * F.col("match") - GAMMA * F.col("length") / max_depth
-    return joined.withColumn("match", match).withColumn("score", F.round(score + 1e-9, 4)).drop("selected_ids")
+    out = joined.withColumn("match", match).withColumn("score", F.round(score + 1e-9, 4)).drop("selected_ids", "_n")
+    if parallel:
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy")
+    if keep is not None:
+        w = Window.partitionBy("case_id").orderBy(F.desc("score"))
+        out = out.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= keep).drop("_r")
+    return whole(out, ends)
 
 
 def top_paths(scored: DataFrame, top_k: int = 5) -> DataFrame:
@@ -113,7 +147,7 @@ def rank_causes(top: DataFrame) -> DataFrame:
     """Causes of each case from its top paths: the best path's figures (the first on ties), all its paths, rank."""
     best = F.max_by(F.struct("path_confidence", "match"), F.struct(F.col("score"), -F.col("rank")))
     out = top.groupBy("case_id", "dataset", F.col("target_id").alias("cause")).agg(
-        F.max("score").alias("score"), best.alias("b"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "path_id"))), lambda x: x["path_id"]).alias("path_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("edge_ids")))).alias("edge_ids")
+        F.max("score").alias("score"), best.alias("b"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "path_id"))), lambda x: x["path_id"]).alias("path_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("edge_ids")))).alias("edge_ids"), F.array_sort(F.collect_set("source_id")).alias("entity_ids"),
     )
     w = Window.partitionBy("case_id").orderBy(F.desc("score"), "cause")
-    return out.select("case_id", "dataset", "cause", "score", F.round("b.path_confidence", 4).alias("confidence"), F.round("b.match", 4).alias("evidence_match"), "path_ids", "edge_ids").withColumn("rank", F.row_number().over(w).cast("long"))
+    return out.select("case_id", "dataset", "cause", "score", F.round("b.path_confidence", 4).alias("confidence"), F.round("b.match", 4).alias("evidence_match"), "path_ids", "edge_ids", "entity_ids").withColumn("rank", F.row_number().over(w).cast("long"))

@@ -156,7 +156,7 @@ class Ranking:
         self.by = {r["id"]: r for r in self.rows}
 
     def ordered(self) -> list[dict]:
-        return sorted(self.rows, key=lambda r: (-r["score"], -float(r.get("root_score") or 0.0), float(r.get("priority") or 0.0), str(r.get("type") or ""), str(r["id"])))
+        return sorted(self.rows, key=lambda r: (-r["score"], -float(r.get("root_score") or 0.0), float(r.get("priority") or 0.0), str(r.get("type") or ""), str(r["id"]), -float(r.get("covered_mass") or 0.0)))
 
     def raise_by(self, row: dict, bonus: float) -> None:
         row["adjustment"] = round(row["adjustment"] + bonus, 8)

@@ -95,13 +95,22 @@ def evidence_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    """case_id, dataset, field, ord, mention: object, anomaly_type and location, then a variable for each other line."""
-    cases = evidence_cases(spark, d)
-    named = cases.select("case_id", "l_orderkey", "dataset", F.posexplode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("mention")) for f in ("object", "anomaly_type", "location")])).alias("ord", "m"))
-    fixed = named.select("case_id", "dataset", F.col("m.field").alias("field"), "ord", F.col("m.mention").alias("mention"))
-    others = case_lines(spark, d).where("nth > 1").select("l_orderkey", "nth", _id("P", "l_partkey").alias("mention"))
-    variables = others.join(cases.select("case_id", "l_orderkey", "dataset"), "l_orderkey").select("case_id", "dataset", F.lit("variable").alias("field"), (F.col("nth") + 1).alias("ord"), "mention")
-    return fixed.unionByName(variables).withColumn("mention_key", normalize(F.col("mention")))
+    """case_id, dataset, field, ord, mention: object, anomaly_type and location, then a variable for each other line whose part the case's dataset knows.
+
+    Every seventh order's location lacks a letter, and so do the objects that are suppliers whose numbers 25 divides;
+    the location of the order after every seventh is nothing that is known.
+    """
+    whole = Window.partitionBy("l_orderkey").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = case_lines(spark, d).withColumn("first_part", F.first("l_partkey").over(whole))
+    one = lambda field, ord_, mention: F.struct(F.lit(field).alias("field"), ord_.cast("int").alias("ord"), mention.alias("mention"))
+    place = F.when(F.col("l_orderkey") % 7 == 0, F.regexp_replace("n_name", "TI", "T")).when(F.col("l_orderkey") % 7 == 1, "QQ").otherwise(F.col("n_name"))
+    thing = F.when(F.col("l_suppkey") % 25 == 0, F.substring("s_name", 2, 100)).otherwise(F.col("s_name"))
+    part = _id("P", "l_partkey")
+    fixed = F.array(one("object", F.lit(0), thing), one("anomaly_type", F.lit(1), part), one("location", F.lit(2), place))
+    said = F.when(F.col("nth") == 1, fixed).otherwise(F.array(one("variable", F.col("nth") + 1, part)))
+    lines = lines.where((F.col("nth") == 1) | (scenario(F.col("l_partkey")) == scenario(F.col("first_part"))))
+    rows = lines.select(_id("case_", "l_orderkey").alias("case_id"), scenario(F.col("first_part")).alias("dataset"), F.explode(said).alias("m"))
+    return rows.select("case_id", "dataset", "m.*").withColumn("mention_key", normalize(F.col("mention")))
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:

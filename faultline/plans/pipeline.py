@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,17 @@ from ..operators.lineage import cut
 from . import domain
 
 DATASETS = ["mvtec", "tep", "wafer"]
+#: The method of causes that come from paths.
+GENERIC = "path_ranker"
 
 
 @dataclass
 class Analysis:
     """The stages of one batch; only those that are asked for run, and what several of them read is written out once.
 
-    mentions: case_id, dataset, field, ord, mention, mention_key. nodes, edges: the knowledge graph.
+    mentions: case_id, dataset, field, ord, mention, mention_key. nodes, edges: the knowledge graph. measure: how near
+    strings are that are not equal. reasoners: for a dataset, what gives the causes (case_id, rank, cause, score) of
+    its cases; cases for which it gives none have those of their paths.
     """
 
     mentions: DataFrame
@@ -28,18 +33,24 @@ class Analysis:
     edges: DataFrame
     top_k: int = 5
     max_depth: int = paths.MAX_DEPTH
+    measure: linking.Measure = linking.WEIGHTED
+    parallel: bool = True
+    reasoners: dict[str, Callable[[Analysis], DataFrame]] = field(default_factory=dict)
+    link_top_k: int = 3
 
     @cached_property
     def visible(self) -> DataFrame:
         return cut(kg.edge_strength(kg.visible_edges(self.nodes, self.edges, DATASETS)))
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """The ranked candidates of each distinct mention of a field."""
+        return cut(linking.field_candidates(self.mentions, kg.terms(self.nodes), self.measure, self.link_top_k))
+
     @cached_property
     def links(self) -> DataFrame:
-        """Every mention with the best node of its exact matches: those outrank all others where there is one."""
-        found = linking.exact_candidates(self.mentions, kg.terms(self.nodes))
-        first = linking.rank(found, ["mention_key", "dataset"], 1)
-        chosen = first.select("mention_key", "dataset", F.col("id").alias("entity_id"), F.round("score", 4).alias("score"), "match_type")
-        return self.mentions.join(chosen, ["mention_key", "dataset"], "left")
+        """Every mention with its id and the best of its candidates, exact, partial or fuzzy."""
+        return linking.link(self.mentions, linking.with_ambiguity(self.candidates, ["field", "mention_key", "dataset"]))
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -58,31 +69,60 @@ class Analysis:
         return consistency.corrections(self.checks, self.visible, self.nodes)
 
     @cached_property
-    def paths(self) -> DataFrame:
-        """Paths of every entity that a case starts from; searched once for an entity, not once for a case."""
-        starts = self.selected.where(F.col("field").isin(*paths.SOURCE_FIELDS)).select("dataset", F.col("entity_id").alias("id")).distinct()
+    def _starts(self) -> DataFrame:
+        return self.selected.where(F.col("field").isin(*paths.SOURCE_FIELDS)).select("dataset", F.col("entity_id").alias("id")).distinct()
+
+    @cached_property
+    def _best(self) -> DataFrame:
+        return cut(kg.best_between(self.visible))
+
+    @cached_property
+    def _endings(self) -> DataFrame:
         goals = kg.visible_nodes(paths.causes(self.nodes), DATASETS).select("dataset", "id")
-        return cut(paths.with_strength(paths.simple_paths(starts, kg.best_between(self.visible), goals, self.max_depth)))
+        return paths.endings(self._starts, self._best, goals, self.max_depth)
+
+    @cached_property
+    def _begun(self) -> DataFrame:
+        """Paths of every entity that a case starts from; searched once for an entity, not once for a case."""
+        return cut(paths.begun(self._starts, self._best, self._endings))
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return paths.whole(self._begun, self._endings)
 
     @cached_property
     def _anomalous(self) -> DataFrame:
         """The selected entities of cases whose type says that there is an anomaly."""
         said = self.mentions.where("field = 'anomaly_type'").groupBy("case_id").agg(F.max_by("mention", "ord").alias("m"))
         quiet = said.where(is_not_anomalous(F.col("m"))).select("case_id")
-        return self.selected.join(quiet, "case_id", "left_anti")
+        return cut(self.selected.join(quiet, "case_id", "left_anti"))
 
     @cached_property
     def scored(self) -> DataFrame:
-        return paths.score_paths(self._anomalous, self.paths, self.max_depth)
+        return paths.score_paths(self._anomalous, self._begun, self._endings, self.max_depth, parallel=self.parallel)
 
     @cached_property
     def top(self) -> DataFrame:
-        return paths.top_paths(paths.score_paths(self._anomalous, self.paths, self.max_depth, self.top_k), self.top_k)
+        return cut(paths.top_paths(paths.score_paths(self._anomalous, self._begun, self._endings, self.max_depth, self.top_k, self.parallel), self.top_k))
 
     @cached_property
-    def causes(self) -> DataFrame:
+    def path_causes(self) -> DataFrame:
         return paths.rank_causes(self.top)
 
-
-def analyse(spark: SparkSession, sf_dir: str) -> Analysis:
-    return Analysis(domain.mentions(spark, sf_dir), domain.kg_nodes(spark, sf_dir), domain.kg_edges(spark, sf_dir))
+    @cached_property
+    def causes(self) -> DataFrame:
+        """The causes of every case, with the method that found them, and whether another one had been asked for (fallback)."""
+        generic = self.path_causes.withColumns({"method": F.lit(GENERIC), "fallback": F.col("dataset").isin(*self.reasoners)})
+        if not self.reasoners:
+            return generic
+        own = None
+        for dataset, reason in self.reasoners.items():
+            found = reason(self).select("case_id", F.lit(dataset).alias("dataset"), F.col("cause"), "score", F.col("rank").cast("long").alias("rank"), F.lit(dataset).alias("method"), F.lit(False).alias("fallback"))
+            found = found.where(F.col("rank") <= self.top_k)
+            own = found if own is None else own.unionByName(found)
+        own = cut(own)
+        return own.unionByName(generic.join(own.select("case_id").distinct(), "case_id", "left_anti"), allowMissingColumns=True)
+
+
+def analyse(spark: SparkSession, sf_dir: str, **options) -> Analysis:
+    return Analysis(cut(domain.mentions(spark, sf_dir)), domain.kg_nodes(spark, sf_dir), cut(domain.kg_edges(spark, sf_dir)), **options)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import signals
 from ..operators import anchors, imaging, propagation, rules, timeseries
 from ..operators import kg as graph
 from ..plans import domain
+from ..plans.root_causes import RootCauses
 from .registry import registry
 from .sql import sql
 
@@ -242,8 +244,8 @@ def coverage_mass(spark, d):
 
 @query(
     sql(
-        """SELECT vec_id, d.anchor, round(least(1.0, sum(value) / any_value(total)) + 1e-12, 6) AS alignment FROM (SELECT *, sum(value) OVER (PARTITION BY vec_id) AS total FROM (
-          SELECT vec_id, feature, value, row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, feature) AS n FROM anchors WHERE value > 0) WHERE n <= 8) JOIN
+        """SELECT vec_id, d.anchor, round(least(1.0, sum(value) / any_value(total)) + 1e-12, 6) AS alignment FROM anchors JOIN (SELECT vec_id, sum(value) AS total FROM (
+          SELECT vec_id, value, row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, feature) AS n FROM anchors WHERE value > 0) WHERE n <= 8 GROUP BY vec_id) USING (vec_id) JOIN
           (SELECT unnest(range(0, 64)) AS feature, unnest(range(0, 64)) % 10 AS anchor) d USING (feature) GROUP BY vec_id, d.anchor""",
         anchors=_ANCHORS,
     )
@@ -256,7 +258,7 @@ def discriminator(spark, d):
 
 @query(
     sql(
-        """SELECT s_suppkey, round(s_acctbal / 10000 - 0.12 * CASE r WHEN 0 THEN 0.75 WHEN 1 THEN 1.1 ELSE 1.0 END * (1 - s_nationkey / 25) - 0.03 * CASE r WHEN 0 THEN 0.5 WHEN 1 THEN 1.15 ELSE 1.0 END * (s_suppkey % 5)
+        """SELECT s_suppkey, round(s_acctbal / 10000 - 0.12 * CASE r WHEN 0 THEN 0.75 WHEN 1 THEN 1.1 ELSE 1.0 END * (s_nationkey / 25) - 0.03 * CASE r WHEN 0 THEN 0.5 WHEN 1 THEN 1.15 ELSE 1.0 END * (s_suppkey % 5)
           + CASE t WHEN 0 THEN 0.06 WHEN 1 THEN -0.03 ELSE 0.0 END + CASE r WHEN 0 THEN 0.10 WHEN 1 THEN -0.03 ELSE -0.20 END + 0.28 * (s_suppkey % 7) / 7 + 1e-12, 6) AS score,
         round(least(0.35, greatest(CASE WHEN r = 0 THEN 0.18 ELSE 0.12 END, s_acctbal / 40000, s_nationkey / 100, 0.9 * (s_suppkey % 4) / 10)) + 1e-12, 6) AS seed
         FROM (SELECT *, s_suppkey % 3 AS r, s_nationkey % 3 AS t FROM supplier)"""
@@ -271,16 +273,23 @@ def structural_score(spark, d):
     return s.select("s_suppkey", F.round(score + 1e-12, 6).alias("score"), F.round(seed + 1e-12, 6).alias("seed"))
 
 
+_FAMILY_OF = {"OCCURS_ON": "MATERIAL_FLOW", "HAS_LOCATION": "CONTROL", "BELONGS_TO_UNIT": "FAULT_SOURCE", "PART_OF": "OBSERVATION"}
+
+
 @query(
     sql(
-        """SELECT edge_id, round(1 / (1 + exp(-(CASE relation WHEN 'OCCURS_ON' THEN 0.4 WHEN 'PART_OF' THEN -0.2 ELSE 0.1 END + 1.2 * (confidence - 0.5) + 0.75 * (least(1.0, ln(1 + support) / ln(9)) - 0.5)
-        + 0.45 * (CASE WHEN source = 'lineitem' THEN 1.0 ELSE 0.55 END - 0.5) + 0.3 * (CASE WHEN scenario = 'shared' THEN 1.0 ELSE 0.7 END - 0.5) + 0.45 * ((0.5 + confidence) / 2 - 0.5)))) + 0.0, 6) AS weight FROM edges""",
+        """SELECT edge_id, round(1 / (1 + exp(-(CASE relation WHEN 'OCCURS_ON' THEN 1.05 WHEN 'HAS_LOCATION' THEN 1.35 WHEN 'BELONGS_TO_UNIT' THEN 1.65 WHEN 'PART_OF' THEN 0.35 ELSE 0.0 END + 1.2 * (confidence - 0.5) + 0.75 * (least(1.0, ln(1 + support) / ln(9)) - 0.5)
+        + 0.45 * (CASE WHEN source = 'lineitem' THEN 1.0 WHEN source = 'nation' THEN 0.75 ELSE 0.55 END - 0.5) + 0.3 * (CASE WHEN scenario = 'shared' THEN 1.0 ELSE 0.7 END - 0.5) + 0.45 * ((0.5 + confidence) / 2 - 0.5)))) + 0.0, 6) AS weight FROM edges""",
         "edges",
     )
 )
 def edge_weight_logit(spark, d):
-    prior = F.when(F.col("relation") == "OCCURS_ON", 0.4).when(F.col("relation") == "PART_OF", -0.2).otherwise(0.1)
-    w = signals.edge_weight(prior, F.col("confidence"), F.col("support").cast("double"), F.col("source") == "lineitem", F.lit(1), F.col("scenario") == "shared", F.lit(None).cast("double"), F.col("confidence"))
+    """Relations as families; causes are of no family and have no prior."""
+    family = F.lit("NONE")
+    for relation, name in _FAMILY_OF.items():
+        family = F.when(F.col("relation") == relation, F.lit(name)).otherwise(family)
+    sources = F.when(F.col("source") == "nation", 2).otherwise(1)
+    w = signals.edge_weight(family, F.col("confidence"), F.col("support").cast("double"), F.col("source") == "lineitem", sources, F.col("scenario") == "shared", F.lit(None).cast("double"), F.col("confidence"))
     return domain.kg_edges(spark, d).select("edge_id", w.alias("weight"))
 
 
@@ -316,40 +325,125 @@ def downstream_signal(spark, d):
     return propagation.downstream(starts, _plant(spark, d), signal).withColumnRenamed("at", "target")
 
 
-_VARIABLES = " SELECT 'fault_' || fault AS case_id, 'N' || (run % 25) AS id, round(avg(value), 6) AS value FROM series GROUP BY ALL"
+def _flow(spark, d):
+    """Regions give to nations, suppliers to nations and nations to segments: the graph along which scores are spread."""
+    e = domain.kg_edges(spark, d)
+    back = e.where("relation = 'PART_OF'").select(F.col("tail").alias("head"), F.col("head").alias("tail"), "edge_id", F.lit("FAULT_SOURCE").alias("family"), F.col("confidence").alias("weight"))
+    return back.unionByName(_plant(spark, d).where("head not like 'N%' or tail like 'M%'"))
+
+
+_FLOW = """ SELECT tail AS head, head AS tail, edge_id, confidence AS weight, 0.10 AS sigma FROM edges WHERE relation = 'PART_OF'
+  UNION ALL SELECT head, tail, edge_id, confidence, CASE relation WHEN 'BELONGS_TO_UNIT' THEN 0.20 ELSE 0.26 END FROM edges WHERE relation IN ('BELONGS_TO_UNIT', 'HAS_PLAUSIBLE_CAUSE')"""
+
+
+def _sources(spark, d):
+    s = domain.table(spark, d, "supplier")
+    seed = F.least(F.lit(0.35), F.greatest(F.lit(0.12), F.col("s_acctbal") / 10000))
+    own = s.select(F.concat(F.lit("case_"), F.col("s_suppkey")).alias("case_id"), F.concat(F.lit("S"), F.col("s_suppkey")).alias("source"), seed.alias("seed"))
+    return own.union(domain.table(spark, d, "region").select(F.lit("case_r"), F.concat(F.lit("R"), F.col("r_regionkey")), F.lit(0.35)))
 
 
 @query(
     sql(
-        """SELECT case_id, id, priority, round(direct, 6) AS direct, round(adjacent, 6) AS adjacent FROM (
-          SELECT case_id, id, 1 AS priority, direct, adjacent FROM near UNION ALL
-          SELECT n.case_id, b.next, 2, 0.0, max(0.7 * greatest(n.direct, n.adjacent)) FROM near n JOIN beside b ON b.id = n.id WHERE (n.case_id, b.next) NOT IN (SELECT (case_id, id) FROM near) GROUP BY n.case_id, b.next)
-        WHERE id IN (SELECT head FROM plant)""",
+        """SELECT case_id, source, node, round(round(score, 8) + 1e-12, 6) AS score, path FROM (
+          SELECT case_id, source, source AS node, seed AS score, '' AS path FROM src UNION ALL SELECT case_id, source, node, score, edge_id FROM h1
+          UNION ALL SELECT case_id, source, node, sum(amount), arg_max(e1 || '>' || e2, (amount, -rn)) FROM h2 GROUP BY ALL)""",
         "edges",
-        series=_SERIES,
-        plant=_PLANT,
-        variables=_VARIABLES,
-        best8=" SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY value DESC, id) AS n FROM variables) WHERE n <= 8",
-        beside=" SELECT head AS id, tail AS next FROM plant UNION SELECT tail, head FROM plant",
-        near=""" SELECT case_id, id, coalesce(direct, 0.0) AS direct, coalesce(adjacent, 0.0) AS adjacent FROM (SELECT case_id, id, value AS direct FROM best8)
-          FULL JOIN (SELECT case_id, next AS id, max(value) AS adjacent FROM best8 JOIN beside USING (id) GROUP BY ALL) USING (case_id, id)""",
+        flow=_FLOW,
+        src=""" SELECT 'case_' || s_suppkey AS case_id, 'S' || s_suppkey AS source, least(0.35, greatest(0.12, s_acctbal / 10000)) AS seed FROM supplier UNION ALL SELECT 'case_r', 'R' || r_regionkey, 0.35 FROM region""",
+        h1=" SELECT case_id, source, tail AS node, edge_id, seed * weight * exp(-sigma) AS score FROM src JOIN flow ON head = source",
+        h2=""" SELECT case_id, source, f.tail AS node, h.edge_id AS e1, f.edge_id AS e2, h.score * f.weight * exp(-2 * f.sigma) / row_number() OVER w AS amount, row_number() OVER w AS rn
+          FROM h1 h JOIN flow f ON f.head = h.node WINDOW w AS (PARTITION BY case_id, source, f.tail ORDER BY h.node, f.edge_id)""",
     )
 )
+def propagation_scores(spark, d):
+    """A segment takes in what all the nations of a region give, each less than the one before; a plain model tests the caps."""
+    out = propagation.propagate(_sources(spark, d), _flow(spark, d))
+    return out.withColumn("score", F.round(F.col("score") + 1e-12, 6))
+
+
+def _market(spark, d):
+    """Nations as anchors of faults, regions and segments as variables, suppliers' sales by segment and region as contributions."""
+    nodes = domain.kg_nodes(spark, d).where("id like 'N%' or id like 'R%' or id like 'M%'")
+    nation = F.col("id").startswith("N")
+    none = F.array().cast("array<string>")
+    nodes = nodes.select(
+        "id", "name", F.when(nation, "FaultAnchor").otherwise("Variable").alias("type"), F.when(nation, "root_cause_anchor").otherwise("").alias("role"), nation.alias("candidate"),
+        F.when(F.col("id").startswith("R"), "actuator").when(F.col("id") == "MBUILDING", "other").otherwise("sensor").alias("variable_role"), none.alias("targets"), F.array("id").alias("provenance"),
+    )
+    edges = _plant(spark, d).where("head like 'N%'").withColumn("provenance", F.array(F.col("head")))
+    lines = domain.table(spark, d, "lineitem").join(domain.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(domain.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(domain.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sold = lambda key: lines.groupBy(F.col("l_suppkey").cast("string").alias("case_id"), key.alias("id")).agg(F.sum("l_quantity").alias("q"))
+    both = sold(F.concat(F.lit("M"), "c_mktsegment")).unionByName(sold(F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))))
+    contributions = both.select("case_id", "id", F.round(F.col("q") / F.sum("q").over(Window.partitionBy("case_id")), 6).alias("value"))
+    dynamics = contributions.select("case_id", F.col("id").alias("feature"), "value").where("false")
+    diagnostics = domain.table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("anchor"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("feature"))
+    return RootCauses(nodes, edges, contributions, dynamics, diagnostics)
+
+
+_MARKET = dict(
+    var=""" SELECT 'R' || r_regionkey AS id, 0.35 AS wt FROM region UNION ALL SELECT DISTINCT 'M' || c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 0.75 ELSE 1.0 END FROM customer""",
+    sold=""" SELECT l_suppkey::VARCHAR AS case_id, id, sum(l_quantity) AS q FROM (SELECT l_suppkey, l_quantity, unnest(['M' || c_mktsegment, 'R' || n_regionkey]) AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+      JOIN nation ON c_nationkey = n_nationkey) GROUP BY ALL""",
+    con=" SELECT case_id, id, round(q / sum(q) OVER (PARTITION BY case_id), 6) AS raw FROM sold",
+    wc=" SELECT case_id, id, raw, wt, round(raw * wt, 8) AS v, row_number() OVER (PARTITION BY case_id ORDER BY round(raw * wt, 8) DESC, id) AS n FROM con JOIN var USING (id)",
+    mk=" SELECT head AS anchor, tail AS id, edge_id, confidence AS w, CASE relation WHEN 'PART_OF' THEN 0.32 ELSE 0.26 END AS sigma FROM edges WHERE relation IN ('PART_OF', 'HAS_PLAUSIBLE_CAUSE')",
+    pairs=" SELECT case_id, anchor FROM (SELECT DISTINCT case_id FROM con), (SELECT DISTINCT anchor FROM mk)",
+    near=" SELECT case_id, anchor, max(v) AS adjacent, arg_min(id, n) AS variable FROM wc JOIN mk USING (id) WHERE n <= 8 GROUP BY ALL",
+    hits=" SELECT case_id, anchor, id, v * (w * 0.92) AS hit, row_number() OVER (PARTITION BY case_id, anchor ORDER BY v * (w * 0.92) DESC, id) AS hn FROM wc JOIN mk USING (id) WHERE v > 0",
+    sup=" SELECT case_id, anchor, round(sum(hit), 8) AS support, arg_min(id, hn) AS variable FROM hits WHERE hn <= 4 GROUP BY ALL",
+    cand=""" SELECT case_id, anchor, CASE WHEN n.adjacent IS NOT NULL THEN 1 WHEN coalesce(support, 0) > 0 THEN 2 ELSE 3 END AS priority,
+      greatest(coalesce(n.adjacent, 0.0), coalesce(support, 0.0)) AS adjacent, coalesce(support, 0.0) AS support,
+      CASE WHEN support > coalesce(n.adjacent, 0.0) THEN s.variable ELSE coalesce(n.variable, s.variable, '') END AS seed_variable
+      FROM pairs LEFT JOIN near n USING (case_id, anchor) LEFT JOIN sup s USING (case_id, anchor)""",
+    seeded=" SELECT *, round(least(0.35, greatest(0.18, adjacent, 0.9 * support)), 6) AS seed FROM cand",
+    reached=" SELECT case_id, anchor, id, edge_id, round(seed * w * exp(-sigma), 8) AS score FROM seeded JOIN mk USING (anchor) WHERE seed * w * exp(-sigma) > 1e-6",
+    sc=" SELECT r.*, r.score * x.wt AS ws, coalesce(wc.v, 0.0) AS v FROM reached r JOIN var x USING (id) LEFT JOIN wc ON wc.case_id = r.case_id AND wc.id = r.id",
+    terms=""" SELECT case_id, anchor, sum(ws * v) AS dot, sqrt(sum(ws * ws)) AS size, sum(CASE WHEN ws >= greatest(1e-6, 0.1 * most) THEN v ELSE 0 END) AS mass, -sum(CASE WHEN ws > 1e-9 THEN ws / total * ln(ws / total) ELSE 0 END) AS entropy
+      FROM (SELECT *, max(ws) OVER (PARTITION BY case_id, anchor) AS most, sum(CASE WHEN ws > 1e-9 THEN ws END) OVER (PARTITION BY case_id, anchor) AS total FROM sc) GROUP BY case_id, anchor""",
+    norm=" SELECT case_id, sqrt(sum(v * v)) AS norm, sum(v) FILTER (n <= 8 AND v > 0) AS top FROM wc GROUP BY case_id",
+    told=" SELECT case_id, 'N' || n_nationkey AS anchor, round(least(1.0, v / top), 8) AS told FROM wc JOIN norm USING (case_id) JOIN nation ON id = 'R' || n_regionkey",
+    fin=""" SELECT c.*, round(coalesce(dot / (size * norm), 0.0), 8) AS root, coalesce(dot / (size * norm), 0.0) - 0.09 * coalesce(mass, 0) - 0.015 * coalesce(entropy, 0) + 0.16 + 0.28 * coalesce(told, 0) AS s
+      FROM seeded c JOIN norm USING (case_id) LEFT JOIN terms t USING (case_id, anchor) LEFT JOIN told d USING (case_id, anchor)""",
+    rkd=" SELECT *, round(s, 8) AS score, row_number() OVER (PARTITION BY case_id ORDER BY round(s, 8) DESC, root DESC, priority, anchor) AS rank FROM fin",
+)
+
+
+@query(sql("SELECT case_id, anchor AS id, priority, round(adjacent + 1e-12, 6) AS adjacent, round(support + 1e-12, 6) AS support, seed_variable, seed FROM seeded", "edges", **_MARKET))
 def candidate_enumeration(spark, d):
-    v = domain.series(spark, d).groupBy(F.concat(F.lit("fault_"), "fault").alias("case_id"), F.concat(F.lit("N"), (F.col("run") % 25).cast("string")).alias("id")).agg(F.round(F.avg("value"), 6).alias("value"))
-    out = propagation.candidates(v, _plant(spark, d), domain.kg_nodes(spark, d))
-    return out.withColumns({"direct": F.round("direct", 6), "adjacent": F.round("adjacent", 6)})
+    c = _market(spark, d).candidates
+    return c.select("case_id", "id", "priority", F.round(F.col("adjacent") + 1e-12, 6).alias("adjacent"), F.round(F.col("support") + 1e-12, 6).alias("support"), "seed_variable", "seed")
 
 
-def _sources(spark, d):
-    s = domain.table(spark, d, "supplier")
-    return s.select(F.concat(F.lit("case_"), F.col("s_suppkey")).alias("case_id"), F.concat(F.lit("S"), F.col("s_suppkey")).alias("source"), F.least(F.lit(0.35), F.greatest(F.lit(0.12), F.col("s_acctbal") / 10000)).alias("seed"))
+@query(sql("SELECT case_id, anchor AS id, rank, round(score + 1e-9, 6) AS score, round(root + 1e-9, 6) AS root_score FROM rkd", "edges", **_MARKET))
+def root_cause_ranking(spark, d):
+    """Suppliers as cases: candidates, propagation, anchors and rules composed."""
+    r = _market(spark, d).ranked
+    return r.select("case_id", "id", "rank", F.round(F.col("score") + 1e-9, 6).alias("score"), F.round(F.col("root_score") + 1e-9, 6).alias("root_score"))
 
 
-@query()
-def propagation_scores(spark, d):
-    """Capacity and the order of receipts make this a procedure; a test holds it against a plain model."""
-    return propagation.propagate(_sources(spark, d), _plant(spark, d))
+@query(
+    sql(
+        """SELECT case_id, anchor AS source, rank, edge_id, 1::BIGINT AS paths FROM (SELECT a.*, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id, anchor ORDER BY score DESC, id) AS place FROM reached WHERE score > 0) a JOIN rkd USING (case_id, anchor) WHERE place <= 3 AND rank <= 3)""",
+        "edges",
+        **_MARKET,
+    )
+)
+def root_cause_subgraphs(spark, d):
+    """The edges by which each case's best candidates reach the variables that they reach most."""
+    return _market(spark, d).subgraph_edges().select("case_id", "source", "rank", "edge_id", "paths")
+
+
+@query(
+    sql(
+        """SELECT count(DISTINCT case_id) AS cases, count(*) AS rankings, round(count(*) / count(DISTINCT case_id), 6) AS mean_candidates, round(avg(score) FILTER (rank = 1) + 1e-9, 5) AS mean_top1_score, round(avg(root) FILTER (rank = 1) + 1e-9, 5) AS mean_top1_root_score FROM rkd""",
+        "edges",
+        **_MARKET,
+    )
+)
+def root_cause_report(spark, d):
+    r = _market(spark, d).report()
+    return r.withColumns({c: F.round(F.col(c) + 1e-9, 5) for c in ("mean_top1_score", "mean_top1_root_score")})
 
 
 @query()

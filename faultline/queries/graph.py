@@ -139,11 +139,20 @@ def link_fuzzy_jaccard(spark, d):
     return near.where("match_type = 'fuzzy'").select("mention_key", "key", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    sql(
+        "SELECT x AS mention_key, y AS key, round(score, 6) AS score, match_type FROM near_all WHERE score >= 0.55",
+        "near_all",
+        instead={
+            "open_keys": (_STRINGS, []),
+            "pairs": (" SELECT DISTINCT mention_key AS x, key AS y FROM open_keys, (SELECT DISTINCT key FROM terms WHERE ord > 0 AND label <> 'Object') WHERE mention_key <> key AND mention_key <> ''", ["open_keys", "terms"]),
+        },
+    )
+)
 def link_fuzzy_ratio(spark, d):
-    """The ratio is a sequence matcher's: Python, over distinct strings only; its values have no SQL form."""
-    terms = kg.terms(domain.kg_nodes(spark, d)).where("ord > 0")
-    near = linking.near_scores(_strings(spark, d).select("mention_key").distinct(), terms.select("key").distinct(), linking.weighted_ratio)
+    """The ratio by longest common subsequences: over distinct strings only."""
+    terms = kg.terms(domain.kg_nodes(spark, d)).where("ord > 0 and label <> 'Object'")
+    near = linking.near_scores(_strings(spark, d).select("mention_key").distinct(), terms.select("key").distinct(), linking.WEIGHTED)
     return near.select("mention_key", "key", F.round("score", 6).alias("score"), "match_type")
 
 
@@ -184,6 +193,17 @@ def link_ambiguity(spark, d):
     return first.select("field", "mention_key", "dataset", "id", F.round("score", 6).alias("score"), "margin", "ambiguous")
 
 
+@query(sql("SELECT field, mention_key, dataset, id, round(score, 6) AS score, ok FROM first_near", "first_near"))
+def link_open_mentions(spark, d):
+    """The mentions of cases that equal no term, and what they are linked to by a partial or fuzzy match."""
+    a = analyse(spark, d)
+    exact = linking.exact_candidates(a.mentions, kg.terms(a.nodes)).select("mention_key", "dataset").distinct()
+    ok = F.lit(False)
+    for field, labels in linking.FIELD_LABELS.items():
+        ok = ok | ((F.col("field") == field) & F.col("label").isin(labels))
+    return a.candidates.where("rank = 1").join(exact, ["mention_key", "dataset"], "left_anti").select("field", "mention_key", "dataset", "id", F.round("score", 6).alias("score"), ok.alias("ok"))
+
+
 @query(sql("SELECT case_id, dataset, field, entity_id FROM sel", "sel"))
 def link_selected(spark, d):
     return analyse(spark, d).selected
@@ -214,13 +234,8 @@ def consistency_score(spark, d):
 
 @query(
     sql(
-        """SELECT case_id, candidate_id, target_field, suggested_id, name AS suggested, score, edge_id, rank FROM (
-          SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, candidate_id) AS rank FROM (
-            SELECT *, 'corr_' || case_id || '_' || target_field || '_' || lower(suggested_id) AS candidate_id, round(confidence, 4) AS score FROM (
-              SELECT c.case_id, c.target_field, v.tail AS suggested_id, v.confidence, v.edge_id, row_number() OVER (PARTITION BY c.case_id, c.target_field, v.tail ORDER BY v.confidence DESC, v.edge_id) AS n
-              FROM checks c JOIN rules r USING (source_field, target_field) JOIN vis v ON v.head = c.source_id AND v.relation = r.relation AND v.dataset = c.dataset WHERE c.matched_relation IS NULL) WHERE n = 1)
-        ) JOIN nodes ON nodes.id = suggested_id WHERE rank <= 5""",
-        "checks",
+        "SELECT case_id, candidate_id, target_field, suggested_id, name AS suggested, score, edge_id, rank FROM corrections JOIN nodes ON nodes.id = suggested_id",
+        "corrections",
         "nodes",
     )
 )

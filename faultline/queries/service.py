@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, cases, compiler, metrics, noise, review
 from ..plans import domain
 from ..plans.compile import Compiled
+from ..plans.noise import NoiseExperiment
 from ..plans.pipeline import analyse
 from .registry import registry
 from .sql import norm, scen, sql
@@ -45,14 +47,14 @@ def metric_cases(spark, d):
     sql(
         """SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (
         SELECT count(*) FILTER (e.f IS NOT NULL AND p.f IS NOT NULL) AS tp, count(*) FILTER (e.f IS NULL) AS fp, count(*) FILTER (p.f IS NULL) AS fn FROM
-        (SELECT DISTINCT l_orderkey AS c, CASE l_returnflag WHEN 'R' THEN 'variable' WHEN 'A' THEN 'location' ELSE 'anomaly_type' END AS f FROM lineitem) e FULL JOIN
-        (SELECT DISTINCT l_orderkey AS c, CASE WHEN l_linestatus = 'O' THEN 'variable' WHEN l_quantity > 25 THEN 'anomaly_type' ELSE 'location' END AS f FROM lineitem) p USING (c, f))"""
+        (SELECT DISTINCT l_orderkey AS c, CASE l_returnflag WHEN 'R' THEN 'variable' WHEN 'A' THEN 'location' ELSE 'log_event' END AS f FROM lineitem) e FULL JOIN
+        (SELECT DISTINCT l_orderkey AS c, CASE WHEN l_linestatus = 'O' THEN 'variable' WHEN l_quantity > 25 THEN 'log_event' WHEN l_quantity > 10 THEN 'location' ELSE 'defect_type' END AS f FROM lineitem) p USING (c, f))"""
     )
 )
 def metric_prf(spark, d):
     l = domain.table(spark, d, "lineitem")
-    e = l.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "raw_evidence.variables").when(F.col("l_returnflag") == "A", "Location").otherwise("defect_type").alias("field"))
-    p = l.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_linestatus") == "O", "variable").when(F.col("l_quantity") > 25, "anomaly_type").otherwise("location").alias("field"))
+    e = l.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "raw_evidence.variables").when(F.col("l_returnflag") == "A", "raw_evidence.location").otherwise("log_events").alias("field"))
+    p = l.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_linestatus") == "O", "variable_contributions").when(F.col("l_quantity") > 25, "raw_evidence.log_events").when(F.col("l_quantity") > 10, "location").otherwise("defect_type").alias("field"))
     return metrics.precision_recall(e, p)
 
 
@@ -70,30 +72,110 @@ def metric_correction(spark, d):
     return metrics.pair_accuracy(p, metrics.value_key(F.col("p_name")), metrics.value_key(said))
 
 
-_NOISE_CASES = """ SELECT c.case_id, c.object, c.anomaly_name AS anomaly_type, c.location, 'dense' AS morphology, coalesce(v.n, 0) AS n FROM cases c
-  LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lines WHERE nth > 1 GROUP BY l_orderkey) v USING (l_orderkey)"""
+_OPTIONS = lambda table: "CASE dataset " + " ".join(f"WHEN '{d}' THEN {list(v)}" for d, v in table.items()) + " END"
+_KEY = "'42|' || case_id || '|' || kind || '|' || printf('%.8f', level)"
+_NUMBER = lambda key: f"('0x' || substr(sha256({key}), 1, 8))::BIGINT / 4294967296.0"
+_CHOSEN = lambda options: f"CASE WHEN len({options}) > 0 THEN ({options})[floor(d * len({options}))::INT + 1] END"
+_SYNONYM = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in noise.SYNONYMS.items()) + " END"
+_PERTURBED = lambda v: f"CASE WHEN contains({v}, '_') THEN regexp_replace({v}, '_', '') ELSE {v} || '_perturbed' END"
+_LESS = lambda c: f"list_filter({c}, lambda v, i: NOT list_contains(list_transform(list_sort(list_transform(range(0, len({c})), lambda j: struct_pack(x := {_NUMBER(_KEY + chr(32) + chr(124)*2 + chr(32) + chr(39) + chr(124) + chr(39) + chr(32) + chr(124)*2 + ' j')}, j := j)))[1:least(len({c}), greatest(1, ceil(len({c}) * level)))::INT], lambda s: s.j), i - 1))"
+_NOISE = dict(
+    sl=" SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey",
+    nc=f""" SELECT 's' || f.s_suppkey AS case_id, {scen('f.l_partkey')} AS dataset, f.s_name AS object, CASE f.s_suppkey % 5 WHEN 0 THEN 'process_fault' ELSE 'P' || f.l_partkey END AS anomaly_type, f.n_name AS location,
+      CASE f.s_suppkey % 3 WHEN 0 THEN 'linear' WHEN 1 THEN 'surface' END AS morphology, coalesce(v.variables, CAST([] AS VARCHAR[])) AS variables,
+      CASE f.s_suppkey % 2 WHEN 0 THEN ['example_alarm', 'R' || f.s_nationkey % 5] ELSE CAST([] AS VARCHAR[]) END AS log_events
+      FROM sl f LEFT JOIN (SELECT s_suppkey, list('P_' || l_partkey ORDER BY n) AS variables FROM sl WHERE n BETWEEN 2 AND 1 + s_suppkey % 4 GROUP BY s_suppkey) v USING (s_suppkey) WHERE f.n = 1""",
+    grid=f" SELECT *, {_NUMBER(_KEY)} AS d FROM nc, (SELECT unnest([0.1::DOUBLE, 0.2, 0.3]) AS level), (SELECT unnest({list(noise.KINDS)}) AS kind)",
+    opts=f""" SELECT *, list_filter({_OPTIONS(noise.REPLACEMENTS['anomaly_type'])}, lambda v: v IS DISTINCT FROM anomaly_type) AS oa, list_filter({_OPTIONS(noise.REPLACEMENTS['location'])}, lambda v: v IS DISTINCT FROM location) AS ol,
+      list_filter({_OPTIONS(noise.REPLACEMENTS['morphology'])}, lambda v: v IS DISTINCT FROM morphology) AS om,
+      list_filter([struct_pack(f := 'anomaly_type', v := anomaly_type), struct_pack(f := 'location', v := location), struct_pack(f := 'morphology', v := morphology)] || list_transform(variables, lambda x: struct_pack(f := 'raw_evidence.variables', v := x))
+        || list_transform(log_events, lambda x: struct_pack(f := 'raw_evidence.log_events', v := x)), lambda s: {_SYNONYM.format('s.v')} IS NOT NULL) AS os FROM grid""",
+    picked=f""" SELECT *, CASE WHEN kind = 'synonym_substitution' THEN {_CHOSEN('os')} END AS syn, CASE WHEN kind <> 'contradiction_injection' THEN NULL WHEN dataset = 'tep' AND len(variables) > 0 THEN 'location' WHEN dataset = 'wafer' THEN 'morphology'
+      WHEN morphology IS NOT NULL THEN 'morphology' WHEN len(ol) > 0 THEN 'location' END AS con FROM opts""",
+    noisy=f""" SELECT case_id AS base, case_id || '|' || level || '|' || kind AS case_id, level, kind, dataset, object,
+      CASE WHEN kind = 'anomaly_type_replacement' AND len(oa) > 0 THEN {_CHOSEN('oa')} WHEN syn.f = 'anomaly_type' THEN {_SYNONYM.format('syn.v')} ELSE anomaly_type END AS anomaly_type,
+      CASE WHEN kind = 'location_replacement' AND len(ol) > 0 THEN {_CHOSEN('ol')} WHEN syn.f = 'location' THEN {_SYNONYM.format('syn.v')} WHEN con = 'location' THEN CASE WHEN dataset = 'tep' AND len(variables) > 0 THEN 'feed disturbance' ELSE {_CHOSEN('ol')} END ELSE location END AS location,
+      CASE WHEN kind = 'morphology_replacement' AND len(om) > 0 THEN {_CHOSEN('om')} WHEN syn.f = 'morphology' THEN {_SYNONYM.format('syn.v')} WHEN con = 'morphology' THEN CASE WHEN dataset = 'wafer' THEN 'wafer_surface' ELSE 'surface' END ELSE morphology END AS morphology,
+      CASE WHEN kind = 'variable_deletion' AND len(variables) > 0 THEN {_LESS('variables')} WHEN kind = 'variable_name_perturbation' THEN list_transform(variables, lambda v, i: CASE WHEN i - 1 = floor(d * len(variables)) THEN {_PERTURBED('v')} ELSE v END)
+        WHEN syn.f = 'raw_evidence.variables' THEN list_transform(variables, lambda v: CASE WHEN v = syn.v THEN {_SYNONYM.format('syn.v')} ELSE v END) ELSE variables END AS variables,
+      CASE WHEN kind = 'log_event_deletion' AND len(log_events) > 0 THEN {_LESS('log_events')} WHEN syn.f = 'raw_evidence.log_events' THEN list_transform(log_events, lambda v: CASE WHEN v = syn.v THEN {_SYNONYM.format('syn.v')} ELSE v END) ELSE log_events END AS log_events,
+      CASE WHEN kind IN ('variable_deletion', 'variable_name_perturbation') AND len(variables) > 0 THEN ['raw_evidence.variables', 'raw_evidence.variable_contributions'] WHEN kind = 'log_event_deletion' AND len(log_events) > 0 THEN ['raw_evidence.log_events']
+        WHEN kind = 'anomaly_type_replacement' AND len(oa) > 0 THEN ['anomaly_type'] WHEN kind = 'location_replacement' AND len(ol) > 0 THEN ['location'] WHEN kind = 'morphology_replacement' AND len(om) > 0 THEN ['morphology']
+        WHEN syn IS NOT NULL THEN [syn.f] WHEN con IS NOT NULL THEN [con] ELSE CAST([] AS VARCHAR[]) END AS corrupted FROM picked""",
+)
+
+
+def _noise_cases(spark, d):
+    """Suppliers as cases: their first line is the anomaly, the next ones' parts are variables."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    lines = domain.table(spark, d, "lineitem").withColumn("n", F.row_number().over(w)).where("n <= 4").join(domain.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(domain.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    part, key, none = F.concat(F.lit("P_"), F.col("l_partkey").cast("string")), F.col("s_suppkey"), F.array().cast("array<string>")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("v")))), lambda x: x["v"])
+    others = lines.where("n between 2 and 1 + s_suppkey % 4").groupBy("s_suppkey").agg(listed.alias("variables"))
+    first = lines.where("n = 1").join(others, "s_suppkey", "left")
+    variables = F.coalesce("variables", none)
+    return first.select(
+        F.concat(F.lit("s"), key.cast("string")).alias("case_id"), domain.scenario(F.col("l_partkey")).alias("dataset"), F.col("s_name").alias("object"),
+        F.when(key % 5 == 0, "process_fault").otherwise(F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).alias("anomaly_type"), F.col("n_name").alias("location"),
+        F.when(key % 3 == 0, "linear").when(key % 3 == 1, "surface").alias("morphology"), variables.alias("variables"),
+        F.map_from_entries(F.transform(F.array_distinct(variables), lambda v: F.struct(v, F.lit(0.5)))).alias("variable_contributions"),
+        F.when(key % 2 == 0, F.array(F.lit("example_alarm"), F.concat(F.lit("R"), (F.col("s_nationkey") % 5).cast("string")))).otherwise(none).alias("log_events"),
+    )
+
+
+@query(sql("SELECT base, level, kind, anomaly_type, location, morphology, array_to_string(variables, '|') AS variables, array_to_string(log_events, '|') AS log_events, array_to_string(corrupted, '|') AS corrupted FROM noisy", **_NOISE))
+def noise_injection(spark, d):
+    n = noise.inject(_noise_cases(spark, d))
+    return n.select(F.col("case_id").alias("base"), "level", "kind", "anomaly_type", "location", "morphology", *[F.array_join(c, "|").alias(c) for c in ("variables", "log_events", "corrupted")])
+
+
+_EVERY = """ SELECT case_id, dataset, object, anomaly_type, location, morphology, variables, log_events FROM nc UNION ALL SELECT case_id, dataset, object, anomaly_type, location, morphology, variables, log_events FROM noisy"""
+_NOISE_MENTIONS = f""" SELECT *, {norm('mention')} AS mention_key FROM (
+  SELECT case_id, dataset, 'object' AS field, 0 AS ord, object AS mention FROM every UNION ALL SELECT case_id, dataset, 'anomaly_type', 1, anomaly_type FROM every
+  UNION ALL SELECT case_id, dataset, 'location', 2, location FROM every WHERE location IS NOT NULL UNION ALL SELECT case_id, dataset, 'morphology', 3, morphology FROM every WHERE morphology IS NOT NULL
+  UNION ALL SELECT case_id, dataset, 'variable', 10 + generate_subscripts(variables, 1), unnest(variables) FROM every UNION ALL SELECT case_id, dataset, 'log_event', 1000 + generate_subscripts(log_events, 1), unnest(log_events) FROM every)"""
+_MEASURED = dict(
+    last="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, field ORDER BY ord DESC) AS back FROM links) WHERE back = 1",
+    listed=""" SELECT field, mention_key, dataset, list(id ORDER BY rn) AS cands FROM (
+      SELECT m.field, e.mention_key, e.dataset, e.id, row_number() OVER (PARTITION BY m.field, e.mention_key, e.dataset ORDER BY score DESC, id) AS rn FROM (SELECT DISTINCT field, mention_key, dataset FROM mentions) m JOIN exact e USING (mention_key, dataset)
+      UNION ALL SELECT field, mention_key, dataset, id, row_number() OVER (PARTITION BY field, mention_key, dataset ORDER BY score DESC, id) FROM (SELECT *, bool_or(ok) OVER (PARTITION BY field, mention_key, dataset) AS any_ok FROM near_field) WHERE ok OR NOT any_ok) WHERE rn <= 3 GROUP BY ALL""",
+    linked=""" SELECT n.case_id, avg(coalesce(c.entity_id = p.entity_id, false)::INT) AS acc, avg(coalesce(list_contains(x.cands, c.entity_id), false)::INT) AS topk FROM noisy n JOIN last c ON c.case_id = n.base LEFT JOIN last p ON p.case_id = n.case_id AND p.field = c.field
+      LEFT JOIN listed x ON x.field = p.field AND x.mention_key = p.mention_key AND x.dataset = p.dataset GROUP BY n.case_id""",
+    expected=" SELECT DISTINCT case_id, base, CASE replace(f, 'raw_evidence.', '') WHEN 'variables' THEN 'variable' WHEN 'variable_contributions' THEN 'variable' WHEN 'log_events' THEN 'log_event' ELSE f END AS field FROM (SELECT case_id, base, unnest(corrupted) AS f FROM noisy)",
+    flagged=" SELECT DISTINCT case_id, field FROM (SELECT case_id, unnest([source_field, target_field]) AS field FROM checks WHERE matched_relation IS NULL) WHERE case_id IN (SELECT case_id FROM noisy)",
+    detected=""" SELECT case_id, coalesce(count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) / nullif(count(p), 0), 0) AS prec, coalesce(count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) / nullif(count(e), 0), 0) AS rec FROM (
+      SELECT coalesce(e.case_id, f.case_id) AS case_id, e.case_id AS e, f.case_id AS p FROM expected e FULL JOIN flagged f ON e.case_id = f.case_id AND e.field = f.field) GROUP BY case_id""",
+    mended=" SELECT e.case_id, avg(coalesce(c.first = l.entity_id, false)::INT) AS acc, avg(coalesce(list_contains(c.everything, l.entity_id), false)::INT) AS topk FROM expected e JOIN last l ON l.case_id = e.base AND l.field = e.field AND l.entity_id IS NOT NULL LEFT JOIN (SELECT case_id, target_field, arg_min(suggested_id, rank) AS first, list(suggested_id) AS everything FROM corrections GROUP BY ALL) c ON c.case_id = e.case_id AND c.target_field = e.field GROUP BY e.case_id",
+    was=" SELECT case_id, list(DISTINCT target_id) AS targets, arg_min(array_to_string(nodes || relations, '|'), rank) AS best FROM top GROUP BY case_id",
+    ranked=" SELECT n.case_id, min(CASE WHEN list_contains(w.targets, t.target_id) THEN t.rank END) AS hit, max((array_to_string(t.nodes || t.relations, '|') = w.best)::INT) AS path FROM noisy n JOIN was w ON w.case_id = n.base JOIN top t ON t.case_id = n.case_id GROUP BY n.case_id",
+)
 
 
 @query(
     sql(
-        """SELECT level, kind, count(*) AS n, round(avg(CASE WHEN kind = 'variable_deletion' THEN (n > 0)::INT WHEN kind IN ('location_replacement', 'missing_field') THEN hit::INT ELSE 0 END) + 1e-12, 4) AS changed,
-        round(avg(CASE WHEN kind = 'variable_deletion' AND n > 0 THEN greatest(1, round(level * n)) ELSE 0 END) + 1e-12, 4) AS removed
-        FROM noisy GROUP BY GROUPING SETS ((level, kind), ())""",
-        "cases",
-        nc=_NOISE_CASES,
-        noisy=f""" SELECT *, ('0x' || substr(sha1('42|' || case_id || '|' || kind || '|' || level), 1, 8))::BIGINT / 4294967296.0 < level AS hit
-          FROM nc, (SELECT unnest([0.1::DOUBLE, 0.2, 0.3]) AS level), (SELECT unnest({list(noise.KINDS)}) AS kind)""",
+        """SELECT level, kind, count(*) AS n, round(avg(1.0) + 1e-12, 4) AS schema_validity_rate, """
+        + ", ".join(
+            f"round(avg(coalesce({e}, 0)) + 1e-12, 4) AS {m}"
+            for m, e in (
+                ("entity_linking_accuracy", "linked.acc"), ("top_k_linking_accuracy", "linked.topk"), ("inconsistency_precision", "prec"), ("inconsistency_recall", "rec"), ("correction_accuracy", "mended.acc"), ("top_k_correction_accuracy", "mended.topk"),
+                ("noise_recovery_rate", "mended.acc"), ("top_k_root_cause_accuracy", "(hit IS NOT NULL)::INT"), ("mrr", "1.0 / hit"), ("path_hit_rate", "path"),
+            )
+        )
+        + " FROM noisy LEFT JOIN linked USING (case_id) LEFT JOIN detected USING (case_id) LEFT JOIN mended USING (case_id) LEFT JOIN ranked USING (case_id) GROUP BY GROUPING SETS ((level, kind), ())",
+        "links",
+        "corrections",
+        "top",
+        instead={
+            **{n: (t, list(_NOISE)[i - 1 : i]) for i, (n, t) in enumerate(_NOISE.items())},
+            "every": (_EVERY, ["noisy"]),
+            "mentions": (_NOISE_MENTIONS, ["every"]),
+        },
+        **_MEASURED,
     )
 )
 def noise_grid_rollup(spark, d):
-    lines = domain.case_lines(spark, d).where("nth > 1").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "p_name"))), lambda x: x["p_name"]).alias("variables"))
-    none = F.array().cast("array<string>")
-    cases = domain.evidence_cases(spark, d).join(lines, "l_orderkey", "left").select("case_id", "object", F.col("anomaly_name").alias("anomaly_type"), "location", F.lit("dense").alias("morphology"), F.coalesce("variables", none).alias("variables"))
-    pool = [f"NATION_{i}" for i in range(25)]
-    noisy = noise.inject(cases, {"location": pool, "morphology": ["dense"]})
-    only = F.col("changed") & F.col("kind").isin("variable_deletion", "location_replacement", "missing_field")
-    rows = noisy.select("level", "kind", only.cast("double").alias("changed"), (F.size("variables") - F.size("variables_noisy")).cast("double").alias("removed"))
-    return metrics.rollup(rows, ["changed", "removed"])
+    """Suppliers as cases under every kind and level of noise, analysed anew and compared with their clean run."""
+    return NoiseExperiment(_noise_cases(spark, d), domain.kg_nodes(spark, d), domain.kg_edges(spark, d)).summary
 
 
 @query()
@@ -161,12 +243,23 @@ def domain_profiles(spark, d):
     return compiler.domain_profiles(domain.kg_edges(spark, d)).select("head", "relation", F.array_join("tails", "|").alias("tails"))
 
 
-@query(sql("SELECT edge_id FROM edges JOIN nodes ON id = tail WHERE relation = 'BELONGS_TO_UNIT' AND tail = 'N0'", "nodes", "edges"))
+_TYPED = """ SELECT id, CASE WHEN label = 'RootCause' THEN CASE WHEN id IN ('MMACHINERY', 'MFURNITURE') THEN label ELSE 'CandidateCause' END WHEN id = 'N0' THEN 'Region' ELSE label END AS label FROM nodes WHERE id <> 'N1'"""
+
+
+@query(
+    sql(
+        """SELECT edge_id FROM edges LEFT JOIN typed ON id = tail WHERE head = tail OR (relation = 'OCCURS_ON' AND coalesce(label NOT IN ('Location', 'Object', 'ProcessUnit'), true))
+        OR (relation = 'BELONGS_TO_UNIT' AND coalesce(label <> 'ProcessUnit', true)) OR (relation = 'HAS_PLAUSIBLE_CAUSE' AND coalesce(label NOT IN ('CandidateCause', 'Fault', 'Mechanism'), true))""",
+        "nodes",
+        "edges",
+        typed=_TYPED,
+    )
+)
 def type_constraints(spark, d):
-    """Units relabelled as regions break the constraint of the edges that end in them."""
-    n = domain.kg_nodes(spark, d).withColumn("label", F.when(F.col("id") == "N0", "Region").otherwise(F.col("label"))).where("id not like 'R%'")
-    e = domain.kg_edges(spark, d).where("relation = 'BELONGS_TO_UNIT'")
-    return compiler.wrong_types(e, n).select("edge_id")
+    """A unit relabelled as a region, one that is gone, and segments that are no candidates break what relations demand of their ends."""
+    label = F.when((F.col("label") == "RootCause") & ~F.col("id").isin("MMACHINERY", "MFURNITURE"), "CandidateCause").when(F.col("id") == "N0", "Region").otherwise(F.col("label"))
+    n = domain.kg_nodes(spark, d).withColumn("label", label).where("id <> 'N1'")
+    return compiler.wrong_types(domain.kg_edges(spark, d), n).select("edge_id")
 
 
 @query(

@@ -45,27 +45,45 @@ PARTS = {
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS nth
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "cases": f"""
-  SELECT 'case_' || l_orderkey AS case_id, l_orderkey, {scen('l_partkey')} AS dataset, s_name AS object, 'P' || l_partkey AS anomaly_type,
+  SELECT 'case_' || l_orderkey AS case_id, l_orderkey, l_suppkey, {scen('l_partkey')} AS dataset, s_name AS object, 'P' || l_partkey AS anomaly_type,
          p_name AS anomaly_name, n_name AS location, round(l_discount * 10, 4) AS confidence, l_quantity AS quantity FROM lines WHERE nth = 1""",
     "mentions": f"""
   SELECT *, {norm('mention')} AS mention_key FROM (
-  SELECT case_id, dataset, 'object' AS field, 0 AS ord, object AS mention FROM cases
+  SELECT case_id, dataset, 'object' AS field, 0 AS ord, CASE WHEN l_suppkey % 25 = 0 THEN object[2:] ELSE object END AS mention FROM cases
   UNION ALL SELECT case_id, dataset, 'anomaly_type', 1, anomaly_type FROM cases
-  UNION ALL SELECT case_id, dataset, 'location', 2, location FROM cases
-  UNION ALL SELECT c.case_id, c.dataset, 'variable', l.nth + 1, 'P' || l.l_partkey FROM lines l JOIN cases c USING (l_orderkey) WHERE l.nth > 1)""",
+  UNION ALL SELECT case_id, dataset, 'location', 2, CASE l_orderkey % 7 WHEN 0 THEN replace(location, 'TI', 'T') WHEN 1 THEN 'QQ' ELSE location END FROM cases
+  UNION ALL SELECT c.case_id, c.dataset, 'variable', l.nth + 1, 'P' || l.l_partkey FROM lines l JOIN cases c USING (l_orderkey) WHERE l.nth > 1 AND {scen('l.l_partkey')} = c.dataset)""",
     "exact": """
   SELECT mention_key, dataset, id, label, max(CASE ord WHEN 0 THEN 1.0 WHEN 1 THEN 0.98 ELSE 0.95 END)::DOUBLE AS score
   FROM (SELECT DISTINCT mention_key, dataset FROM mentions) m JOIN terms ON key = mention_key AND scenario IN (dataset, 'shared')
   GROUP BY ALL""",
     "first_exact": """
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_key, dataset ORDER BY score DESC, id) AS rn FROM exact) WHERE rn = 1""",
+    "open_keys": " SELECT DISTINCT field, mention_key, dataset FROM mentions WHERE mention_key <> '' AND (mention_key, dataset) NOT IN (SELECT (mention_key, dataset) FROM exact)",
+    "pairs": " SELECT DISTINCT mention_key AS x, key AS y FROM open_keys, (SELECT DISTINCT key FROM terms) WHERE mention_key <> key",
+    # the weighted ratio: longest common subsequences of pairs, a character of the shorter key at a time; the largest value so far runs along the other
+    "parts": """ SELECT x, y, unnest(list_distinct([long] || CASE WHEN len(long) < 1.5 * len(short) THEN CAST([] AS VARCHAR[]) ELSE
+        list_transform(range(0, len(long) - len(short) + 1), lambda i: long[i + 1:i + len(short)]) || list_transform(range(1, len(short)), lambda i: long[1:i]) || list_transform(range(len(long) - len(short) + 1, len(long)), lambda i: long[i + 1:]) END)) AS part, short, long
+      FROM (SELECT x, y, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS short, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS long FROM pairs)""",
+    "distinct_parts": " SELECT DISTINCT short, part FROM parts",
+    "lcs": """ SELECT short, part, 0 AS i, list_transform(range(0, len(part) + 1), lambda j: 0) AS row FROM distinct_parts
+      UNION ALL SELECT short, part, i + 1, list_transform(range(0, len(part) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: CASE WHEN k > 0 AND part[k:k] = short[i + 1:i + 1] THEN row[k] + 1 ELSE row[k + 1] END))) FROM lcs WHERE i < len(short)""",
+    "ratios": " SELECT short, part, 2.0 * row[len(part) + 1] / (len(short) + len(part)) AS r FROM lcs WHERE i = len(short)",
+    "weighted": " SELECT x, y, max(CASE WHEN part = long THEN r WHEN len(long) <= 8 * len(short) THEN r * 0.9 ELSE r * 0.6 END)::DOUBLE AS score FROM parts JOIN ratios USING (short, part) GROUP BY x, y",
+    "near_all": " SELECT x, y, CASE WHEN contains(x, y) OR contains(y, x) THEN 0.82 ELSE score END::DOUBLE AS score, CASE WHEN contains(x, y) OR contains(y, x) THEN 'partial' ELSE 'fuzzy' END AS match_type FROM weighted",
+    "near_cand": """ SELECT o.mention_key, o.dataset, t.id, t.label, max(n.score) AS score FROM (SELECT DISTINCT mention_key, dataset FROM open_keys) o JOIN near_all n ON n.x = o.mention_key AND n.score >= 0.55
+      JOIN terms t ON t.key = n.y AND t.scenario IN (o.dataset, 'shared') GROUP BY ALL""",
+    "near_field": """ SELECT o.field, c.*, (field = 'object' AND label = 'Object') OR (field = 'anomaly_type' AND label = 'AnomalyType') OR (field = 'location' AND label IN ('Location', 'ProcessUnit')) AS ok
+      FROM open_keys o JOIN (SELECT *, row_number() OVER (PARTITION BY mention_key, dataset ORDER BY score DESC, id) AS pre FROM near_cand) c USING (mention_key, dataset) WHERE pre <= 15""",
+    "first_near": """ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field, mention_key, dataset ORDER BY ok DESC, score DESC, id) AS rn FROM near_field) WHERE rn = 1""",
     "links": """
-  SELECT m.*, f.id AS entity_id, f.score FROM mentions m LEFT JOIN first_exact f USING (mention_key, dataset)""",
+  SELECT m.*, coalesce(f.id, n.id) AS entity_id, round(coalesce(f.score, n.score), 4) AS score FROM mentions m LEFT JOIN first_exact f USING (mention_key, dataset) LEFT JOIN first_near n USING (field, mention_key, dataset)""",
     "sel": """
   SELECT case_id, dataset, field, arg_max(entity_id, ord) AS entity_id FROM links WHERE entity_id IS NOT NULL GROUP BY ALL""",
     "rules": """
   SELECT * FROM (VALUES ('anomaly_type', 'location', 'OCCURS_ON', 0), ('anomaly_type', 'location', 'HAS_LOCATION', 1),
-  ('variable', 'location', 'MEASURED_IN', 0), ('variable', 'location', 'BELONGS_TO_UNIT', 1)) t(source_field, target_field, relation, relation_ord)""",
+  ('variable', 'location', 'MEASURED_IN', 0), ('variable', 'location', 'BELONGS_TO_UNIT', 1),
+  ('anomaly_type', 'morphology', 'HAS_MORPHOLOGY', 0), ('anomaly_type', 'log_event', 'ASSOCIATED_WITH_EVENT', 0)) t(source_field, target_field, relation, relation_ord)""",
     "checks": """
   SELECT s.case_id, s.dataset, r.source_field, r.target_field, s.entity_id AS source_id, t.entity_id AS target_id,
          arg_min(r.relation, r.relation_ord) FILTER (WHERE v.head IS NOT NULL) AS matched_relation
@@ -73,6 +91,12 @@ PARTS = {
   LEFT JOIN (SELECT DISTINCT head, relation, tail, dataset FROM vis) v
     ON v.head = s.entity_id AND v.tail = t.entity_id AND v.relation = r.relation AND v.dataset = s.dataset
   GROUP BY ALL""",
+    "corrections": """
+  SELECT case_id, candidate_id, target_field, suggested_id, score, edge_id, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, candidate_id) AS rank FROM (
+      SELECT *, 'corr_' || case_id || '_' || target_field || '_' || lower(suggested_id) AS candidate_id, round(confidence, 4) AS score FROM (
+        SELECT c.case_id, c.target_field, v.tail AS suggested_id, v.confidence, v.edge_id, row_number() OVER (PARTITION BY c.case_id, c.target_field, v.tail ORDER BY v.confidence DESC, v.edge_id) AS n
+        FROM checks c JOIN rules r USING (source_field, target_field) JOIN vis v ON v.head = c.source_id AND v.relation = r.relation AND v.dataset = c.dataset WHERE c.matched_relation IS NULL) WHERE n = 1)) WHERE rank <= 5""",
     "sources": """
   SELECT DISTINCT dataset, entity_id AS source_id FROM sel WHERE field IN ('anomaly_type', 'variable', 'log_event')""",
     "walk": """
@@ -99,22 +123,27 @@ PARTS = {
 #: What each part needs before it.
 NEEDS = {
     "edges": ["raw_edges"], "vis_nodes": ["nodes", "datasets"], "vis": ["edges", "vis_nodes"], "best": ["vis"], "terms": ["nodes"], "cases": ["lines"], "mentions": ["cases"],
-    "exact": ["mentions", "terms"], "first_exact": ["exact"], "links": ["first_exact"], "sel": ["links"], "checks": ["sel", "rules", "vis"], "sources": ["sel"], "walk": ["sources", "best"],
+    "exact": ["mentions", "terms"], "first_exact": ["exact"], "open_keys": ["exact"], "pairs": ["open_keys", "terms"], "parts": ["pairs"], "distinct_parts": ["parts"], "lcs": ["distinct_parts"], "ratios": ["lcs"],
+    "weighted": ["ratios"], "near_all": ["weighted"], "near_cand": ["near_all"], "near_field": ["near_cand"], "first_near": ["near_field"], "links": ["first_exact", "first_near"], "sel": ["links"], "checks": ["sel", "rules", "vis"], "corrections": ["checks", "rules", "vis"], "sources": ["sel"], "walk": ["sources", "best"],
     "paths": ["walk", "nodes"], "ids": ["sel"], "scored": ["ids", "paths"], "top": ["scored"], "cause": ["top"],
 }
 
 
-def sql(body: str, *parts: str, **extra: str) -> str:
-    """The body after a WITH of the named parts and all they need; extra: further expressions, in order."""
+def sql(body: str, *parts: str, instead: dict[str, tuple[str, list[str]]] | None = None, **extra: str) -> str:
+    """The body after a WITH of the named parts and all they need; extra: further expressions, in order.
+
+    instead: other text for a part, and what that needs.
+    """
     order: list[str] = []
+    instead = instead or {}
 
     def add(name: str) -> None:
-        for n in NEEDS.get(name, []):
+        for n in instead[name][1] if name in instead else NEEDS.get(name, []):
             add(n)
         if name not in order:
             order.append(name)
 
     for p in parts:
         add(p)
-    ctes = [f"{n} AS ({PARTS[n]})" for n in order] + [f"{n} AS ({t})" for n, t in extra.items()]
+    ctes = [f"{n} AS ({instead[n][0] if n in instead else PARTS[n]})" for n in order] + [f"{n} AS ({t})" for n, t in extra.items()]
     return (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + body

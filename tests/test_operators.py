@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from faultline.functions import signals, text
 from faultline.functions.text import normalize
-from faultline.operators import compiler, consistency, evidence, imaging, kg, linking, metrics, noise, paths, propagation, review, rules, timeseries
+from faultline.operators import anchors, compiler, consistency, evidence, imaging, kg, linking, metrics, noise, paths, propagation, review, rules, timeseries
 from faultline.plans.compile import Compiled
 from faultline.plans.pipeline import Analysis
+from faultline.plans.root_causes import RootCauses
 
 NODE = "id string, name string, label string, scenario string, aliases array<string>"
 EDGE = "head string, relation string, tail string, scenario string, confidence double"
@@ -36,13 +37,13 @@ def first(df, *columns):
 def test_text_rules(spark):
     one = spark.createDataFrame([("  Near-Full Map ", " a|b; ,c ", "YES", " 1.5 ", "x")], "a string, b string, c string, d string, e string")
     got = one.select(normalize(F.col("a")), text.token(F.col("a")), text.text_list(F.col("b")), text.bool_cell(F.col("c")), text.float_cell(F.col("d")), text.float_cell(F.col("e")), text.bad_float(F.col("e")), text.pascal(F.lit("9 lives of")), text.label_of(F.lit("MechanicalCause"))).first()
-    assert tuple(got) == ("nearfullmap", "near_full_map", ["a", "b", "c"], True, 1.5, 0.0, True, "Entity9LivesOf", "RootCause")
+    assert tuple(got) == ("nearfullmap", "near_full_map", ["a", "b", "c"], True, 1.5, 0.0, True, "Entity9LivesOf", "CandidateCause")
     assert [r[0] for r in spark.createDataFrame([("XMEAS(07)",), ("xmv 3",), ("x",)], "c string").select(text.channel_id(F.col("c"))).collect()] == ["xmeas_7", "xmv_3", None]
 
 
 def test_signals(spark):
     v = spark.createDataFrame([(0.5,)], "v double")
-    assert first(v, signals.excess(F.col("v"), 0.0, 1.0), signals.shortfall(F.col("v"), 1.0, 1.0), signals.band(F.col("v"), 0.0, 1.0), signals.calibrated_confidence(F.col("v"), F.lit(0.5))) == (0.5, 0.5, 1.0, 0.5)
+    assert first(v, signals.excess(F.col("v"), 0.0, 1.0), signals.shortfall(F.col("v"), 1.0, 1.0), signals.band(F.col("v"), 0.0, 1.0), signals.calibrated_confidence(F.col("v"), F.lit(0.5)), signals.calibrated_confidence(F.col("v"), F.lit(0.51)), signals.calibrated_confidence(F.col("v") + 1, F.lit(None).cast("double")), signals.calibrated_label(F.col("v"), F.lit(0.6))) == (0.5, 0.5, 1.0, 1.0, 0.0, 1.0, "normal")
 
 
 def test_field_filter_prefers_allowed_labels(spark):
@@ -87,7 +88,7 @@ def test_simple_paths_against_a_plain_search(spark):
     rnd = random.Random(3)
     pairs = {(f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}") for _ in range(26)}
     pairs = [(a, b) for a, b in pairs if a != b]
-    best = spark.createDataFrame([("d", a, b, f"{a}{b}", "R", 0.5, 0.5) for a, b in pairs], "dataset string, head string, tail string, edge_id string, relation string, strength double, confidence double")
+    best = spark.createDataFrame([("d", a, b, f"{a}{b}", "R", 0.5, 0.5) for a, b in pairs], "dataset string, head string, tail string, edge_id string, relation string, strength double, confidence double").withColumn("parallel", F.lit(1))
     src, goal = spark.createDataFrame([("d", "n0")], "dataset string, id string"), spark.createDataFrame([("d", "n1"), ("d", "n2")], "dataset string, id string")
     found = []
 
@@ -112,7 +113,7 @@ def test_merge_conflicts(spark):
 def test_adapters(spark):
     row = [("c", "scratch", None, 0.5, 0.45, 0.91, 1.0, 1, 0.16)]
     df = spark.createDataFrame(row, "case_id string, defect_type string, zone string, centroid_x double, centroid_y double, eccentricity double, aspect_ratio double, component_count int, area_ratio double")
-    r = evidence.adapt(df, "image").first()
+    r = evidence.adapt(df, "mvtec").first()
     assert (r["location"], r["morphology"], r["severity"], r["source"], r["valid"]) == ("surface", "linear", 0.16, "image", True)
 
 
@@ -166,13 +167,83 @@ def spread_plainly(edge_rows, families, source, seed):
     return {n: round(s, 8) for n, s in score.items()}
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_propagation_against_a_plain_model(seed):
-    rnd = random.Random(seed)
-    rows = [(f"n{rnd.randrange(7)}", f"n{rnd.randrange(7)}", f"e{i}", rnd.choice(list(signals.FAMILIES)), rnd.choice([0.2, 0.6, 0.95, 1.0])) for i in range(22)]
-    score, _, _ = propagation.Graph(rows).spread("n0", 0.9)
-    want = spread_plainly(rows, signals.FAMILIES, "n0", 0.9)
-    assert score.keys() == want.keys() and all(np.isclose(score[n], want[n], atol=2e-8) for n in want)
+def test_propagation_against_a_plain_model(spark):
+    graphs, rows = {}, []
+    for seed in range(12):
+        rnd = random.Random(seed)
+        graphs[seed] = [(f"g{seed}n{rnd.randrange(7)}", f"g{seed}n{rnd.randrange(7)}", f"g{seed}e{i}", rnd.choice(list(signals.FAMILIES)), rnd.choice([0.2, 0.6, 0.95, 1.0])) for i in range(22)]
+        rows += graphs[seed]
+    src = spark.createDataFrame([(str(s), f"g{s}n0", 0.9) for s in graphs], "case_id string, source string, seed double")
+    got: dict = {}
+    for r in propagation.propagate(src, spark.createDataFrame(rows, "head string, tail string, edge_id string, family string, weight double")).collect():
+        got.setdefault(int(r["case_id"]), {})[r["node"]] = r
+    ends = {e[2]: e[:2] for e in rows}
+    for seed, edge_rows in graphs.items():
+        want = spread_plainly(edge_rows, signals.FAMILIES, f"g{seed}n0", 0.9)
+        assert got[seed].keys() == want.keys() and all(np.isclose(got[seed][n]["score"], want[n], atol=2e-8) for n in want)
+        for n, r in got[seed].items():
+            walk = [ends[e] for e in r["path"].split(">") if e]
+            assert not walk or walk[0][0] == f"g{seed}n0" and walk[-1][1] == n and all(a[1] == b[0] for a, b in zip(walk, walk[1:]))
+
+
+def plant(spark, contributions, profiles=None, dynamics=(), edges=None):
+    """Two anchors, three variables and three edges of weight 0.95, with contributions (case, variable, value)."""
+    node = "id string, name string, type string, role string, candidate boolean, variable_role string, targets array<string>, provenance array<string>"
+    names = [("faultanchor:cooling_fault", "Cooling fault"), ("faultanchor:feed_fault", "Feed fault")]
+    nodes = [(i, n, "FaultAnchor", "root_cause_anchor", True, "", [], []) for i, n in names] + [(f"variable:xmeas_{i}", f"XMEAS_{i}", "Variable", "", False, "sensor", [], []) for i in (1, 2, 3)]
+    rows = edges or [("edge_cooling_xmeas_1", names[0][0], "variable:xmeas_1"), ("edge_cooling_xmeas_3", names[0][0], "variable:xmeas_3"), ("edge_feed_xmeas_2", names[1][0], "variable:xmeas_2")]
+    e = spark.createDataFrame([(*r, "OBSERVATION", 0.95, [f"prov_{r[0]}"]) for r in rows], "edge_id string, head string, tail string, family string, weight double, provenance array<string>")
+    c = spark.createDataFrame(contributions, "case_id string, id string, value double")
+    return RootCauses(spark.createDataFrame(nodes, node), e, c, spark.createDataFrame(list(dynamics), "case_id string, feature string, value double"), profiles=profiles)
+
+
+def test_root_causes_follow_the_contributions(spark):
+    v = "variable:xmeas_"
+    r = plant(spark, [("one", v + "1", 0.9), ("one", v + "2", 0.1), ("two", v + "1", 0.1), ("two", v + "2", 0.9)])
+    got = {(x["case_id"], x["rank"]): x["id"] for x in r.ranked.collect()}
+    assert [got["one", 1], got["one", 2]] == ["faultanchor:cooling_fault", "faultanchor:feed_fault"]
+    assert [got["two", 1], got["two", 2]] == ["faultanchor:feed_fault", "faultanchor:cooling_fault"]
+    first = r.support.where("case_id = 'one' and source = 'faultanchor:cooling_fault' and place = 1").first()
+    assert first["nodes"] == ["faultanchor:cooling_fault", v + "1"] and first["path"] == ["edge_cooling_xmeas_1"]
+    scored = {(x["case_id"], x["id"]): x for x in r.scored.collect()}
+    cooling = scored["one", "faultanchor:cooling_fault"]
+    # by hand: support 0.9 * 0.95 * 0.92, seed at its cap, two equal variables of which one is observed
+    assert cooling["support"] == pytest.approx(0.9 * 0.95 * 0.92) and cooling["seed"] == 0.35 and cooling["adjacent"] == 0.9 and cooling["priority"] == 1
+    root = 0.9 / math.sqrt(0.9**2 + 0.1**2) / math.sqrt(2)
+    want = root - 0.12 * 0.75 * 0.9 - 0.03 * 0.5 * math.log(2) + 0.06 + 0.10
+    assert cooling["root_score"] == pytest.approx(root, abs=1e-7) and cooling["base"] == pytest.approx(want, abs=1e-7)
+    nodes = {(x["source"], x["id"]): x for x in r.subgraph_nodes(1).where("case_id = 'one'").collect()}
+    assert set(nodes) == {("faultanchor:cooling_fault", i) for i in ("faultanchor:cooling_fault", v + "1", v + "3")}
+    assert nodes["faultanchor:cooling_fault", v + "1"]["root_share"] == pytest.approx(0.35 * 0.95 * math.exp(-0.32), abs=1e-7)
+    assert r.subgraph_edges(1).where("case_id = 'one'").count() == 2 and r.report().first()["cases"] == 2
+    assert r.evidence.where("case_id = 'one' and source = 'faultanchor:feed_fault'").first()["evidence"] == ["prov_edge_feed_xmeas_2"]
+
+
+def test_a_case_without_contributions_has_all_anchors(spark):
+    r = plant(spark, [("one", "variable:xmeas_1", 0.9)])
+    r.cases = spark.createDataFrame([("one",), ("none",)], "case_id string")
+    got = {(x["case_id"], x["id"]): (x["priority"], x["support"]) for x in r.candidates.collect()}
+    assert got["none", "faultanchor:feed_fault"] == (3, 0.0) and got["one", "faultanchor:feed_fault"] == (3, 0.0) and len(got) == 4
+
+
+def test_memory_prefers_the_anchor_that_had_this_before(spark):
+    v = "variable:xmeas_"
+    even = [("now", v + "1", 0.5), ("now", v + "2", 0.5)]
+    faults = spark.createDataFrame([("old", "faultanchor:feed_fault"), ("older", "faultanchor:cooling_fault")], "case_id string, anchor string")
+    past = spark.createDataFrame([("old", v + "1", 0.5), ("old", v + "2", 0.5), ("older", v + "3", 1.0)], "case_id string, feature string, value double")
+    still = spark.createDataFrame([("old", "xmeas_2__std", 2.0), ("older", "xmeas_1__std", -1.0)], "case_id string, feature string, value double")
+    profiles = anchors.profiles_of(past, still, faults)
+    r = plant(spark, even, profiles, [("now", "xmeas_2__std", 1.0)])
+    feed = next(x for x in r.ranked.collect() if x["id"] == "faultanchor:feed_fault")
+    assert feed["rank"] == 1 and feed["contribution_alignment"] == 1.0 and feed["dynamic_alignment"] == 1.0 and feed["memory_bonus"] == 9.0 and feed["unique_alignment"] == 1.0
+    other = next(x for x in r.ranked.collect() if x["id"] == "faultanchor:cooling_fault")
+    assert other["memory_bonus"] == 0.0
+
+
+def test_signature_coverage_needs_the_sign(spark):
+    seen = spark.createDataFrame([("c", "a", 0.5), ("c", "b", -0.2), ("c", "d", 9.0)], "case_id string, feature string, value double")
+    sig = spark.createDataFrame([("x", "a", 1.0), ("x", "b", 0.5), ("x", "d", 0.5)], "anchor string, feature string, value double")
+    assert anchors.signature_coverage(seen, sig, "case_id").first()["coverage"] == pytest.approx((0.5 + 0.5) / 2.0)
 
 
 def test_propagation_ranks_the_right_source(spark):
@@ -260,6 +331,10 @@ def test_metrics(spark):
     with pytest.raises(ValueError):
         metrics.top_k(cases, ranked, gold, [0])
     flags = "case_id string, field string"
+    more = [("2", "location"), ("3", "object")]
+    one = spark.createDataFrame([("1", "anomaly_type"), ("1", "raw_evidence.variables"), ("2", "location")], flags)
+    two = spark.createDataFrame([("1", "anomaly_type"), ("1", "variables"), *more[1:], ("2", "morphology")], flags)
+    assert first(metrics.precision_recall(one, two), "tp", "fp", "fn") == (2, 2, 1)
     e = spark.createDataFrame([("1", "anomaly_type"), ("1", "raw_evidence.variables"), ("2", "location")], flags)
     p = spark.createDataFrame([("1", "anomaly_type"), ("1", "variable"), ("2", "morphology")], flags)
     assert first(metrics.precision_recall(e, p), "tp", "fp", "fn", "precision", "recall") == (2, 1, 1, 0.666667, 0.666667)
@@ -267,10 +342,108 @@ def test_metrics(spark):
     assert first(metrics.pair_accuracy(pairs, metrics.value_key(F.col("g")), metrics.value_key(F.col("p"))), "accuracy") == (0.5,)
 
 
+def noise_case(spark, dataset="mvtec", anomaly="scratch", location="edge", morphology="linear", variables=("XMEAS_1",), shares=None, events=()):
+    schema = "case_id string, dataset string, anomaly_type string, location string, morphology string, variables array<string>, variable_contributions map<string,double>, log_events array<string>"
+    return spark.createDataFrame([("c", dataset, anomaly, location, morphology, list(variables), shares if shares is not None else {v: 0.5 for v in variables}, list(events))], schema)
+
+
+def injected(df, kind, level=0.1):
+    return noise.inject(df, levels=(level,), kinds=(kind,)).first()
+
+
 def test_noise_deletes_the_only_variable(spark):
-    cases = spark.createDataFrame([("c", "o", "a", "l", "m", ["x"])], "case_id string, object string, anomaly_type string, location string, morphology string, variables array<string>")
-    r = noise.inject(cases, {"location": ["l", "k"]}).where("kind = 'variable_deletion' and level = 0.1").first()
-    assert r["variables_noisy"] == [] and r["changed"]
+    r = injected(noise_case(spark), "variable_deletion")
+    assert r["variables"] == [] and r["variable_contributions"] == {} and r["is_noisy"] and r["corrupted"] == ["raw_evidence.variables", "raw_evidence.variable_contributions"]
+    ten = [f"v{i}" for i in range(10)]
+    r = injected(noise_case(spark, variables=ten), "variable_deletion", 0.25)
+    assert len(r["variables"]) == 7 and r["variables"] == [v for v in ten if v in r["variables"]] and set(r["variable_contributions"]) == set(r["variables"])
+    assert not injected(noise_case(spark, variables=()), "variable_deletion")["is_noisy"]
+
+
+@pytest.mark.parametrize(
+    "dataset, kind, field, values",
+    [
+        ("mvtec", "anomaly_type_replacement", "anomaly_type", {"color", "crack", "contamination", "squeeze"}),
+        ("tep", "anomaly_type_replacement", "anomaly_type", {"unknown_process_fault"}),
+        ("wafer", "anomaly_type_replacement", "anomaly_type", {"process_fault"}),
+        ("wafer", "location_replacement", "location", {"reactor", "surface"}),
+        ("mvtec", "morphology_replacement", "morphology", {"dense_particles", "surface"}),
+        ("tep", "morphology_replacement", "morphology", {"dense_particles"}),
+        ("tep", "contradiction_injection", "location", {"feed disturbance"}),
+        ("wafer", "contradiction_injection", "morphology", {"wafer_surface"}),
+        ("mvtec", "contradiction_injection", "morphology", {"surface"}),
+    ],
+)
+def test_noise_replaces_by_values_of_the_dataset(spark, dataset, kind, field, values):
+    r = injected(noise_case(spark, dataset), kind)
+    assert r[field] in values and r["corrupted"] == [field] and r["is_noisy"]
+
+
+def test_noise_renames(spark):
+    r = injected(noise_case(spark), "variable_name_perturbation")
+    assert r["variables"] == ["XMEAS1"] and r["variable_contributions"] == {"XMEAS1": 0.5}
+    assert injected(noise_case(spark, variables=("flow",)), "variable_name_perturbation")["variables"] == ["flow_perturbed"]
+    r = injected(noise_case(spark, anomaly="x", location=None, morphology=None), "synonym_substitution")
+    assert r["variables"] == ["xmeas1"] and r["variable_contributions"] == {"xmeas1": 0.5} and r["corrupted"] == ["raw_evidence.variables"]
+    r = injected(noise_case(spark, anomaly="x", location=None, morphology=None, variables=(), events=("example_alarm", "other")), "synonym_substitution")
+    assert r["log_events"] == ["example alarm", "other"] and r["corrupted"] == ["raw_evidence.log_events"]
+    assert injected(noise_case(spark, events=("a",)), "log_event_deletion")["log_events"] == []
+    assert not injected(noise_case(spark, anomaly="x", location=None, morphology=None, variables=()), "synonym_substitution")["is_noisy"]
+    with pytest.raises(ValueError):
+        noise.inject(noise_case(spark), kinds=("other",))
+
+
+def test_the_weighted_ratio(spark):
+    """Values worked out by hand: twice the common subsequence over both lengths; of parts, where one is much longer."""
+    want = {("p12", "p21"): 4 / 6, ("naton12", "nation12"): 14 / 15, ("abc", "abc"): 1.0, ("ab", "xxxxabxxxx"): 0.9, ("ab", "x" * 20 + "ab"): 0.6, ("abcd", "xxabxcdxx"): 0.9 * 6 / 8, ("", "a"): 0.0}
+    df = spark.createDataFrame(list(want), "a string, b string")
+    got = {(r["a"], r["b"]): r["r"] for r in df.select("a", "b", linking.weighted_ratio(F.col("a"), F.col("b")).alias("r")).collect()}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("measure", ["JACCARD", "WEIGHTED"])
+def test_near_scores_against_all_pairs(spark, measure):
+    """No pair is lost by looking up tokens."""
+    rnd = random.Random(5)
+    words = {"".join(rnd.choice("abcde1") for _ in range(rnd.randrange(1, 9))) for _ in range(120)} | {"".join(rnd.choice("abcdefghijklmnop12") for _ in range(rnd.randrange(3, 20))) for _ in range(80)}
+    left, right = sorted(words)[::2], sorted(words)[1::2] + sorted(words)[:10]
+    m = getattr(linking, measure)
+    got = linking.near_scores(spark.createDataFrame([(x,) for x in left], "mention_key string"), spark.createDataFrame([(x,) for x in right], "key string"), m).collect()
+    ratio = linking._weighted if measure == "WEIGHTED" else lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {}
+    for x in left:
+        for y in set(right):
+            if x != y and (x in y or y in x or ratio(x, y) >= 0.55):
+                want[x, y] = 0.82 if x in y or y in x else ratio(x, y)
+    assert {(r["mention_key"], r["key"]): r["score"] for r in got} == pytest.approx(want)
+
+
+def test_linking_finds_partial_and_fuzzy_matches(spark):
+    n = nodes(spark, ("ScratchDefect", "Scratch defect", "Defect", "mvtec"), ("RimLocation", "outer rim", "Location", "mvtec"), ("Rim", "rimm", "Object", "mvtec"))
+    a = Analysis(mentions(spark, ("anomaly_type", "scratch"), ("location", "outer rin"), ("object", "zzz")), n, edges(spark, ("ScratchDefect", "OCCURS_ON", "RimLocation", "mvtec", 0.9)))
+    got = {r["field"]: (r["entity_id"], r["match_type"], r["score"]) for r in a.links.collect()}
+    assert got["anomaly_type"] == ("ScratchDefect", "partial", 0.82) and got["object"] == (None, None, None)
+    assert got["location"][:2] == ("RimLocation", "fuzzy") and got["location"][2] == round(2 * 7 / 16, 4)
+    assert a.checks.first()["passed"]
+
+
+def test_reasoners_give_way_to_paths(spark):
+    n = nodes(spark, ("Scratch", "scratch", "AnomalyType", "mvtec"), ("HandlingDamage", "h", "RootCause", "mvtec"))
+    e = edges(spark, ("Scratch", "HAS_PLAUSIBLE_CAUSE", "HandlingDamage", "mvtec", 0.75))
+    none = lambda a: spark.createDataFrame([], "case_id string, cause string, score double, rank int")
+    one = lambda a: spark.createDataFrame([("c1", "Own", 0.9, 1), ("c1", "Late", 0.1, 9)], "case_id string, cause string, score double, rank int")
+    for reasoner, want in ((none, ("HandlingDamage", "path_ranker", True)), (one, ("Own", "mvtec", False))):
+        a = Analysis(mentions(spark, ("anomaly_type", "scratch")), n, e, reasoners={"mvtec": reasoner})
+        assert [(r["cause"], r["method"], r["fallback"]) for r in a.causes.collect()] == [want]
+
+
+def test_parallel_edges_count_for_each_combination(spark):
+    n = nodes(spark, ("Scratch", "scratch", "AnomalyType", "mvtec"), ("X", "x", "Object", "mvtec"), ("C", "h", "RootCause", "mvtec"))
+    e = edges(spark, ("Scratch", "R1", "X", "mvtec", 0.9), ("Scratch", "R2", "X", "mvtec", 0.8), ("X", "R1", "C", "mvtec", 0.7), ("X", "R2", "C", "mvtec", 0.6), ("X", "R3", "C", "mvtec", 0.5))
+    for parallel, n_paths in ((True, 5), (False, 1)):
+        a = Analysis(mentions(spark, ("anomaly_type", "scratch")), n, e, parallel=parallel)
+        top = a.top.collect()
+        assert len(top) == n_paths and {tuple(r["edge_ids"]) for r in top} == {("Scratch|R1|X|mvtec", "X|R1|C|mvtec")} and a.scored.count() == (6 if parallel else 1)
 
 
 def test_chunks():
@@ -313,6 +486,6 @@ def test_forbidden_keys_go_at_every_depth(spark):
 def test_compile(spark):
     units = spark.createDataFrame([("u1", "mvtec", "Scratch Defect CAUSED_BY Handling Cause.\nnoise\nScratch defect CAUSED_BY Handling Cause"), ("u2", "mvtec", "Handling Cause PART_OF Handling Cause.")], "unit_id string, scenario string, text string")
     c = Compiled(units)
-    assert {r["id"]: r["label"] for r in c.entities.collect()} == {"ScratchDefect": "AnomalyType", "HandlingCause": "RootCause"}
+    assert {r["id"]: r["label"] for r in c.entities.collect()} == {"ScratchDefect": "Defect", "HandlingCause": "CandidateCause"}
     assert [r["edge_id"] for r in c.edges.collect()] == ["ScratchDefect|CAUSED_BY|HandlingCause|mvtec"]
     assert c.cards.count() == 2 and c.violations.count() == 0

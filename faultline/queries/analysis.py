@@ -74,9 +74,15 @@ def ts_zscore_contribution(spark, d):
     return c.select("fault", "run", "channel", F.round("share", 6).alias("share"), F.round("energy", 6).alias("energy"))
 
 
-@query()
+@query(
+    sql(
+        """SELECT fault, run, unnest(['value', 'k']) AS channel, 0.5::DOUBLE AS share, round(energy, 6) AS energy FROM (
+          SELECT a.fault, a.run, 2 * avg((a.z - s * b.z) / 2 * (a.z - s * b.z) / 2) AS energy FROM z a JOIN z b USING (fault, run, sample), (SELECT sign(corr(value, k)) AS s FROM series WHERE fault = 'view') WHERE a.channel = 'value' AND b.channel = 'k' GROUP BY ALL)""",
+        **_TS,
+    )
+)
 def ts_pca_contribution(spark, d):
-    """Residuals from the first axis; its eigenvector has no SQL form."""
+    """Residuals from the first axis, which of two standardized channels is the diagonal on which they go together."""
     s = _series(spark, d)
     axes = timeseries.principal_axes(s.where("fault = 'view'"), CHANNELS, 1)
     z = _z(spark, d).groupBy("fault", "run", "sample").pivot("channel", CHANNELS).agg(F.first("z"))

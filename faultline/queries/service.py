@@ -178,9 +178,19 @@ def noise_grid_rollup(spark, d):
     return NoiseExperiment(_noise_cases(spark, d), domain.kg_nodes(spark, d), domain.kg_edges(spark, d)).summary
 
 
-@query()
+_CHUNK_END = lambda at: f"CASE WHEN {at} + 8000 >= len(text) THEN len(text) WHEN instr(reverse(text[{at} + 4001:{at} + 8000]), chr(10)) > 0 THEN {at} + 8000 - instr(reverse(text[{at} + 4001:{at} + 8000]), chr(10)) ELSE {at} + 8000 END"
+_LINES_IN = lambda t: f"(len({t}) - len(replace({t}, chr(10), '')))"
+
+
+@query(
+    sql(
+        f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS chunk, pos + lead AS start, pos + lead + len(own) AS "end", 1 + {_LINES_IN('text[1:pos + lead]')} AS first_line, 1 + {_LINES_IN('text[1:pos + lead]')} + {_LINES_IN('own')} AS last_line
+        FROM (SELECT *, len(part) - len(regexp_replace(part, '^\\s+', '')) AS lead, regexp_replace(regexp_replace(part, '^\\s+', ''), '\\s+$', '') AS own FROM (SELECT *, text[pos + 1:stop] AS part FROM cuts)) WHERE own <> ''""",
+        cuts=f""" SELECT doc_id, text, 0::BIGINT AS pos, {_CHUNK_END('0')} AS stop FROM documents WHERE len(text) > 0
+          UNION ALL SELECT doc_id, text, pos, {_CHUNK_END('pos')} FROM (SELECT doc_id, text, greatest(stop - 800, pos + 1) AS pos FROM cuts WHERE stop < len(text))""",
+    )
+)
 def chunk_documents(spark, d):
-    """Cut points depend on the ones before, which SQL cannot follow; tests compare with a plain loop."""
     return compiler.chunk(domain.table(spark, d, "documents"), "doc_id").drop("text")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, pascal
-from .lineage import cut
+from .lineage import numbered
 
 #: Size and overlap of a chunk, and labels of a tail that a relation allows.
 CHUNK, OVERLAP, LEAST = 8000, 800, 1000
@@ -73,18 +73,10 @@ def relation_lines(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def dedupe_cards(cards: DataFrame) -> DataFrame:
-    """One card for each (scenario, claim), numbered in their order; the first unit stands for it.
-
-    Cards are range-partitioned in their order and each partition is numbered on its own, from where the ones before it
-    end, so no task holds a scenario whole.
-    """
+    """One card for each (scenario, claim), numbered in their order over all scenarios; the first unit stands for it."""
     key = normalize(F.col("claim"))
     one = cards.withColumn("claim_key", key).where("claim_key <> ''").groupBy("scenario", "claim_key").agg(F.min_by("claim", "unit_id").alias("claim"), F.min("unit_id").alias("unit_id"), F.count("*").alias("copies"))
-    dealt = cut(one.repartitionByRange("scenario", "claim_key").withColumn("_run", F.spark_partition_id()))
-    start = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = dealt.groupBy("_run").count().withColumn("_before", F.coalesce(F.sum("count").over(start), F.lit(0))).drop("count")
-    nth = F.row_number().over(Window.partitionBy("_run").orderBy("scenario", "claim_key"))
-    return dealt.withColumn("_n", nth).join(F.broadcast(offsets), "_run").withColumn("card_id", F.format_string("card_%04d", F.col("_n") + F.col("_before"))).drop("_n", "_before", "_run")
+    return numbered(one, ["scenario", "claim_key"], "_n").withColumn("card_id", F.format_string("card_%04d", F.col("_n"))).drop("_n")
 
 
 def upsert_entities(rows: DataFrame) -> DataFrame:
@@ -139,6 +131,16 @@ def domain_profiles(edges: DataFrame, by: str = "head") -> DataFrame:
     return edges.groupBy(by, "relation").agg(F.array_sort(F.collect_set("tail")).alias("tails"))
 
 
+def merge_profiles(*sources: DataFrame) -> DataFrame:
+    """Profile rows (scenario, profile, first_key, second_key, ...) of several sources as one; of rows with equal keys that of the earliest source, and of its first ord, stays."""
+    every = None
+    for i, s in enumerate(sources):
+        s = s.withColumn("_source", F.lit(i))
+        every = s if every is None else every.unionByName(s)
+    w = Window.partitionBy("scenario", "profile", "first_key", "second_key").orderBy("_source", "ord")
+    return every.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_source")
+
+
 def graph_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Sizes, shared and Jaccard of two sets of keys; two empty sets are the same."""
     both = left.select(key).distinct().withColumn("a", F.lit(1)).join(right.select(key).distinct().withColumn("b", F.lit(1)), key, "full")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp, text_list, text_or_null, token
+from ..functions.text import channel_id, clamp, normalize, text_list, text_or_null, token
 from . import imaging
 
 #: The names under which the producers of each dataset give each field, first to last.
@@ -176,6 +176,15 @@ def missing_facets(evidence: DataFrame, observed: DataFrame) -> DataFrame:
     return evidence.withColumn("needed", needed).join(seen, "case_id", "left").select("case_id", missing.alias("missing"))
 
 
+def mapped(names: DataFrame, mapping: DataFrame) -> DataFrame:
+    """names (name) with entity: that of the mapping (channel, aliases, entity) whose channel or alias is the name, however it is written; else `variable:` and the channel that the name spells."""
+    ways = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("ord"), normalize(F.col("channel")).alias("key"))), F.transform("aliases", lambda a: F.struct(F.lit(1).alias("ord"), normalize(a).alias("key")))))
+    table = mapping.select("entity", ways.alias("w")).groupBy(F.col("w.key").alias("_key")).agg(F.min_by("entity", F.struct("w.ord", "entity")).alias("entity"))
+    spelled = F.concat(F.lit("variable:"), channel_id(F.col("name")))
+    found = names.withColumn("_key", normalize(F.col("name"))).join(F.broadcast(table), "_key", "left")  # a mapping has a row for each channel of a plant
+    return found.withColumn("entity", F.coalesce("entity", spelled)).drop("_key")
+
+
 def scrub(properties: str, keys: tuple[str, ...] = FORBIDDEN) -> Column:
     """A map without the keys that only an analysis may set."""
     return F.map_filter(properties, lambda k, v: ~k.isin(*keys))

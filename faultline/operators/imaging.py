@@ -140,3 +140,34 @@ def best_thresholds(scored: DataFrame, by: str) -> DataFrame:
     f1 = 2 * F.col("tp") / (F.col("predicted") + F.col("all_p"))
     ranked = run.where("all_p > 0 and all_p < all_n").withColumn("f1", F.round(f1, 9))
     return ranked.groupBy(by).agg(F.max_by("score", F.struct("f1", "score")).alias("threshold"), F.max("f1").alias("f1"))
+
+
+def threshold_maps(cells: DataFrame, threshold: Column, min_area_ratio: float | None = None) -> DataFrame:
+    """Cells of anomaly maps with value 1 from the threshold on, else 0; a map whose marked share is below min_area_ratio is cleared."""
+    on = (F.col("value") >= threshold).cast("int")
+    if min_area_ratio is None:
+        return cells.withColumn("value", on)
+    marked = cells.withColumn("_on", on)
+    share = F.avg("_on").over(Window.partitionBy("grid_id"))
+    return marked.withColumn("value", F.when(share < min_area_ratio, 0).otherwise(F.col("_on"))).drop("_on")
+
+
+def map_quantiles(cells: DataFrame, by: str, count: int = 512) -> DataFrame:
+    """by, place, value: `count` evenly spread quantiles of the values of each group, first and last included; exact, from counts of distinct values."""
+    steps = [i / (count - 1) for i in range(count)]
+    found = cells.groupBy(by).agg(F.percentile("value", F.array(*[F.lit(x) for x in steps])).alias("q"))
+    return found.select(by, F.posexplode("q").alias("place", "value"))
+
+
+def detection_summary(records: DataFrame, by: list[str]) -> DataFrame:
+    """Counts by label and prediction, ranges of score and area, and the mean overlap, of records: label, score, anomalous, area, iou.
+
+    The label `good`, in any case, is that of a sound object; a missing label is that of a defect.
+    """
+    good = F.coalesce(F.lower("label") == "good", F.lit(False))
+    n = lambda c: F.count(F.when(c, 1))
+    said = F.col("anomalous")
+    return records.groupBy(*by).agg(
+        F.count("*").alias("records"), n(~good).alias("defects"), n(good).alias("good"), n(~good & said).alias("defects_anomalous"), n(~good & ~said).alias("defects_normal"), n(good & said).alias("good_anomalous"), n(good & ~said).alias("good_normal"),
+        F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.min("area").alias("area_min"), F.max("area").alias("area_max"), F.round(F.avg("iou") + 1e-12, 6).alias("mean_iou"), F.count("iou").alias("ious"),
+    )

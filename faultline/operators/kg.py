@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
@@ -105,6 +105,12 @@ def edge_strength(edges: DataFrame) -> DataFrame:
     return edges.withColumn("strength", strength)
 
 
+def path_score(scores: Column) -> Column:
+    """The mean of a path's positive analysis scores; 0 if it has none."""
+    own = F.filter(scores, lambda x: x > 0)
+    return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own)).otherwise(F.lit(0.0))
+
+
 def k_hop(edges: DataFrame, focus: DataFrame, hops: int) -> DataFrame:
     """id and hop of every node within `hops` undirected steps of the focus ids."""
     both = cut(edges.select(F.col("head").alias("a"), F.col("tail").alias("b")).unionByName(edges.select(F.col("tail").alias("a"), F.col("head").alias("b"))).distinct())

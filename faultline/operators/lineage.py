@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Folders written by this driver and not yet released, oldest first.
 _WRITTEN: list[str] = []
@@ -30,6 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the number of each row in the order of the columns, from 1, over the whole frame.
+
+    Rows are range-partitioned in their order and each partition is numbered on its own, from where the ones before it
+    end, so no task holds all of them.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_run", F.spark_partition_id()))
+    start = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = dealt.groupBy("_run").count().withColumn("_before", F.coalesce(F.sum("count").over(start), F.lit(0))).drop("count")
+    nth: Column = F.row_number().over(Window.partitionBy("_run").orderBy(*order))
+    return dealt.withColumn("_nth", nth).join(F.broadcast(offsets), "_run").withColumn(name, (F.col("_nth") + F.col("_before")).cast("long")).drop("_nth", "_before", "_run")
+
+
 def release(spark: SparkSession) -> None:
     """Delete what `cut` has written, once every result that reads it has been written or collected."""
     hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import numbered
+
 
 def windows(series: DataFrame, size: int, runs: int) -> DataFrame:
     """The first `size` samples of the first `runs` runs of each fault to complete so many, by the row that completes them.
@@ -21,9 +23,8 @@ def windows(series: DataFrame, size: int, runs: int) -> DataFrame:
 
 
 def stride(series: DataFrame, every: int) -> DataFrame:
-    """Every so many rows of the fault-free data, from the first, counted in the order of `seq` within its runs."""
-    w = Window.partitionBy("run").orderBy("sample")
-    return series.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") % every == 0).drop("_i")
+    """Every so many rows of the fault-free data, from the first, counted over all of it in the order of `seq`."""
+    return numbered(series, ["seq"], "_i").where((F.col("_i") - 1) % every == 0).drop("_i")
 
 
 def long(series: DataFrame, channels: list[str]) -> DataFrame:
@@ -89,6 +90,12 @@ def dynamic_features(z: DataFrame, by: list[str]) -> DataFrame:
     return out.unpivot([*by, "channel"], ["mean", "slope", "osc", "std"], "statistic", "value").withColumn("value", F.round(F.col("value") + 1e-12, 6))
 
 
+def top_variables(shares: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k channels of each group with the largest share, ties by name: rank."""
+    w = Window.partitionBy(*by).orderBy(F.desc(F.round("share", 9)), "channel")
+    return shares.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
 def top_features(features: DataFrame, by: list[str], limit: int = 6) -> DataFrame:
     """The largest features in size, ties by name; those of no size are left out."""
     named = features.withColumn("feature_id", F.concat_ws("__", "channel", "statistic")).where(F.abs("value") > 1e-9)

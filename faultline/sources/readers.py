@@ -123,29 +123,35 @@ def wafer_cells(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """faultNumber, simulationRun, sample and the channels, xmeas before xmv, each by number; seq keeps the file's order."""
+    """faultNumber, simulationRun, sample and the channels, xmeas before xmv, each by number; seq orders the rows as the files have them: by file, block and place in it."""
     df = require(_csv(spark, path), ("faultNumber", "simulationRun", "sample"), path)
     found = sorted((m[1] != "xmeas", int(m[2]), c) for c in df.columns if (m := re.fullmatch(r"(xmeas|xmv)_(\d+)", c)))
     if not found:
         raise ValueError(f"{path}: no channel")
     ids = [F.col(c).cast("int").alias(a) for c, a in (("faultNumber", "fault"), ("simulationRun", "run"), ("sample", "sample"))]
-    return df.select(*ids, *[F.col(c).cast("double") for _, _, c in found], F.monotonically_increasing_id().alias("seq"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select(*ids, *[F.col(c).cast("double") for _, _, c in found], place.alias("seq"))
+
+
+SPLITS = ("train", "test", "ground_truth")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """path, object, split, defect, stem of images under object/split/defect/, with the path of the mask of the same stem."""
+    """path, object, split, defect, stem of images under object/split/defect/ or object/defect/ (split: test), with the path of the mask of the same stem."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,bmp}").load(root).select("path")
     part = lambda i: F.element_at(F.split("path", "/"), i)
-    named = files.select("path", part(-4).alias("object"), part(-3).alias("split"), part(-2).alias("defect"), F.regexp_replace(part(-1), r"(_mask)?\.[^.]+$", "").alias("stem"))
+    nested = part(-3).isin(*SPLITS)
+    named = files.select("path", F.when(nested, part(-4)).otherwise(part(-3)).alias("object"), F.when(nested, part(-3)).otherwise("test").alias("split"), part(-2).alias("defect"), F.regexp_replace(part(-1), r"(_mask)?\.[^.]+$", "").alias("stem"))
     masks = named.where("split = 'ground_truth'").select("object", "defect", "stem", F.col("path").alias("mask_path"))
     return named.where("split <> 'ground_truth'").join(masks, ["object", "defect", "stem"], "left")
 
 
-def read_texts(spark: SparkSession, root: str) -> DataFrame:
-    """path and text of source files below a folder, whole, in the order of their paths."""
+def read_texts(spark: SparkSession, roots: str | list[str], limit: int | None = None) -> DataFrame:
+    """path and text of source files below folders, whole, each file once; with a limit so many, the first by path."""
     glob = "*.{" + ",".join(TEXT_SUFFIXES) + "}"
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(roots, wholetext=True)
+    out = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).dropDuplicates(["path"])
+    return out if limit is None else out.orderBy("path").limit(limit)
 
 
 def read_artifact(spark: SparkSession, folder: str, names: list[str]) -> DataFrame | None:

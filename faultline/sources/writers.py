@@ -32,6 +32,26 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
     flat(df).write.mode(_mode(overwrite)).option("header", True).csv(path)
 
 
+#: Columns of the table of a run, what its explanations are, and what it claims.
+SUMMARY_COLUMNS = (
+    "case_id", "dataset", "adapter_name", "anomaly_type", "location", "morphology", "consistency_score", "linked_entity_count", "correction_candidate_count", "path_count",
+    "top_target_entity_id", "top_target_name", "top_target_label", "best_score", "explanation_scope", "claim_boundary",
+)
+EXPLANATION_SCOPE = "candidate_plausible_explanation_not_verified_rca"
+
+
+def run_summary(evidence: DataFrame, links: DataFrame, scores: DataFrame, corrections: DataFrame, top: DataFrame, nodes: DataFrame, claim: str = "") -> DataFrame:
+    """The table of a run, a row for each case of the evidence: what was linked, corrected and found, and the best target."""
+    count = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
+    best = top.where("rank = 1").select("case_id", F.col("target_id").alias("top_target_entity_id"), F.col("score").alias("best_score"))
+    named = best.join(nodes.select(F.col("id").alias("top_target_entity_id"), F.col("name").alias("top_target_name"), F.col("label").alias("top_target_label")), "top_target_entity_id", "left")
+    rows = evidence.withColumn("adapter_name", F.col("adapter_name") if "adapter_name" in evidence.columns else F.col("dataset"))
+    for part in (scores.select("case_id", "consistency_score"), count(links.where("entity_id is not null"), "linked_entity_count"), count(corrections, "correction_candidate_count"), count(top, "path_count"), named):
+        rows = rows.join(part, "case_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("linked_entity_count", "correction_candidate_count", "path_count")}
+    return rows.withColumns(zero | {"explanation_scope": F.lit(EXPLANATION_SCOPE), "claim_boundary": F.lit(claim)}).select(*SUMMARY_COLUMNS)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, overwrite: bool = False) -> None:
     """Graph CSV with the columns that the readers ask for."""
     text = lambda df, columns: df.select(*[(F.col(c) if c in df.columns else F.lit("")).cast("string").alias(c) for c in columns])

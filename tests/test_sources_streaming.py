@@ -75,3 +75,35 @@ def test_streams(spark, tmp_path):
     got = run(windows.first_windows(stream(), 3), "firsts")
     want = events.groupBy("event_type", "user_id").count().where("count >= 3").count()
     assert got.count() == want and all(len(r["values"]) == 3 for r in got.collect())
+
+
+def test_flat_and_nested_images(spark, tmp_path):
+    for name in ("bottle/test/scratch/1.png", "bottle/ground_truth/scratch/1_mask.png", "cable/bent/7.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = {(r["object"], r["split"], r["defect"], r["stem"], r["mask_path"] is not None) for r in readers.read_images(spark, str(tmp_path)).collect()}
+    assert got == {("bottle", "test", "scratch", "1", True), ("cable", "test", "bent", "7", False)}
+
+
+def test_texts_come_once_and_up_to_a_limit(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"t{i}.txt").write_text(f"text {i}")
+    root = str(tmp_path)
+    assert readers.read_texts(spark, [root, f"{root}/t1.txt"]).count() == 4
+    assert [r["text"] for r in readers.read_texts(spark, root, 2).orderBy("path").collect()] == ["text 0", "text 1"]
+
+
+def test_summary_of_a_run(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    table = writers.run_summary(
+        one([("c", "mvtec", "scratch", "rim", "linear"), ("d", "tep", "f", None, None)], "case_id string, dataset string, anomaly_type string, location string, morphology string"),
+        one([("c", "X"), ("c", None)], "case_id string, entity_id string"),
+        one([("c", 0.7), ("d", 1.0)], "case_id string, consistency_score double"),
+        one([("c", 1)], "case_id string, rank int"),
+        one([("c", 1, "K", 0.5), ("c", 2, "L", 0.4)], "case_id string, rank int, target_id string, score double"),
+        one([("K", "cause", "RootCause")], "id string, name string, label string"),
+    )
+    assert table.columns == list(writers.SUMMARY_COLUMNS) and len(table.columns) == 16
+    got = {r["case_id"]: r for r in table.collect()}
+    assert (got["c"]["linked_entity_count"], got["c"]["correction_candidate_count"], got["c"]["path_count"], got["c"]["top_target_name"], got["c"]["best_score"]) == (1, 1, 2, "cause", 0.5)
+    assert got["d"]["path_count"] == 0 and got["d"]["top_target_entity_id"] is None and got["d"]["consistency_score"] == 1.0

@@ -17,7 +17,7 @@ from .common import map_arrow
 CAPACITY = 1024
 #: Pieces that are packed together; bins do not outlive their block, so neither memory nor the search grows with the input.
 BLOCK_PIECES = 4096
-#: Pieces of one partition, about.
+#: Pieces of one partition, about; with their texts, two blocks.
 PARTITION_PIECES = 1 << 16
 
 
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, with_text: bool = False) ->
     names = "doc_id long, piece int, first_word long, n_words long, bin long, bin_start long, source string" + ", text string" * with_text
     NAMES = [x.split()[0] for x in names.split(", ")]
     pieces = map_arrow(slim, measure, "doc_id long, source string, cluster long, piece int, n_words long" + ", text string" * with_text)
-    parts = max(1, docs.select(F.lit(1)).count() // PARTITION_PIECES)
+    parts = max(1, docs.select(F.lit(1)).count() // (2 * BLOCK_PIECES if with_text else PARTITION_PIECES))
     dealt = pieces.repartition(parts, F.xxhash64("doc_id", "piece"))
     ordered = dealt.sortWithinPartitions(F.xxhash64(F.lit("order"), "doc_id", "piece"), "doc_id", "piece", "n_words", "cluster", "source")
     return ordered.select("doc_id", "piece", "n_words", "source", "cluster", *TEXT).mapInArrow(pack_partition, names)

@@ -108,3 +108,18 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
     return bounded(df).mapInArrow(run, schema)
 
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, most: int):
+    """The batch in runs of rows whose strings have `most` bytes at most, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -41,3 +41,16 @@ good AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = vec_id"""
+
+#: Lines by splitting at their ends, parts as stretches of code points, the text rebuilt from where the marks stand.
+MIDDLE = """
+WITH
+split AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS s, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ends AS (SELECT doc_id, t, h, list_filter(list_transform(s, lambda x, i: length(x) + (i < len(s))::BIGINT), lambda x: x > 0) AS l FROM split),
+drawn AS (SELECT doc_id, t, l, len(l) AS n, ('0x' || h[1:8])::BIGINT % (len(l) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(l) + 1) AS b, t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' AS plain, ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm FROM ends),
+places AS (SELECT *, coalesce(list_sum(list_filter(l, lambda x, i: i <= least(a, b))), 0)::BIGINT AS p, coalesce(list_sum(list_filter(l, lambda x, i: i > least(a, b) AND i <= greatest(a, b))), 0)::BIGINT AS m FROM drawn),
+made AS (SELECT *, CASE WHEN plain THEN t WHEN spm THEN concat('<S>', substring(t, p + m + 1), '<P>', left(t, p), '<M>', substring(t, p + 1, m)) ELSE concat('<P>', left(t, p), '<S>', substring(t, p + m + 1), '<M>', substring(t, p + 1, m)) END AS o FROM places),
+back AS (SELECT *, instr(o, '<P>') AS ip, instr(o, '<S>') AS is_, instr(o, '<M>') AS im FROM made)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN p END AS prefix_chars, CASE WHEN NOT plain THEN m END AS middle_chars, sha256(o) AS output_sha256,
+  sha256(CASE WHEN plain THEN o WHEN spm THEN concat(substring(o, ip + 3, im - ip - 3), substring(o, im + 3), substring(o, 4, ip - 4)) ELSE concat(substring(o, 4, is_ - 4), substring(o, im + 3), substring(o, is_ + 3, im - is_ - 3)) END) AS restored_sha256
+FROM back"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, fingerprints, html, langid, minhash, oracles, packing, pii, sharding, suffix
+from . import bpe, embeddings, fingerprints, html, langid, middle, minhash, oracles, packing, pii, seqpack, sharding, suffix, whitening
 from .common import table
 
 
@@ -50,6 +50,22 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return middle.measure(table(spark, sf_dir, "documents"))
+
+
+def op12_sequence_packing(spark, sf_dir, tokenizer: str | None = None):
+    """tokenizer: the path of a tokenizer file; by default the one that the tokenizer package of this machine has."""
+    import public_tokenizers
+
+    text = seqpack.read_tokenizer(spark, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return seqpack.pack(table(spark, sf_dir, "documents"), text)
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,7 +79,10 @@ QUERIES = {
         op8_fingerprints,
         op9_embeddings,
         op10_packing,
+        op11_fill_in_middle,
+        op12_sequence_packing,
+        op13_whitening,
     )
 }
 #: What SQL can say (on small tables: pairs by brute force); the others (trained models, tries, sorts of suffixes, best fit, patterns that look around) are held against plain versions by tests.
-ORACLE_SQL: dict[str, str] = {"op2_sharding": oracles.SHARDING, "op5_minhash": oracles.MINHASH, "op9_embeddings": oracles.EMBEDDINGS}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": oracles.SHARDING, "op5_minhash": oracles.MINHASH, "op9_embeddings": oracles.EMBEDDINGS, "op11_fill_in_middle": oracles.MIDDLE}

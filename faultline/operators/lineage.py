@@ -12,20 +12,32 @@ from pyspark.sql import functions as F
 _WRITTEN: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir and read back; the folder stays until `release`.
+#: The folder of this process where the session names none.
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors see; on a cluster a relative path is an error.
 
-    Where the setting is unset a local run gets a folder of its own; on a cluster that would be one folder for each
-    machine, so there it is an error.
+    Where the setting is unset a local run gets a folder of its own, kept here and not in the session; on a cluster that would
+    be one folder for each machine, so there it is an error.
     """
+    root, local = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    if root:
+        if not local and not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).isAbsolute():
+            raise ValueError(f"spark.checkpoint.dir must be an absolute path, not {root}")
+        return root.rstrip("/")
+    if not local:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="faultline-"))
+    return _OWN[0]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back; the folder stays until `release`."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/steps/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/steps/{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

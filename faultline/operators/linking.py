@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_jaccard, token
+from ..functions.text import token
+from . import similarity
 from .lineage import cut
+from .similarity import JACCARD, WEIGHTED, Measure
 
 #: Node labels that each field may link to.
 FIELD_LABELS = {
@@ -22,8 +20,10 @@ FIELD_LABELS = {
     "log_event": ["EvidenceSource", "LogEvent"],
 }
 #: Scores of the kinds of match, the least score of a candidate, and the margin below which a link is ambiguous.
-EXACT_ID, EXACT_NAME, ALIAS, PARTIAL = 1.0, 0.98, 0.95, 0.82
+EXACT_ID, EXACT_NAME, ALIAS = 1.0, 0.98, 0.95
 MIN_SCORE, AMBIGUOUS = 0.55, 0.08
+#: Blocks of each scope that a mention looks into first.
+LIKELY = 2
 
 
 def exact_candidates(mentions: DataFrame, terms: DataFrame) -> DataFrame:
@@ -41,137 +41,53 @@ def _exact_type():
     return F.when(F.col("score") == EXACT_ID, "exact_id").when(F.col("score") == EXACT_NAME, "exact_name").otherwise("alias")
 
 
-#: The letters and digits of keys, rarest first.
-RAREST = "zqxj9876543210kvbywgpfmucdlhrsnioate"
-
-
-def _common_length(x: str, y: str) -> int:
-    """The length of the longest common subsequence, a bit for each character of x."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(x):
-        at[c] = at.get(c, 0) | 1 << i
-    whole = (1 << len(x)) - 1
-    open_ = whole
-    for c in y:
-        met = open_ & at.get(c, 0)
-        open_ = ((open_ + met) | (open_ - met)) & whole
-    return len(x) - open_.bit_count()
-
-
-def _ratio(x: str, y: str) -> float:
-    """Twice the longest common subsequence over both lengths."""
-    return 2 * _common_length(x, y) / (len(x) + len(y)) if x or y else 0.0
-
-
-def _weighted(x: str, y: str) -> float:
-    if not x or not y:
-        return 0.0
-    short, long = (x, y) if len(x) <= len(y) else (y, x)
-    m, n = len(short), len(long)
-    whole = _ratio(short, long)
-    if n < 1.5 * m:
-        return whole
-    parts = [long[i : i + m] for i in range(n - m + 1)] + [long[:i] for i in range(1, m)] + [long[i:] for i in range(n - m + 1, n)]
-    return max(whole, max(_ratio(short, p) for p in parts) * (0.9 if n <= 8 * m else 0.6))
-
-
-def weighted_ratio(a: Column, b: Column) -> Column:
-    """The ratio of two keys, or, where one is 1.5 times as long as the other, of its best part, which weighs 0.9 (0.6 beyond 8 times); a pandas function over distinct strings."""
-
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_weighted(p, q) for p, q in zip(x, y)], dtype="float64")
-
-    return F.pandas_udf(ratio, "double")(a, b)
-
-
-@dataclass(frozen=True)
-class Measure:
-    """How near two keys are, and what two keys that are near enough must share.
-
-    ratio: score of two keys. tokens: what a key is made of. shared: of the tokens of the key with fewer of them, the
-    least share that the other must have too for MIN_SCORE.
-    """
-
-    ratio: Callable[[Column, Column], Column]
-    tokens: Callable[[Column], Column]
-    shared: float
-
-
-def _by_rarity(tokens: Column) -> Column:
-    """Sorted so that what fewer keys have comes first: repeats before first uses, then rare letters."""
-    return F.transform(F.array_sort(F.transform(tokens, lambda t: F.struct((-t["n"]).alias("n"), F.instr(F.lit(RAREST), t["c"]).alias("r"), t["c"].alias("c")))), lambda t: F.concat(t["c"], (-t["n"]).cast("string")))
-
-
-def _characters(key: Column) -> Column:
-    """Each character of a key once."""
-    return _by_rarity(F.transform(F.array_distinct(F.filter(F.split(key, ""), lambda c: c != "")), lambda c: F.struct(c.alias("c"), F.lit(1).alias("n"))))
-
-
-def _bag(key: Column) -> Column:
-    """Every character of a key with how often it has come by then."""
-    letters = F.filter(F.split(key, ""), lambda c: c != "")
-    return _by_rarity(F.transform(letters, lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c)).alias("n"))))
-
-
-#: The Jaccard of character sets needs 0.55 of the smaller set. A ratio of 0.55 needs 0.55 of the shorter key; of a part,
-#: whose share counts 0.9, a common subsequence of 0.44 of it.
-JACCARD = Measure(char_jaccard, _characters, MIN_SCORE)
-WEIGHTED = Measure(weighted_ratio, _bag, 0.44)
-
-
-def _near_pairs(keys: DataFrame, term_keys: DataFrame, measure: Measure) -> DataFrame:
-    """mention_key, key of differing strings that share enough tokens to be near, or of which one can hold the other.
+def near_scores(keys: DataFrame, term_keys: DataFrame, measure: Measure = JACCARD, min_score: float = MIN_SCORE) -> DataFrame:
+    """mention_key, key, score, match_type of differing strings where one holds the other, or whose ratio is min_score or more.
 
-    Of the side with fewer tokens only the first and rarest are looked up, as many as must meet one of the other's if
-    the share is to be reached (a string that is held has all its tokens in common): equi-joins on tokens, no pair is
-    lost and none is formed without a token in common.
+    Both sides are distinct strings, so repeated names cost nothing.
     """
-    sized = lambda df, name: cut(df.select(F.col(name), measure.tokens(F.col(name)).alias("t")).withColumn("n", F.size("t")))
-    m, k = sized(keys.select("mention_key").distinct(), "mention_key"), sized(term_keys.select("key").distinct(), "key")
-    head = F.explode(F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * measure.shared - 1e-9).cast("int") + 1)).alias("token")
-    every = F.explode("t").alias("token")
-    named = lambda df, name, tokens: df.select(name, F.col("t").alias(f"t_{name}"), F.col("n").alias(f"n_{name}"), tokens)
-    few = named(m, "mention_key", head).join(named(k, "key", every), "token").where("n_mention_key <= n_key")
-    more = named(k, "key", head).join(named(m, "mention_key", every), "token").where("n_key < n_mention_key")
-    pairs = few.unionByName(more).where("mention_key <> key").drop("token")
-    # what they share in all, before any ratio is worked out
-    met, small = F.size(F.array_intersect("t_mention_key", "t_key")), F.least("n_mention_key", "n_key")
-    near = pairs.where(met >= small * measure.shared - 1e-9).select("mention_key", "key")
-    # strings are small and ratios are not: without a number of its own the exchange would be merged into a task or two
-    return near.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mention_key", "key").distinct()
+    index = similarity.build(term_keys.select(F.lit("").alias("scope"), "key").distinct())
+    wanted = keys.select("mention_key").where("mention_key <> ''").distinct().select("mention_key", F.lit("").alias("scope"), F.lit(min_score).alias("least"))
+    return similarity.search(wanted, index, measure)
 
 
-def near_scores(keys: DataFrame, term_keys: DataFrame, measure: Measure = JACCARD, min_score: float = MIN_SCORE) -> DataFrame:
-    """mention_key, key, score, match_type of differing strings where one holds the other, or whose ratio is enough (MIN_SCORE at least).
+def near_candidates(mentions: DataFrame, terms: DataFrame, measure: Measure = JACCARD, k: int | None = None) -> DataFrame:
+    """As exact_candidates, for partial and fuzzy matches; a node keeps its best term, the first on ties.
 
-    Both sides are distinct strings, so repeated names cost nothing.
+    k: only candidates that can be among the best k of a mention in a dataset are needed. Then each mention first looks into the
+    blocks of terms that are surely like it; what the k-th node there scores is the least that is looked for elsewhere.
     """
-    if min_score < MIN_SCORE:
-        raise ValueError(f"candidates are looked up for scores of {MIN_SCORE} and more")
-    held = F.col("mention_key").contains(F.col("key")) | F.col("key").contains(F.col("mention_key"))
-    pairs = _near_pairs(keys, term_keys, measure).withColumn("held", held)
-    partial = pairs.where("held").select("mention_key", "key", F.lit(PARTIAL).alias("score"), F.lit("partial").alias("match_type"))
-    fuzzy = pairs.where("not held").select("mention_key", "key", measure.ratio(F.col("mention_key"), F.col("key")).alias("score"), F.lit("fuzzy").alias("match_type"))
-    return partial.unionByName(fuzzy).where(F.col("score") >= min_score)
-
-
-def near_candidates(mentions: DataFrame, terms: DataFrame, measure: Measure = JACCARD) -> DataFrame:
-    """As exact_candidates, for partial and fuzzy matches; a node keeps its best term, the first on ties."""
-    keys = mentions.select("mention_key").where("mention_key <> ''").distinct()
-    scored = near_scores(keys, terms.select("key").distinct(), measure)
-    seen = mentions.select("mention_key", "dataset").distinct()
-    hit = seen.join(scored, "mention_key").join(terms, "key").where("scenario in (dataset, 'shared')")
-    best = F.max_by(F.struct("score", "match_type"), F.struct(F.col("score"), -F.col("ord")))
-    return hit.groupBy("mention_key", "dataset", "id", "label").agg(best.alias("b")).select("mention_key", "dataset", "id", "label", "b.score", "b.match_type")
-
-
-def all_candidates(mentions: DataFrame, terms: DataFrame, measure: Measure = JACCARD) -> DataFrame:
-    """Exact, partial and fuzzy candidates; a node that matches in several ways keeps the best."""
-    both = exact_candidates(mentions, terms).unionByName(near_candidates(mentions, terms, measure))
+    index = similarity.build(terms.select(F.col("scenario").alias("scope"), "key").distinct())
+    seen = mentions.select("mention_key", "dataset").where("mention_key <> ''").distinct()
+    by = ["mention_key", "dataset"]
+
+    def nodes(found: DataFrame) -> DataFrame:
+        hit = found.join(terms.select("id", "label", "ord", "key", F.col("scenario").alias("scope")), ["scope", "key"])
+        best = F.max_by(F.struct("score", "match_type"), F.struct(F.col("score"), -F.col("ord")))
+        return hit.groupBy(*by, "id", "label").agg(best.alias("b")).select(*by, "id", "label", "b.score", "b.match_type")
+
+    wanted = seen.select(*by, F.explode(F.array("dataset", F.lit("shared"))).alias("scope"), F.lit(MIN_SCORE).alias("least"))
+    blocks = similarity.descend(wanted, index, measure)
+    if k is not None:
+        blocks = cut(blocks)
+        likely = rank_by(blocks, [*by, "scope"], [F.desc("sure"), F.desc("bound"), F.col("node")], LIKELY)
+        first = rank(nodes(similarity.compare(likely, index, measure)), by, k, "_rank").where(F.col("_rank") == k).select(*by, F.col("score").alias("_least"))
+        first = cut(first)
+        blocks = blocks.join(first, by, "left").withColumn("least", F.coalesce("_least", "least")).drop("_least").where(F.col("bound") >= F.col("least") - 1e-9)
+    return nodes(similarity.compare(blocks, index, measure))
+
+
+def all_candidates(mentions: DataFrame, terms: DataFrame, measure: Measure = JACCARD, k: int | None = None) -> DataFrame:
+    """Exact, partial and fuzzy candidates; a node that matches in several ways keeps the best. k: as for near_candidates."""
+    both = exact_candidates(mentions, terms).unionByName(near_candidates(mentions, terms, measure, k))
     best = F.max_by(F.struct("score", "match_type"), "score")
     return both.groupBy("mention_key", "dataset", "id", "label").agg(best.alias("b")).select("mention_key", "dataset", "id", "label", "b.score", "b.match_type")
 
 
+def rank_by(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_nth") <= k).drop("_nth")
+
+
 def rank(candidates: DataFrame, by: list[str], k: int, name: str = "rank") -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
     return candidates.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= k)
@@ -200,6 +116,7 @@ def field_candidates(mentions: DataFrame, terms: DataFrame, measure: Measure = W
     different keys is 2L / (2L + 1) at most, L being the length of the mention's key.
     """
     fields = mentions.select("field", "mention_key", "dataset").where("mention_key <> ''").distinct()
+    terms = cut(terms)
     exact = exact_candidates(fields, terms)
     best = field_filter(fields, exact, top_k)
     length = F.length("mention_key")
@@ -214,7 +131,7 @@ def field_candidates(mentions: DataFrame, terms: DataFrame, measure: Measure = W
     open_ = cut(fields.join(sure, ["field", "mention_key", "dataset"], "left_anti"))
     if open_.isEmpty():
         return known
-    found = field_filter(open_, all_candidates(open_, terms, measure), top_k)
+    found = field_filter(open_, all_candidates(open_, terms, measure, max(5 * top_k, 10)), top_k)
     return known.unionByName(found)
 
 

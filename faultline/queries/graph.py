@@ -159,7 +159,7 @@ def link_fuzzy_ratio(spark, d):
 def _field_candidates(spark, d):
     mentions = _strings(spark, d).withColumn("field", F.explode(F.array(F.lit("anomaly_type"), F.lit("location"))))
     terms = kg.terms(domain.kg_nodes(spark, d))
-    return linking.field_filter(mentions, linking.all_candidates(mentions, terms))
+    return linking.field_filter(mentions, linking.all_candidates(mentions, terms, k=15))
 
 
 _FIELD = dict(

@@ -393,31 +393,6 @@ def test_noise_renames(spark):
         noise.inject(noise_case(spark), kinds=("other",))
 
 
-def test_the_weighted_ratio(spark):
-    """Values worked out by hand: twice the common subsequence over both lengths; of parts, where one is much longer."""
-    want = {("p12", "p21"): 4 / 6, ("naton12", "nation12"): 14 / 15, ("abc", "abc"): 1.0, ("ab", "xxxxabxxxx"): 0.9, ("ab", "x" * 20 + "ab"): 0.6, ("abcd", "xxabxcdxx"): 0.9 * 6 / 8, ("", "a"): 0.0}
-    df = spark.createDataFrame(list(want), "a string, b string")
-    got = {(r["a"], r["b"]): r["r"] for r in df.select("a", "b", linking.weighted_ratio(F.col("a"), F.col("b")).alias("r")).collect()}
-    assert got == pytest.approx(want)
-
-
-@pytest.mark.parametrize("measure", ["JACCARD", "WEIGHTED"])
-def test_near_scores_against_all_pairs(spark, measure):
-    """No pair is lost by looking up tokens."""
-    rnd = random.Random(5)
-    words = {"".join(rnd.choice("abcde1") for _ in range(rnd.randrange(1, 9))) for _ in range(120)} | {"".join(rnd.choice("abcdefghijklmnop12") for _ in range(rnd.randrange(3, 20))) for _ in range(80)}
-    left, right = sorted(words)[::2], sorted(words)[1::2] + sorted(words)[:10]
-    m = getattr(linking, measure)
-    got = linking.near_scores(spark.createDataFrame([(x,) for x in left], "mention_key string"), spark.createDataFrame([(x,) for x in right], "key string"), m).collect()
-    ratio = linking._weighted if measure == "WEIGHTED" else lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
-    want = {}
-    for x in left:
-        for y in set(right):
-            if x != y and (x in y or y in x or ratio(x, y) >= 0.55):
-                want[x, y] = 0.82 if x in y or y in x else ratio(x, y)
-    assert {(r["mention_key"], r["key"]): r["score"] for r in got} == pytest.approx(want)
-
-
 def test_linking_finds_partial_and_fuzzy_matches(spark):
     n = nodes(spark, ("ScratchDefect", "Scratch defect", "Defect", "mvtec"), ("RimLocation", "outer rim", "Location", "mvtec"), ("Rim", "rimm", "Object", "mvtec"))
     a = Analysis(mentions(spark, ("anomaly_type", "scratch"), ("location", "outer rin"), ("object", "zzz")), n, edges(spark, ("ScratchDefect", "OCCURS_ON", "RimLocation", "mvtec", 0.9)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected
 from .lineage import cut
 
 #: Wafer patterns in their spellings, and the location and morphology that each implies.
@@ -102,22 +103,20 @@ def wafer_descriptors(cells: DataFrame) -> DataFrame:
     return size.select("grid_id", "die_count", "failed_count", density.alias("density"), x.alias("x_norm"), y.alias("y_norm"))
 
 
-def components(cells: DataFrame) -> DataFrame:
+def components(cells: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """grid_id, components: groups of positive cells that touch along an edge.
 
-    Every cell takes the smallest label around it until none changes; grids of any size, spread over the cluster.
+    Runs of neighbouring cells of a row are vertices, linked where a cell lies below another; grids of any size, spread over the cluster.
+    rounds: gets the number of rounds of `connected`.
     """
-    place = F.col("row").cast("long") * (1 << 31) + F.col("col").cast("long")
-    on = cut(cells.where("value > 0").select("grid_id", "row", "col", place.alias("c")))
-    moves = F.explode(F.array(*[F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col")) for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))]))
-    now = on
-    while True:
-        spread = now.select("grid_id", moves.alias("m"), "c").groupBy("grid_id", F.col("m.row").alias("row"), F.col("m.col").alias("col")).agg(F.min("c").alias("best"))
-        new = cut(now.join(spread, ["grid_id", "row", "col"]).select("grid_id", "row", "col", F.least("c", "best").alias("c"), (F.col("best") < F.col("c")).alias("moved")))
-        if new.where("moved").isEmpty():
-            break
-        now = new.drop("moved")
-    return now.groupBy("grid_id").agg(F.countDistinct("c").alias("components"))
+    nth = F.row_number().over(Window.partitionBy("grid_id", "row").orderBy("col"))
+    on = cells.where("value > 0 and grid_id is not null").select("grid_id", "row", "col").distinct()
+    own = Window.partitionBy("grid_id", "row", F.col("col") - F.col("_nth"))
+    runs = cut(on.withColumn("_nth", nth).select("grid_id", "row", "col", F.struct("grid_id", "row", F.min("col").over(own).alias("col")).alias("run")))
+    below = runs.select("grid_id", (F.col("row") - 1).alias("row"), "col", F.col("run").alias("b"))
+    links = runs.withColumnRenamed("run", "a").join(below, ["grid_id", "row", "col"]).select("a", "b").distinct()
+    reached = connected(runs.select(F.col("run").alias("id")).distinct(), links, rounds)
+    return reached.where("id = root").groupBy(F.col("id.grid_id").alias("grid_id")).agg(F.count("*").alias("components"))
 
 
 def iou(left: DataFrame, right: DataFrame) -> DataFrame:

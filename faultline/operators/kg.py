@@ -43,6 +43,30 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return merged.select("edge_id", "head", "relation", "tail", "scenario", chosen["confidence"].alias("confidence"), chosen["review_status"].alias("review_status"), chosen["source"].alias("source"), "copies", (F.col("r").isNotNull() & (F.col("kinds") > 1)).alias("conflict"))
 
 
+def fold_edges(edges: DataFrame, allow_reviewed_overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the edges that reading rows one after another leaves, the rows that this refuses).
+
+    edges: edge_id, review_status, file_order, line and what else an edge has. A later row replaces one that is not reviewed; a reviewed
+    row that differs from what is there before replaces it as long as that is not reviewed, or if it may be overwritten. A row that meets a different
+    reviewed one without leave is refused: second table, with what was there (kept). Repeated rows change nothing.
+    As the state is either the last row or the first (with leave: last) reviewed one, it is a few aggregates that combine, and
+    no edge's rows are gathered, however many there are.
+    """
+    own = [c for c in edges.columns if c not in ("edge_id", "file_order", "line")]
+    reviewed, row = F.col("review_status") == "reviewed", F.struct(*own)
+    at = F.struct("file_order", "line")
+    pick = F.max_by if allow_reviewed_overwrite else F.min_by
+    state = edges.groupBy("edge_id").agg(
+        pick(F.when(reviewed, row), F.when(reviewed, at)).alias("_kept"), F.min(F.when(reviewed, at)).alias("_since"), F.max_by(row, at).alias("_last")
+    )
+    left = state.select("edge_id", F.coalesce("_kept", "_last").alias("_row")).select("edge_id", "_row.*")
+    if allow_reviewed_overwrite:
+        return left, edges.select("edge_id", "file_order", "line", row.alias("refused"), row.alias("kept")).where("false")
+    met = edges.join(state.where("_kept is not null").select("edge_id", "_kept", "_since"), "edge_id")
+    refused = met.where((at > F.col("_since")) & ~row.eqNullSafe(F.col("_kept")))
+    return left, refused.select("edge_id", "file_order", "line", row.alias("refused"), F.col("_kept").alias("kept"))
+
+
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges an end of which is no node."""
     ids = nodes.select("id")

@@ -39,6 +39,49 @@ def kg_edges_merge(spark, d):
     return kg.merge_edges(e.unionByName(later)).select("edge_id", "confidence", "review_status", "copies", "conflict")
 
 
+#: Three files: all edges; those of nations and suppliers again, reviewed where the head's number is even; a third of these once more, with another confidence.
+_FILES = """ SELECT edge_id, confidence, 'auto' AS review_status, 1 AS file_order FROM edges
+  UNION ALL SELECT edge_id, confidence, CASE WHEN right(head, 1) IN ('0', '2', '4', '6', '8') THEN 'reviewed' ELSE 'auto' END, 2 FROM edges WHERE relation IN ('PART_OF', 'BELONGS_TO_UNIT')
+  UNION ALL SELECT edge_id, 0.5, CASE WHEN right(head, 1) IN ('3', '4') THEN 'reviewed' ELSE 'proposed' END, 3 FROM edges WHERE relation IN ('PART_OF', 'BELONGS_TO_UNIT') AND right(head, 1) IN ('0', '3', '4')"""
+
+
+def _files(spark, d):
+    e = domain.kg_edges(spark, d)
+    digit = F.substring("head", -1, 1)
+    again = e.where("relation in ('PART_OF', 'BELONGS_TO_UNIT')")
+    two = again.withColumn("review_status", F.when(digit.isin(*"02468"), "reviewed").otherwise("auto"))
+    three = again.where(digit.isin(*"034")).withColumns({"confidence": F.lit(0.5), "review_status": F.when(digit.isin(*"34"), "reviewed").otherwise("proposed")})
+    parts = [x.select("edge_id", F.col("confidence").cast("double").alias("confidence"), "review_status", F.lit(i).alias("file_order"), F.lit(0).alias("line")) for i, x in ((1, e.withColumn("review_status", F.lit("auto"))), (2, two), (3, three))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_FOLD = """SELECT edge_id, x.confidence::DOUBLE AS confidence, x.review_status AS review_status FROM (
+  SELECT edge_id, coalesce({pick}({{'confidence': confidence, 'review_status': review_status}}, file_order) FILTER (review_status = 'reviewed'), arg_max({{'confidence': confidence, 'review_status': review_status}}, file_order)) AS x FROM files GROUP BY edge_id)"""
+
+
+@query(sql(_FOLD.format(pick="arg_min"), "edges", files=_FILES))
+def kg_edges_fold(spark, d):
+    return kg.fold_edges(_files(spark, d))[0]
+
+
+@query(sql(_FOLD.format(pick="arg_max"), "edges", files=_FILES))
+def kg_edges_override(spark, d):
+    return kg.fold_edges(_files(spark, d), allow_reviewed_overwrite=True)[0]
+
+
+@query(
+    sql(
+        """SELECT n.edge_id, n.confidence::DOUBLE AS refused_confidence, n.review_status AS refused_status, o.confidence::DOUBLE AS kept_confidence
+        FROM files n JOIN files o ON o.edge_id = n.edge_id AND o.file_order < n.file_order AND o.review_status = 'reviewed' WHERE (n.confidence, n.review_status) <> (o.confidence, o.review_status)""",
+        "edges",
+        files=_FILES,
+    )
+)
+def kg_edges_refused(spark, d):
+    refused = kg.fold_edges(_files(spark, d))[1]
+    return refused.select("edge_id", F.col("refused.confidence").alias("refused_confidence"), F.col("refused.review_status").alias("refused_status"), F.col("kept.confidence").alias("kept_confidence"))
+
+
 @query(
     sql(
         """SELECT 'missing_tail' AS "check", 'error' AS severity, edge_id AS subject FROM edges WHERE tail = 'R0'

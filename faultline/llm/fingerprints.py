@@ -9,10 +9,10 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, key_of, unkey
+from .common import bounded, key_of, materialize, unkey
 
 #: Common words of English, French, German and Spanish that anchor signatures.
 ANCHORS = frozenset(
@@ -20,12 +20,12 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain.
 CHAIN = 2
-#: Of the runs of GRAM characters of any text, one in so many, by its hash, is a signature as well; of each text one at least.
-GRAM, RUNS = 4, 4
-#: Of the chains after other words one in so many, by its hash, is a signature too, for texts in which common words are few or of other languages.
-ALSO = 8
-#: Likeness below this is 0: sets whose lengths or first members rule it out are not compared to the end.
-LEAST_LIKENESS = 0.05
+#: Of the chains after other words one in ALSO, by its hash, and the FEW with the smallest hashes count too, so that texts without common words have signatures.
+ALSO, FEW = 32, 24
+#: Words of more than LONG characters (texts without blanks) have signatures of their own, one in RUNS of their runs of GRAM characters, by its hash; so has a text without words.
+LONG, GRAM, RUNS = 24, 4, 4
+#: Likeness from which `near_documents` takes two documents as near.
+NEAR = 0.75
 #: Rows of one ordered run of documents, about; runs at most (the driver knows their bounds); the accuracy of the bounds.
 RUN_ROWS, MAX_RUNS, ACCURACY = 2000, 100_000, 0.001
 
@@ -66,15 +66,15 @@ def character_runs(text: str) -> np.ndarray:
 def signatures(text: str) -> np.ndarray:
     """The text's set of 32-bit spot signatures, sorted.
 
-    A signature is an anchor with the next CHAIN words that are no anchors (fewer at the end of a text) and how often
-    the text has had it before, so sets compare as multisets. So that no text goes without, one in ALSO of the chains
-    after other words is a signature too, and so is one in RUNS of the runs of GRAM characters of the words (of the
-    text, where it has none). The rule is the same at every length, so near copies never differ by it.
+    A signature is an anchor with the next CHAIN words that are no anchors (fewer at the end of a text) and how often the text has had
+    it before, so sets compare as multisets. Of the chains after other words one in ALSO and the FEW smallest by hash are
+    signatures too: one rule for texts of any length, so near copies never differ by it, and a text without common words is not
+    without signatures. Of a word of more than LONG characters, and of a text without words, runs of characters are signatures.
     """
     words = _WORDS(text.lower())
-    runs = character_runs(" ".join(words) or text)
     if not words:
-        return np.unique(runs)
+        return np.unique(character_runs(text))
+    long = [character_runs(w) for w in words if len(w) > LONG]
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     common = (h & np.uint64(1)).astype(bool)
     content = np.concatenate([h[~common], np.zeros(CHAIN, np.uint64)])
@@ -87,9 +87,12 @@ def signatures(text: str) -> np.ndarray:
     before = np.arange(len(sig)) - np.repeat(first, np.diff(np.concatenate([first, [len(sig)]])))
     sig = (sig ^ (sig >> np.uint64(32))) * _MIX + before.astype(np.uint64)
     sig = (sig ^ (sig >> np.uint64(31))) * _MIX
-    sig = sig[common | ((sig >> np.uint64(20)) % np.uint64(ALSO) == 0)]
-    sig = (sig >> np.uint64(32)).astype(np.uint32)
-    return np.unique(np.concatenate([sig, runs]))
+    anchored, other = sig[common], sig[~common]
+    if len(other) > FEW:
+        few = np.zeros(len(other), bool)
+        few[np.argsort(other, kind="stable")[:FEW]] = True
+        other = other[few | ((other >> np.uint64(20)) % np.uint64(ALSO) == 0)]
+    return np.unique(np.concatenate([(anchored >> np.uint64(32)).astype(np.uint32), (other >> np.uint64(32)).astype(np.uint32), *long]))
 
 
 def to_text(sig: np.ndarray) -> str:
@@ -100,22 +103,16 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
-def partition_of(length: int, least: float = LEAST_LIKENESS) -> int:
-    """The partition of a set by its length: sets two or more partitions apart cannot reach the likeness `least`."""
-    return int(np.floor(np.log(max(1, length)) / -np.log(least)))
+def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Jaccard of two sorted sets. Two empty sets: 1. least: where it is lower, 0 may come instead.
 
-
-def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST_LIKENESS) -> float:
-    """Jaccard of two sorted sets, 0 if it is below `least`. Two empty sets: 1.
-
-    Sets of partitions that lie too far apart are not compared, nor are those whose lengths rule the likeness out. The
-    others are met a part at a time, a quarter of the smaller set at once, and given up as soon as what is
-    left of it cannot reach the likeness any more.
+    The sets are met a part at a time, a quarter of the smaller one at once, and given up as soon as what is left of it cannot
+    reach `least` any more.
     """
     if not len(a) and not len(b):
         return 1.0
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not len(small) or partition_of(len(large), least) - partition_of(len(small), least) > 1 or len(small) < least * len(large):
+    if not len(small) or len(small) < least * len(large):
         return 0.0
     both, met, step = 0, 0, max(64, len(small) // 4)
     while met < len(small):
@@ -126,8 +123,47 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST_LIKENESS) -> flo
         most = both + len(small) - met
         if most < least * (len(small) + len(large) - most):
             return 0.0
-    found = both / (len(small) + len(large) - both)
-    return found if found >= least else 0.0
+    return both / (len(small) + len(large) - both)
+
+
+def partition_of(length, least: float = NEAR):
+    """The partition of a set by its length (a column or a number): sets that are alike lie in one, or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(length, F.lit(1))) / -float(np.log(least)) + 1e-12).cast("int")
+
+
+def near_documents(docs: DataFrame, least: float = NEAR) -> DataFrame:
+    """(class, other, likeness) of fingerprints whose likeness is `least` or more: class and other are the smallest doc_id of the texts with each.
+
+    Equal fingerprints are one class, so copies cost nothing. Sets are partitioned by length; in its own partition and the next one up a set
+    looks up its rarest signatures, as many as one of them must be shared; each pair is compared once, from the smaller
+    set, through a Jaccard that gives up early. Texts without signatures are near to none; null doc_ids stand last; repeated rows and an
+    empty table need nothing else.
+    """
+
+    def sign(batches):
+        for b in batches:
+            sets = [signatures(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "s"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = bounded(slim).mapInArrow(sign, "doc_id long, s array<long>").where(F.size("s") > 0)
+    classes = materialize(signed.groupBy("s").agg(F.min("doc_id").alias("class")).withColumn("n", F.size("s")))
+    common = classes.select(F.explode("s").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
+    members = classes.select("class", "n", F.explode("s").alias("sig")).join(common, "sig")
+    order = Window.partitionBy("class").orderBy("df", "sig")
+    rare = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    rare = materialize(rare.where("df > 1").select("sig", "class", "n", partition_of(F.col("n"), least).alias("part")))
+    up = rare.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("class").alias("a"), F.col("n").alias("na"))
+    met = up.join(rare.select("sig", "part", F.col("class").alias("b"), F.col("n").alias("nb")), ["sig", "part"])
+    met = met.where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))).where(F.col("na") >= F.col("nb") * F.lit(least) - 1e-9).select("a", "b").distinct()
+    pairs = met.join(classes.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
+
+    def compare(batches):
+        for b in batches:
+            found = [likeness(np.array(x), np.array(y), least) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(found, pa.float64())], ["class", "other", "likeness"])
+
+    return bounded(pairs).select("a", "b", "sa", "sb").mapInArrow(compare, "class long, other long, likeness double").where(F.col("likeness") >= least)
 
 
 class Runs:
@@ -181,7 +217,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The next document is that of the next smaller doc_id, after the smallest the largest; a lone document is its own.
     Equal doc_ids are ordered by checksum and text, a null doc_id is the smallest. A null text is empty, and two texts
-    without signatures are alike (1.0); a likeness below LEAST_LIKENESS is 0. Extra columns are ignored. Texts cross the
+    without signatures are alike (1.0). Extra columns are ignored. Texts cross the
     network once: the runs' bounds come from the keys alone, and the first rows of each run, which its neighbour needs,
     are sent to both. A doc_id of many rows is dealt to several runs by the checksums of its texts.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, pascal
@@ -42,27 +42,43 @@ def spans(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[in
     return out
 
 
+def chunk_rows(text: str | None, size: int = CHUNK, overlap: int = OVERLAP):
+    """chunk, start, end, first_line, last_line, text of every chunk of a text, trimmed; blank chunks are left out."""
+    n, t = 0, text or ""
+    for a, b in spans(t, size, overlap):
+        part = t[a:b]
+        if part.strip():
+            lead = len(part) - len(part.lstrip())
+            own = part.strip()
+            first = t.count("\n", 0, a + lead) + 1
+            yield n, a + lead, a + lead + len(own), first, first + own.count("\n"), own
+            n += 1
+
+
+CHUNK_SCHEMA = "chunk int, start long, end long, first_line long, last_line long, text string"
+
+
 def chunk(docs: DataFrame, key: str, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """key, chunk, start, end, first_line, last_line, text of every chunk, trimmed; blank chunks are left out."""
+    """key and, for every chunk of its text, what `chunk_rows` gives."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = []
-            for k, t in zip(pdf[key], pdf[text]):
-                n = 0
-                for a, b in spans(t or "", size, overlap):
-                    part = t[a:b]
-                    if part.strip():
-                        lead = len(part) - len(part.lstrip())
-                        own = part.strip()
-                        first = t.count("\n", 0, a + lead) + 1
-                        rows.append((k, n, a + lead, a + lead + len(own), first, first + own.count("\n"), own))
-                        n += 1
-            yield pd.DataFrame(rows, columns=[key, "chunk", "start", "end", "first_line", "last_line", "text"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, start long, end long, first_line long, last_line long, text string")
+            yield pd.DataFrame([(k, *row) for k, t in zip(pdf[key], pdf[text]) for row in chunk_rows(t, size, overlap)], columns=[key, *[c.split()[0] for c in CHUNK_SCHEMA.split(", ")]])
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, {CHUNK_SCHEMA}")
+
+
+def register_chunks(spark: SparkSession, name: str = "chunks") -> None:
+    """The table function name(text [, size [, overlap]]) for SQL: SELECT ... FROM docs, LATERAL chunks(docs.text)."""
+
+    class Chunks:
+        def eval(self, text: str, size: int = CHUNK, overlap: int = OVERLAP):
+            yield from chunk_rows(text, size, overlap)
+
+    schema = CHUNK_SCHEMA.replace(" end ", " `end` ")
+    spark.udtf.register(name, F.udtf(Chunks, returnType=schema, useArrow=True))
 
 
 def relation_lines(lines: DataFrame, column: str = "line") -> DataFrame:

@@ -100,7 +100,7 @@ def simple_paths(sources: DataFrame, best: DataFrame, targets: DataFrame, max_de
 def score_paths(selected: DataFrame, rows: DataFrame, ends: DataFrame, max_depth: int = MAX_DEPTH, keep: int | None = None, parallel: bool = True) -> DataFrame:
     """Each case's paths from its selected source entities, scored by strength, matching evidence and length.
 
-    rows, ends: what `begun` and `endings` give. With `keep`, paths that cannot be among a case's so many best are left
+    rows, ends: what `begun` and `endings` give, so no path ends where it starts. With `keep`, paths that cannot be among a case's so many best are left
     out before they are joined to cases: every path of a case holds its source, which is selected; one that holds no
     other selected entity has the least match there is, so it must be among the best of its source by strength and
     length alone. A path with parallel edges counts once for each combination of them, unless `parallel` is off.
@@ -108,7 +108,6 @@ def score_paths(selected: DataFrame, rows: DataFrame, ends: DataFrame, max_depth
     ids = selected.groupBy("case_id", "dataset").agg(F.collect_set("entity_id").alias("selected_ids"))
     starts = selected.where(F.col("field").isin(*SOURCE_FIELDS)).select("case_id", "dataset", F.col("entity_id").alias("source_id")).distinct()
     by = ["dataset", "source_id"]
-    rows = rows.join(ends.select("ending", "target_id"), "ending").where("source_id <> target_id").drop("target_id")
     if keep is None:
         joined = starts.join(rows, by)
     else:

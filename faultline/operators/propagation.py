@@ -69,6 +69,16 @@ def possible_sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return (leaving.where(F.col("type").isin(*CANDIDATE_TYPES)) if marked.isEmpty() else marked).drop("candidate")
 
 
+#: Blocks in which a table is dealt out where each of its rows belongs to each of another.
+BLOCKS = 32
+
+
+def with_each(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row of left with each of right, where that is the result that is asked for: by an equi-join on blocks of the right rows, so neither side has to fit anywhere."""
+    dealt = right.withColumn("_block", F.pmod(F.hash(*right.columns), F.lit(BLOCKS)))
+    return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(dealt, "_block").drop("_block")
+
+
 def candidates(cases: DataFrame, contributions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Possible sources of every case, in their order (place).
 
@@ -76,7 +86,7 @@ def candidates(cases: DataFrame, contributions: DataFrame, nodes: DataFrame, edg
     First come a case's largest variables and what lies beside them (priority 1), then what lies beside those (2); all
     anchors stand for a case, whether they lie near or not (2 with support, 3 without). direct, adjacent and support
     are the contributions that speak for a candidate, seed_variable the one that it was found by. A case without any
-    has all possible sources (3). The possible sources that are anchors are few, a row for each fault.
+    has all possible sources (3); no number of sources is too large.
     """
     sources = cut(possible_sources(nodes, edges))
     kind = sources.select("id", "type", "role")
@@ -101,8 +111,7 @@ def candidates(cases: DataFrame, contributions: DataFrame, nodes: DataFrame, edg
     two = reach(kind.where(F.coalesce(F.col("role") != ANCHOR, F.lit(True))), edges, 2).join(variables, "at", "left_semi")
     signal = cut(support_signals(three.unionByName(two), contributions))
     every = cases.select("case_id").distinct()
-    listed = lambda rows: F.explode(F.array(*[F.lit(r["id"]) for r in rows.select("id").orderBy("id").limit(10_000).collect()]).cast("array<string>"))
-    standing = every.select("case_id", listed(anchors).alias("id"))
+    standing = with_each(every, anchors.select("id"))
     both = found.join(standing.withColumn("standing", F.lit(True)), ["case_id", "id"], "full").join(signal.withColumnRenamed("support", "s"), ["case_id", "id"], "left")
     s, new = F.coalesce("s", F.lit(0.0)), F.col("priority").isNull()
     raised = F.coalesce("standing", F.lit(False)) & (new | (s > F.col("adjacent")))
@@ -112,7 +121,7 @@ def candidates(cases: DataFrame, contributions: DataFrame, nodes: DataFrame, edg
     )
     bare = every.join(both.select("case_id").distinct(), "case_id", "left_anti")
     zero = F.lit(0.0)
-    both = both.unionByName(bare.select("case_id", listed(sources).alias("id"), F.lit(3).alias("priority"), zero.alias("adjacent"), zero.alias("support"), F.lit("").alias("seed_variable")))
+    both = both.unionByName(with_each(bare, sources.select("id")).select("case_id", "id", F.lit(3).alias("priority"), zero.alias("adjacent"), zero.alias("support"), F.lit("").alias("seed_variable")))
     direct = contributions.select("case_id", "id", F.col("value").alias("direct"))
     out = both.join(direct, ["case_id", "id"], "left").withColumn("direct", F.coalesce("direct", zero)).join(sources, "id")
     order = Window.partitionBy("case_id").orderBy("priority", F.desc(F.greatest("adjacent", "support")), F.desc("direct"), "type", F.lower("name"), "id")

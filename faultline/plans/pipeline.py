@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_not_anomalous
+from ..functions.text import is_not_anomalous, normalize
 from ..operators import consistency, kg, linking, paths
 from ..operators.lineage import cut
 from . import domain
@@ -123,6 +123,21 @@ class Analysis:
         own = cut(own)
         return own.unionByName(generic.join(own.select("case_id").distinct(), "case_id", "left_anti"), allowMissingColumns=True)
 
+    def what_if(self, changes: dict[str, Column]) -> Analysis:
+        """The analysis of the same cases with what they say in some fields replaced: field to its new mention (null: as it was).
+
+        Everything that follows from the mentions is worked out anew; the graph is the same, and what has been derived from it stays.
+        """
+        said = F.col("mention")
+        for name, new in changes.items():
+            said = F.when(F.col("field") == name, F.coalesce(new, F.col("mention"))).otherwise(said)
+        mentions = cut(self.mentions.withColumn("mention", said).withColumn("mention_key", normalize(F.col("mention"))))
+        again = replace(self, mentions=mentions)
+        for name in ("visible", "_best"):
+            if name in self.__dict__:
+                again.__dict__[name] = self.__dict__[name]
+        return again
+
 
 def analyse(spark: SparkSession, sf_dir: str, **options) -> Analysis:
     return Analysis(cut(domain.mentions(spark, sf_dir)), domain.kg_nodes(spark, sf_dir), cut(domain.kg_edges(spark, sf_dir)), **options)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import signals
-from ..operators import anchors, imaging, propagation, rules, timeseries
+from ..operators import anchors, imaging, predictors, propagation, rules, timeseries
 from ..operators import kg as graph
 from ..plans import domain
 from ..plans.root_causes import RootCauses
@@ -166,6 +166,24 @@ def grid_iou(spark, d):
     return imaging.iou(g, g.withColumn("value", F.col("value") - 1)).select("grid_id", F.round("iou", 6).alias("iou"))
 
 
+class HalfMap:
+    """Stands for a model: half of each cell's value as its anomaly score, the largest as the map's."""
+
+    def predict(self, batch):
+        import pyarrow as pa
+
+        maps = [[[x / 2 for x in row] for row in m] for m in batch.column("map").to_pylist()]
+        return pa.RecordBatch.from_pydict({"score": pa.array([max((max(r, default=0.0) for r in m), default=0.0) for m in maps], pa.float64()), "map": pa.array(maps, pa.list_(pa.list_(pa.float64())))})
+
+
+@query(sql("SELECT grid_id, max(value) / 2.0 AS score, count(*) FILTER (value = 2) AS cells, count(*) FILTER (value = 2) > 0 AS found FROM grid GROUP BY grid_id", grid=_GRID))
+def predicted_masks(spark, d):
+    """Maps through a predictor, and the cells that it marks."""
+    said = predictors.predict(predictors.nested(domain.grid(spark, d)), HalfMap, "score double, map array<array<double>>", keep=("grid_id",), cells=500)
+    marked = predictors.cells(said).groupBy("grid_id").agg(F.count(F.when(F.col("value") >= 1.0, 1)).alias("cells"))
+    return said.select("grid_id", "score").join(marked, "grid_id").withColumn("found", F.col("cells") > 0)
+
+
 @query(
     sql(
         """SELECT grid_id, count(DISTINCT root) AS components FROM (SELECT grid_id, a, min(b) AS root FROM reach GROUP BY ALL) GROUP BY grid_id""",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, cases, compiler, metrics, noise, review
+from ..operators.lineage import cut, shared_folder
 from ..plans import domain
 from ..plans.compile import Compiled
 from ..plans.noise import NoiseExperiment
 from ..plans.pipeline import analyse
+from ..sources import runs
 from .registry import registry
 from .sql import norm, scen, sql
 
@@ -182,18 +186,27 @@ _CHUNK_END = lambda at: f"CASE WHEN {at} + 8000 >= len(text) THEN len(text) WHEN
 _LINES_IN = lambda t: f"(len({t}) - len(replace({t}, chr(10), '')))"
 
 
-@query(
-    sql(
-        f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS chunk, pos + lead AS start, pos + lead + len(own) AS "end", 1 + {_LINES_IN('text[1:pos + lead]')} AS first_line, 1 + {_LINES_IN('text[1:pos + lead]')} + {_LINES_IN('own')} AS last_line
-        FROM (SELECT *, len(part) - len(regexp_replace(part, '^\\s+', '')) AS lead, regexp_replace(regexp_replace(part, '^\\s+', ''), '\\s+$', '') AS own FROM (SELECT *, text[pos + 1:stop] AS part FROM cuts)) WHERE own <> ''""",
-        cuts=f""" SELECT doc_id, text, 0::BIGINT AS pos, {_CHUNK_END('0')} AS stop FROM documents WHERE len(text) > 0
-          UNION ALL SELECT doc_id, text, pos, {_CHUNK_END('pos')} FROM (SELECT doc_id, text, greatest(stop - 800, pos + 1) AS pos FROM cuts WHERE stop < len(text))""",
-    )
+_CHUNKS = sql(
+    f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS chunk, pos + lead AS start, pos + lead + len(own) AS "end", 1 + {_LINES_IN('text[1:pos + lead]')} AS first_line, 1 + {_LINES_IN('text[1:pos + lead]')} + {_LINES_IN('own')} AS last_line
+    FROM (SELECT *, len(part) - len(regexp_replace(part, '^\\s+', '')) AS lead, regexp_replace(regexp_replace(part, '^\\s+', ''), '\\s+$', '') AS own FROM (SELECT *, text[pos + 1:stop] AS part FROM cuts)) WHERE own <> ''""",
+    cuts=f""" SELECT doc_id, text, 0::BIGINT AS pos, {_CHUNK_END('0')} AS stop FROM documents WHERE len(text) > 0
+      UNION ALL SELECT doc_id, text, pos, {_CHUNK_END('pos')} FROM (SELECT doc_id, text, greatest(stop - 800, pos + 1) AS pos FROM cuts WHERE stop < len(text))""",
 )
+
+
+@query(_CHUNKS)
 def chunk_documents(spark, d):
     return compiler.chunk(domain.table(spark, d, "documents"), "doc_id").drop("text")
 
 
+@query(_CHUNKS)
+def chunk_lateral(spark, d):
+    """The same chunks by the table function, in SQL."""
+    compiler.register_chunks(spark)
+    docs = domain.table(spark, d, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, c.chunk, c.start, c.`end`, c.first_line, c.last_line FROM {docs} AS docs, LATERAL chunks(docs.text) AS c", docs=docs)
+
+
 _STATEMENTS = f""" SELECT o_orderkey AS id, {scen('o_orderkey')} AS scenario, 'Order ' || (o_custkey % 40) AS head, CASE o_orderstatus WHEN 'F' THEN 'OCCURS_ON' ELSE 'HAS_LOCATION' END AS relation, 'Unit ' || (o_orderkey % 7) AS tail,
   o_orderpriority, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW'"""
 
@@ -544,3 +557,83 @@ def source_compile(spark, d):
     c = Compiled(_statements(spark, d).select(F.col("id").alias("unit_id"), "scenario", F.col("line").alias("text")))
     count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(c.cards, "cards").unionByName(count(c.entities, "entities")).unionByName(count(c.edges, "edges")).unionByName(count(c.profiles, "profiles"))
+
+
+#: Market segments as runs: their customers' orders are the cases, and the lines of these what has been found.
+_STORED = dict(
+    kases=" SELECT 'run_' || c_mktsegment AS run_id, 'case_' || o_orderkey AS case_id, o_orderkey AS case_order, o_orderpriority AS dataset, o_orderstatus AS state FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY'",
+    linked=" SELECT k.run_id, k.case_id, CASE l_linestatus WHEN 'F' THEN 'object' ELSE 'location' END AS field, 'link_' || l_orderkey || '_' || lpad(nth::VARCHAR, 2, '0') AS link_id, l_quantity AS score FROM lines JOIN kases k ON k.case_order = l_orderkey WHERE NOT (k.run_id = 'run_FURNITURE' AND l_returnflag = 'R')",
+    pathed=" SELECT k.run_id, k.case_id, nth::INT AS rank, 'path_' || l_partkey AS path_id FROM lines JOIN kases k ON k.case_order = l_orderkey WHERE nth <= 3 AND k.run_id <> 'run_FURNITURE'",
+)
+
+
+def _stored(spark, d) -> runs.RunStore:
+    """All segments stored; FURNITURE a second time, without the lines that were returned and without paths; MACHINERY removed again."""
+    store = runs.RunStore(spark, f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}")
+    orders = domain.table(spark, d, "orders").join(domain.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    case_id = lambda c: F.concat(F.lit("case_"), F.col(c).cast("string"))
+    orders = cut(orders.select("c_mktsegment", "o_orderkey", "o_orderpriority", "o_orderstatus"))
+    lines = domain.case_lines(spark, d).join(orders.select("o_orderkey", "c_mktsegment"), F.col("l_orderkey") == F.col("o_orderkey"))
+    cases_ = orders.select("c_mktsegment", case_id("o_orderkey").alias("case_id"), F.col("o_orderkey").alias("case_order"), F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("state"))
+    field = F.when(F.col("l_linestatus") == "F", "object").otherwise("location")
+    link_id = F.concat(F.lit("link_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.lpad(F.col("nth").cast("string"), 2, "0"))
+    links = lines.select("c_mktsegment", "l_returnflag", case_id("l_orderkey").alias("case_id"), field.alias("field"), link_id.alias("link_id"), F.col("l_quantity").alias("score"))
+    paths_ = lines.where("nth <= 3").select("c_mktsegment", case_id("l_orderkey").alias("case_id"), F.col("nth").cast("int").alias("rank"), F.concat(F.lit("path_"), F.col("l_partkey").cast("string")).alias("path_id"))
+    links, paths_ = cut(links), cut(paths_)
+    of = lambda df, s: df.where(F.col("c_mktsegment") == s).drop("c_mktsegment", "l_returnflag")
+    segments = [r[0] for r in domain.table(spark, d, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # market segments are five
+    for i, s in enumerate(segments):
+        about = spark.range(1).select(F.lit(f"2024-01-{i + 1:02d}").alias("started_at"), F.lit("done").alias("status"))
+        store.save(f"run_{s}", {"run": about, "cases": of(cases_, s), "linked_entities": of(links, s), "paths": of(paths_, s)})
+    about = spark.range(1).select(F.lit("2024-02-01").alias("started_at"), F.lit("again").alias("status"))
+    store.save("run_FURNITURE", {"run": about, "cases": of(cases_, "FURNITURE"), "linked_entities": of(links.where("l_returnflag <> 'R'"), "FURNITURE")})
+    store.remove("run_MACHINERY")
+    return store
+
+
+@query(
+    sql(
+        """SELECT run_id, case_id, case_order, dataset, state, coalesce(n, 0) AS links, first_link, coalesce(p, '') AS paths FROM kases
+        LEFT JOIN (SELECT case_id, count(*) AS n, arg_min(link_id, (field, link_id)) AS first_link FROM linked GROUP BY case_id) USING (case_id)
+        LEFT JOIN (SELECT case_id, string_agg(path_id, '|' ORDER BY rank) AS p FROM pathed GROUP BY case_id) USING (case_id)""",
+        "lines",
+        **_STORED,
+    )
+)
+def run_details(spark, d):
+    """Every case of every stored run with what was found for it, nested as it is stored."""
+    store = _stored(spark, d)
+    out = None
+    for run in [r["run_id"] for r in store.current().orderBy("run_id").collect()]:  # the runs that this query has stored
+        one = store.detail(run)
+        paths_ = F.concat_ws("|", F.transform("paths", lambda p: p["path_id"])) if "paths" in one.columns else F.lit("")
+        one = one.select("run_id", "case_id", "case_order", "dataset", "state", F.size("linked_entities").cast("long").alias("links"), F.get("linked_entities", F.lit(0))["link_id"].alias("first_link"), paths_.alias("paths"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    sql(
+        """SELECT run_id, started_at, status, cases, links FROM (SELECT run_id, count(*) AS cases FROM kases GROUP BY run_id) JOIN (SELECT run_id, count(*) AS links FROM linked GROUP BY run_id) USING (run_id)
+        JOIN (SELECT 'run_' || c_mktsegment AS run_id, CASE c_mktsegment WHEN 'FURNITURE' THEN '2024-02-01' ELSE '2024-01-0' || row_number() OVER (ORDER BY c_mktsegment) END AS started_at, CASE c_mktsegment WHEN 'FURNITURE' THEN 'again' ELSE 'done' END AS status FROM (SELECT DISTINCT c_mktsegment FROM customer)) USING (run_id)""",
+        "lines",
+        **_STORED,
+    )
+)
+def run_list(spark, d):
+    """The stored runs, newest first, with the sizes of their tables."""
+    store = _stored(spark, d)
+    size = lambda t, name: store.table(t).groupBy("run_id").agg(F.count("*").alias(name))
+    return store.runs().select("run_id", "started_at", "status").join(size("cases", "cases"), "run_id").join(size("linked_entities", "links"), "run_id")
+
+
+_UPSERTED = """ SELECT id, name, scenario FROM nodes WHERE label <> 'Location' AND NOT (label = 'Object' AND right(id, 1) = '7')
+  UNION ALL SELECT id, lower(name), scenario FROM nodes WHERE label = 'Object' AND right(id, 1) = '7' UNION ALL SELECT id || '_new', name, 'shared' FROM nodes WHERE label = 'Location' UNION ALL SELECT id, name, scenario FROM nodes WHERE label = 'Location'"""
+
+
+@query(sql("SELECT id, name, scenario FROM merged", "nodes", merged=_UPSERTED))
+def graph_upsert(spark, d):
+    """Graph nodes after a batch of changed suppliers and new places has been merged by key."""
+    n = domain.kg_nodes(spark, d).select("id", "name", "scenario", "label")
+    new = n.where("label = 'Object' and right(id, 1) = '7'").withColumn("name", F.lower("name")).unionByName(n.where("label = 'Location'").withColumns({"id": F.concat("id", F.lit("_new")), "scenario": F.lit("shared")}))
+    return runs.upsert(n, new, ["id"]).select("id", "name", "scenario")

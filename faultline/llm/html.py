@@ -16,7 +16,7 @@ from .common import map_arrow
 
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style noscript template textarea title head svg math iframe object select option datalist canvas".split())
-#: Elements, and words of class, id or role, that hold something other than the article.
+#: Elements that hold something other than the article, and words of class, id or role that mostly do: these have a weight (PRIOR) only until a learned one takes its place.
 ASIDE_TAGS = frozenset("nav footer aside form button menu dialog fieldset label input".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
@@ -34,10 +34,10 @@ SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
 #: Pages that weights are learned from, about, and keys that the weights hold.
 LEARNED_PAGES, LEARNED_KEYS = 1000, 4000
-#: A key counts if it was seen with this many words; the largest weights of a word, either way; the key of all asides.
-LEAST_WORDS, WORD_MOST, WORD_LEAST, ASIDE = 30, 1.0, -0.2, "~aside"
-#: What a tag scores that is only seen in articles, and what it loses at most if it is not.
-TAG_MOST, TAG_RANGE = -0.05, 0.35
+#: A key counts if it was seen with this many words; the largest weights of a word, either way; the key of all asides, the weight of class words that nothing was learned of, that of asides.
+LEAST_WORDS, WORD_MOST, WORD_LEAST, ASIDE, PRIOR, NEVER = 30, 1.0, -0.2, "~aside", -4.0, -50.0
+#: What a tag scores that is only seen in articles, and what it loses at most if it is not: a run that goes beyond such a tag has to win more words than that.
+TAG_MOST, TAG_RANGE = -0.05, 10.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -52,12 +52,16 @@ _PARTS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+def priors() -> dict[str, float]:
+    return {ASIDE: PRIOR} | {f".{w}": PRIOR for w in ASIDE_WORDS}
+
+
 @dataclass
 class Weights:
     """Log odds of a word: `word` of any, `keys` what each key of its path adds; score of a tag: `tags` by name, else `tag`."""
 
     word: float = 1.0
-    keys: dict = field(default_factory=lambda: {ASIDE: -4.0})
+    keys: dict = field(default_factory=priors)
     tag: float = -0.1
     tags: dict = field(default_factory=dict)
 
@@ -79,27 +83,21 @@ def _class_words(attributes: str) -> list[str]:
     return [p for _, v in _NAMED.findall(attributes) for p in _PARTS.findall(v.lower())] if attributes else []
 
 
-def _is_aside(tag: str, words: list[str], attributes: str, labelled: bool) -> bool:
-    if tag in SILENT or tag in ASIDE_TAGS or attributes and _HIDDEN.search(attributes):
-        return True
-    if tag in ("body", "html"):
-        return False
-    if tag == "header":
-        return not labelled
-    if labelled or tag in ARTICLE_TAGS:  # as in "post-header": of the article itself
-        words = [w for w in words if w != "header"]
-    return any(w in ASIDE_WORDS for w in words)
+def _is_aside(tag: str, attributes: str, labelled: bool) -> bool:
+    """Elements that are never text of an article: by what HTML says that they are, or because they are hidden."""
+    return tag in SILENT or tag in ASIDE_TAGS or tag == "header" and not labelled or bool(attributes and _HIDDEN.search(attributes))
 
 
 def _element(tag: str, attributes: str, above: Element) -> Element:
-    """Keys: the name of a block element without a class or id that says more, the words of class, id and role, or only that it is an aside."""
+    """Keys: the words of class, id and role, else the name of a block element, or only that it is an aside."""
     words = _class_words(attributes)
     labelled = above.labelled or tag in ARTICLE_TAGS or "articlebody" in words
-    aside = above.aside or _is_aside(tag, words, attributes, above.labelled)
+    aside = above.aside or _is_aside(tag, attributes, above.labelled)
     if aside:
         keys = () if above.aside else (ASIDE,)
     else:
-        keys = tuple(dict.fromkeys(f".{w}" for w in words if w != "articlebody")) or (() if tag in INLINE or tag in ARTICLE_TAGS else (tag,))
+        own = [w for w in words if w != "articlebody" and not (w == "header" and labelled)]  # as in "post-header": of the article itself
+        keys = tuple(dict.fromkeys(f".{w}" for w in own)) or (() if tag in INLINE or tag in ARTICLE_TAGS else (tag,))
     made = Element(tag, keys, aside, labelled, above)
     made.block = above.block if tag in INLINE else made
     return made
@@ -179,7 +177,7 @@ def scored(page: str, weights: Weights) -> tuple[list[tuple], list[float]]:
 
 
 def extract(page: str, weights: Weights) -> str:
-    """The text of the best run: pieces whose words score positive, character references decoded, blocks a space apart."""
+    """The text of the best run, character references decoded, blocks a space apart; what lies within it but scores as something else (an advert between paragraphs) is left out."""
     pieces, scores = scored(page, weights)
     blocks: list[list[str]] = []
     broken = True
@@ -236,8 +234,8 @@ def from_counts(found: dict[str, tuple[int, int]]) -> Weights:
     """Weights from (words or tags of articles, others) by key: log odds for words, and for tags the share that was beside articles."""
     odds = lambda a, b: math.log((a + 1) / (b + 1))
     prior = odds(*found.get("", (1, 0)))
-    keys = {k: odds(a, b) - prior for k, (a, b) in found.items() if k and k[0] != "<" and a + b >= LEAST_WORDS}
-    keys.setdefault(ASIDE, min(-4.0, -2 * abs(prior)))
+    keys = priors() | {k: odds(a, b) - prior for k, (a, b) in found.items() if k and k[0] != "<" and a + b >= LEAST_WORDS}
+    keys[ASIDE] = NEVER  # whatever it lies in, as a footer in a paragraph that was not closed
     tags = {k[1:]: TAG_MOST - TAG_RANGE * (b + 0.1) / (a + b + 1) for k, (a, b) in found.items() if k[:1] == "<"}
     return Weights(word=prior, keys=keys, tags=tags)
 
@@ -270,7 +268,7 @@ def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame
     A null or empty page, and one without text of its own, has an empty text. Broken markup (elements never closed, a
     page cut off) is read as far as it goes. Repeated pages get equal results; extra columns are ignored; nothing is
     shuffled, and the weights, whose size their parameters bound, go to the executors. Where no page is labelled, words
-    count 1 and asides are known by their names only.
+    count 1 and asides are known by their elements and the priors of class words only.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or fit(pages))
 

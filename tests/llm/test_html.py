@@ -30,6 +30,34 @@ def test_unmarked_pages_with_learned_weights(spark):
             assert extract(bare, weights) == plain(r["html"])
 
 
+def test_scan_and_weights_decide(spark, monkeypatch):
+    """Teasers and comments in elements that nothing is known of: only where the run ends, and what tags were learned to cost, keeps them out."""
+    from faultline.llm import html as module
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    learned, right, total, by_scan, by_weights = fit(pages), 0, 0, 0, 0
+    for r in pages.collect():
+        page, want = r["html"], plain(r["html"])
+        if "</article>" not in page or len(want.split()) < 20:
+            continue
+        page = page.replace("<article>", "<div class=k7q><p>Read this next week</p></div><article>").replace("</article>", "</article><div class=zqx2><p>Great post, thanks for sharing</p></div>")
+        got = extract(page, learned)
+        total, right = total + 1, right + (got == want)
+        by_weights += extract(page, Weights()) != got
+        monkeypatch.setattr(module, "best_run", lambda scores: (0, len(scores)))
+        by_scan += extract(page, learned) != got
+        monkeypatch.undo()
+    assert total > 40 and right >= 0.98 * total and by_scan == by_weights == total
+
+
+def test_class_words_are_learned(spark):
+    """A class of the list that labelled articles use is text; one that is not of the list and stands beside them is not."""
+    page = "<body><div class=zzz><p>" + "beside it " * 20 + "</p></div><article><div class=sponsor><p>" + "of the text " * 20 + "</p></div></article></body>"
+    weights = fit(spark.createDataFrame([(i, "u", page) for i in range(30)], "page_id long, url string, html string"))
+    assert weights.keys[".sponsor"] > 0 > weights.keys[".zzz"] and Weights().keys[".sponsor"] < 0
+    assert extract(page.replace("article>", "section>"), weights) == ("of the text " * 20).strip()
+
+
 def every_run(page, weights):
     """The best run by trying every start and end, from scores worked out anew for each piece."""
     pieces, scores = scored(page, weights)

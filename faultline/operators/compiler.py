@@ -162,3 +162,8 @@ def graph_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = left.select(key).distinct().withColumn("a", F.lit(1)).join(right.select(key).distinct().withColumn("b", F.lit(1)), key, "full")
     n = both.agg(F.count("a").alias("left"), F.count("b").alias("right"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"), F.count("*").alias("total"))
     return n.select("left", "right", "shared", F.round(F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(F.lit(1.0)), 6).alias("jaccard"))
+
+
+def shared_sample(left: DataFrame, right: DataFrame, key: str, n: int = 20) -> DataFrame:
+    """The first n keys, in order, that both graphs have: the sample of a comparison."""
+    return left.select(key).intersect(right.select(key)).orderBy(key).limit(n)

@@ -190,6 +190,23 @@ def scrub(properties: str, keys: tuple[str, ...] = FORBIDDEN) -> Column:
     return F.map_filter(properties, lambda k, v: ~k.isin(*keys))
 
 
+#: What names the fault of a record, and the maps that may hold it too.
+FAULT_KEYS, CONTAINERS = ("fault_number", "fault_id"), ("extra", "metadata")
+
+
+def without_faults(records: DataFrame) -> DataFrame:
+    """The records without the columns that name their fault, and without those keys in their maps (maps or structs): what an analysis may see that is to find it."""
+    out = records.drop(*FAULT_KEYS)
+    for name in CONTAINERS:
+        if name in out.columns:
+            kind = out.schema[name].dataType.typeName()
+            if kind == "map":
+                out = out.withColumn(name, scrub(name, FAULT_KEYS))
+            elif kind == "struct" and (kept := [f.name for f in out.schema[name].dataType.fields if f.name not in FAULT_KEYS]):
+                out = out.withColumn(name, F.when(F.col(name).isNotNull(), F.struct(*[F.col(name)[c].alias(c) for c in kept])))
+    return out
+
+
 def scrub_json(c: Column, keys: tuple[str, ...] = FORBIDDEN) -> Column:
     """JSON text of any shape without those keys, at every depth; what cannot be read is null. A pandas function."""
     gone = set(keys)

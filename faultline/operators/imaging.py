@@ -103,6 +103,18 @@ def wafer_descriptors(cells: DataFrame) -> DataFrame:
     return size.select("grid_id", "die_count", "failed_count", density.alias("density"), x.alias("x_norm"), y.alias("y_norm"))
 
 
+def threshold_masks(cells: DataFrame, threshold: float, least_share: float | None = None) -> DataFrame:
+    """grid_id, row, col, value 1 from the threshold on and 0 below it; a mask that covers less than least_share of its grid's cells is empty.
+
+    A null value is below any threshold. Shares are counted first and joined, so a grid of any size is never gathered.
+    """
+    on = cells.withColumn("value", F.coalesce(F.col("value") >= threshold, F.lit(False)).cast("int"))
+    if least_share is None:
+        return on.select("grid_id", "row", "col", "value")
+    share = on.groupBy("grid_id").agg(F.avg("value").alias("_share"))
+    return on.join(share, "grid_id").select("grid_id", "row", "col", F.when(F.col("_share") < least_share, 0).otherwise(F.col("value")).alias("value"))
+
+
 def components(cells: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """grid_id, components: groups of positive cells that touch along an edge.
 

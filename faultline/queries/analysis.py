@@ -166,6 +166,12 @@ def grid_iou(spark, d):
     return imaging.iou(g, g.withColumn("value", F.col("value") - 1)).select("grid_id", F.round("iou", 6).alias("iou"))
 
 
+@query(sql("SELECT grid_id, CASE WHEN avg((value >= 2)::INT) < 0.85 THEN 0 ELSE count(*) FILTER (value >= 2) END AS cells FROM grid GROUP BY grid_id", grid=_GRID))
+def threshold_masks(spark, d):
+    """Masks of maps from a threshold on, without those that cover too little."""
+    return imaging.threshold_masks(domain.grid(spark, d), 2, 0.85).groupBy("grid_id").agg(F.sum("value").alias("cells"))
+
+
 class HalfMap:
     """Stands for a model: half of each cell's value as its anomaly score, the largest as the map's."""
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, cases, compiler, metrics, noise, review
+from ..operators import artifacts, cases, compiler, evidence, metrics, noise, review
 from ..operators.lineage import cut, shared_folder
 from ..plans import domain
 from ..plans.compile import Compiled
@@ -637,3 +637,31 @@ def graph_upsert(spark, d):
     n = domain.kg_nodes(spark, d).select("id", "name", "scenario", "label")
     new = n.where("label = 'Object' and right(id, 1) = '7'").withColumn("name", F.lower("name")).unionByName(n.where("label = 'Location'").withColumns({"id": F.concat("id", F.lit("_new")), "scenario": F.lit("shared")}))
     return runs.upsert(n, new, ["id"]).select("id", "name", "scenario")
+
+
+@query(
+    sql(
+        """SELECT coalesce(event_type, fault) AS fault, coalesce(n, 0) AS cases, fault IS NOT NULL AS requested, fault IS NOT NULL AND n IS NULL AS missing
+        FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) FULL JOIN (SELECT unnest(['view', 'error', 'fault_21', 'fault_22']) AS fault) ON fault = event_type"""
+    )
+)
+def fault_counts(spark, d):
+    """Kinds of events as faults: how often each was seen, and which of those asked for never."""
+    asked = spark.createDataFrame([(x,) for x in ("view", "error", "fault_21", "fault_22")], "event_type string")
+    return cases.fault_coverage(domain.table(spark, d, "events"), asked, "event_type")
+
+
+@query(sql("SELECT edge_id FROM edges WHERE confidence >= 0.94 AND support > 1 ORDER BY edge_id LIMIT 20", "edges"))
+def graph_shared_sample(spark, d):
+    """The sample of edges that two graphs share; twenty are what is asked for."""
+    e = domain.kg_edges(spark, d)
+    return compiler.shared_sample(e.where("confidence >= 0.94"), e.where("support > 1"), "edge_id")
+
+
+@query(sql("SELECT event_id, 'event_id,extra,metadata|event_type|' || event_type || '|event_type|' || event_type AS kept FROM events"))
+def fault_label_scrub(spark, d):
+    """Events as records whose fault is named in a column and in two containers."""
+    e = domain.table(spark, d, "events").select("event_id", F.col("user_id").alias("fault_number"), F.struct("event_type", F.col("user_id").alias("fault_id")).alias("metadata"), F.create_map(F.lit("fault_number"), F.col("event_type"), F.lit("event_type"), F.col("event_type")).alias("extra"))
+    left = evidence.without_faults(e)
+    names = [left.columns, left.schema["metadata"].dataType.names]
+    return left.select("event_id", F.concat_ws("|", *[F.lit(",".join(sorted(n))) for n in names], "metadata.event_type", F.map_keys("extra"), F.map_values("extra")).alias("kept"))

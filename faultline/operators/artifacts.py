@@ -49,8 +49,8 @@ def entity_maxima(rows: DataFrame) -> DataFrame:
 
 
 def simple_score(match: Column, graph: Column, support: Column, length: Column, broad: Column) -> Column:
-    """Match, graph confidence and support less length and breadth; not below 0."""
-    return F.greatest(F.lit(0.0), MATCH * match + GRAPH * graph + SUPPORT * support - LENGTH * length / 4 - F.when(broad, F.lit(BROAD)).otherwise(F.lit(0.0)))
+    """Match, graph confidence and support less length (of 4) and breadth (a share, or yes or no); not below 0."""
+    return F.greatest(F.lit(0.0), MATCH * match + GRAPH * graph + SUPPORT * support - LENGTH * length / 4 - BROAD * broad.cast("double"))
 
 
 def causes_of(matched: DataFrame) -> DataFrame:

@@ -232,7 +232,7 @@ def propagate(sources: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def support_paths(causes: DataFrame, variables: DataFrame, edges: DataFrame, depth: int = 4) -> DataFrame:
-    """case-free shortest undirected paths from causes to variables, not through another cause: cause, variable, path.
+    """case-free shortest undirected paths from causes to variables, not through another cause: cause, variable, path, confidence (the mean of its edges').
 
     Of shortest paths the first in the order of (falling confidence, edge_id) at each step.
     """
@@ -248,4 +248,4 @@ def support_paths(causes: DataFrame, variables: DataFrame, edges: DataFrame, dep
         seen = cut(seen.unionByName(front.select("cause", "at")))
         hit = front.join(goal, "at", "left_semi")
         found = hit if found is None else found.unionByName(hit)
-    return found.select("cause", F.col("at").alias("variable"), F.transform("path", lambda x: x["edge_id"]).alias("path"))
+    return found.select("cause", F.col("at").alias("variable"), F.transform("path", lambda x: x["edge_id"]).alias("path"), (1 - F.aggregate("path", F.lit(0.0), lambda s, x: s + x["c"]) / F.size("path")).alias("confidence"))

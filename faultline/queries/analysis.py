@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import signals
 from ..operators import anchors, imaging, predictors, propagation, rules, timeseries
 from ..operators import kg as graph
+from ..operators.lineage import cut
 from ..plans import domain
 from ..plans.root_causes import RootCauses
+from ..plans.simple_causes import SimpleCauses
 from .registry import registry
 from .sql import sql
 
@@ -511,3 +513,42 @@ def graph_snapshot(spark, d):
     """The shared scope of the graph as a snapshot would give it."""
     e = graph.visible_edges(domain.kg_nodes(spark, d), domain.kg_edges(spark, d), ["shared"]).where("relation = 'PART_OF'")
     return e.groupBy(F.concat_ws("|", "head", "relation").alias("k")).agg(F.count("*").alias("n"))
+
+
+_STEP = lambda n, before: f""" SELECT cause, b AS spot, min(list_append(path, {{'c': c, 'e': edge_id}})) AS path FROM s{n - 1} JOIN und ON a = spot WHERE b NOT IN (SELECT id FROM causes) AND (cause, b) NOT IN (SELECT (cause, spot) FROM ({before})) GROUP BY ALL"""
+_UNTIL = lambda n: " UNION ALL ".join(f"SELECT cause, spot FROM s{i}" for i in range(n))
+_SIMPLE = dict(
+    causes=" SELECT id FROM nodes WHERE label = 'RootCause'",
+    scope=" SELECT * FROM vis WHERE dataset = 'tep'",
+    und=" SELECT head AS a, tail AS b, 1 - confidence AS c, edge_id FROM scope UNION ALL SELECT tail, head, 1 - confidence, edge_id FROM scope",
+    s0=" SELECT id AS cause, id AS spot, CAST([] AS STRUCT(c DOUBLE, e VARCHAR)[]) AS path FROM causes",
+    s1=_STEP(1, _UNTIL(1)), s2=_STEP(2, _UNTIL(2)), s3=_STEP(3, _UNTIL(3)), s4=_STEP(4, _UNTIL(4)),
+    reached=" SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4",
+    shares=" SELECT case_id, id, q / sum(q) OVER (PARTITION BY case_id) AS v FROM (SELECT c.case_id, 'P' || l_partkey AS id, sum(l.l_quantity) AS q FROM lines l JOIN cases c USING (l_orderkey) WHERE c.dataset = 'tep' GROUP BY ALL)",
+    chosen=" SELECT *, sum(v) OVER (PARTITION BY case_id) AS total, count(*) OVER (PARTITION BY case_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY v DESC, id) AS nth FROM shares) WHERE nth <= 8 AND id IN (SELECT id FROM vis_nodes WHERE dataset = 'tep')",
+    fitted=" SELECT case_id, cause, id, v, total, n, path, list_sum(list_transform(path, lambda x: 1 - x.c)) / len(path) AS conf FROM chosen JOIN reached ON spot = id",
+    summed=""" SELECT case_id, cause, sum(v) / greatest(max(total), 1e-9) AS match, sum(v * conf) / sum(v) AS graph, count(*) / max(n) AS support, sum(v * len(path)) / sum(v) AS length, avg((len(path) > 1)::INT) AS broad FROM fitted GROUP BY ALL""",
+    simply=" SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, cause) AS rank FROM (SELECT *, round(greatest(0, 0.5 * match + 0.3 * graph + 0.25 * support - 0.1 * length / 4 - 0.12 * broad) + 1e-9, 4) AS score FROM summed)",
+)
+
+
+def _simple(spark, d) -> SimpleCauses:
+    """Orders of one scenario as cases, the parts of their lines as variables with their share of the quantity."""
+    lines = domain.case_lines(spark, d)
+    cases_ = domain.evidence_cases(spark, d).where("dataset = 'tep'").select("l_orderkey", "case_id")
+    amounts = lines.join(cases_, "l_orderkey").groupBy("case_id", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("id")).agg(F.sum("l_quantity").alias("q"))
+    share = F.col("q") / F.sum("q").over(Window.partitionBy("case_id"))
+    nodes, edges = domain.kg_nodes(spark, d), domain.kg_edges(spark, d)
+    return SimpleCauses(amounts.select("case_id", "id", share.cast("double").alias("value")), graph.visible_nodes(nodes, ["tep"]).select("id", "label"), cut(graph.visible_edges(nodes, edges, ["tep"])))
+
+
+@query(sql("SELECT case_id, rank, cause, score, round(graph + 1e-9, 4) AS confidence, round(match + 1e-9, 4) AS evidence_match, round(length, 6) AS length FROM simply WHERE rank <= 5", "vis", "cases", **_SIMPLE))
+def simple_causes(spark, d):
+    """The simple reasoner over all cases of a scenario."""
+    return _simple(spark, d).ranked.select("case_id", "rank", "cause", "score", "confidence", "evidence_match", F.round("length", 6).alias("length"))
+
+
+@query(sql("SELECT case_id, rank, cause, id AS variable, array_to_string(list_transform(path, lambda x: x.e), '>') AS path FROM fitted JOIN simply USING (case_id, cause) WHERE rank <= 5", "vis", "cases", **_SIMPLE))
+def simple_cause_paths(spark, d):
+    """The whole paths, of all lengths, that the simple reasoner gives for its causes."""
+    return _simple(spark, d).explained().select("case_id", "rank", "cause", "variable", F.array_join("path", ">").alias("path"))

@@ -92,12 +92,6 @@ def channel_id(c: Column) -> Column:
     return F.when(family != "", F.concat_ws("_", family, number))
 
 
-def char_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard of the sets of characters; 0 if one is empty. The longer set bounds it before anything is intersected."""
-    left, right = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
-    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right)))
-
-
 def stable_id(prefix: str, parts: list[Column], length: int = 16) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha1(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, length))
 

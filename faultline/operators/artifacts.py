@@ -32,6 +32,31 @@ def best_match(pairs: DataFrame, by: str, priorities: list[tuple[str, Column]])
     return pairs.withColumn("_p", place).where("_p is not null").withColumn("_l", least).where("_p = _l").withColumn("rule", F.element_at(names, F.col("_p") + 1)).drop("_p", "_l")
 
 
+def bridge(cases: DataFrame, rankings: DataFrame, contributions: DataFrame, top_k: int = 5, allow_global: bool = False) -> DataFrame:
+    """case_id, rank, cause, score, confidence, how, contribution, via of stored rankings brought to the cases that they belong to.
+
+    cases: case_id, scenario_id, fault, run. rankings: scenario_id, fault, run, rank, candidate_id, and the scores ranking_score, score, root_score,
+    structural_ranking_score, and confidence, of which any may be null. contributions: ord, scenario_id, fault, run; of several with
+    a scenario id the last counts, of those with a fault and run the first. A row's contribution is that of its own scenario id, else
+    of its case's, else of the case's fault and run (via says which): three equi-joins, each for what the ones before left open.
+    """
+    how_good = F.coalesce("ranking_score", "score", "root_score", "structural_ranking_score", F.lit(0.0))
+    unit = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    sure = F.coalesce(unit(F.col("confidence")), unit(F.col("root_score")), F.when(F.col("_score").between(0.0, 1.0), F.col("_score")))
+    given = rankings.withColumn("_score", how_good).withColumn("_sure", sure)
+    by = Window.partitionBy("case_id")
+    place = F.row_number().over(by.orderBy(F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(1_000_000)), F.desc("_score"), "candidate_id"))
+    rows = match_scenarios(cases, given, allow_global).withColumn("_n", place).where(F.col("_n") <= top_k)
+    again = F.row_number().over(by.orderBy(F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.col("_n")), F.desc("_score"), "candidate_id")).cast("long")
+    rows = rows.select("case_id", again.alias("rank"), F.col("candidate_id").alias("cause"), F.round("_score", 4).alias("score"), F.col("_sure").alias("confidence"), "how", F.col("scenario_id").alias("_own"))
+    named = contributions.where("scenario_id is not null").groupBy("scenario_id").agg(F.max("ord").alias("c"))
+    timed = contributions.where("fault is not null and run is not null").groupBy("fault", "run").agg(F.min("ord").alias("_c3"))
+    known = cases.join(named.select("scenario_id", F.col("c").alias("_c2")), "scenario_id", "left").join(timed, ["fault", "run"], "left").select("case_id", "_c2", "_c3")
+    out = rows.join(named.select(F.col("scenario_id").alias("_own"), F.col("c").alias("_c1")), "_own", "left").join(known, "case_id", "left")
+    via = F.when(F.col("_c1").isNotNull(), "row").when(F.col("_c2").isNotNull(), "case").when(F.col("_c3").isNotNull(), "fault_run")
+    return out.select("case_id", "rank", "cause", "score", "confidence", "how", F.coalesce("_c1", "_c2", "_c3").alias("contribution"), via.alias("via"))
+
+
 def merge_payloads(rows: DataFrame) -> DataFrame:
     """case_id, variable, weight: of each variable's values the last source's that is a number, 1 if none is; shares of the largest.
 

@@ -91,7 +91,7 @@ class NoiseExperiment:
         rows = runs.select("case_id", "base", "level", "kind", "is_noisy", (F.col("object").isNotNull() & F.col("anomaly_type").isNotNull()).cast("double").alias("schema_validity_rate"))
         for part in (linked, found, mends, ranked):
             rows = rows.join(part, "case_id", "left")
-        rows = rows.withColumn("noise_recovery_rate", F.col("correction_accuracy"))
+        rows = rows.withColumn("noise_recovery_rate", F.col("correction_accuracy"))  # by definition the same: a noisy run recovers what its corrections restore
         return rows.select("case_id", "base", "level", "kind", "is_noisy", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in METRICS])
 
     @cached_property

@@ -665,3 +665,42 @@ def fault_label_scrub(spark, d):
     left = evidence.without_faults(e)
     names = [left.columns, left.schema["metadata"].dataType.names]
     return left.select("event_id", F.concat_ws("|", *[F.lit(",".join(sorted(n))) for n in names], "metadata.event_type", F.map_keys("extra"), F.map_values("extra")).alias("kept"))
+
+
+#: Suppliers as cases; what they sold most as stored rankings, filed under a scenario id or only under fault and run; nations' and suppliers' contributions.
+_BRIDGE = dict(
+    kases=" SELECT 'case_' || s_suppkey AS case_id, CASE WHEN s_suppkey % 5 <> 0 THEN 'sc' || s_suppkey END AS scenario_id, s_nationkey::INT AS fault, (s_suppkey % 3)::INT AS run FROM supplier",
+    stored=""" SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'sc' || l_suppkey END AS scenario_id, CASE WHEN l_suppkey % 2 = 1 THEN s_nationkey::INT END AS fault, CASE WHEN l_suppkey % 2 = 1 THEN (l_suppkey % 3)::INT END AS run, CASE WHEN l_partkey % 4 = 0 THEN (l_partkey % 7)::INT END AS rank,
+      'P' || l_partkey AS candidate_id, CASE WHEN l_partkey % 3 = 0 THEN round(max(l_discount) * 12, 4) END AS ranking_score, CASE WHEN l_partkey % 3 = 1 THEN round(max(l_tax) * 10, 4) END AS root_score FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_suppkey, l_partkey, s_nationkey""",
+    told=" SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 4 = 0 THEN 'sc' || s_suppkey END AS scenario_id, s_nationkey::INT AS fault, (s_suppkey % 3)::INT AS run FROM supplier WHERE s_suppkey % 7 <> 1",
+    rows_=" SELECT *, coalesce(ranking_score, root_score, 0.0) AS s, CASE WHEN root_score IS NOT NULL THEN least(1.0, root_score) WHEN coalesce(ranking_score, 0.0) <= 1 THEN coalesce(ranking_score, 0.0) END AS sure FROM stored",
+    byid=" SELECT k.case_id, r.* FROM kases k JOIN rows_ r ON k.scenario_id = r.scenario_id",
+    met=""" SELECT *, 'scenario' AS how FROM byid UNION ALL SELECT k.case_id, r.*, 'fault_run' FROM kases k JOIN rows_ r ON k.fault = r.fault AND k.run = r.run WHERE k.case_id NOT IN (SELECT case_id FROM byid)""",
+    first=" SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(nullif(rank, 0), 1000000), s DESC, candidate_id) AS n FROM met) WHERE n <= 5",
+    named=" SELECT scenario_id, max(ord) AS c FROM told WHERE scenario_id IS NOT NULL GROUP BY scenario_id",
+    timed=" SELECT fault, run, min(ord) AS c FROM told GROUP BY fault, run",
+)
+
+
+@query(
+    sql(
+        """SELECT f.case_id, row_number() OVER (PARTITION BY f.case_id ORDER BY coalesce(nullif(f.rank, 0), n), s DESC, candidate_id) AS rank, candidate_id AS cause, round(s, 4)::DOUBLE AS score, sure::DOUBLE AS confidence, how,
+        coalesce(a.c, b.c, t.c) AS contribution, CASE WHEN a.c IS NOT NULL THEN 'row' WHEN b.c IS NOT NULL THEN 'case' WHEN t.c IS NOT NULL THEN 'fault_run' END AS via
+        FROM first f JOIN kases k USING (case_id) LEFT JOIN named a ON a.scenario_id = f.scenario_id LEFT JOIN named b ON b.scenario_id = k.scenario_id LEFT JOIN timed t ON t.fault = k.fault AND t.run = k.run""",
+        **_BRIDGE,
+    )
+)
+def artifact_bridge(spark, d):
+    """Stored rankings brought to their cases, with the contributions that go with them."""
+    s = domain.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("int").alias("fault"), (F.col("s_suppkey") % 3).cast("int").alias("run"))
+    scenario = F.concat(F.lit("sc"), F.col("k").cast("string"))
+    cases_ = s.select(F.concat(F.lit("case_"), F.col("k").cast("string")).alias("case_id"), F.when(F.col("k") % 5 != 0, scenario).alias("scenario_id"), "fault", "run")
+    sold = domain.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p")).agg(F.max("l_discount").alias("x"), F.max("l_tax").alias("y")).join(s, "k")
+    even, none = F.col("k") % 2 == 0, F.lit(None).cast("double")
+    rankings = sold.select(
+        F.when(even, scenario).alias("scenario_id"), F.when(~even, F.col("fault")).alias("fault"), F.when(~even, F.col("run")).alias("run"), F.when(F.col("p") % 4 == 0, (F.col("p") % 7).cast("int")).alias("rank"),
+        F.concat(F.lit("P"), F.col("p").cast("string")).alias("candidate_id"), F.when(F.col("p") % 3 == 0, F.round(F.col("x") * 12, 4)).alias("ranking_score"), none.alias("score"),
+        F.when(F.col("p") % 3 == 1, F.round(F.col("y") * 10, 4)).alias("root_score"), none.alias("structural_ranking_score"), none.alias("confidence"),
+    )
+    told = s.where("k % 7 <> 1").select(F.col("k").cast("long").alias("ord"), F.when(F.col("k") % 4 == 0, scenario).alias("scenario_id"), "fault", "run")
+    return artifacts.bridge(cases_, rankings, told)

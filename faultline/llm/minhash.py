@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ PARTITION_ROWS = 250_000
 BLOCK_ROWS, COLUMNS = 512, 4096
 
 VALUES = TREES * DEPTH
+#: Values that two candidates share at least; of any VALUES - OVERLAP + 1 values of one, in an order for all, the other has one among its own.
+OVERLAP = math.ceil(LEAST_AGREEMENT * VALUES)
+PREFIX = VALUES - OVERLAP + 1
 _U = np.uint64
 
 
@@ -242,6 +246,13 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
 
 
+def _mixed(rows: DataFrame, by: list[str], above: int = 1) -> DataFrame:
+    """The keys that more than `above` rows have, not all of one group c: main, most and rest (see `_crowded`)."""
+    kinds = rows.groupBy(*by, "c").agg(F.count("*").alias("n")).groupBy(*by)
+    found = kinds.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("main"))
+    return materialize(found.where((F.col("n") > above) & (F.col("n") > F.col("most"))).withColumn("rest", F.col("n") - F.col("most")).drop("n"))
+
+
 def _crowded(classes: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows (t, p, salt, s, c) of the regions too large for the forest whose rows are not all of one group c.
 
@@ -249,15 +260,38 @@ def _crowded(classes: DataFrame, groups: DataFrame) -> DataFrame:
     """
     named = classes.select("s", "sig").join(groups.select(F.col("v").alias("s"), "c"), "s", "left").withColumn("c", F.coalesce("c", "s"))
     rows = map_arrow(named.select("s", "sig", "c"), _heads, "t int, p long, s long, c long")
-    kinds = rows.groupBy("t", "p", "c").agg(F.count("*").alias("n")).groupBy("t", "p")
-    found = kinds.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("main"))
-    found = found.where((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("most"))).withColumn("rest", F.col("n") - F.col("most")).drop("n")
-    salted = _salted(materialize(found))
+    salted = _salted(_mixed(rows, ["t", "p"], NEIGHBOURS + 1))
     return materialize(rows.withColumn("salt", F.pmod("s", F.lit(8)).cast("int")).join(salted, ["t", "p", "salt"]))
 
 
+def _tokens(batch):
+    """A row for each value of each signature: its place and itself as one number."""
+    s = batch.column("s").to_numpy(zero_copy_only=False)
+    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(len(s), VALUES)
+    token = (np.arange(VALUES, dtype=np.int64) << 32) | sig.astype(np.int64)
+    return {"token": token.reshape(-1), "s": np.repeat(s, VALUES), "c": np.repeat(batch.column("c").to_numpy(zero_copy_only=False), VALUES)}
+
+
+def _postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (token, salt, s, c) of the crowded classes s: under each of its PREFIX signature values that fewest other groups' rows have, where one has the same.
+
+    Candidates share OVERLAP values, so these of one hold one of these of the other: they meet whatever passage
+    their region has in common, and rows that have little more than that in common do not. With them the value's largest
+    group (main), and how many rows are of it (most) and of others (rest).
+    """
+    one = rows.select("s", "c").distinct().join(classes.select("s", "sig"), "s")
+    every = materialize(map_arrow(one.select("s", "sig", "c"), _tokens, "token long, s long, c long"))
+    spread = every.withColumn("salt", F.pmod("s", F.lit(8)).cast("int"))
+    # a value that one group alone has comes before all others and meets nothing: it only takes up its place
+    shared = _salted(_mixed(every, ["token"]).drop("main"))
+    by_row = Window.partitionBy("s")
+    ranked = spread.join(shared, ["token", "salt"]).withColumns({"nth": F.row_number().over(by_row.orderBy("rest", "most", "token")), "of": F.count("*").over(by_row)})
+    kept = materialize(ranked.where(F.col("nth") <= F.col("of") - (VALUES - PREFIX)).select("token", "salt", "s", "c"))
+    return kept.join(_salted(_mixed(kept, ["token"])), ["token", "salt"])
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Deals the rows of crowded regions to blocks (u, side, s, c): any two of different groups meet in one.
+    """Deals the rows under each token to blocks (u, side, s, c): any two of different groups meet in one.
 
     Rows outside the main group are held against each other and against the main group, BLOCK_ROWS or so a side.
     side: 0 and 1 are held against each other, 2 is on both sides.
@@ -272,8 +306,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
     is_main = F.col("c") == F.col("main")
     sized = rows.withColumns({"others": F.ceil(F.col("rest") / BLOCK_ROWS), "mains": F.ceil(F.col("most") / BLOCK_ROWS)})
     sized = sized.withColumn("own", F.when(is_main, F.col("mains")).otherwise(F.col("others"))).withColumn("i", i)
-    cells = sized.select("t", "p", "s", "c", F.explode(F.when(is_main, facing).otherwise(F.concat(within, beside))).alias("x"))
-    return cells.select(F.xxhash64("t", "p", "x.kind", "x.a", "x.b").alias("u"), F.col("x.side").alias("side"), "s", "c")
+    cells = sized.select("token", "s", "c", F.explode(F.when(is_main, facing).otherwise(F.concat(within, beside))).alias("x"))
+    return cells.select(F.xxhash64("token", "x.kind", "x.a", "x.b").alias("u"), F.col("x.side").alias("side"), "s", "c")
 
 
 def _each_block(batches):
@@ -392,17 +426,18 @@ def _hub_links(rows: DataFrame, links: DataFrame, docs: DataFrame, classes: Data
 
 
 def _crowds(docs: DataFrame, classes: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The groups after every pair of rows of different groups in a crowded region has been held against each other.
+    """The groups after every candidate pair of rows of different groups in crowded regions has been held against each other.
 
     First each row meets its region's hub, so that copies of one text become one group before the rest are compared.
-    Rows are compared by signature; those with a candidate left, in whole blocks, by their full sets.
+    Then rows meet under their rarest signature values, not in their region, which the square of its size would cost.
+    They are compared by signature; those with a candidate left, in whole blocks, by their full sets.
     """
     rows = _crowded(classes, groups)
     if rows.isEmpty():
         return groups
     ties = groups.select(F.col("v").alias("u"), F.col("c").alias("v"))
     groups = components(ties.unionByName(_hub_links(rows, links, docs, classes)))
-    cells = _blocks(_crowded(classes, groups)).join(classes.select("s", "sig"), "s").select("u", "side", "s", "c", "sig")
+    cells = _blocks(_postings(_crowded(classes, groups), classes)).join(classes.select("s", "sig"), "s").select("u", "side", "s", "c", "sig")
     alive = materialize(bounded(cells).repartition("u").sortWithinPartitions("u").mapInArrow(_alive, "u long, side int, s long, c long"))
     if alive.isEmpty():
         return groups

@@ -113,3 +113,21 @@ def test_in_common():
     rnd = np.random.default_rng(5)
     sets = [np.unique(rnd.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 50, 6000, 8000)]
     assert (minhash.in_common(sets, sets[1:]) == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]).all()
+
+
+def test_crowds_cost_in_proportion(spark, monkeypatch):
+    """Texts that share a passage and little else: twice as many are held against each other in about twice as many rows."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    passage = " ".join(f"p{i}" for i in range(60))
+
+    def cells(size):
+        rows = [(i, passage + " " + " ".join(f"own{i}x{j}" for j in range(80))) for i in range(size)]
+        own = [minhash.shingles(t) for _, t in rows]
+        found = [(i, minhash.set_hash(x), minhash.signature(x).astype(">u4").tobytes()) for i, x in enumerate(own)]
+        classes = spark.createDataFrame(found, "k long, s long, sig binary")
+        groups = spark.createDataFrame([], "v long, c long")
+        crowded = minhash._crowded(classes, groups)
+        assert crowded.groupBy("t", "p").count().agg({"count": "max"}).first()[0] > size // 16
+        return minhash._blocks(minhash._postings(crowded, classes)).count()
+
+    assert cells(600) <= 3 * cells(300) + 600

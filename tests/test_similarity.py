@@ -87,3 +87,23 @@ def test_nothing_to_search(spark):
     keys = spark.createDataFrame([("abc",)], "key string")
     assert linking.near_scores(none, keys).collect() == []
     assert linking.near_scores(spark.createDataFrame([("abd",)], "mention_key string"), keys.where("false")).collect() == []
+
+
+def test_first_look_spares_blocks(spark, monkeypatch):
+    """The best candidates are those of a whole search, though few blocks are looked into for them."""
+    names = [f"unit {i:05d}" for i in range(2000)]
+    terms = spark.createDataFrame([(f"n{i}", "Object", "tep", 1, n) for i, n in enumerate(names)], "id string, label string, scenario string, ord int, key string")
+    mentions = spark.createDataFrame([(f"unit x{i:05d}", "tep") for i in range(0, 2000, 50)], "mention_key string, dataset string")
+    seen = []
+    descend = similarity.descend
+
+    def counted(*args):
+        out = descend(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "descend", counted)
+    best = lambda k: {(r["mention_key"], r["id"], r["rank"], round(r["score"], 9)) for r in linking.rank(linking.near_candidates(mentions, terms, similarity.WEIGHTED, k), ["mention_key"], 15).collect()}
+    some, whole = best(15), best(None)
+    assert some == whole and len(seen) == 3
+    assert seen[0] <= 40 * 2 and sum(seen[:2]) < seen[2]

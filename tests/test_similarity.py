@@ -107,3 +107,29 @@ def test_first_look_spares_blocks(spark, monkeypatch):
     some, whole = best(15), best(None)
     assert some == whole and len(seen) == 3
     assert seen[0] <= 40 * 2 and sum(seen[:2]) < seen[2]
+
+
+def test_close_strings_by_equality(spark):
+    """Strings up to three characters apart, counted over both, are found with their scores, and no others that score more than `beyond`."""
+    rnd = random.Random(5)
+    keys = sorted({"".join(rnd.choice("ab1") for _ in range(rnd.randrange(9, 15))) for _ in range(400)})
+    asked = sorted({"".join(rnd.choice("ab1") for _ in range(rnd.randrange(11, 14))) for _ in range(25)} | set(keys[:20:2]))
+    asked = [a for a in asked if len(a) >= similarity.CLOSE_FROM]
+    wanted = spark.createDataFrame([(a, "s", 0.0) for a in asked], "mention_key string, scope string, least double")
+    rows = similarity.close(wanted, spark.createDataFrame([("s", k) for k in keys], "scope string, key string"), WEIGHTED).collect()
+    got = {(r["mention_key"], r["key"]): r["score"] for r in rows}
+    near = {(a, k): score(WEIGHTED, a, k) for a in asked for k in keys if a != k and len(a) + len(k) - 2 * similarity.common_length(a, k) <= similarity.CLOSE}
+    assert got == pytest.approx(near) and len(rows) == len(near) > 5
+    most = lambda a: max(similarity.PART, 2 * len(a) / (2 * len(a) + similarity.CLOSE + 1))
+    assert all(score(WEIGHTED, a, k) <= most(a) + 1e-9 for a in asked for k in keys if a != k and (a, k) not in near)
+
+
+def test_mentions_with_close_names_need_no_tree(spark, monkeypatch):
+    """Where k nodes are nearer than anything far off can be, no blocks are searched, and the best are those of a whole search."""
+    names = [f"supplier{i:09d}" for i in range(1500)]
+    terms = spark.createDataFrame([(f"S{i % 900}", "Object", "tep", i // 900, n) for i, n in enumerate(names)], "id string, label string, scenario string, ord int, key string")
+    mentions = spark.createDataFrame([(f"supplier{i:09d}", "tep") for i in range(1100, 1500, 10)] + [(names[25][1:], "tep")], "mention_key string, dataset string")
+    best = lambda k: {(r["mention_key"], r["id"], r["rank"], round(r["score"], 9)) for r in linking.rank(linking.near_candidates(mentions, terms, WEIGHTED, k), ["mention_key"], 15).collect()}
+    whole = best(None)
+    monkeypatch.setattr(similarity, "build", lambda strings: pytest.fail("a tree was built"))
+    assert best(15) == whole and len(whole) == 41 * 15

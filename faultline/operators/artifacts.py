@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 MATCH, GRAPH, SUPPORT, LENGTH, BROAD = 0.5, 0.3, 0.25, 0.1, 0.12
 
 
-def match_scenarios(cases: DataFrame, rows: DataFrame, allow_global: bool = False) -> DataFrame:
+def match_scenarios(cases: DataFrame, rows: DataFrame, allow_global: bool = False, order: list[Column] | None = None, k: int | None = None) -> DataFrame:
     """Rows of each case: those with its scenario id; if it has none, those with its fault and run; never by run alone.
 
     cases: case_id, scenario_id, fault, run. Rows without scenario, fault and run belong to all cases if allowed.
+    order, k: only rows that can be among a case's first k are needed; others are left out before cases meet them, as
+    all cases of a fault and run would else be met by all its rows.
     """
-    by_id = cases.select("case_id", "scenario_id").join(rows, "scenario_id").withColumn("how", F.lit("scenario"))
+
+    def few(some: DataFrame, by: list[str]) -> DataFrame:
+        return some if k is None else some.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+
+    by_id = cases.select("case_id", "scenario_id").join(few(rows.where("scenario_id is not null"), ["scenario_id"]), "scenario_id").withColumn("how", F.lit("scenario"))
     unmatched = cases.join(by_id.select("case_id").distinct(), "case_id", "left_anti")
-    by_run = unmatched.select("case_id", F.col("fault").alias("_f"), F.col("run").alias("_r")).join(rows, (F.col("_f") == F.col("fault")) & (F.col("_r") == F.col("run"))).drop("_f", "_r").withColumn("how", F.lit("fault_run"))
+    by_run = unmatched.select("case_id", F.col("fault").alias("_f"), F.col("run").alias("_r")).join(few(rows.where("fault is not null and run is not null"), ["fault", "run"]), (F.col("_f") == F.col("fault")) & (F.col("_r") == F.col("run"))).drop("_f", "_r").withColumn("how", F.lit("fault_run"))
     out = by_id.unionByName(by_run)
     if allow_global:
         free = rows.where("scenario_id is null and fault is null and run is null")
+        free = free if k is None else free.orderBy(*order).limit(k)
         out = out.unionByName(cases.select("case_id").join(F.broadcast(free)).withColumn("how", F.lit("global")))  # a few rows for all cases
     return out
 
@@ -45,8 +52,9 @@ def bridge(cases: DataFrame, rankings: DataFrame, contributions: DataFrame, top_
     sure = F.coalesce(unit(F.col("confidence")), unit(F.col("root_score")), F.when(F.col("_score").between(0.0, 1.0), F.col("_score")))
     given = rankings.withColumn("_score", how_good).withColumn("_sure", sure)
     by = Window.partitionBy("case_id")
-    place = F.row_number().over(by.orderBy(F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(1_000_000)), F.desc("_score"), "candidate_id"))
-    rows = match_scenarios(cases, given, allow_global).withColumn("_n", place).where(F.col("_n") <= top_k)
+    order = [F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(1_000_000)), F.desc("_score"), F.col("candidate_id")]
+    place = F.row_number().over(by.orderBy(*order))
+    rows = match_scenarios(cases, given, allow_global, order, top_k).withColumn("_n", place).where(F.col("_n") <= top_k)
     again = F.row_number().over(by.orderBy(F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.col("_n")), F.desc("_score"), "candidate_id")).cast("long")
     rows = rows.select("case_id", again.alias("rank"), F.col("candidate_id").alias("cause"), F.round("_score", 4).alias("score"), F.col("_sure").alias("confidence"), "how", F.col("scenario_id").alias("_own"))
     named = contributions.where("scenario_id is not null").groupBy("scenario_id").agg(F.max("ord").alias("c"))

@@ -104,6 +104,31 @@ def test_simple_paths_against_a_plain_search(spark):
     assert sorted(tuple(r["nodes"]) for r in paths.simple_paths(src, best, goal, 4).collect()) == sorted(found)
 
 
+def test_totals_and_best_of_scored_paths_are_those_of_all_of_them(spark):
+    rnd = random.Random(5)
+    pairs = sorted({(f"n{a}", f"n{b}") for a, b in ((rnd.randrange(9), rnd.randrange(9)) for _ in range(30)) if a != b})
+    rows = [("d", a, b, f"{a}{b}", "R", rnd.random(), 0.5, rnd.randint(1, 2)) for a, b in pairs]
+    best = spark.createDataFrame(rows, "dataset string, head string, tail string, edge_id string, relation string, strength double, confidence double, parallel long")
+    fields = ("anomaly_type", "variable", "object", "location")
+    picked = [(f"c{i}", "d", f, f"n{rnd.randrange(9)}") for i in range(20) for f in fields[: rnd.randint(1, 4)]]
+    selected = spark.createDataFrame(picked, "case_id string, dataset string, field string, entity_id string")
+    src = spark.createDataFrame(sorted({("d", e) for _, _, f, e in picked if f in paths.SOURCE_FIELDS}), "dataset string, id string")
+    goal = spark.createDataFrame([("d", "n1"), ("d", "n2")], "dataset string, id string")
+    ends = paths.endings(src, best, goal, 4)
+    for parallel in (True, False):
+        every = paths.score_paths(selected, best, ends, 4, parallel=parallel).collect()
+        ids = {c: {e for k, _, _, e in picked if k == c} for c in {r["case_id"] for r in every}}
+        assert all(abs(r["match"] - len(set(r["nodes"]) & ids[r["case_id"]]) / len(ids[r["case_id"]])) < 1e-12 for r in every)
+        for r in paths.score_totals(selected, best, ends, 4, parallel).collect():
+            own = [x for x in every if x["target_id"] == r["target_id"]]
+            assert (r["n_paths"], r["n_cases"], r["best"]) == (len(own), len({x["case_id"] for x in own}), max(x["score"] for x in own))
+            assert abs(r["mean_score"] - sum(x["score"] for x in own) / len(own)) <= 0.5001e-4 and abs(r["mean_match"] - sum(x["match"] for x in own) / len(own)) <= 0.5001e-4
+        kept = paths.score_paths(selected, best, ends, 4, 3, parallel).collect()
+        for c in ids:
+            scores = sorted((x["score"] for x in every if x["case_id"] == c), reverse=True)
+            assert sorted((x["score"] for x in kept if x["case_id"] == c), reverse=True) == [s for s in scores if s >= scores[min(3, len(scores)) - 1]]
+
+
 def test_merge_conflicts(spark):
     e = edges(spark, ("a", "R", "b", "s", 0.5), ("a", "R", "b", "s", 0.5), ("a", "R", "c", "s", 0.4)).withColumns({"review_status": F.lit("auto"), "source": F.lit("x"), "file_order": F.lit(1)})
     got = kg.merge_edges(e).collect()

@@ -62,6 +62,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def swept(spark: SparkSession):
+    """What is written within leaves no shuffle files, which would otherwise stay until the driver collects garbage: nothing reads them once the rows have been written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As `materialize`, for one of many steps: see `swept`."""
+    with swept(df.sparkSession):
+        return materialize(df)
+
+
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the folders written since, once every result that reads them has been written or collected."""
     hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, free_name, key_of, map_arrow, materialize, unkey
+from .common import bounded, free_name, key_of, map_arrow, unkey, written
 from .components import components
 
 #: Words of a shingle; two documents are linked if DENOMINATOR * intersection >= NUMERATOR * union.
@@ -200,7 +200,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     both = pairs.select("a", "b").join(sets.select(F.col("s").alias("a"), F.col("full").alias("x")), "a")
     both = both.join(sets.select(F.col("s").alias("b"), F.col("full").alias("y")), "b")
-    return materialize(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long, ok boolean"))
+    return written(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long, ok boolean"))
 
 
 def _open(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def _joined(edges: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = _confirm(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
     links = tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
     groups = components(links)
-    edges = materialize(_open(edges, groups).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    edges = written(_open(edges, groups).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     nth = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("share"), "a", "b"))
     first, tried = tried, _confirm(edges.withColumn("nth", nth).where(F.col("nth") <= TRIED), sets)
     ties = groups.select(F.col("v").alias("u"), F.col("c").alias("v"))
@@ -250,7 +250,7 @@ def _mixed(rows: DataFrame, by: list[str], above: int = 1) -> DataFrame:
     """The keys that more than `above` rows have, not all of one group c: main, most and rest (see `_crowded`)."""
     kinds = rows.groupBy(*by, "c").agg(F.count("*").alias("n")).groupBy(*by)
     found = kinds.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("main"))
-    return materialize(found.where((F.col("n") > above) & (F.col("n") > F.col("most"))).withColumn("rest", F.col("n") - F.col("most")).drop("n"))
+    return written(found.where((F.col("n") > above) & (F.col("n") > F.col("most"))).withColumn("rest", F.col("n") - F.col("most")).drop("n"))
 
 
 def _crowded(classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def _crowded(classes: DataFrame, groups: DataFrame) -> DataFrame:
     named = classes.select("s", "sig").join(groups.select(F.col("v").alias("s"), "c"), "s", "left").withColumn("c", F.coalesce("c", "s"))
     rows = map_arrow(named.select("s", "sig", "c"), _heads, "t int, p long, s long, c long")
     salted = _salted(_mixed(rows, ["t", "p"], NEIGHBOURS + 1))
-    return materialize(rows.withColumn("salt", F.pmod("s", F.lit(8)).cast("int")).join(salted, ["t", "p", "salt"]))
+    return written(rows.withColumn("salt", F.pmod("s", F.lit(8)).cast("int")).join(salted, ["t", "p", "salt"]))
 
 
 def _tokens(batch):
@@ -280,13 +280,13 @@ def _postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
     group (main), and how many rows are of it (most) and of others (rest).
     """
     one = rows.select("s", "c").distinct().join(classes.select("s", "sig"), "s")
-    every = materialize(map_arrow(one.select("s", "sig", "c"), _tokens, "token long, s long, c long"))
+    every = written(map_arrow(one.select("s", "sig", "c"), _tokens, "token long, s long, c long"))
     spread = every.withColumn("salt", F.pmod("s", F.lit(8)).cast("int"))
     # a value that one group alone has comes before all others and meets nothing: it only takes up its place
     shared = _salted(_mixed(every, ["token"]).drop("main"))
     by_row = Window.partitionBy("s")
     ranked = spread.join(shared, ["token", "salt"]).withColumns({"nth": F.row_number().over(by_row.orderBy("rest", "most", "token")), "of": F.count("*").over(by_row)})
-    kept = materialize(ranked.where(F.col("nth") <= F.col("of") - (VALUES - PREFIX)).select("token", "salt", "s", "c"))
+    kept = written(ranked.where(F.col("nth") <= F.col("of") - (VALUES - PREFIX)).select("token", "salt", "s", "c"))
     return kept.join(_salted(_mixed(kept, ["token"])), ["token", "salt"])
 
 
@@ -403,7 +403,7 @@ def _hub_links(rows: DataFrame, links: DataFrame, docs: DataFrame, classes: Data
     ranked = rows.join(degree, "s", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     hubs = ranked.groupBy("t", "p").agg(F.max_by(F.struct("s", "c"), F.struct("links", "s")).alias("h"))
     pairs = rows.join(_salted(hubs), ["t", "p", "salt"]).where("c <> h.c").select("s", "salt", F.col("h.s").alias("h")).distinct()
-    pairs = materialize(pairs)
+    pairs = written(pairs)
     sig = classes.select("s", F.col("sig").alias("x"))
     wide = pairs.join(sig, "s").join(_salted(pairs.select(F.col("h").alias("s")).distinct().join(sig, "s").select(F.col("s").alias("h"), F.col("x").alias("y"))), ["h", "salt"])
 
@@ -412,7 +412,7 @@ def _hub_links(rows: DataFrame, links: DataFrame, docs: DataFrame, classes: Data
         take = pa.array(np.flatnonzero((x == y).mean(axis=1) >= LEAST_AGREEMENT))
         return {c: batch.column(c).take(take) for c in ("s", "h", "salt")}
 
-    near = materialize(map_arrow(wide.select("s", "h", "salt", "x", "y"), agree, "s long, h long, salt int"))
+    near = written(map_arrow(wide.select("s", "h", "salt", "x", "y"), agree, "s long, h long, salt int"))
     sets = _full_sets(docs, classes, near.select("s").unionByName(near.select(F.col("h").alias("s"))).distinct())
     held = _salted(near.select(F.col("h").alias("s")).distinct().join(sets, "s").select(F.col("s").alias("h"), F.col("full").alias("y")))
 
@@ -438,7 +438,7 @@ def _crowds(docs: DataFrame, classes: DataFrame, groups: DataFrame, links: DataF
     ties = groups.select(F.col("v").alias("u"), F.col("c").alias("v"))
     groups = components(ties.unionByName(_hub_links(rows, links, docs, classes)))
     cells = _blocks(_postings(_crowded(classes, groups), classes)).join(classes.select("s", "sig"), "s").select("u", "side", "s", "c", "sig")
-    alive = materialize(bounded(cells).repartition("u").sortWithinPartitions("u").mapInArrow(_alive, "u long, side int, s long, c long"))
+    alive = written(bounded(cells).repartition("u").sortWithinPartitions("u").mapInArrow(_alive, "u long, side int, s long, c long"))
     if alive.isEmpty():
         return groups
     sets = _full_sets(docs, classes, alive.select("s").distinct())
@@ -461,7 +461,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, ends: DataFrame) -> DataFram
         return {"s": pa.array(s, pa.int64()), "full": pa.array(found, pa.binary())}
 
     texts = docs.select("k", "text").join(wanted.groupBy("k").agg(F.collect_list("s").alias("want")), "k")
-    return materialize(map_arrow(texts, full, "s long, full binary").dropDuplicates(["s"]))
+    return written(map_arrow(texts, full, "s long, full binary").dropDuplicates(["s"]))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -470,9 +470,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Documents with equal sets are one class. Candidates of the forest are confirmed on full sets, best first, until
     none is left that would join two groups; then those of regions that are too crowded for the forest.
     """
-    signed = materialize(map_arrow(docs.select("k", "text"), _sign, "k long, n long, s long, sig binary"))
-    classes = materialize(signed.where("s is not null").groupBy("s").agg(F.min("k").alias("k"), F.max("sig").alias("sig")))
-    edges = materialize(candidates(classes))
+    signed = written(map_arrow(docs.select("k", "text"), _sign, "k long, n long, s long, sig binary"))
+    classes = written(signed.where("s is not null").groupBy("s").agg(F.min("k").alias("k"), F.max("sig").alias("sig")))
+    edges = written(candidates(classes))
     ends = edges.select(F.col("a").alias("s")).unionByName(edges.select(F.col("b").alias("s"))).distinct()
     groups, links = _joined(edges, _full_sets(docs, classes, ends))
     groups = _crowds(docs, classes, groups, links)

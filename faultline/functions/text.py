@@ -34,7 +34,7 @@ def normalize(c: Column) -> Column:
 
 def token(c: Column) -> Column:
     """Lower case, every run of other than letters and digits one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), "^_|_$", "")
+    return F.btrim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
 
 
 def text_or_null(c: Column) -> Column:

@@ -165,7 +165,7 @@ def with_observation_ids(rows: DataFrame) -> DataFrame:
     part = lambda c, otherwise: F.coalesce(F.nullif(token(F.col(c)), F.lit("")), F.lit(otherwise))
     base = F.concat_ws("_", F.lit("obs"), part("case_id", "case"), part("facet", "facet"), part("name", "unknown"))
     nth = F.row_number().over(Window.partitionBy("case_id", "facet", "name").orderBy("ord"))
-    return rows.withColumn("_n", nth).withColumn("obs_id", F.when(F.col("_n") > 1, F.concat(base, F.format_string("_%02d", "_n"))).otherwise(base)).drop("_n")
+    return rows.withColumn("_n", nth).withColumn("obs_id", F.concat(base, F.when(F.col("_n") > 1, F.format_string("_%02d", "_n")).otherwise(""))).drop("_n")
 
 
 def missing_facets(evidence: DataFrame, observed: DataFrame) -> DataFrame:

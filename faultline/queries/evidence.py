@@ -97,11 +97,17 @@ def adapter_coalesce(spark, d):
 )
 def observation_ids(spark, d):
     """Orders' other lines as variables, the tax of the first line of a name its contribution."""
-    cases = domain.evidence_cases(spark, d)
-    others = domain.case_lines(spark, d).where("nth > 1")
-    lines = others.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "p_name"))), lambda x: x["p_name"]).alias("variables"))
-    shares = others.groupBy("l_orderkey", "p_name").agg(F.min_by("l_tax", "nth").alias("tax")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("p_name", "tax"))).alias("variable_contributions"))
-    e = cases.join(lines, "l_orderkey", "left").join(shares, "l_orderkey", "left").select("case_id", "object", F.col("anomaly_name").alias("anomaly_type"), "location", "variables", "variable_contributions", "confidence")
+    one = F.struct("nth", "p_name", "l_tax", "s_name", "n_name", "l_discount")
+    orders = domain.case_lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("l"))  # an order has a few lines, numbered from 1
+    orders = orders.withColumns({"first": F.get("l", F.lit(0)), "rest": F.filter("l", lambda x: x["nth"] > 1)}).where("first.nth = 1")
+    names = F.transform("rest", lambda x: x["p_name"])
+    some = F.size("rest") > 0
+    tax = lambda name: F.get(F.filter("rest", lambda x: x["p_name"] == name), F.lit(0))["l_tax"]
+    shares = F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("p_name"), tax(n).alias("tax"))))
+    e = orders.select(
+        F.concat(F.lit("case_"), F.col("l_orderkey").cast("string")).alias("case_id"), F.col("first.s_name").alias("object"), F.col("first.p_name").alias("anomaly_type"), F.col("first.n_name").alias("location"),
+        F.when(some, names).alias("variables"), F.when(some, shares).alias("variable_contributions"), F.round(F.col("first.l_discount") * 10, 4).alias("confidence"),
+    )
     return evidence.observations(e).select("case_id", "ord", "facet", "name", "value", "rank", "raw_ref", "obs_id")
 
 

@@ -489,3 +489,14 @@ def test_compile(spark):
     assert {r["id"]: r["label"] for r in c.entities.collect()} == {"ScratchDefect": "Defect", "HandlingCause": "CandidateCause"}
     assert [r["edge_id"] for r in c.edges.collect()] == ["ScratchDefect|CAUSED_BY|HandlingCause|mvtec"]
     assert c.cards.count() == 2 and c.violations.count() == 0
+
+
+def test_observations_number_an_orders_lines_once_and_tokens_keep_their_form(spark):
+    from faultline.queries import QUERIES
+
+    plan = QUERIES["observation_ids"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2
+    said = ["", "_", "__a__", " A  b!", "é_ß", "1", "--x--y--", None]
+    c = F.col("s")
+    both = spark.createDataFrame([(s,) for s in said], "s string").select(text.token(c).alias("a"), F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), "^_|_$", "").alias("b"))
+    assert all(r["a"] == r["b"] for r in both.collect())

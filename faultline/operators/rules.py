@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Cases whose rows are Python objects at a time.
+CASES = 200
 #: The anchors that the rules are about.
 SEPARATOR, CONDENSER, STREAM4, STREAM2, STRIPPER, MULTI_VALVE, SEPARATOR_INLET = (
     f"faultanchor:{n}"
@@ -154,11 +156,19 @@ class Ranking:
             r["adjustment"] = float(r.get("adjustment") or 0.0)
             r["score"] = round(r["base"] + r["adjustment"], 8)
         self.by = {r["id"]: r for r in self.rows}
+        self._order: list[dict] | None = None
 
     def ordered(self) -> list[dict]:
+        """The rows in their order, sorted again only after one has been raised."""
+        if self._order is None:
+            self._order = self._sorted()
+        return self._order
+
+    def _sorted(self) -> list[dict]:
         return sorted(self.rows, key=lambda r: (-r["score"], -float(r.get("root_score") or 0.0), float(r.get("priority") or 0.0), str(r.get("type") or ""), str(r["id"]), -float(r.get("covered_mass") or 0.0)))
 
     def raise_by(self, row: dict, bonus: float) -> None:
+        self._order = None
         row["adjustment"] = round(row["adjustment"] + bonus, 8)
         row["score"] = round(row["base"] + row["adjustment"], 8)
 
@@ -203,7 +213,7 @@ class Ranking:
         return read({"target": target, "leader": leader}.get(gate.who) or self.by.get(gate.who))
 
     def apply(self, rule: Rule) -> None:
-        target, order = self.by.get(rule.target), self.ordered()
+        target = self.by.get(rule.target)
         if not rule.enabled or target is None or any(n not in self.by for n in rule.needs):
             return
         signature = rule.signature(self.features)
@@ -211,6 +221,7 @@ class Ranking:
             target[f"{rule.name}_signature"] = signature
             if signature <= 0 or signature < rule.least:
                 return
+        order = self.ordered()
         gap = max(0.0, order[0]["score"] - target["score"])
         fits = (
             order.index(target) < rule.max_rank
@@ -232,23 +243,36 @@ def adjust(candidates: DataFrame, features: DataFrame, diagnostics: dict[str, li
     """case_id, id, rank, score, adjustment, and the bonus of each rule (0 for those that do not act).
 
     candidates: case_id, id, base, role, direct_targets and whatever columns the gates read. features: case_id, kind
-    (dynamic or contribution), feature, value. diagnostics: the variables of the family's anchors. A case has a few
-    dozen candidates and features, so it is one small group.
+    (dynamic or contribution), feature, value; a null value is as if it were not there. diagnostics: the variables of the
+    family's anchors. A case has a few dozen candidates and features, so it is one row with two lists.
     """
     extra = [c for c in candidates.columns if c not in ("case_id", "id", "base")]
     names = list(dict.fromkeys(r.name for r in rules))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=["case_id", "id", "rank", "score", "adjustment", *[f"{n}_bonus" for n in names]])
-        by_kind = {k: dict(zip(g["feature"], g["value"])) for k, g in right.groupby("kind")}
-        ranking = Ranking([{"id": r["id"], "base": float(r["base"]), **{c: r[c] for c in extra}} for r in left.to_dict("records")], by_kind.get("dynamic", {}))
-        ranking.prefer_anchors()
-        ranking.apply_family(by_kind.get("contribution", {}), diagnostics or {})
-        for rule in rules:
-            ranking.apply(rule)
-        rows = [(key[0], r["id"], i + 1, r["score"], r["adjustment"], *[r.get(f"{n}_bonus", 0.0) for n in names]) for i, r in enumerate(ranking.ordered())]
-        return pd.DataFrame(rows, columns=["case_id", "id", "rank", "score", "adjustment", *[f"{n}_bonus" for n in names]])
-
     schema = "case_id string, id string, rank long, score double, adjustment double, " + ", ".join(f"{n}_bonus double" for n in names)
-    return candidates.groupBy("case_id").cogroup(features.groupBy("case_id")).applyInPandas(run, schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * (2 + len(names))]
+        columns = ["case_id", "id", "rank", "score", "adjustment", *[f"{n}_bonus" for n in names]]
+        for batch in batches:
+            for at in range(0, batch.num_rows, CASES):
+                out = []
+                for case in batch.slice(at, CASES).to_pylist():
+                    said = {"dynamic": {}, "contribution": {}}
+                    for f in case["features"] or ():
+                        if f["value"] is not None:
+                            said.setdefault(f["kind"], {})[f["feature"]] = f["value"]
+                    ranking = Ranking([r | {"base": float("nan" if r["base"] is None else r["base"])} for r in case["rows"]], said["dynamic"])
+                    ranking.prefer_anchors()
+                    ranking.apply_family(said["contribution"], diagnostics or {})
+                    for rule in rules:
+                        ranking.apply(rule)
+                    out += [(case["case_id"], r["id"], i + 1, r["score"], r["adjustment"], *[r.get(f"{n}_bonus", 0.0) for n in names]) for i, r in enumerate(ranking.ordered())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], columns)
+
+    rows = candidates.groupBy("case_id").agg(F.collect_list(F.struct("id", "base", *extra)).alias("rows"))
+    read = features.groupBy("case_id").agg(F.collect_list(F.struct("kind", "feature", "value")).alias("features"))
+    # dealt by a count and not by sizes: a case is few bytes for the work that it is, and small partitions would be merged into one task
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(read, "case_id", "left").repartition(n, F.xxhash64("case_id")).mapInArrow(run, schema)

@@ -291,6 +291,23 @@ def test_rule_gap(gap, bonus):
     assert rank(rule, ("t", 0.5, {}), ("other", 0.5 + gap, {}))["t"]["score"] == 0.5
 
 
+def test_adjust_is_each_case_on_its_own_in_many_tasks(spark):
+    cold = {"xmeas_18__mean": -2.0, "xmeas_19__mean": 1.0, "xmeas_19__std": 1.6}
+    bases = [(f"c{i}", rules.STREAM4, 0.5 + i % 5 / 100, 0.1) for i in range(60)] + [(f"c{i}", rules.STRIPPER, 0.9, None) for i in range(60)]
+    said = [(f"c{i}", "dynamic", f, v) for i in range(60) if i % 3 for f, v in cold.items()] + [("c0", "dynamic", f, None) for f in cold] + [("no case", "dynamic", "xmeas_18__mean", 1.0)]
+    cands = spark.createDataFrame(bases, "case_id string, id string, base double, memory_bonus double")
+    got = rules.adjust(cands, spark.createDataFrame(said, "case_id string, kind string, feature string, value double"), {}).withColumn("task", F.spark_partition_id()).collect()
+    want = {}
+    for c in {b[0] for b in bases}:
+        r = rules.Ranking([{"id": i, "base": b, "memory_bonus": m} for k, i, b, m in bases if k == c], {f: v for k, _, f, v in said if k == c and v is not None})
+        for rule in rules.RULES:
+            r.apply(rule)
+        want |= {(c, x["id"]): (n + 1, x["score"], x["adjustment"], x.get("stream4_cold_response_bonus", 0.0)) for n, x in enumerate(r.ordered())}
+    assert {(r["case_id"], r["id"]): (r["rank"], r["score"], r["adjustment"], r["stream4_cold_response_bonus"]) for r in got} == want
+    assert want["c0", rules.STREAM4][2] == 0.0 and want["c1", rules.STREAM4][2] > 0.5  # a null reading is none
+    assert len({r["task"] for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_disabled_rules_change_nothing():
     for r in rules.RULES:
         if not r.enabled:

@@ -239,6 +239,17 @@ class Ranking:
             target[f"{rule.name}_bonus"] = round(bonus, 8)
 
 
+def _structs(lists):
+    """Each list of an Arrow column as dictionaries, by way of the columns of all of them; a null list is an empty one."""
+    flat = lists.flatten()
+    names = [flat.type.field(i).name for i in range(flat.type.num_fields)]
+    rows = [dict(zip(names, values)) for values in zip(*[c.to_pylist() for c in flat.flatten()])]
+    at = 0
+    for n in lists.value_lengths().to_pylist():
+        yield rows[at : at + (n or 0)]
+        at += n or 0
+
+
 def adjust(candidates: DataFrame, features: DataFrame, diagnostics: dict[str, list[str]] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """case_id, id, rank, score, adjustment, and the bonus of each rule (0 for those that do not act).
 
@@ -258,17 +269,18 @@ def adjust(candidates: DataFrame, features: DataFrame, diagnostics: dict[str, li
         for batch in batches:
             for at in range(0, batch.num_rows, CASES):
                 out = []
-                for case in batch.slice(at, CASES).to_pylist():
+                part = batch.slice(at, CASES)
+                for case, own, seen in zip(part.column("case_id").to_pylist(), _structs(part.column("rows")), _structs(part.column("features"))):
                     said = {"dynamic": {}, "contribution": {}}
-                    for f in case["features"] or ():
+                    for f in seen:
                         if f["value"] is not None:
                             said.setdefault(f["kind"], {})[f["feature"]] = f["value"]
-                    ranking = Ranking([r | {"base": float("nan" if r["base"] is None else r["base"])} for r in case["rows"]], said["dynamic"])
+                    ranking = Ranking([r | {"base": float("nan" if r["base"] is None else r["base"])} for r in own], said["dynamic"])
                     ranking.prefer_anchors()
                     ranking.apply_family(said["contribution"], diagnostics or {})
                     for rule in rules:
                         ranking.apply(rule)
-                    out += [(case["case_id"], r["id"], i + 1, r["score"], r["adjustment"], *[r.get(f"{n}_bonus", 0.0) for n in names]) for i, r in enumerate(ranking.ordered())]
+                    out += [(case, r["id"], i + 1, r["score"], r["adjustment"], *[r.get(f"{n}_bonus", 0.0) for n in names]) for i, r in enumerate(ranking.ordered())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], columns)
 
     rows = candidates.groupBy("case_id").agg(F.collect_list(F.struct("id", "base", *extra)).alias("rows"))

@@ -407,7 +407,8 @@ def _market(spark, d):
     lines = domain.table(spark, d, "lineitem").join(domain.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(domain.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(domain.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     sold = lambda key: lines.groupBy(F.col("l_suppkey").cast("string").alias("case_id"), key.alias("id")).agg(F.sum("l_quantity").alias("q"))
     both = sold(F.concat(F.lit("M"), "c_mktsegment")).unionByName(sold(F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))))
-    contributions = both.select("case_id", "id", F.round(F.col("q") / F.sum("q").over(Window.partitionBy("case_id")), 6).alias("value"))
+    contributions = cut(both.select("case_id", "id", F.round(F.col("q") / F.sum("q").over(Window.partitionBy("case_id")), 6).alias("value")))
+    nodes, edges = cut(nodes), cut(edges)
     dynamics = contributions.select("case_id", F.col("id").alias("feature"), "value").where("false")
     diagnostics = domain.table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("anchor"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("feature"))
     return RootCauses(nodes, edges, contributions, dynamics, diagnostics)

@@ -22,3 +22,11 @@ def test_partitions_grow_with_the_largest_table(spark, monkeypatch, tmp_path):
 
 def _asked(spark, d):
     return spark
+
+
+def test_root_causes_read_what_is_sold_once(spark):
+    from faultline.queries import analysis
+
+    market = analysis._market(spark, "/root/testdata/sf0.001")
+    read = [f for df in (market.contributions, market.nodes, market.edges) for f in df.inputFiles()]
+    assert read and not any(t in f for f in read for t in ("lineitem", "customer"))

@@ -28,7 +28,7 @@ SUMMARY = ("most", "fewest", "shortest", "longest", "kinds")
 PARTIAL = 0.82
 PART, LONG_PART, PART_FROM, LONG_FROM = 0.9, 0.6, 1.5, 8.0
 #: Characters that two strings have beyond each other, counted together, up to which `close` finds them; mentions from so many characters on can be settled by it.
-CLOSE, CLOSE_FROM = 3, 11
+CLOSE, CLOSE_FROM = 3, 3
 _LESS = 1e-9
 
 
@@ -343,18 +343,18 @@ def _without(s: Column, k: Column) -> Column:
     return out
 
 
-def close(wanted: DataFrame, strings: DataFrame, measure: Measure) -> DataFrame:
-    """As `search`, for strings that become equal by leaving out CLOSE characters of both together at most: an equi-join of what is left of them.
+def close(wanted: DataFrame, strings: DataFrame, measure: Measure, apart: int = CLOSE) -> DataFrame:
+    """As `search`, for strings that become equal by leaving out `apart` characters (CLOSE at most) of both together: an equi-join of what is left of them.
 
     strings: scope, key, each once. How many characters go on each side follows from the two lengths, so a string is
-    spelt out only for lengths that are wanted. By the weighted ratio every other string scores `beyond(length)` at most.
+    spelt out only for lengths that are wanted. By the weighted ratio every other string scores `beyond(length, apart)` at most.
     """
     own = [*wanted.columns]
     m, n = F.length("mention_key"), F.length("key")
     lengths = wanted.select("scope", m.alias("m")).distinct().join(strings.select("scope", n.alias("n")).distinct(), "scope")
     more = F.col("n") - F.col("m")
-    both = CLOSE - F.pmod(CLOSE - more, F.lit(2))
-    lengths = lengths.where(F.abs(more) <= CLOSE).select("scope", "m", "n", ((both - more) / 2).cast("int").alias("_less"), ((both + more) / 2).cast("int").alias("less"))
+    both = apart - F.pmod(apart - more, F.lit(2))
+    lengths = lengths.where(F.abs(more) <= apart).select("scope", "m", "n", ((both - more) / 2).cast("int").alias("_less"), ((both + more) / 2).cast("int").alias("less"))
     lengths = F.broadcast(cut(lengths))  # pairs of lengths, a few for each length that is wanted
     left = wanted.withColumn("m", m).join(lengths, ["scope", "m"]).select(*own, "n", "less", F.explode(_without(F.col("mention_key"), F.col("_less"))).alias("rest"))
     right = strings.withColumn("n", n).join(lengths.select("scope", "n", "less").distinct(), ["scope", "n"]).select("scope", "key", "n", "less", F.explode(_without(F.col("key"), F.col("less"))).alias("rest"))
@@ -363,9 +363,19 @@ def close(wanted: DataFrame, strings: DataFrame, measure: Measure) -> DataFrame:
     return _scored(met.repartition(count, "mention_key", "key").select(*own, F.array("key").alias("keys")), measure)
 
 
-def beyond(length: Column) -> Column:
-    """The most that a string which `close` does not find can score by the weighted ratio with one of this length."""
-    return F.greatest(F.lit(PART), 2.0 * length / (2.0 * length + CLOSE + 1)) + _LESS
+def beyond(length: Column, apart: int = CLOSE) -> Column:
+    """The most that a string which `close` does not find can score by the weighted ratio with one of this length.
+
+    One that holds the other scores PARTIAL. Of a much longer one, that does not hold it, the best part lacks a character at least: m - 1 of m
+    characters, at an end where the part is as short; m is the length of the shorter string, so at most this one.
+    """
+    part = PART * (2.0 * length - 2) / (2.0 * length - 1)
+    return F.greatest(F.lit(PARTIAL), part, 2.0 * length / (2.0 * length + apart + 1)) + _LESS
+
+
+def settles(length: Column, apart: int) -> Column:
+    """Whether strings `apart` characters away can score more, with one of this length, than all that `close` does not find."""
+    return (length >= CLOSE_FROM) & (2.0 * length / (2.0 * length + apart) > beyond(length, apart))
 
 
 def search(wanted: DataFrame, index: Index, measure: Measure) -> DataFrame:

@@ -100,8 +100,7 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     Every seventh order's location lacks a letter, and so do the objects that are suppliers whose numbers 25 divides;
     the location of the order after every seventh is nothing that is known.
     """
-    whole = Window.partitionBy("l_orderkey").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lines = case_lines(spark, d).withColumn("first_part", F.first("l_partkey").over(whole))
+    lines = case_lines(spark, d).withColumn("first_part", F.first("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("nth")))
     one = lambda field, ord_, mention: F.struct(F.lit(field).alias("field"), ord_.cast("int").alias("ord"), mention.alias("mention"))
     place = F.when(F.col("l_orderkey") % 7 == 0, F.regexp_replace("n_name", "TI", "T")).when(F.col("l_orderkey") % 7 == 1, "QQ").otherwise(F.col("n_name"))
     thing = F.when(F.col("l_suppkey") % 25 == 0, F.substring("s_name", 2, 100)).otherwise(F.col("s_name"))

@@ -6,6 +6,8 @@ from functools import wraps
 
 from pyspark.sql import SparkSession
 
+from ..operators.lineage import SWEPT
+
 #: Rows of the largest table for each partition of a shuffle.
 ROWS = 250_000
 
@@ -23,6 +25,7 @@ def sized(spark: SparkSession, sf_dir: str) -> SparkSession:
         if spark.conf.isModifiable(key) and own.conf.get(key, None) != value:
             own.conf.set(key, value)
     own.conf.set("spark.sql.shuffle.partitions", n)
+    own.conf.set(SWEPT, "true")
     own.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionNum", n)  # small ones are still merged, but not into a few large ones
     return own
 

@@ -1,5 +1,7 @@
 """Where intermediate tables go, with and without a shared folder named by the session."""
 
+import time
+
 import pytest
 
 from faultline.operators import lineage
@@ -30,3 +32,25 @@ def test_local_run_without_the_setting(spark, monkeypatch):
     monkeypatch.setattr(type(spark.conf), "set", lambda self, key, value: pytest.fail(f"sets {key}"))
     df = lineage.cut(spark.range(10))
     assert df.count() == 10 and df.inputFiles()[0].startswith(own)
+
+
+def test_steps_of_a_session_for_large_tables_leave_no_shuffle_files(spark):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    def grown(session):
+        before = files()
+        df = lineage.cut(session.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+        for _ in range(100):
+            if files() <= before:
+                break
+            time.sleep(0.1)
+        left = files() > before
+        assert df.count() == 7
+        return left
+
+    own = spark.newSession()
+    own.conf.set(lineage.SWEPT, "true")
+    own.conf.set("spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled"))
+    assert not grown(own)
+    assert own.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")

@@ -1,9 +1,11 @@
 """The search for similar strings against all pairs."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.operators import linking, similarity
 from faultline.operators.similarity import JACCARD, PARTIAL, WEIGHTED, Strings
@@ -133,3 +135,27 @@ def test_mentions_with_close_names_need_no_tree(spark, monkeypatch):
     whole = best(None)
     monkeypatch.setattr(similarity, "build", lambda strings: pytest.fail("a tree was built"))
     assert best(15) == whole and len(whole) == 41 * 15
+
+
+def test_short_mentions_with_close_names_need_no_tree(spark, monkeypatch):
+    """Numbers that another scope has: where k are one character away, or two, no blocks are searched, and the best are those of a whole search."""
+    digits = lambda n: ["p" + "".join(x) for x in itertools.product("0123", repeat=n)]
+    terms = spark.createDataFrame([(w, "AnomalyType", "tep", 0, w) for w in digits(5)[::2] + digits(6)[::3]], "id string, label string, scenario string, ord int, key string")
+    mentions = spark.createDataFrame([(w, "tep") for w in digits(5)[1::40] + digits(6)[1::180]], "mention_key string, dataset string")
+    best = lambda k: {(r["mention_key"], r["id"], r["rank"], round(r["score"], 9)) for r in linking.rank(linking.near_candidates(mentions, terms, WEIGHTED, k), ["mention_key"], 6).collect()}
+    whole = best(None)
+    monkeypatch.setattr(similarity, "build", lambda strings: pytest.fail("a tree was built"))
+    assert best(6) == whole and len(whole) == mentions.count() * 6
+
+
+@pytest.mark.parametrize("apart", [1, 2, 3])
+def test_what_is_not_close_scores_no_more_than_beyond(spark, apart):
+    """Strings so many characters apart are found, with their scores; no other one scores more than `beyond`, however short or long."""
+    rnd = random.Random(apart)
+    keys = sorted({"".join(rnd.choice("ab1") for _ in range(rnd.randrange(1, 16))) for _ in range(500)})
+    asked = [k for k in keys if len(k) >= similarity.CLOSE_FROM][::9]
+    wanted = spark.createDataFrame([(a, "s", 0.0) for a in asked], "mention_key string, scope string, least double")
+    got = {(r["mention_key"], r["key"]): r["score"] for r in similarity.close(wanted, spark.createDataFrame([("s", k) for k in keys], "scope string, key string"), WEIGHTED, apart).collect()}
+    assert got == pytest.approx({(a, k): score(WEIGHTED, a, k) for a in asked for k in keys if a != k and len(a) + len(k) - 2 * similarity.common_length(a, k) <= apart})
+    most = {r["a"]: r["b"] for r in spark.createDataFrame([(a,) for a in asked], "a string").withColumn("b", similarity.beyond(F.length("a"), apart)).collect()}
+    assert all(score(WEIGHTED, a, k) <= most[a] for a in asked for k in keys if a != k and (a, k) not in got)

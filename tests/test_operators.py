@@ -129,6 +129,43 @@ def test_totals_and_best_of_scored_paths_are_those_of_all_of_them(spark):
             assert sorted((x["score"] for x in kept if x["case_id"] == c), reverse=True) == [s for s in scores if s >= scores[min(3, len(scores)) - 1]]
 
 
+def test_ways_that_cannot_be_among_the_best_meet_no_endings(spark):
+    """An entity that is surely passed by enough paths bounds a case's best; other ways to it, and the plain paths, are left out before endings are joined."""
+    rows = [("d", "p", f"s{i}", f"ps{i}", "R", 0.9, 0.5, 1) for i in range(12)] + [("d", f"s{i}", f"t{j}", f"st{i}{j}", "R", 0.5, 0.5, 1) for i in range(12) for j in range(4)]
+    best = spark.createDataFrame(rows, "dataset string, head string, tail string, edge_id string, relation string, strength double, confidence double, parallel long")
+    picked = [("c1", "d", "anomaly_type", "p"), ("c1", "d", "object", "s3"), ("c2", "d", "variable", "p")]
+    starts = paths._starts(spark.createDataFrame(picked, "case_id string, dataset string, field string, entity_id string"))
+    goal = spark.createDataFrame([("d", f"t{j}") for j in range(4)], "dataset string, id string")
+    src = spark.createDataFrame([("d", "p")], "dataset string, id string")
+    ends = paths.endings(src, best, goal, 4)
+    kept = paths._kept(starts, paths._first(src, best), ends, 4, 4)
+    assert [tuple(r) for r in kept.where("case_id = 'c1'").groupBy("_n").count().selectExpr("_n[0]", "count").distinct().collect()] == [("s3", 1)] and kept.where("case_id = 'c1'").count() == 4
+    top = paths.best_of(starts, best, ends, 4, 4).collect()
+    assert {(r["case_id"], r["rank"], tuple(r["nodes"])) for r in top} == {(c, j + 1, ("p", s, f"t{j}")) for c, s in (("c1", "s3"), ("c2", "s0")) for j in range(4)}
+
+
+def test_what_is_said_of_a_case_is_gathered_once(spark):
+    n = nodes(spark, ("ScratchDefect", "scratch", "AnomalyType", "mvtec"), ("Rim", "rim", "Location", "mvtec"), *[(f"L{i}", f"l{i}", "Location", "mvtec") for i in range(9)])
+    e = edges(spark, *[("ScratchDefect", r, f"L{i}", "mvtec", c) for i in range(9) for r, c in (("OCCURS_ON", 0.5 + i / 100), ("HAS_LOCATION", 0.57 - i / 100))])
+    a = Analysis(mentions(spark, ("anomaly_type", "scratch"), ("location", "rim")), n, e)
+    got = [(r["suggested"], r["score"], r["edge_id"].split("|")[1]) for r in a.corrections.orderBy("rank").collect()]
+    assert got == [("l8", 0.58, "OCCURS_ON"), ("l0", 0.57, "HAS_LOCATION"), ("l7", 0.57, "OCCURS_ON"), ("l1", 0.56, "HAS_LOCATION"), ("l6", 0.56, "OCCURS_ON")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(a.scores).count("Aggregate [") == 1 and "Aggregate [case_id" not in plan(a.corrections)
+
+
+def test_lines_of_unknown_parts_leave_no_gap(spark, tmp_path):
+    """Lines are numbered after those whose part, supplier or nation is not known have gone, as the SQL says."""
+    from faultline.plans import domain
+
+    for t in ("lineitem", "supplier", "nation", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where("p_partkey % 2 = 0" if t == "part" else "true").write.parquet(f"{tmp_path}/{t}.parquet")
+    per = domain.case_lines(spark, str(tmp_path)).groupBy("l_orderkey").agg(F.max("nth").alias("last"), F.count("*").alias("n"))
+    assert per.count() > 50 and per.where("last <> n").count() == 0
+    m = domain.mentions(spark, str(tmp_path)).groupBy("case_id").agg(F.count(F.when(F.col("field") == "object", 1)).alias("n"))
+    assert m.where("n <> 1").count() == 0
+
+
 def test_merge_conflicts(spark):
     e = edges(spark, ("a", "R", "b", "s", 0.5), ("a", "R", "b", "s", 0.5), ("a", "R", "c", "s", 0.4)).withColumns({"review_status": F.lit("auto"), "source": F.lit("x"), "file_order": F.lit(1)})
     got = kg.merge_edges(e).collect()

@@ -39,14 +39,11 @@ class OverlayValidation:
     def cases(self) -> DataFrame:
         """case_id, dataset, linked, consistency_score, paths, causes, overlay_edges, contributes of every case."""
         a = self.analysis
-        links = cut(a.links)
-        linked = links.groupBy("case_id", "dataset").agg(F.count("*").alias("linked"))
-        used = review.overlay_use(a.top, self.overlay_edges)
-        counts = a.top.groupBy("case_id").agg(F.count("*").alias("paths"))
-        causes = a.causes.groupBy("case_id").agg(F.count("*").alias("causes"))
-        rows = linked.join(a.scores.select("case_id", "consistency_score"), "case_id")
-        for part in (counts, causes, used.select("case_id", "overlay_edges", "contributes")):
-            rows = rows.join(part, "case_id", "left")
+        # a cause of the paths is a target of one of a case's best; these stay dealt by case
+        best = a.best_paths.groupBy("case_id").agg(F.count("*").alias("paths"), F.size(F.collect_set("target_id")).cast("long").alias("causes"), F.collect_list("edge_ids").alias("_edges"))
+        used = review.overlay_use(best.withColumn("edge_ids", F.flatten("_edges")), self.overlay_edges, "paths", "causes")
+        rows = a.cases.select("case_id", "dataset", "linked").join(a.scores.select("case_id", "consistency_score"), "case_id")
+        rows = rows.join(used.drop("path_edges"), "case_id", "left")
         zero = {c: F.coalesce(c, F.lit(0)) for c in ("paths", "causes", "overlay_edges")}
         return cut(rows.withColumns(zero | {"contributes": F.coalesce("contributes", F.lit(False))}))
 

@@ -154,6 +154,15 @@ def test_what_is_said_of_a_case_is_gathered_once(spark):
     assert plan(a.scores).count("Aggregate [") == 1 and "Aggregate [case_id" not in plan(a.corrections)
 
 
+def test_overlay_use_counts_an_edge_once_and_needs_no_exchange_by_edge(spark):
+    used = spark.createDataFrame([("c1", ["a", "b"], 2), ("c1", ["b", "x"], 2), ("c2", ["b"], 1), ("c3", [], 1)], "case_id string, edge_ids array<string>, paths long")
+    overlay = spark.createDataFrame([("a",), ("x",), ("x",), ("z",)], "edge_id string")
+    got = {tuple(r) for r in review.overlay_use(used, overlay, "paths").select("case_id", "paths", "path_edges", "overlay_edges", "contributes").collect()}
+    assert got == {("c1", 2, 3, 2, True), ("c2", 1, 1, 0, False)}
+    plan = review.overlay_use(used, F.broadcast(overlay.distinct()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(edge_id") <= 2 and plan.count("hashpartitioning(case_id") == 1
+
+
 def test_lines_of_unknown_parts_leave_no_gap(spark, tmp_path):
     """Lines are numbered after those whose part, supplier or nation is not known have gone, as the SQL says."""
     from faultline.plans import domain
